@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of an Arrow batch handed to Python, so that a batch of long texts stays small.
-BATCH_ROWS, BATCH_BYTES = 10_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 4_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

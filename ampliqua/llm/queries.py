@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliqua.llm import decontam, licenses, urlblock
+from ampliqua.llm import bpe, decontam, licenses, tokenstore, urlblock
 from ampliqua.llm.common import table
 
 
@@ -14,8 +15,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_token_store": op2_token_store,
+    "op5_bpe_trie": op5_bpe_trie,
     "op9_license_scan": licenses.query,
     "op10_url_filter": urlblock.query,
 }
