@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliqua.llm import bpe, decontam, licenses, tokenstore, urlblock
+from ampliqua.llm import bpe, decontam, licenses, setsketch, tokenstore, urlblock
 from ampliqua.llm.common import table
 
 
@@ -23,10 +23,15 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_store": op2_token_store,
     "op5_bpe_trie": op5_bpe_trie,
+    "op6_setsketch": op6_setsketch,
     "op9_license_scan": licenses.query,
     "op10_url_filter": urlblock.query,
 }
