@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliqua.llm import bpe, decontam, licenses, setsketch, tokenstore, urlblock
+from ampliqua.llm import bpe, decontam, licenses, pii, puquality, setsketch, tokenstore, urlblock
 from ampliqua.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -27,11 +31,17 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return puquality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_store": op2_token_store,
+    "op3_pii_skip_chain": op3_pii_skip_chain,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_setsketch": op6_setsketch,
+    "op7_pu_quality": op7_pu_quality,
     "op9_license_scan": licenses.query,
     "op10_url_filter": urlblock.query,
 }
