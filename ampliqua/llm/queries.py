@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ampliqua.llm import bpe, decontam, licenses, pii, puquality, setsketch, tokenstore, urlblock
+from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, urlblock, vafile
 from ampliqua.llm.common import table
 
 
@@ -23,6 +24,10 @@ def op3_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,18 +40,25 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return puquality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_store": op2_token_store,
     "op3_pii_skip_chain": op3_pii_skip_chain,
+    "op4_va_file": op4_va_file,
     "op5_bpe_trie": op5_bpe_trie,
     "op6_setsketch": op6_setsketch,
     "op7_pu_quality": op7_pu_quality,
+    "op8_log_bilinear": op8_log_bilinear,
     "op9_license_scan": licenses.query,
     "op10_url_filter": urlblock.query,
 }
 
 SQL: dict[str, str] = {
+    "op4_va_file": vafile.SQL,
     "op9_license_scan": licenses.SQL,
     "op10_url_filter": urlblock.SQL,
 }
