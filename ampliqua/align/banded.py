@@ -1,0 +1,163 @@
+"""A banded global-to-local aligner: enough to map amplicon reads to alleles without other programs.
+
+Anchors (unique k-mers of the allele) give the read's diagonal and strand; an affine dynamic programme in a band around the
+anchors' chain gives matches, substitutions, insertions and deletions. Long gaps between anchors are taken as they are.
+It is an interface's default: alignments from any aligner come in by sources.files.read_sam.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_TURN = str.maketrans("ACGTN", "TGCAN")
+#: k-mer length, least share of anchors, costs of a mismatch, a gap's opening and its extension, widest exact gap.
+K, LEAST, MISMATCH, OPEN, EXTEND, WIDEST = 15, 0.05, 4, 6, 1, 400
+
+
+class Aligner:
+    """Alignments of reads to one allele."""
+
+    def __init__(self, name: str, sequence: str) -> None:
+        self.name, self.sequence = name, sequence.upper()
+        seen: dict[str, int] = {}
+        for k in range(len(self.sequence) - K + 1):
+            word = self.sequence[k : k + K]
+            seen[word] = -1 if word in seen else k
+        self.words = {w: k for w, k in seen.items() if k >= 0}
+
+    def anchors(self, read: str) -> list[tuple[int, int]]:
+        """(read, allele) starts of shared unique words that rise together: the longest rising chain."""
+        hits = [(k, self.words[w]) for k in range(len(read) - K + 1) if (w := read[k : k + K]) in self.words]
+        tails: list[int] = []
+        where: list[int] = []
+        back = [-1] * len(hits)
+        for i, (_, ref) in enumerate(hits):
+            at = int(np.searchsorted(tails, ref))
+            back[i] = where[at - 1] if at else -1
+            if at == len(tails):
+                tails.append(ref)
+                where.append(i)
+            else:
+                tails[at], where[at] = ref, i
+        out, i = [], where[-1] if where else -1
+        while i >= 0:
+            out.append(hits[i])
+            i = back[i]
+        return out[::-1]
+
+    def align(self, read: str) -> tuple[int, int, list[tuple[str, str]]] | None:
+        """Flag, position (from 1) and cs operations of the better strand; None if the read doesn't belong here."""
+        best = None
+        for flag, seq in ((0, read), (16, read[::-1].translate(_TURN))):
+            chain = self.anchors(seq)
+            if len(chain) >= max(2, LEAST * (len(seq) - K)) and (best is None or len(chain) > len(best[2])):
+                best = (flag, seq, chain)
+        if best is None:
+            return None
+        flag, seq, chain = best
+        ops: list[tuple[str, str]] = []
+        r, q = chain[0][1], chain[0][0]
+        pos = r + 1
+        for next_q, next_r in [*chain, (chain[-1][0] + K, chain[-1][1] + K)]:
+            if next_q < q or next_r < r:  # it overlaps what is aligned already
+                continue
+            ops += fill(self.sequence[r:next_r], seq[q:next_q])
+            r, q = next_r, next_q
+        return flag, pos, merge(ops)
+
+
+def fill(ref: str, read: str) -> list[tuple[str, str]]:
+    """Operations that turn a stretch of the allele into one of the read."""
+    if ref == read:
+        return [("=", ref)] if ref else []
+    if not ref or not read:
+        return [("-", ref)] if ref else [("+", read)]
+    if max(len(ref), len(read)) > WIDEST:
+        head = next((k for k, (a, b) in enumerate(zip(ref, read, strict=False)) if a != b), min(len(ref), len(read)))
+        tail = next((k for k, (a, b) in enumerate(zip(ref[head:][::-1], read[head:][::-1], strict=False)) if a != b), min(len(ref), len(read)) - head)
+        x, y = ref[head : len(ref) - tail], read[head : len(read) - tail]
+        return [("=", ref[:head]), ("-", x), ("+", y), ("=", ref[len(ref) - tail :])]
+    n, m = len(ref), len(read)
+    far = 1 << 30
+    best, dele, ins = (np.full((n + 1, m + 1), far) for _ in range(3))
+    best[0, 0] = 0
+    for i in range(n + 1):
+        for j in range(m + 1):
+            if i:
+                dele[i, j] = min(best[i - 1, j] + OPEN + EXTEND, dele[i - 1, j] + EXTEND)
+            if j:
+                ins[i, j] = min(best[i, j - 1] + OPEN + EXTEND, ins[i, j - 1] + EXTEND)
+            if i and j:
+                best[i, j] = best[i - 1, j - 1] + (0 if ref[i - 1] == read[j - 1] else MISMATCH)
+            best[i, j] = min(best[i, j], dele[i, j], ins[i, j]) if i or j else 0
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and best[i, j] == best[i - 1, j - 1] + (0 if ref[i - 1] == read[j - 1] else MISMATCH):
+            out.append(("=", ref[i - 1]) if ref[i - 1] == read[j - 1] else ("*", ref[i - 1] + read[j - 1]))
+            i, j = i - 1, j - 1
+        elif i and best[i, j] == dele[i, j]:
+            k = 1
+            while dele[i - k + 1, j] != best[i - k, j] + OPEN + EXTEND:
+                k += 1
+            out.append(("-", ref[i - k : i]))
+            i -= k
+        else:
+            k = 1
+            while ins[i, j - k + 1] != best[i, j - k] + OPEN + EXTEND:
+                k += 1
+            out.append(("+", read[j - k : j]))
+            j -= k
+    return out[::-1]
+
+
+def merge(ops: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    out: list[tuple[str, str]] = []
+    for op, body in ops:
+        if not body:
+            continue
+        if out and out[-1][0] == op != "*":
+            out[-1] = (op, out[-1][1] + body)
+        else:
+            out.append((op, body))
+    return out
+
+
+def cs_of(ops: list[tuple[str, str]]) -> str:
+    return "".join(op + (body if op == "=" else body.lower()) for op, body in ops)
+
+
+def cigar_of(ops: list[tuple[str, str]]) -> str:
+    out: list[list] = []
+    for op, body in ops:
+        letter, n = {"=": "M", "*": "M", "-": "D", "+": "I"}[op], 1 if op == "*" else len(body)
+        if out and out[-1][1] == letter:
+            out[-1][0] += n
+        else:
+            out.append([n, letter])
+    return "".join(f"{n}{x}" for n, x in out)
+
+
+def align(reads: DataFrame, alleles: DataFrame, preset: str = "map-ont") -> DataFrame:
+    """Alignments of every read to every allele it belongs to. Alleles are a few sequences of an amplicon."""
+    spark = reads.sparkSession
+    few = spark.sparkContext.broadcast([(r["allele"], r["sequence"]) for r in alleles.select("allele", "sequence").collect()])
+    schema = "qname string, flag int, rname string, pos int, mapq int, cigar string, seq string, qual string, cs string, preset string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = [Aligner(*a) for a in few.value]
+        for pdf in batches:
+            rows = []
+            for qname, seq, qual in zip(pdf["qname"], pdf["sequence"], pdf["quality"], strict=True):
+                for tool in tools:
+                    if found := tool.align((seq or "").upper()):
+                        flag, pos, ops = found
+                        turned = seq if not flag else seq[::-1].translate(_TURN)
+                        rows.append((qname, flag, tool.name, pos, 60, cigar_of(ops), turned, qual, cs_of(ops), preset))
+            yield pd.DataFrame(rows, columns=["qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "qual", "cs", "preset"])
+
+    return reads.select("qname", "sequence", F.coalesce("quality", F.lit("*")).alias("quality")).mapInPandas(run, schema)
