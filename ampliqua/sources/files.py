@@ -6,8 +6,9 @@ file's records of several lines are cut by a line separator that only stands bef
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,15 +39,46 @@ def alleles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """read_ord, identifier, qname, sequence, quality. A record begins at a line break and '@', and its third line is '+'.
+    """read_ord, identifier, qname, sequence, quality of four-line records; large plain files are split among tasks.
 
-    A quality line may begin with '@' too: pieces without four lines are put together with the piece after them.
+    Files are cut before each line that begins with '@'. That may be a quality line: the piece before it then lacks its
+    fourth line and takes this one, also where the two lie in neighbouring blocks of a file.
     """
-    text = spark.read.option("wholetext", True).text(paths if isinstance(paths, str) else list(paths))
-    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.rtrim(F.regexp_replace(x, "\r$", ""))), lambda x: x != "")
-    rows = text.select(F.monotonically_increasing_id().alias("_f"), lines.alias("l")).filter(F.size("l") >= 4)
-    each = rows.select("_f", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1), lambda k: F.slice("l", k * 4 + 1, F.lit(4)))).alias("k", "r"))
-    return each.select((F.col("_f") + F.col("k")).alias("read_ord"), F.col("r")[0].alias("identifier"), strings.qname(F.col("r")[0]).alias("qname"), F.col("r")[1].alias("sequence"), F.col("r")[3].alias("quality"))
+    raw = spark.read.option("lineSep", "\n@").text(paths if isinstance(paths, str) else list(paths))
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_block_length").alias("length"))
+    pieces = raw.mapInPandas(_records, "kind string, file string, at long, identifier string, sequence string, quality string")
+    tails, heads = pieces.filter("kind = 'tail'"), pieces.filter("kind = 'head'").select("file", "at", F.col("quality").alias("_q"))
+    joined = tails.join(heads, ["file", "at"]).withColumn("quality", F.col("_q"))
+    fields = ["identifier", "sequence", "quality"]
+    rows = pieces.filter("kind = 'whole'").select(*fields).union(joined.select(*fields))
+    return rows.select(F.monotonically_increasing_id().alias("read_ord"), "identifier", strings.qname(F.col("identifier")).alias("qname"), "sequence", "quality")
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole records, and pieces at a block's ends (at: where the block begins or ends)."""
+    names = ["kind", "file", "at", "identifier", "sequence", "quality"]
+    block, open_ = None, None
+    for pdf in batches:
+        out = []
+        for value, *here in zip(pdf["value"], pdf["file"], pdf["start"], pdf["length"], strict=True):
+            if here != block:
+                if open_:
+                    out.append(("tail", block[0], block[1] + block[2], *open_, ""))
+                block, open_, first = here, None, True
+            lines = [x.rstrip("\r") for x in value.removeprefix("@").rstrip("\n").split("\n")]
+            if open_:
+                out.append(("whole", here[0], 0, *open_, "@" + lines[0]))
+                open_ = None
+            elif len(lines) >= 4:
+                out.append(("whole", here[0], 0, "@" + lines[0], lines[1], lines[3]))
+            elif len(lines) == 3:
+                open_ = ("@" + lines[0], lines[1])
+            elif first and lines[0]:
+                out.append(("head", here[0], here[1], "", "", "@" + lines[0]))
+            first = False
+        yield pd.DataFrame(out, columns=names)
+    if open_:
+        yield pd.DataFrame([("tail", block[0], block[1] + block[2], *open_, "")], columns=names)
 
 
 def fasta_as_fastq(fasta: DataFrame, quality: str = "I") -> DataFrame:

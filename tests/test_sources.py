@@ -24,6 +24,12 @@ def test_fasta_and_fastq(spark, tmp_path):
         f.write("@r1 x=1\nACGT\n+\n@III\n@r2\nAC\n+\nII\n")
     r = files.read_fastq(spark, f"{tmp_path}/r.fq.gz").orderBy("read_ord").collect()
     assert [(x["qname"], x["sequence"], x["quality"]) for x in r] == [("r1", "ACGT", "@III"), ("r2", "AC", "II")]
+    big = "".join(f"@r{k}\n{'ACGT' * 5}\n+\n{'@' if k % 3 else 'I'}{'I' * 19}\n" for k in range(4000))
+    (tmp_path / "big.fq").write_text(big)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    big_rows = files.read_fastq(spark, f"{tmp_path}/big.fq")
+    assert big_rows.select("qname").distinct().count() == big_rows.filter("length(quality) = 20 and length(sequence) = 20").count() == 4000
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert files.detect_format(spark, f"{tmp_path}/a.fa") == "FASTA" and files.detect_format(spark, f"{tmp_path}/r.fq.gz") == "FASTQ"
     both = files.read_reads(spark, [f"{tmp_path}/a.fa", f"{tmp_path}/r.fq.gz"])
     files.validate_reads(both)
