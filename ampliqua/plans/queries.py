@@ -14,6 +14,7 @@ from ampliqua.functions import sequential, strings
 from ampliqua.functions import tokens as K
 from ampliqua.operators import classify, consensus, kmers, profile, stats, windows
 from ampliqua.report import summary, vcf
+from ampliqua.session import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
