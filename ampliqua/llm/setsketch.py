@@ -9,7 +9,8 @@ sets' registers agree about as often as their Jaccard similarity. Bands of regis
    component with all members of other components, in blocks.
 
 A pair is verified on the full sets if the likelihood of its registers, given both sizes, doesn't rule the similarity
-out. Links end in connected components. Bucket members never meet in one task as a whole, and copies cost one node.
+out. In round 2 two more bounds come first: distances to the bucket's pivot, exact from round 1 (1 - similarity is a
+metric), and registers of a finer sketch. Links end in connected components. Bucket members never meet in one task as a whole, and copies cost one node.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a text of fewer than five words is
 one shingle; rows that share a doc_id are one node; a null doc_id has a null component and is kept; repeated rows each
@@ -39,6 +40,9 @@ REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
 BANDS, ROWS = 32, 5
 #: How much less likely than its best value the least similarity may be (natural logarithm): about five standard errors.
 SLACK = 12.5
+#: The finer sketch of round 2: registers (their low bytes), and how many must agree: five standard errors below the mean.
+FINE = 1024
+FINE_LEAST = int(FINE * (0.85 + 0.15 / 256 - 5 * (0.85 * 0.15 / FINE) ** 0.5))
 #: Members of a block in round 2, and ids that are broadcast at most (else they are joined by shuffles).
 BLOCK, BROADCAST_IDS = 512, 1_000_000
 
@@ -46,6 +50,8 @@ _rng = np.random.default_rng(7)
 _PLACE = _rng.integers(0, 1 << 63, SHINGLE + 1, dtype=np.uint64) | np.uint64(1)
 _MULTIPLY = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
+_FINE_MULTIPLY = (_rng.integers(0, 1 << 32, FINE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_FINE_ADD = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
 _BAND = np.array([_rng.permutation(REGISTERS)[:ROWS] for _ in range(BANDS)])
 _BAND_MULTIPLY = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -68,12 +74,24 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def _minima(found: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
+    low = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
+    x = (found >> np.uint64(32)).astype(np.uint32)
+    step = max(1, (1 << 17) // len(multiply))
+    for k in range(0, len(x), step):
+        low = np.minimum(low, (x[k : k + step, None] * multiply + add).min(axis=0))
+    return low
+
+
+def fine_registers(found: np.ndarray) -> np.ndarray:
+    """A byte of each minimum: equal if the minima are, else by chance once in 256."""
+    low = _minima(found, _FINE_MULTIPLY, _FINE_ADD)
+    return (low ^ (low >> np.uint32(11)) ^ (low >> np.uint32(22))).astype(np.uint8)
+
+
 def registers(found: np.ndarray) -> np.ndarray:
     """The set's registers; those of a union are the maximum of its parts'."""
-    low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    x = (found >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(x), 1024):
-        low = np.minimum(low, (x[k : k + 1024, None] * _MULTIPLY + _ADD).min(axis=0))
+    low = _minima(found, _MULTIPLY, _ADD)
     value = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**32) / RATE
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
@@ -137,6 +155,11 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def _band_keys(regs: np.ndarray) -> np.ndarray:
+    regs = regs.astype(np.uint64) + np.uint64(1)
+    return np.stack([_mix((regs[:, _BAND[b]] * _BAND_MULTIPLY[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], axis=1).view(np.int64)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
     """key (of a band and its registers), node."""
     id_type = nodes.schema["node"].dataType
@@ -145,9 +168,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS).astype(np.uint64) + np.uint64(1)
-            keys = np.stack([_mix((regs[:, _BAND[b]] * _BAND_MULTIPLY[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], axis=1)
-            yield record_batch(out, [keys.view(np.int64).ravel(), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))])
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            yield record_batch(out, [_band_keys(regs).ravel(), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))])
 
     return nodes.select("node", "registers").mapInArrow(run, schema)
 
@@ -176,33 +198,50 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Links among the pairs (u, v), by the full sets of both texts."""
+    """The pairs (u, v) with the sizes of their full sets' intersection and union."""
     spark = docs.sparkSession
     pairs = stored(spark, pairs, f"pairs-{name}")
     ids = stored(spark, pairs.select("u").union(pairs.select("v")).distinct(), f"ids-{name}")
     wanted = stored(spark, _few(docs.filter("doc_id is not null"), "doc_id", ids), f"texts-{name}")
-    schema = pairs.schema
+    schema = T.StructType([*pairs.schema, T.StructField("both", T.LongType()), T.StructField("either", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            ok = []
+            found = []
             for one, two in zip(blobs(batch.column(2)), blobs(batch.column(3)), strict=True):
                 if two != last[0]:
                     last = (two, shingles(word_hashes(two)))
                 a, b = shingles(word_hashes(one)), last[1]
                 small, large = (a, b) if len(a) <= len(b) else (b, a)
                 both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(small) else 0
-                ok.append(len(small) > 0 and 100 * both >= PERCENT * (len(a) + len(b) - both))
-            yield record_batch(out, [batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))])
+                found.append((both, len(a) + len(b) - both))
+            yield record_batch(out, [batch.column(0), batch.column(1), *([f[k] for f in found] for k in (0, 1))])
 
     side = lambda c: wanted.select(F.col("doc_id").alias(c), F.col("_text").alias(f"t_{c}"))
     # the pivot's side comes last, so that a pivot's pairs follow each other
     return stored(spark, pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(run, schema).distinct(), f"links-{name}")
 
 
-def _rest(members: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFrame:
+def _linked(tested: DataFrame) -> DataFrame:
+    return tested.filter((F.col("either") > 0) & (100 * F.col("both") >= PERCENT * F.col("either"))).select("u", "v").distinct()
+
+
+def _fine(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, fine: the finer sketches of these nodes."""
+    schema = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("fine", T.BinaryType())])
+    out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield record_batch(out, [batch.column(0), [fine_registers(shingles(word_hashes(d))).tobytes() for d in blobs(batch.column(1))]])
+
+    wanted = _few(docs.filter("doc_id is not null"), "doc_id", ids)
+    return wanted.select("doc_id", "_text").mapInArrow(run, schema).groupBy("node").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("n_texts"))
+
+
+def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
     """Round 2: pairs (u, v) of different components in a bucket, one outside its largest component, neither its pivot."""
     sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     labelled = component.join(sizes, "component").select("node", "component", "size")
@@ -210,11 +249,16 @@ def _rest(members: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFra
     open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("n")).filter("lo <> hi and n > 2").select("key", "main", "n")
     rows = rows.filter("node <> pivot").join(open_, "key").withColumn("out", F.col("component") != F.col("main"))
     counts = rows.groupBy("key").agg(F.sum(F.col("out").cast("int")).alias("n_out")).filter("n_out > 0")
-    rows = rows.join(counts, "key").join(nodes.select("node", "registers", F.col("n").alias("size_n")), "node")
+    rows = stored(docs.sparkSession, rows.join(counts, "key"), "open")
+    ids = stored(docs.sparkSession, rows.select("node").distinct(), "open-ids")
+    near = tested.select(F.col("u").alias("node"), F.col("v").alias("pivot"), (1 - F.col("both") / F.greatest("either", F.lit(1))).alias("far")).groupBy("node", "pivot").agg(F.min("far").alias("far"), F.count(F.lit(1)).alias("n_far"))
+    # where rows of one doc_id differ, a node has several texts and no bound holds
+    rows = rows.join(near.select("node", "pivot", F.when(F.col("n_far") == 1, F.col("far")).alias("far")), ["node", "pivot"], "left")
+    rows = rows.join(_fine(docs, ids), "node").join(nodes.select("node", "registers", F.col("n").alias("size_n")), "node").withColumn("far", F.when(F.col("n_texts") == 1, F.col("far"))).withColumn("fine", F.when(F.col("n_texts") == 1, F.col("fine")))
     salt = lambda n: F.pmod(F.xxhash64("node", "key"), F.ceil(n / BLOCK).cast("int")).cast("int")
     left = rows.filter("out").withColumn("a", salt(F.col("n_out"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1)))
     right = rows.withColumn("b", salt(F.col("n"))).withColumn("a", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_out") / BLOCK).cast("int") - 1)))
-    keep = ["key", "a", "b", "node", "component", "out", "size_n", "registers"]
+    keep = ["key", "a", "b", "node", "component", "out", "size_n", "registers", "far", "fine"]
     both = left.select(*keep, F.lit(True).alias("first")).union(right.select(*keep, F.lit(False).alias("first")))
     id_type = nodes.schema["node"].dataType
     schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
@@ -224,11 +268,21 @@ def _rest(members: DataFrame, component: DataFrame, nodes: DataFrame) -> DataFra
         node, comp, is_out = (np.array(rows.column(c).to_pylist(), object) for c in ("node", "component", "out"))
         size, first = np.array(rows.column("size_n").to_pylist(), np.int64), np.array(rows.column("first").to_pylist(), bool)
         regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        far = np.array([np.nan if x is None else x for x in rows.column("far").to_pylist()])
+        known = np.array([x is not None for x in rows.column("fine").to_pylist()])
+        fine = np.frombuffer(b"".join(x or bytes(FINE) for x in rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        # a pair that an earlier band brings together is left to that band's bucket, or was a star there
+        band = int((_band_keys(regs[:1])[0] == rows.column("key")[0].as_py()).argmax())
         u, v = [], []
         r = np.flatnonzero(~first)
         for k in np.flatnonzero(first):
             # two members outside the largest component meet once
             cand = r[(comp[r] != comp[k]) & (~is_out[r].astype(bool) | (node[r] < node[k])) & (100 * np.minimum(size[r], size[k]) >= PERCENT * np.maximum(size[r], size[k]))]
+            cand = cand[~(np.abs(far[cand] - far[k]) > 1 - PERCENT / 100 + 1e-9)]
+            if len(cand):
+                cand = cand[~(known[cand] & known[k]) | ((fine[cand] == fine[k]).sum(axis=1) >= FINE_LEAST)]
+            if len(cand) and band:
+                cand = cand[~(regs[cand] == regs[k])[:, _BAND[:band]].all(axis=2).any(axis=1)]
             if len(cand):
                 cand = cand[plausible((regs[k] > regs[cand]).sum(axis=1), (regs[k] < regs[cand]).sum(axis=1), np.full(len(cand), size[k]), size[cand])]
                 u += [max(node[k], x) for x in node[cand]]
@@ -251,9 +305,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = stored(spark, bands.join(buckets, "key"), "members")
     stars = members.filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    links = _verified(_likely(stars, nodes), docs, "stars")
+    tested = _verified(_likely(stars, nodes), docs, "stars")
+    links = _linked(tested)
     component = connected_components(links)
-    more = _verified(_rest(members, component, nodes), docs, "rest")
+    more = _linked(_verified(_rest(docs, members, component, nodes, tested), docs, "rest"))
     if more.limit(1).count():
         component = connected_components(reduce(DataFrame.union, [links, more]))
     labels = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
