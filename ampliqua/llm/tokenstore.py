@@ -30,8 +30,10 @@ from ampliqua.llm.common import arrow_type, record_batch, repo_on_workers, scrat
 
 #: Ids of a chunk: at least, at most; a cut is made where this many low bits of the rolling hash are zero.
 LEAST, MOST, CUT_BITS = 64, 4096, 9
-#: Pieces of text remembered by a worker.
-MAX_PIECES = 400_000
+#: Pieces of text, and words of them, remembered by a worker.
+MAX_PIECES, MAX_WORDS = 300_000, 1_200_000
+#: Texts encoded together.
+BLOCK = 64
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 
@@ -68,10 +70,17 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return [*ends, n] if n else []
 
 
+#: White space to Python, not to the library.
+_ODD = "\x1c\x1d\x1e\x1f"
+_ENDS = ".,;:!?"
+
+
 class Encoder:
     """Encodes with the library, each different piece once: white space and what follows it is encoded alike anywhere."""
 
     _piece = re.compile(r"\s*\S+|\s+")
+    # after a run of letters, a character that is none always starts a new piece of the library's
+    _word = re.compile(r"(\s*[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\[-`{-~].*)", re.DOTALL)
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -80,14 +89,43 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         special = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
-        # Python's white space has these four more than the library's
-        self.odd = re.compile("|".join(["[\x1c-\x1f]", *special]))
+        self.special = re.compile("|".join(special)) if special else None
         self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
+        self.size = array(self.code).itemsize
+        self.widths = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each token: byte-level names have a letter a byte
+        for name, k in self.library.get_vocab(with_added_tokens=False).items():
+            self.widths[k] = len(name)
+        self.line_break = array(self.code, self.library.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.heads: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.marks = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in _ENDS}
+        self.after_space: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of each piece."""
+        if len(self.words) > MAX_WORDS:
+            self.words.clear()
+        parts = {p: m.groups() if (m := self._word.fullmatch(p)) else (p,) for p in pieces}
+        words = {w for ws in parts.values() for w in ws}.difference(self.words)
+        # what begins with white space and ends without can be encoded in one go: the ids' byte lengths tell the words apart
+        joint = [w for w in words if w[0].isspace() and not w[-1].isspace()]
+        if joint:
+            ids = np.array(self.library.encode_batch_fast(["".join(joint)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(w.encode()) for w in joint])) + 1
+            data, size, at = ids.astype(f"<u{self.size}").tobytes(), self.size, 0
+            for w, end in zip(joint, (ends * size).tolist(), strict=True):
+                self.words[w] = data[at:end]
+                at = end
+        rest = [w for w in words if w not in self.words]
+        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.words[w] = array(self.code, e.ids).tobytes()
+        return {p: self.words[ws[0]] if len(ws) == 1 else self.words[ws[0]] + self.words[ws[1]] for p, ws in parts.items()}
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed."""
-        if self.odd.search(text):
+        if any(c in text for c in _ODD) or (self.special and self.special.search(text)):
             return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
         parts = self._piece.findall(text)
         try:
@@ -95,11 +133,55 @@ class Encoder:
         except KeyError:
             if len(self.pieces) > MAX_PIECES:
                 self.pieces.clear()
-            new = list(set(parts).difference(self.pieces))
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.pieces[p] = array(self.code, e.ids).tobytes()
+            self.pieces |= self._learn(set(parts).difference(self.pieces))
             return b"".join([self.pieces[p] for p in parts])
 
+    def encode_block(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text, packed.
+
+        Most texts have just one space or line break between words: a line's first word stands after a line break, which is
+        a piece of its own, the others after a space. The new words of all these texts are learned at once.
+        """
+        simple: list[list[list[str]] | None] = []
+        heads: set[str] = set()
+        tails: set[str] = set()
+        for text in texts:
+            lines = [line.split(" ") for line in text.split("\n")]
+            if sum(map(len, lines)) != len(text.split()) or any("" in ws for ws in lines) or any(c in text for c in _ODD) or (self.special and self.special.search(text)):
+                simple.append(None)
+                continue
+            for ws in lines:
+                heads.add(ws[0])
+                tails.update(ws)  # a first word is likely to stand elsewhere too
+            simple.append(lines)
+        if len(self.tails) > MAX_PIECES:
+            self.tails.clear()
+            self.heads.clear()
+        if heads := heads.difference(self.heads):
+            self.heads |= self._learn(heads)
+        if tails := tails.difference(self.tails):
+            self._learn_tails(tails)
+        head, tail, join = self.heads, self.tails, self.line_break.join
+        return [self.encode(t) if ls is None else join([b"".join([head[ws[0]], *[tail[w] for w in ws[1:]]]) for ws in ls]) for t, ls in zip(texts, simple, strict=True)]
+
+    def _learn_tails(self, tails: set[str]) -> None:
+        """Ids of words after a space: all new ones are encoded as one text, and told apart by their ids' byte lengths."""
+        if len(self.after_space) > MAX_WORDS:
+            self.after_space.clear()
+        known, size = self.after_space, self.size
+        # after a letter, punctuation always starts a new piece of the library's
+        cores = {w: w[:-1] if w[-1] in _ENDS and len(w) > 1 and w[-2] <= "ɏ" and w[-2].isalpha() else w for w in tails}
+        new = list(set(cores.values()).difference(known))
+        if new:
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
+            data, at = ids.astype(f"<u{size}").tobytes(), 0
+            for w, end in zip(new, (ends * size).tolist(), strict=True):
+                known[w] = data[at:end]
+                at = end
+        marks = self.marks
+        self.tails |= {w: known[c] if w is c else known[c] + marks[w[-1]] for w, c in cores.items()}
+
 
 _made: dict[str, Encoder] = {}
 
@@ -132,8 +214,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
         for batch in batches:
             own: dict[bytes, bytes] = {}  # a batch's copies are sent on once
             keys, rows, sizes, lists = [], [], [], []
-            for text in texts(batch.column(1)):
-                data = enc.encode(text) + end
+            values = texts(batch.column(1))
+            for data in (d + end for k in range(0, len(values), BLOCK) for d in enc.encode_block(values[k : k + BLOCK])):
                 at, chunks = 0, []
                 for cut in cut_points(np.frombuffer(data, code)):
                     piece = data[at * width : cut * width]
@@ -210,7 +292,7 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFra
 
 def crc_join(a: int, b: int, length: int) -> int:
     """crc32 of two byte strings put together, from that of each and the second's length."""
-    return _times(_shift(length), a) ^ b
+    return _times(_shift(length), a) ^ b if a else b
 
 
 def _times(a: int, b: int) -> int:
