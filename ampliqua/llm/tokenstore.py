@@ -50,15 +50,22 @@ def merkle(hashes: list[bytes]) -> bytes:
     return address(b"root" + level[0])
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: content decides, within the bounds of a chunk's size."""
-    n = len(ids)
+def cut_marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the places where the rolling hash of the last 16 ids allows a cut.
+
+    A cut is only made LEAST ids after the one before it, so texts may stand together here: no window that counts reaches
+    over a text's beginning.
+    """
     h = _GEAR[ids & 0xFFFF]
     for k in (1, 2, 4, 8):  # after this, h[i] holds the ids i-15..i, each shifted by its distance
-        h[k:] = h[k:] + (h[:-k] << np.uint64(k)) if n > k else h[k:]
-    marks = np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+        if len(h) > k:
+            h[k:] = h[k:] + (h[:-k] << np.uint64(k))
+    return np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+
+
+def cut_points(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a text of n ids: content decides, within the bounds of a chunk's size."""
     ends, at, k = [], 0, 0
-    marks = marks.tolist()
     while n - at > LEAST:
         while k < len(marks) and marks[k] < at + LEAST:
             k += 1
@@ -70,6 +77,19 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return [*ends, n] if n else []
 
 
+def chunk_ends(texts: list[np.ndarray]) -> list[list[int]]:
+    """Of several texts' ids, each text's cut points."""
+    whole = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
+    stops = np.cumsum([len(t) for t in texts])
+    marks = cut_marks(whole)
+    first = np.searchsorted(marks, stops, "right").tolist()
+    out, begin, low = [], 0, 0
+    for stop, high in zip(stops.tolist(), first, strict=True):
+        out.append(cut_points(stop - begin, (marks[low:high] - begin).tolist()))
+        begin, low = stop, high
+    return out
+
+
 #: White space to Python, not to the library.
 _ODD = "\x1c\x1d\x1e\x1f"
 _ENDS = ".,;:!?"
@@ -215,19 +235,21 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
             own: dict[bytes, bytes] = {}  # a batch's copies are sent on once
             keys, rows, sizes, lists = [], [], [], []
             values = texts(batch.column(1))
-            for data in (d + end for k in range(0, len(values), BLOCK) for d in enc.encode_block(values[k : k + BLOCK])):
-                at, chunks = 0, []
-                for cut in cut_points(np.frombuffer(data, code)):
-                    piece = data[at * width : cut * width]
-                    key = address(piece)
-                    own.setdefault(key, piece)
-                    chunks.append(key)
-                    at = cut
-                rows.append(part | row)
-                keys.append(merkle(chunks) + row.to_bytes(5, "big") + part.to_bytes(8, "big"))
-                sizes.append(at)
-                lists.append(chunks)
-                row += 1
+            for k in range(0, len(values), BLOCK):
+                block = [d + end for d in enc.encode_block(values[k : k + BLOCK])]
+                for data, cuts in zip(block, chunk_ends([np.frombuffer(d, code) for d in block]), strict=True):
+                    at, chunks = 0, []
+                    for cut in cuts:
+                        piece = data[at * width : cut * width]
+                        key = address(piece)
+                        own.setdefault(key, piece)
+                        chunks.append(key)
+                        at = cut
+                    rows.append(part | row)
+                    keys.append(merkle(chunks) + row.to_bytes(5, "big") + part.to_bytes(8, "big"))
+                    sizes.append(at)
+                    lists.append(chunks)
+                    row += 1
             n, m = len(own), len(rows)
             yield record_batch(out, [["chunk"] * n, list(own), list(own.values()), pa.nulls(n, out.field(3).type), pa.nulls(n, pa.int64()), [len(x) // width for x in own.values()], pa.nulls(n, out.field(6).type)])
             yield record_batch(out, [["recipe"] * m, keys, pa.nulls(m, pa.binary()), batch.column(0), rows, sizes, lists])
