@@ -13,6 +13,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, record_batch, repo_on_workers, texts
+from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, texts
 
 #: Different pieces of text remembered by a worker, compatible pairs of tokens remembered, and characters of a block.
-MAX_PIECES, MAX_PAIRS, BLOCK_CHARS = 200_000, 1_000_000, 8_000_000
+MAX_PIECES, MAX_PAIRS, BLOCK_CHARS = 80_000, 300_000, 3_000_000
 
 #: Characters for which lower-casing, NFC and the classes L, N and white space are the same everywhere.
 _PLAIN = re.compile("[^\t\n\r -~\xa1-ɏ]")
@@ -46,11 +47,7 @@ class TrieBpe:
     """A word BPE with an end-of-word mark, from the JSON of a tokenizers file."""
 
     def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.spec = spec
         data = json.loads(spec)
         model, self.end = data["model"], data["model"]["end_of_word_suffix"] or ""
         if not self.end or data["decoder"] is not None:
@@ -83,6 +80,16 @@ class TrieBpe:
         self.word = regex.compile(split)
         self.pieces: dict[str, tuple[bytes, bytes]] = {}
 
+    @functools.cached_property
+    def library(self):
+        """The tokenizers library's, for what only it splits: made when first needed."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.spec)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _may_follow(self, a: int, b: int, limit: int = 1 << 60) -> bool:
         """Whether the text of a and b encodes to just these two: take back merges, latest first, and look for one across."""
         while True:
@@ -214,6 +221,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)
         for batch in batches:
@@ -221,6 +229,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.
             for a, b in _blocks(values):
                 made = [make(i, d) for i, d in bpe.encode_block(values[a:b])]
                 yield record_batch(out, [batch.column(0).slice(a, b - a), *([m[k] for m in made] for k in range(len(fields)))])
+        _made.clear()  # workers outlive their tasks
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(rows, schema)
 
@@ -246,6 +255,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
     schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("text", T.StringType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)
         for batch in batches:

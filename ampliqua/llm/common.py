@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +82,20 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def freed(f: Callable) -> Callable:
+    """f, of Arrow batches, and then memory that its task freed goes back to the system: workers outlive their tasks."""
+
+    @functools.wraps(f)
+    def run(batches: Iterable) -> Iterable:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

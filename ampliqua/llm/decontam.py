@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, blobs, record_batch, repo_on_workers, runs, stored
+from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers, runs, stored
 
 #: Words of a window, and words by which each term of a proximity match may be off its place.
 WINDOW, SLOP = 10, 2
@@ -69,6 +69,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
     known = None if vocabulary is None else {w: k for k, w in enumerate(vocabulary)}
 
+    @freed
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(batches):
@@ -168,6 +169,7 @@ def find_matches(index: DataFrame, items: list[tuple[str, bytes]], window: int =
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("item_id", T.StringType()), T.StructField("position", T.LongType()), T.StructField("length", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -211,6 +213,7 @@ def judge(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("n_near", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits, items_, digests = [], [], []
@@ -236,6 +239,7 @@ def _judge_block(index: DataFrame, items: list[tuple[str, bytes]], window: int,
     schema = T.StructType([T.StructField("segment", T.LongType()), T.StructField("ordinal", T.LongType()), T.StructField("doc_id", id_type), T.StructField("n_words", T.LongType()), T.StructField("marks", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_near", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

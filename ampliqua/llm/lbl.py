@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, blobs, crc_mod, record_batch, repo_on_workers, stored, word_hashes
+from ampliqua.llm.common import arrow_type, blobs, crc_mod, freed, record_batch, repo_on_workers, stored, word_hashes
 
 #: Folds by crc32 of the id as text, and the one that is not learned from.
 FOLDS, HELD_OUT = 5, 1
@@ -42,6 +42,7 @@ def _held(column: str) -> Column:
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c: how often each word stands in the rows of (held_out, _text) that aren't held out."""
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("word", pa.int64()), ("c", pa.int64())])
         for batch in batches:
@@ -175,6 +176,7 @@ def _tokens(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], chosen: np.ndar
     number[np.searchsorted(hot[0], chosen)] = np.arange(2, 2 + len(chosen))
     sent = spark.sparkContext.broadcast((hot[0], hot[1], number))
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId() << 33, 0
         keys, counts, numbers = sent.value
@@ -228,6 +230,7 @@ def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     kind = "parts binary, n double"
     out = pa.schema([("parts", pa.binary()), ("n", pa.float64())])
 
+    @freed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = sent.value, np.zeros(0, np.int64)
         keys = np.zeros(0, np.int64)
@@ -243,6 +246,7 @@ def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             own.train(np.stack([every // (n * n), every // n % n], axis=1), every % n, weight)
             yield record_batch(out, [[own.pack()], [float(counts.sum())]])
 
+    @freed
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = None, 0.0
         for batch in batches:
@@ -283,6 +287,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rest = rest.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
     out = pa.schema([("row", pa.int64()), ("model_score", pa.float64())])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, normalisers = sent.value
         for batch in batches:

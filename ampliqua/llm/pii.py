@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, record_batch, repo_on_workers, texts
+from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that the field is fitted on at most (about), and tokens of such a text; rounds of messages; least probability.
@@ -233,6 +233,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_d
     few = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) <= min(1.0, max_docs / max(n, 1)) * (1 << 30)).filter(text.rlike("[0-9@]"))
     out = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("chain", pa.binary()), ("skip", pa.binary())])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -280,6 +281,7 @@ def _map(docs: DataFrame, field: Field | None, id_col: str, text_col: str, field
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(1).to_pylist()

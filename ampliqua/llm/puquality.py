@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, blobs, crc_mod, record_batch, repo_on_workers, stored
+from ampliqua.llm.common import arrow_type, blobs, crc_mod, freed, record_batch, repo_on_workers, stored
 
 #: Rows of each kind that the model is fitted on at most (about), taken by a hash of the id.
 MAX_FIT_ROWS = 10_000
@@ -140,6 +140,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("x", T.BinaryType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield record_batch(out, [batch.column(0), [features(d).tobytes() for d in blobs(batch.column(1))]])
@@ -172,6 +173,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, N_FEATURES)

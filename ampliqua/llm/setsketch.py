@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, blobs, record_batch, repo_on_workers, stored, word_hashes
+from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers, stored, word_hashes
 from ampliqua.llm.components import connected_components
 
 #: Words of a shingle; least similarity of a link in percent.
@@ -134,6 +134,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("registers", T.BinaryType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, int] = {}
@@ -166,6 +167,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", id_type)])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
@@ -185,6 +187,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     schema = pairs.schema
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in (2, 4))
@@ -206,6 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     schema = T.StructType([*pairs.schema, T.StructField("both", T.LongType()), T.StructField("either", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
@@ -233,6 +237,7 @@ def _fine(docs: DataFrame, ids: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("node", docs.schema["doc_id"].dataType), T.StructField("fine", T.BinaryType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield record_batch(out, [batch.column(0), [fine_registers(shingles(word_hashes(d))).tobytes() for d in blobs(batch.column(1))]])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, record_batch, repo_on_workers, scratch, texts
+from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, scratch, texts
 
 #: Ids of a chunk: at least, at most; a cut is made where this many low bits of the rolling hash are zero.
 LEAST, MOST, CUT_BITS = 64, 4096, 9
@@ -227,6 +227,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("doc_id", id_type), T.StructField("row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("chunks", T.ArrayType(T.BinaryType()))])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec.value)
         end, code, width = array(enc.code, [end_id]).tobytes(), np.dtype("<u2" if enc.code == "H" else "<u4"), array(enc.code).itemsize
@@ -274,6 +275,7 @@ def _write_recipes(spark: SparkSession, path: str, schema: T.StructType) -> None
     fields = T.StructType([T.StructField("part", T.IntegerType()), *recipes.schema, T.StructField("position", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("n_docs", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in fields])
 
+    @freed
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, position, n = TaskContext.get().partitionId(), 0, 0
         tree: list[tuple[int, bytes]] = []  # roots of full subtrees: bounded by the height
@@ -353,6 +355,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     repo_on_workers(spark)
     recipes, chunks, _ = _read(spark, path)
 
+    @freed
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
@@ -366,6 +369,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 sizes.append(n)
             yield record_batch(out, [keys, sizes, crcs])
 
+    @freed
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("row", pa.int64()), ("ids_crc32", pa.int64()), ("got", pa.int64())])
         for batch in batches:
@@ -394,6 +398,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     each = recipes.select("row", F.posexplode("chunks").alias("k", "key")).join(chunks, "key")
     parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "n_tokens"))).alias("parts"))
 
+    @freed
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("row", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for batch in batches:

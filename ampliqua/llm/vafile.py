@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, record_batch, repo_on_workers, stored
+from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, stored
 
 #: Cells of a dimension, queries of a block (about), and exact vectors read at a time.
 CELLS, QUERY_BLOCK, STEP = 64, 2048, 32
@@ -52,6 +52,7 @@ def _packed(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("dim", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)), *(T.StructField(n, T.BinaryType()) for n in ("low", "step", "cells", "exact"))])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(batches):
@@ -122,6 +123,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("query_id", id_type), T.StructField("vec_id", id_type), T.StructField("score", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
+    @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[np.ndarray, list, list[list[tuple]]]] = {}
         for batch in batches:
