@@ -33,7 +33,7 @@ def op5_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

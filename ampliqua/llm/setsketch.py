@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +33,16 @@ from pyspark.sql import types as T
 from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers, stored, word_hashes
 from ampliqua.llm.components import connected_components
 
-#: Words of a shingle; least similarity of a link in percent.
+#: Words of a shingle; least similarity of a link in percent, where the caller names none.
 SHINGLE, PERCENT = 5, 85
 #: SetSketch: registers, base, rate, and the largest value q + 1.
 REGISTERS, BASE, RATE, TOP = 128, 1.001, 20.0, 65535
-#: Bands and registers of each: at the least similarity, a pair shares no band with a probability below one in a million.
-BANDS, ROWS = 32, 5
+#: Registers of a band, and the probability, at the least similarity, of sharing no band that the number of bands must go below.
+ROWS, MISSED = 5, 1e-6
 #: How much less likely than its best value the least similarity may be (natural logarithm): about five standard errors.
 SLACK = 12.5
-#: The finer sketch of round 2: registers (their low bytes), and how many must agree: five standard errors below the mean.
+#: The finer sketch of round 2: registers (their low bytes).
 FINE = 1024
-FINE_LEAST = int(FINE * (0.85 + 0.15 / 256 - 5 * (0.85 * 0.15 / FINE) ** 0.5))
 #: Members of a block in round 2, and ids that are broadcast at most (else they are joined by shuffles).
 BLOCK, BROADCAST_IDS = 512, 1_000_000
 
@@ -52,8 +52,33 @@ _MULTIPLY = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1
 _ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 _FINE_MULTIPLY = (_rng.integers(0, 1 << 32, FINE, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _FINE_ADD = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32)
-_BAND = np.array([_rng.permutation(REGISTERS)[:ROWS] for _ in range(BANDS)])
-_BAND_MULTIPLY = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+@lru_cache
+def n_bands(percent: int) -> int:
+    """The least number of bands of which a pair of this similarity shares none with a probability below MISSED."""
+    if not 50 <= percent <= 100:
+        raise ValueError("the least similarity must lie between 50 and 100 percent")
+    j, agree = percent / 100, np.arange(REGISTERS + 1)
+    share = np.array([comb(REGISTERS, int(x)) * j**x * (1 - j) ** (REGISTERS - x) for x in agree])
+    none = np.array([1 - comb(int(x), ROWS) / comb(REGISTERS, ROWS) for x in agree])
+    n = 1
+    while (share * none**n).sum() >= MISSED:
+        n += 1
+    return n
+
+
+@lru_cache
+def _band_plan(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The registers of each band and what they are multiplied by."""
+    rng, n = np.random.default_rng(8), n_bands(percent)
+    return np.array([rng.permutation(REGISTERS)[:ROWS] for _ in range(n)]), rng.integers(0, 1 << 63, (n, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def fine_least(percent: int) -> int:
+    """How many registers of the finer sketch must agree: five standard errors below the mean."""
+    j = percent / 100
+    return int(FINE * (j + (1 - j) / 256 - 5 * (j * (1 - j) / FINE) ** 0.5))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -110,20 +135,20 @@ def log_likelihood(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.
 _GRID = np.linspace(0, 1, 101)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def estimate(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Joint maximum-likelihood similarity (over a grid), and how much less likely the least similarity is."""
     at = lambda j: log_likelihood(more[:, None], less[:, None], n_u[:, None], n_v[:, None], j)
     grid = at(np.minimum(_GRID[None, :], (np.minimum(n_u, n_v) / np.maximum(n_u, n_v))[:, None]))
     best = grid.argmax(axis=1)
-    return _GRID[best], grid.max(axis=1) - at(np.full((1, 1), PERCENT / 100))[:, 0]
+    return _GRID[best], grid.max(axis=1) - at(np.full((1, 1), percent / 100))[:, 0]
 
 
-def plausible(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray) -> np.ndarray:
+def plausible(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether a pair may have the least similarity; sizes alone can rule it out."""
-    ok = 100 * np.minimum(n_u, n_v) >= PERCENT * np.maximum(n_u, n_v)
+    ok = 100 * np.minimum(n_u, n_v) >= percent * np.maximum(n_u, n_v)
     some = np.flatnonzero(ok)
-    j, lack = estimate(more[some], less[some], n_u[some].astype(float), n_v[some].astype(float))
-    ok[some] = (j >= PERCENT / 100) | (lack <= SLACK)
+    j, lack = estimate(more[some], less[some], n_u[some].astype(float), n_v[some].astype(float), percent)
+    ok[some] = (j >= percent / 100) | (lack <= SLACK)
     return ok
 
 
@@ -156,12 +181,13 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
-def _band_keys(regs: np.ndarray) -> np.ndarray:
+def _band_keys(regs: np.ndarray, percent: int) -> np.ndarray:
+    band, multiply = _band_plan(percent)
     regs = regs.astype(np.uint64) + np.uint64(1)
-    return np.stack([_mix((regs[:, _BAND[b]] * _BAND_MULTIPLY[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)) for b in range(BANDS)], axis=1).view(np.int64)
+    return np.stack([_mix((regs[:, band[b]] * multiply[b]).sum(axis=1, dtype=np.uint64) + np.uint64(b)) for b in range(len(band))], axis=1).view(np.int64)
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
+def _bands(nodes: DataFrame, percent: int) -> DataFrame:
     """key (of a band and its registers), node."""
     id_type = nodes.schema["node"].dataType
     schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", id_type)])
@@ -171,7 +197,8 @@ def _bands(nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u2").reshape(-1, REGISTERS)
-            yield record_batch(out, [_band_keys(regs).ravel(), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), BANDS)))])
+            keys = _band_keys(regs, percent)
+            yield record_batch(out, [keys.ravel(), batch.column(0).take(pa.array(np.repeat(np.arange(len(regs)), keys.shape[1])))])
 
     return nodes.select("node", "registers").mapInArrow(run, schema)
 
@@ -182,7 +209,7 @@ def _few(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, "left_semi")
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that their registers don't rule out."""
     schema = pairs.schema
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
@@ -192,7 +219,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, REGISTERS) for k in (2, 4))
             n_u, n_v = (np.array(batch.column(k).to_pylist(), np.int64) for k in (3, 5))
-            ok = pa.array(plausible((a > b).sum(axis=1), (a < b).sum(axis=1), n_u, n_v))
+            ok = pa.array(plausible((a > b).sum(axis=1), (a < b).sum(axis=1), n_u, n_v, percent))
             yield record_batch(out, [batch.column(0).filter(ok), batch.column(1).filter(ok)])
 
     one = nodes.select(F.col("node").alias("u"), F.col("registers").alias("r_u"), F.col("n").alias("n_u"))
@@ -228,8 +255,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     return stored(spark, pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "t_u", "t_v").mapInArrow(run, schema).distinct(), f"links-{name}")
 
 
-def _linked(tested: DataFrame) -> DataFrame:
-    return tested.filter((F.col("either") > 0) & (100 * F.col("both") >= PERCENT * F.col("either"))).select("u", "v").distinct()
+def _linked(tested: DataFrame, percent: int) -> DataFrame:
+    return tested.filter((F.col("either") > 0) & (100 * F.col("both") >= percent * F.col("either"))).select("u", "v").distinct()
 
 
 def _fine(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -246,7 +273,7 @@ def _fine(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return wanted.select("doc_id", "_text").mapInArrow(run, schema).groupBy("node").agg(F.max("fine").alias("fine"), F.count(F.lit(1)).alias("n_texts"))
 
 
-def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFrame:
+def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Round 2: pairs (u, v) of different components in a bucket, one outside its largest component, neither its pivot."""
     sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     labelled = component.join(sizes, "component").select("node", "component", "size")
@@ -268,6 +295,7 @@ def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: Data
     id_type = nodes.schema["node"].dataType
     schema = T.StructType([T.StructField("u", id_type), T.StructField("v", id_type)])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
+    least = fine_least(percent)
 
     def compare(rows: pa.Table) -> pa.Table:
         node, comp, is_out = (np.array(rows.column(c).to_pylist(), object) for c in ("node", "component", "out"))
@@ -277,19 +305,19 @@ def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: Data
         known = np.array([x is not None for x in rows.column("fine").to_pylist()])
         fine = np.frombuffer(b"".join(x or bytes(FINE) for x in rows.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
         # a pair that an earlier band brings together is left to that band's bucket, or was a star there
-        band = int((_band_keys(regs[:1])[0] == rows.column("key")[0].as_py()).argmax())
+        band = int((_band_keys(regs[:1], percent)[0] == rows.column("key")[0].as_py()).argmax())
         u, v = [], []
         r = np.flatnonzero(~first)
         for k in np.flatnonzero(first):
             # two members outside the largest component meet once
-            cand = r[(comp[r] != comp[k]) & (~is_out[r].astype(bool) | (node[r] < node[k])) & (100 * np.minimum(size[r], size[k]) >= PERCENT * np.maximum(size[r], size[k]))]
-            cand = cand[~(np.abs(far[cand] - far[k]) > 1 - PERCENT / 100 + 1e-9)]
+            cand = r[(comp[r] != comp[k]) & (~is_out[r].astype(bool) | (node[r] < node[k])) & (100 * np.minimum(size[r], size[k]) >= percent * np.maximum(size[r], size[k]))]
+            cand = cand[~(np.abs(far[cand] - far[k]) > 1 - percent / 100 + 1e-9)]
             if len(cand):
-                cand = cand[~(known[cand] & known[k]) | ((fine[cand] == fine[k]).sum(axis=1) >= FINE_LEAST)]
+                cand = cand[~(known[cand] & known[k]) | ((fine[cand] == fine[k]).sum(axis=1) >= least)]
             if len(cand) and band:
-                cand = cand[~(regs[cand] == regs[k])[:, _BAND[:band]].all(axis=2).any(axis=1)]
+                cand = cand[~(regs[cand] == regs[k])[:, _band_plan(percent)[0][:band]].all(axis=2).any(axis=1)]
             if len(cand):
-                cand = cand[plausible((regs[k] > regs[cand]).sum(axis=1), (regs[k] < regs[cand]).sum(axis=1), np.full(len(cand), size[k]), size[cand])]
+                cand = cand[plausible((regs[k] > regs[cand]).sum(axis=1), (regs[k] < regs[cand]).sum(axis=1), np.full(len(cand), size[k]), size[cand], percent)]
                 u += [max(node[k], x) for x in node[cand]]
                 v += [min(node[k], x) for x in node[cand]]
         return pa.table([pa.array(u, out.field(0).type), pa.array(v, out.field(1).type)], schema=out)
@@ -297,8 +325,11 @@ def _rest(docs: DataFrame, members: DataFrame, component: DataFrame, nodes: Data
     return both.groupBy("key", "a", "b").applyInArrow(compare, schema).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is that one)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is that one).
+
+    Links join texts whose similarity is `percent` or more.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     marks = stored(spark, sketch(docs, "doc_id", "_text"), "sketches")
@@ -306,14 +337,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = marks.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers"))
     lost = F.col("registers").isNull()  # only where the rows with registers have a null doc_id
     nodes = stored(spark, nodes.filter(~lost), "nodes")
-    bands = _bands(nodes)
+    bands = _bands(nodes, percent)
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = stored(spark, bands.join(buckets, "key"), "members")
     stars = members.filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct()
-    tested = _verified(_likely(stars, nodes), docs, "stars")
-    links = _linked(tested)
+    tested = _verified(_likely(stars, nodes, percent), docs, "stars")
+    links = _linked(tested, percent)
     component = connected_components(links)
-    more = _linked(_verified(_rest(docs, members, component, nodes, tested), docs, "rest"))
+    more = _linked(_verified(_rest(docs, members, component, nodes, tested, percent), docs, "rest"), percent)
     if more.limit(1).count():
         component = connected_components(reduce(DataFrame.union, [links, more]))
     labels = nodes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))

@@ -16,6 +16,8 @@ from ampliqua.llm.common import stored, table
 
 #: Ids that are broadcast at most to drop rows; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Least similarity, in percent, of the texts that near_dedup links.
+NEAR_PERCENT = 80
 
 
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
@@ -32,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group."""
-    return _without(docs, setsketch.near_duplicates(docs).filter("not kept"), "copies")
+    return _without(docs, setsketch.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept"), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,3 +103,35 @@ def test_pipeline(spark):
     assert docs.filter("text rlike '[0-9]@' and text rlike '@[a-z0-9]+[.]'").count() == 0
     last = c.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and last.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_near_dedup_stage_against_brute_force(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(5)
+    texts = []
+    for n, edits in [(100, 2)] * 8 + [(49, 1)] * 8 + [(100, 3)] * 4 + [(100, 1)] * 4:  # similarities 0.81, 0.80, 0.73, 0.90
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for k in range(edits):
+                copy[10 + 20 * k + rng.randrange(5)] = f"x{rng.randrange(10**6)}"
+            texts.append(copy)
+    chain = [f"y{k}" for k in range(100)]
+    for k in range(5):  # a group that hangs together by links at 0.81 alone
+        chain = list(chain)
+        chain[10 + 16 * k] = chain[18 + 16 * k] = f"z{k}"
+        texts.append(chain)
+    rng.shuffle(texts)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    share = [(len(sets[a] & sets[b]), len(sets[a] | sets[b]), a, b) for a in range(len(sets)) for b in range(a)]
+    assert sum(80 * e <= 100 * n < 85 * e for n, e, _, _ in share) > 40
+    component = list(range(len(sets)))
+    for n, e, a, b in share:
+        if 100 * n >= 80 * e:
+            x, y = sorted((component[a], component[b]))
+            component = [x if k == y else k for k in component]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r["doc_id"] for r in c.near_dedup(spark, docs, SF).collect())
+    assert got == sorted(set(component))
