@@ -153,7 +153,7 @@ def plausible(more: np.ndarray, less: np.ndarray, n_u: np.ndarray, n_v: np.ndarr
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the words in order; null without words), n_shingles, registers (null where the same task has given this digest's)."""
+    """doc_id, digest (of the words in order; null without words), n_shingles, registers (null without an id, or where the same task has given this digest's)."""
     repo_on_workers(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("registers", T.BinaryType())])
@@ -163,19 +163,23 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, int] = {}
+            given: set[bytes] = set()
             digests, sizes, regs = [], [], []
-            for data in blobs(batch.column(1)):
+            for data, has_id in zip(blobs(batch.column(1)), batch.column(0).is_valid().to_pylist(), strict=True):
                 words = word_hashes(data)
                 key = hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None
                 digests.append(key)
-                if key is None or key in seen:
+                # a row without an id is no node: the registers go to a row with one
+                if key is None or key in given or (key in seen and not has_id):
                     sizes.append(seen.get(key, 0))
                     regs.append(None)
                     continue
                 found = shingles(words)
                 seen[key] = len(found)
                 sizes.append(len(found))
-                regs.append(registers(found).astype("<u2").tobytes())
+                regs.append(registers(found).astype("<u2").tobytes() if has_id else None)
+                if has_id:
+                    given.add(key)
             yield record_batch(out, [batch.column(0), digests, sizes, regs])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
@@ -335,8 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = stored(spark, sketch(docs, "doc_id", "_text"), "sketches")
     # registers of a digest are the same wherever they were made, so any serves
     nodes = marks.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers"))
-    lost = F.col("registers").isNull()  # only where the rows with registers have a null doc_id
-    nodes = stored(spark, nodes.filter(~lost), "nodes")
+    nodes = stored(spark, nodes, "nodes")
     bands = _bands(nodes, percent)
     buckets = bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "pivot")
     members = stored(spark, bands.join(buckets, "key"), "members")

@@ -151,6 +151,15 @@ def test_near_duplicates_against_brute_force(spark):
     assert setsketch.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_after_a_row_without_id(spark):
+    words = [f"w{k}" for k in range(100)]
+    a, near = " ".join(words), " ".join(["x", *words[1:]])
+    rows = [(None, a), (5, a), (9, a), (7, near), (None, "alone"), (3, "other")]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"]} == {5: (96, 5, True), 9: (96, 5, False), 7: (96, 5, False), 3: (1, 3, True)}
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in got if r["doc_id"] is None) == [(1, None, True), (96, None, True)]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(1)
     pool = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
