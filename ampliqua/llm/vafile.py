@@ -92,13 +92,18 @@ def search_block(best: list[list[tuple]], queries: np.ndarray, query_ids: list,
     upper = (near * step) @ cells.T + (near @ low + np.maximum(near, 0) @ step)[:, None]
     upper += 1e-9 * (np.abs(near) @ np.maximum(np.abs(low), np.abs(low + CELLS * step)))[:, None] + 1e-6
     ids, read = block["ids"], 0
+    asked, own_rows = set(query_ids), {}
+    for j, i in enumerate(ids):
+        if i in asked:
+            own_rows.setdefault(i, []).append(j)
     biggest = float(np.abs(exact).max(initial=0))
     for n in range(len(q)):
         mine, own, row = best[n], query_ids[n], upper[n]
         safe = biggest * float(np.abs(q[n]).max(initial=0)) * max(dim, 1) < 2.0**53
         floor = -mine[k - 1][0] if len(mine) == k else -np.inf
-        if len(row) > k + 1:  # k + 1 lower bounds: one may be the query's own
-            floor = max(floor, np.partition(row, len(row) - k - 1)[len(row) - k - 1] - width[n] - 2e-6 - 2e-9 * abs(float(row.max())))
+        others = np.delete(row, own_rows[own]) if own in own_rows else row  # rows of the query's id count for nothing
+        if len(others) > k:
+            floor = max(floor, np.partition(others, len(others) - k)[len(others) - k] - width[n] - 2e-6 - 2e-9 * abs(float(row.max())))
         some = np.flatnonzero(row >= floor)
         some = some[np.argsort(-row[some], kind="stable")]
         for at in range(0, len(some), STEP):

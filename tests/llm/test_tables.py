@@ -28,6 +28,14 @@ def test_exact_search_against_brute_force(spark):
     assert vafile.top_k(few, F.col("vec_id") % 50 == 0).count() == 4
 
 
+def test_exact_search_with_repeated_query_rows(spark):
+    others = [(k, [float(x)]) for k, x in enumerate((9, 8, 7, 6, 5, 4, 3, 2, 1), 1)]
+    for times in (1, 3, 8):
+        df = spark.createDataFrame([(0, [10.0])] * times + others, "vec_id long, embedding array<double>").coalesce(1)
+        got = sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") == 0, scale=1.0).collect())
+        assert got == sorted((0, k, k, 10 * (10 - k)) for k in range(1, 6) for _ in range(times))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
