@@ -3,7 +3,8 @@
 Each document's ids (and an end id) are cut into chunks where a rolling hash of the last 16 ids says so, which makes
 copied passages give the same chunks wherever they stand. A chunk is stored once, under the hash of its bytes; a
 document is a recipe: its chunks' hashes in order, and their Merkle root. Recipes are written in ascending document
-order, in parts; the manifest has for each part its first position, counts and Merkle root, and the root over all.
+order, in parts; the manifest has for each part its first position, counts and Merkle root, and the root over all. Reading
+checks the recipes against the manifest and the chunks against their addresses.
 
 Layout under the path: objects/kind=chunk (key, ids as little-endian unsigned 16- or 32-bit integers), objects/kind=recipe
 (as encoded), recipes (ordered, with positions), manifest.
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers
 
 #: Ids of a chunk: at least, at most; a cut is made where this many low bits of the rolling hash are zero.
 LEAST, MOST, CUT_BITS = 64, 4096, 9
+#: Documents whose roots make a leaf of the Merkle tree, and documents of a part (about) where the store is large.
+LEAVES, PART_DOCS = 1024, 1 << 20
 #: Pieces of text, and words of them, remembered by a worker.
 MAX_PIECES, MAX_WORDS = 300_000, 1_200_000
 #: Texts encoded together.
@@ -247,7 +250,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
                         chunks.append(key)
                         at = cut
                     rows.append(part | row)
-                    keys.append(merkle(chunks) + row.to_bytes(5, "big") + part.to_bytes(8, "big"))
+                    keys.append(row.to_bytes(5, "big") + part.to_bytes(8, "big"))
                     sizes.append(at)
                     lists.append(chunks)
                     row += 1
@@ -270,29 +273,33 @@ def _objects(spark: SparkSession, path: str, kind: str, schema: T.StructType) ->
 
 
 def _write_recipes(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Recipes in ascending document order; each part's rows carry their position in the part, and its last row the part's root."""
+    """Recipes in ascending document order, in parts; each row has its place, position and root, and a last row the part's.
+
+    Roots of LEAVES documents make a leaf's, those of a part's leaves the part's, and the parts' roots that of the store.
+    """
     recipes = _objects(spark, path, "recipe", schema).select("doc_id", "row", "n_tokens", "chunks")
-    fields = T.StructType([T.StructField("part", T.IntegerType()), *recipes.schema, T.StructField("position", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("n_docs", T.LongType())])
+    fields = T.StructType([T.StructField("part", T.IntegerType()), *recipes.schema, T.StructField("place", T.LongType()), T.StructField("position", T.LongType()), T.StructField("root", T.BinaryType()), T.StructField("n_docs", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in fields])
 
     @freed
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, position, n = TaskContext.get().partitionId(), 0, 0
-        tree: list[tuple[int, bytes]] = []  # roots of full subtrees: bounded by the height
+        leaf, leaves = [], []
         for batch in batches:
             sizes = np.array(batch.column(2).to_pylist(), np.int64)
             starts = position + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-            for chunks in batch.column(3).to_pylist():
-                node = (0, merkle(chunks))
-                while tree and tree[-1][0] == node[0]:
-                    node = (node[0] + 1, address(tree.pop()[1] + node[1]))
-                tree.append(node)
+            roots = [merkle(chunks) for chunks in batch.column(3).to_pylist()]
+            for root in roots:
+                leaf.append(root)
+                if len(leaf) == LEAVES:
+                    leaves.append(merkle(leaf))
+                    leaf = []
+            yield record_batch(out, [[part] * len(sizes), *batch.columns, n + np.arange(len(sizes)), starts, roots, pa.nulls(len(sizes), pa.int64())])
             position, n = position + int(sizes.sum()), n + len(sizes)
-            yield record_batch(out, [[part] * len(sizes), *batch.columns, starts, pa.nulls(len(sizes), pa.binary()), pa.nulls(len(sizes), pa.int64())])
         if n:
-            yield record_batch(out, [[part], pa.nulls(1, out.field(1).type), [None], [position], pa.nulls(1, out.field(4).type), [None], [merkle([h for _, h in tree])], [n]])
+            yield record_batch(out, [[part], pa.nulls(1, out.field(1).type), [None], [position], pa.nulls(1, out.field(4).type), [None], [None], [merkle([*leaves, *([merkle(leaf)] if leaf else [])])], [n]])
 
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-recipes.count() // PART_DOCS))
     recipes.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(ordered, fields).write.option("compression", "zstd").parquet(f"{path}/recipes")
     ends = spark.read.schema(fields).parquet(f"{path}/recipes").filter("n_docs is not null").orderBy("part").select("part", "n_docs", "n_tokens", "root").collect()  # one row a part
     rows, start = [], 0
@@ -304,14 +311,59 @@ def _write_recipes(spark: SparkSession, path: str, schema: T.StructType) -> None
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Recipes with their start, chunks, and the manifest."""
+    """Recipes, chunks, and the manifest."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    recipes = spark.read.parquet(f"{path}/recipes").filter("n_docs is null")
-    starts = {r["part"]: r["start"] for r in manifest.filter("part >= 0").select("part", "start").collect()}  # one row a part
-    begin = F.element_at(F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)), F.col("part")) if starts else F.lit(0).cast("long")
-    whole = spark.read.parquet(f"{path}/objects") if starts else None
-    chunks = (whole.filter("kind = 'chunk'").select("key", "ids", "n_tokens") if starts else spark.createDataFrame([], "key binary, ids binary, n_tokens long"))
-    return recipes.withColumn("start", begin + F.col("position")).drop("position", "root", "n_docs"), chunks, manifest
+    recipes = spark.read.parquet(f"{path}/recipes").filter("n_docs is null").drop("n_docs")
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("key", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    return recipes, _objects(spark, path, "chunk", schema), manifest
+
+
+def _with_start(recipes: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Recipes with the ids of all documents before each: a part's start (a row a part, so broadcast) and the position in it."""
+    starts = manifest.select("part", F.col("start").alias("_start"))
+    return recipes.join(F.broadcast(starts), "part").withColumn("start", F.col("_start") + F.col("position")).drop("_start")
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises ValueError unless the recipes give every document's, leaf's and part's root, and these the manifest's."""
+    repo_on_workers(spark)
+    recipes, _, manifest = _read(spark, path)
+    table = {r["part"]: (bytes(r["root"]), r["start"], r["n_docs"], r["n_tokens"]) for r in manifest.collect()}  # one row a part
+    kind = pa.schema([("part", pa.int32()), ("leaf", pa.int64()), ("place", pa.int64()), ("root", pa.binary()), ("n_tokens", pa.int64())])
+
+    @freed
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            roots = [merkle(chunks) for chunks in batch.column(2).to_pylist()]
+            if roots != batch.column(3).to_pylist():
+                raise ValueError("a recipe doesn't match its root")
+            place = np.array(batch.column(1).to_pylist(), np.int64)
+            yield record_batch(kind, [batch.column(0), place // LEAVES, place, roots, batch.column(4)])
+
+    def level(key: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        made = pa.schema([("part", pa.int32()), (key, pa.int64()), ("root", pa.binary()), ("n", pa.int64()), ("n_tokens", pa.int64())])
+
+        @freed
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield record_batch(made, [batch.column(0), batch.column(1), [merkle([r["root"] for r in rows]) for rows in batch.column(2).to_pylist()], batch.column(3), batch.column(4)])
+
+        return run
+
+    each = recipes.select("part", "place", "chunks", "root", "n_tokens").mapInArrow(documents, "part int, leaf long, place long, root binary, n_tokens long")
+    ordered = lambda c: F.array_sort(F.collect_list(F.struct(c, "root"))).alias("rows")  # noqa: E731  at most LEAVES, or a part's leaves
+    leaves = each.groupBy("part", "leaf").agg(ordered("place"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("n_tokens")).mapInArrow(level("leaf"), "part int, leaf long, root binary, n long, n_tokens long")
+    parts = leaves.groupBy("part").agg(F.lit(0).cast("long").alias("all"), ordered("leaf"), F.sum("n").alias("n"), F.sum("n_tokens").alias("n_tokens")).mapInArrow(level("all"), "part int, all long, root binary, n long, n_tokens long")
+    found = {r["part"]: (bytes(r["root"]), r["n"], r["n_tokens"]) for r in parts.collect()}  # one row a part
+    start, roots = 0, []
+    for part in sorted(k for k in table if k >= 0):
+        root, at, n, size = table[part]
+        if found.pop(part, None) != (root, n, size) or at != start:
+            raise ValueError("a part of the recipes doesn't match the manifest")
+        start += size
+        roots.append(root)
+    if found or table[-1][0] != merkle(roots) or table[-1][3] != start:
+        raise ValueError("the manifest doesn't match its root")
 
 
 def crc_join(a: int, b: int, length: int) -> int:
@@ -347,13 +399,14 @@ def _shift(length: int) -> int:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files, whose manifest is checked first.
 
     Each stored chunk is checked against its address and its crc32 taken once; a document's crc32 is put together from
     its chunks' in the order of its recipe, so no ids are moved.
     """
-    repo_on_workers(spark)
-    recipes, chunks, _ = _read(spark, path)
+    check_manifest(spark, path)
+    recipes, chunks, manifest = _read(spark, path)
+    recipes = _with_start(recipes, manifest)
 
     @freed
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,8 +446,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start and ids (array of int) of every document, put together from the stored chunks."""
-    repo_on_workers(spark)
-    recipes, chunks, _ = _read(spark, path)
+    check_manifest(spark, path)
+    recipes, chunks, manifest = _read(spark, path)
+    recipes = _with_start(recipes, manifest)
     each = recipes.select("row", F.posexplode("chunks").alias("k", "key")).join(chunks, "key")
     parts = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids", "n_tokens"))).alias("parts"))
 
@@ -408,30 +462,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, path: str) -> bool:
-    """Whether every chunk matches its address, every recipe's chunks are there, and the parts' Merkle roots give the manifest's."""
+    """Whether the recipes match the manifest, every chunk its address, and every recipe's chunks are there."""
     from pyspark.errors import PySparkException
 
-    recipes, _, manifest = _read(spark, path)
     try:
         read_digests(spark, path).write.format("noop").mode("overwrite").save()
-    except PySparkException:
+    except (PySparkException, ValueError):
         return False
-
-    def roots(key: tuple, rows: pa.Table) -> pa.Table:
-        tree: list[tuple[int, bytes]] = []
-        order = sorted(zip(rows.column("position").to_pylist(), rows.column("row").to_pylist(), rows.column("chunks").to_pylist(), strict=True), key=lambda x: x[:2])
-        for _, _, chunks in order:
-            node = (0, merkle(chunks))
-            while tree and tree[-1][0] == node[0]:
-                node = (node[0] + 1, address(tree.pop()[1] + node[1]))
-            tree.append(node)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "found": pa.array([merkle([h for _, h in tree])], pa.binary())})
-
-    ordered = spark.read.parquet(f"{path}/recipes").filter("n_docs is null")
-    found = ordered.groupBy("part").applyInArrow(roots, "part int, found binary")
-    bad = manifest.filter("part >= 0").join(found, "part", "full").filter("root is null or found is null or root <> found").count()
-    parts = [bytes(r["root"]) for r in manifest.filter("part >= 0").orderBy("part").select("root").collect()]
-    return not bad and merkle(parts) == bytes(manifest.filter("part = -1").first()["root"])
+    return True
 
 
 def store_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore
@@ -77,6 +79,41 @@ def test_token_store_round_trip(spark, tmp_path):
     assert tokenstore.read_digests(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_store_damage_is_found(spark, tmp_path):
+    path, kept = public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/kept"
+    tokenstore.write_store(docs(spark, [*TEXTS, *(f"text {k} " * 50 for k in range(40))]), path, kept)
+    assert tokenstore.verify(spark, kept)
+
+    def damaged(folder, change):
+        at = f"{tmp_path}/{folder.replace('/', '-')}-{change.__name__}"
+        shutil.copytree(kept, at)
+        rows = change(spark.read.parquet(f"{kept}/{folder}"))
+        shutil.rmtree(f"{at}/{folder}")
+        rows.write.parquet(f"{at}/{folder}")
+        return not tokenstore.verify(spark, at)
+
+    def bit(df):
+        return df.withColumn("ids", F.when(F.col("n_tokens") > 50, F.concat(F.substring("ids", 1, 10), F.lit(b"\x01\x02"), F.expr("substring(ids, 13)"))).otherwise(F.col("ids")))
+
+    def chunk_gone(df):
+        return df.filter("n_tokens < 50")
+
+    def swapped(df):
+        return df.withColumn("chunks", F.when(F.col("place") == 4, F.concat("chunks", "chunks")).otherwise(F.col("chunks")))
+
+    def forged(df):  # a row put in the place of another, with its own right root
+        return df.withColumn("place", F.when(F.col("place") < 2, 1 - F.col("place")).otherwise(F.col("place")))
+
+    def dropped(df):
+        return df.filter("n_docs is not null or place <> 1")
+
+    def moved(df):
+        return df.withColumn("start", F.col("start") + 1)
+
+    for folder, change in [("objects/kind=chunk", bit), ("objects/kind=chunk", chunk_gone), ("recipes", swapped), ("recipes", forged), ("recipes", dropped), ("manifest", moved)]:
+        assert damaged(folder, change), change.__name__
+
+
 def test_crc_of_parts():
     a, b = b"some bytes", bytes(range(200))
     assert tokenstore.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
