@@ -16,8 +16,8 @@ their own; no documents give an empty store; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,16 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, scratch, texts
+from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers, scratch
+from ampliqua.llm.wordtable import SHORT, Arena, WordTable, gather
 
 #: Ids of a chunk: at least, at most; a cut is made where this many low bits of the rolling hash are zero.
 LEAST, MOST, CUT_BITS = 64, 4096, 9
 #: Documents whose roots make a leaf of the Merkle tree, and documents of a part (about) where the store is large.
 LEAVES, PART_DOCS = 1024, 1 << 20
-#: Pieces of text, and words of them, remembered by a worker.
-MAX_PIECES, MAX_WORDS = 300_000, 1_200_000
-#: Texts encoded together.
-BLOCK = 64
+#: Different words remembered by a worker, and bytes of text that are looked up together.
+MAX_WORDS, BLOCK_BYTES = 1_000_000, 1 << 19
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) | np.uint64(1)
 
@@ -80,143 +79,164 @@ def cut_points(n: int, marks: list[int]) -> list[int]:
     return [*ends, n] if n else []
 
 
-def chunk_ends(texts: list[np.ndarray]) -> list[list[int]]:
-    """Of several texts' ids, each text's cut points."""
-    whole = np.concatenate(texts) if texts else np.zeros(0, np.uint16)
-    stops = np.cumsum([len(t) for t in texts])
-    marks = cut_marks(whole)
-    first = np.searchsorted(marks, stops, "right").tolist()
+def chunk_ends(ids: np.ndarray, stops: np.ndarray) -> list[list[int]]:
+    """Of texts whose ids stand together and end at these stops: each text's cut points."""
+    marks = cut_marks(ids)
     out, begin, low = [], 0, 0
-    for stop, high in zip(stops.tolist(), first, strict=True):
+    for stop, high in zip(stops.tolist(), np.searchsorted(marks, stops, "right").tolist(), strict=True):
         out.append(cut_points(stop - begin, (marks[low:high] - begin).tolist()))
         begin, low = stop, high
     return out
 
 
-#: White space to Python, not to the library.
-_ODD = "\x1c\x1d\x1e\x1f"
-_ENDS = ".,;:!?"
+_SPACE, _PUNCTUATION, _ALNUM, _ZERO = 1, 2, 4, 8
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"\t\n\x0b\x0c\r ")] = _SPACE
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = _PUNCTUATION
+_KIND[[c for c in range(33, 127) if chr(c).isalnum()]] = _ALNUM
+_KIND[0] = _ZERO
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_SPACES = b"\t\n\x0b\x0c\r "
 
 
 class Encoder:
-    """Encodes with the library, each different piece once: white space and what follows it is encoded alike anywhere."""
+    """Encodes with the library, each different unit once.
 
-    _piece = re.compile(r"\s*\S+|\s+")
-    # after a run of letters, a character that is none always starts a new piece of the library's
-    _word = re.compile(r"(\s*[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\[-`{-~].*)", re.DOTALL)
+    A unit begins where white space begins and where ASCII punctuation follows an ASCII letter or digit: there the
+    byte-level pre-tokenizer always begins a piece, so a unit is encoded alike anywhere. A zero byte stands before a text
+    that doesn't begin with white space, and after each text, where it becomes the end id. Texts with zero bytes, special
+    tokens or white space beyond ASCII go to the library as they are, and so does everything if the tokenizer is of another
+    kind.
+    """
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, end_id: int = 0) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        self.code = "H" if self.library.get_vocab_size() <= 1 << 16 else "I"
-        self.size = array(self.code).itemsize
-        self.widths = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each token: byte-level names have a letter a byte
+        rules = json.loads(spec)
+        split = rules["pre_tokenizer"] or {}
+        self.by_unit = rules["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and rules["model"]["type"] == "BPE" and not rules["model"]["dropout"]
+        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
+        self.dtype = np.dtype("<u2" if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.widths = np.zeros(1 + max(self.library.get_vocab().values()), np.int64)  # bytes of each token: byte-level names have a letter a byte
         for name, k in self.library.get_vocab(with_added_tokens=False).items():
             self.widths[k] = len(name)
-        self.line_break = array(self.code, self.library.encode("\n", add_special_tokens=False).ids).tobytes()
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.marks = {c: array(self.code, self.library.encode(c, add_special_tokens=False).ids).tobytes() for c in _ENDS}
-        self.after_space: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of each piece."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        parts = {p: m.groups() if (m := self._word.fullmatch(p)) else (p,) for p in pieces}
-        words = {w for ws in parts.values() for w in ws}.difference(self.words)
-        # what begins with white space and ends without can be encoded in one go: the ids' byte lengths tell the words apart
-        joint = [w for w in words if w[0].isspace() and not w[-1].isspace()]
-        if joint:
-            ids = np.array(self.library.encode_batch_fast(["".join(joint)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(w.encode()) for w in joint])) + 1
-            data, size, at = ids.astype(f"<u{self.size}").tobytes(), self.size, 0
-            for w, end in zip(joint, (ends * size).tolist(), strict=True):
-                self.words[w] = data[at:end]
-                at = end
-        rest = [w for w in words if w not in self.words]
-        for w, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.words[w] = array(self.code, e.ids).tobytes()
-        return {p: self.words[ws[0]] if len(ws) == 1 else self.words[ws[0]] + self.words[ws[1]] for p, ws in parts.items()}
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text, packed."""
-        if any(c in text for c in _ODD) or (self.special and self.special.search(text)):
-            return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
-        parts = self._piece.findall(text)
-        try:
-            return b"".join([self.pieces[p] for p in parts])
-        except KeyError:
-            if len(self.pieces) > MAX_PIECES:
-                self.pieces.clear()
-            self.pieces |= self._learn(set(parts).difference(self.pieces))
-            return b"".join([self.pieces[p] for p in parts])
-
-    def encode_block(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text, packed.
-
-        Most texts have just one space or line break between words: a line's first word stands after a line break, which is
-        a piece of its own, the others after a space. The new words of all these texts are learned at once.
-        """
-        simple: list[list[list[str]] | None] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for text in texts:
-            lines = [line.split(" ") for line in text.split("\n")]
-            if sum(map(len, lines)) != len(text.split()) or any("" in ws for ws in lines) or any(c in text for c in _ODD) or (self.special and self.special.search(text)):
-                simple.append(None)
-                continue
-            for ws in lines:
-                heads.add(ws[0])
-                tails.update(ws)  # a first word is likely to stand elsewhere too
-            simple.append(lines)
-        if len(self.tails) > MAX_PIECES:
-            self.tails.clear()
-            self.heads.clear()
-        if heads := heads.difference(self.heads):
-            self.heads |= self._learn(heads)
-        if tails := tails.difference(self.tails):
-            self._learn_tails(tails)
-        head, tail, join = self.heads, self.tails, self.line_break.join
-        return [self.encode(t) if ls is None else join([b"".join([head[ws[0]], *[tail[w] for w in ws[1:]]]) for ws in ls]) for t, ls in zip(texts, simple, strict=True)]
-
-    def _learn_tails(self, tails: set[str]) -> None:
-        """Ids of words after a space: all new ones are encoded as one text, and told apart by their ids' byte lengths."""
-        if len(self.after_space) > MAX_WORDS:
-            self.after_space.clear()
-        known, size = self.after_space, self.size
-        # after a letter, punctuation always starts a new piece of the library's
-        cores = {w: w[:-1] if w[-1] in _ENDS and len(w) > 1 and w[-2] <= "ɏ" and w[-2].isalpha() else w for w in tails}
-        new = list(set(cores.values()).difference(known))
-        if new:
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(w.encode()) + 1 for w in new])) + 1
-            data, at = ids.astype(f"<u{size}").tobytes(), 0
-            for w, end in zip(new, (ends * size).tolist(), strict=True):
-                known[w] = data[at:end]
-                at = end
-        marks = self.marks
-        self.tails |= {w: known[c] if w is c else known[c] + marks[w[-1]] for w, c in cores.items()}
-
-
-_made: dict[str, Encoder] = {}
-
-
-def encoder(spec: str) -> Encoder:
+        self.end = np.array([end_id], self.dtype)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.ids = WordTable(), Arena(self.dtype)
+        self.at, self.size = Arena(np.int64), Arena(np.int32)
+
+    def whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of whole texts, by the library alone."""
+        return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, units: list[bytes]) -> None:
+        """Encodes units as one text, with something before those that would not begin a piece there."""
+        alone = [k for k, u in enumerate(units) if u[-1] == 0]
+        before = [b"" if u[0] in _SPACES else b"\n" if u[0] == 0 else b" a" for u in units]
+        cores = [b"" if u[-1] == 0 else u[1:] if u[0] == 0 else u for u in units]
+        if alone:
+            before = [b"" if u[-1] == 0 else x for x, u in zip(before, units, strict=True)]
+        ids = self.whole([b"".join([x for pair in zip(before, cores, strict=True) for x in pair])])[0]
+        width = np.cumsum(self.widths[ids])
+        sizes = np.array([list(map(len, before)), list(map(len, cores))], np.int64)
+        stop = np.cumsum(sizes.sum(axis=0))
+        low, high = np.searchsorted(width, stop - sizes[1], "right"), np.searchsorted(width, stop, "right")
+        at = self.ids.extend(ids) + low
+        size = high - low
+        for k, own in zip(alone, self.whole([units[k][:-1] for k in alone]), strict=True):  # white space at a text's end, then the end
+            at[k], size[k] = self.ids.extend(np.concatenate([own, self.end])), len(own) + 1
+        self.at.extend(at)
+        self.size.extend(size)
+
+    def _block(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts or parts of them, put together, and where each part's ids end."""
+        raw = b"".join(parts)
+        data, stops = np.frombuffer(raw + bytes(SHORT), np.uint8), np.cumsum(list(map(len, parts)))
+        kind = _KIND[data[: len(raw)]]
+        begins = np.ones(len(raw), bool)
+        left, right = kind[:-1], kind[1:]
+        begins[1:] = ((right & (_SPACE | _ZERO)) != 0) & ((left & _SPACE) == 0) | (((right & _PUNCTUATION) != 0) & ((left & _ALNUM) != 0))
+        begins[stops[:-1]] = True
+        start = np.flatnonzero(begins)
+        if self.table.n > MAX_WORDS:
+            self._forget()
+        unit = self.table.lookup(raw, data, start, np.diff(start, append=len(raw)), self._learn)
+        size = self.size.data[unit]
+        ends = np.cumsum(size, dtype=np.int64)
+        return gather(self.ids.data, self.at.data[unit], size), ends[np.searchsorted(start, stops) - 1]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts with their end ids, put together, and where each text's ids end."""
+        counts, out, odd = np.zeros(len(texts), np.int64), [], {}
+        block: list[bytes] = []
+        owner: list[int] = []
+        filled = 0
+
+        def flush() -> None:
+            nonlocal filled
+            if not block:
+                return
+            ids, ends = self._block(block)
+            np.add.at(counts, owner, np.diff(ends, prepend=0))
+            done = 0
+            for k, end in zip(owner, ends.tolist(), strict=True):
+                if k in odd:  # its only unit here is the end
+                    own = odd.pop(k)
+                    out.extend([ids[done : end - 1], own])
+                    counts[k] += len(own)
+                    done = end - 1
+            out.append(ids[done:])
+            block.clear()
+            owner.clear()
+            filled = 0
+
+        for k, text in enumerate(texts):
+            if not self.by_unit or b"\0" in text or any(s in text for s in self.special) or not (text.isascii() or _WIDE_SPACE.search(text) is None):
+                odd[k] = self.whole([text])[0]
+                text = b""
+            parts = _parts(text if not text or text[0] in _SPACES else b"\0" + text)
+            parts[-1] += b"\0"
+            for part in parts:
+                block.append(part)
+                owner.append(k)
+                filled += len(part)
+                if filled >= BLOCK_BYTES:
+                    flush()
+        flush()
+        return np.concatenate(out) if out else np.zeros(0, self.dtype), np.cumsum(counts)
+
+
+def _parts(text: bytes) -> list[bytes]:
+    """The text, or parts of a very long one: each but the first begins where white space begins."""
+    out, at = [], 0
+    while len(text) - at > BLOCK_BYTES:
+        cut = text.find(b" ", at + BLOCK_BYTES // 2)
+        while cut > at and text[cut - 1] in _SPACES:
+            cut -= 1
+        if cut <= at:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+_made: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder(spec: str, end_id: int = 0) -> Encoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # executors run one task a core already
-    key = hashlib.sha256(spec.encode()).hexdigest()
+    key = (hashlib.sha256(spec.encode()).hexdigest(), end_id)
     if key not in _made:
         _made.clear()
-        _made[key] = Encoder(spec)
+        _made[key] = Encoder(spec, end_id)
     return _made[key]
 
 
@@ -232,31 +252,29 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
 
     @freed
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(spec.value)
-        end, code, width = array(enc.code, [end_id]).tobytes(), np.dtype("<u2" if enc.code == "H" else "<u4"), array(enc.code).itemsize
+        enc = encoder(spec.value, end_id)
+        width = enc.dtype.itemsize
         part, row = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             own: dict[bytes, bytes] = {}  # a batch's copies are sent on once
-            keys, rows, sizes, lists = [], [], [], []
-            values = texts(batch.column(1))
-            for k in range(0, len(values), BLOCK):
-                block = [d + end for d in enc.encode_block(values[k : k + BLOCK])]
-                for data, cuts in zip(block, chunk_ends([np.frombuffer(d, code) for d in block]), strict=True):
-                    at, chunks = 0, []
-                    for cut in cuts:
-                        piece = data[at * width : cut * width]
-                        key = address(piece)
-                        own.setdefault(key, piece)
-                        chunks.append(key)
-                        at = cut
-                    rows.append(part | row)
-                    keys.append(row.to_bytes(5, "big") + part.to_bytes(8, "big"))
-                    sizes.append(at)
-                    lists.append(chunks)
-                    row += 1
+            keys, lists = [], []
+            ids, stops = enc.encode(blobs(batch.column(1)))
+            data, at = ids.tobytes(), 0
+            rows = part | (row + np.arange(len(stops)))
+            for cuts, stop in zip(chunk_ends(ids, stops), stops.tolist(), strict=True):
+                chunks, begin = [], at
+                for cut in cuts:
+                    piece = data[at * width : (begin + cut) * width]
+                    key = address(piece)
+                    own.setdefault(key, piece)
+                    chunks.append(key)
+                    at = begin + cut
+                keys.append(row.to_bytes(5, "big") + part.to_bytes(8, "big"))
+                lists.append(chunks)
+                row += 1
             n, m = len(own), len(rows)
             yield record_batch(out, [["chunk"] * n, list(own), list(own.values()), pa.nulls(n, out.field(3).type), pa.nulls(n, pa.int64()), [len(x) // width for x in own.values()], pa.nulls(n, out.field(6).type)])
-            yield record_batch(out, [["recipe"] * m, keys, pa.nulls(m, pa.binary()), batch.column(0), rows, sizes, lists])
+            yield record_batch(out, [["recipe"] * m, keys, pa.nulls(m, pa.binary()), batch.column(0), rows, np.diff(stops, prepend=0), lists])
 
     made = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(objects, schema)
     made.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore
+from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, wordtable
 
 TEXTS = [
     None,
@@ -79,6 +79,33 @@ def test_token_store_round_trip(spark, tmp_path):
     assert tokenstore.read_digests(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_token_store_encoder_on_random_texts():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = tokenstore.Encoder(f.read(), 7)
+    rng = random.Random(8)
+    parts = ["a", "b", "the", *"  \n\t.,-_é9", "  ", "\r\n", "'s", "É", "日本", "\xa0", "\u3000", "\x1c", "\0", "<|endoftext|>", "12", "!!", "😀", "\x85", "averyveryverylongword", "ñ" * 20]
+    for _ in range(150):
+        block = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(10)]
+        ids, stops = own.encode([t.encode() for t in block])
+        for t, got in zip(block, np.split(ids, stops[:-1]), strict=True):
+            assert got.tolist() == [*own.library.encode(t, add_special_tokens=False).ids, 7], t
+    long = " ".join(f"w{k % 5000}  x\n" for k in range(150_000))  # cut into parts
+    ids, stops = own.encode([long.encode(), b""])
+    assert ids.tolist() == [*own.library.encode(long, add_special_tokens=False).ids, 7, 7] and stops[1] == stops[0] + 1
+
+
+def test_word_table_grows_and_finds():
+    rng = random.Random(9)
+    table, keys = wordtable.WordTable(room=8), []
+    for _ in range(20):
+        words = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 20))) for _ in range(200)]
+        raw = b"".join(words)
+        size = np.array(list(map(len, words)))
+        got = table.lookup(raw, np.frombuffer(raw + bytes(wordtable.SHORT), np.uint8), np.cumsum(size) - size, size, keys.extend)
+        assert [keys[k] for k in got] == words
+    assert len(set(keys)) == len(keys) == table.n
+
+
 def test_token_store_damage_is_found(spark, tmp_path):
     path, kept = public_tokenizers.path("byte_bpe_50k.json"), f"{tmp_path}/kept"
     tokenstore.write_store(docs(spark, [*TEXTS, *(f"text {k} " * 50 for k in range(40))]), path, kept)
