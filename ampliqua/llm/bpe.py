@@ -5,7 +5,9 @@ states, so the distinct words of a block of texts form a trie (sorted, their ord
 node's last token is found once from its ancestors': it is the one vocabulary token that ends there and may follow the
 last token before it. Walking back from a word's end gives its ids.
 
-It is a single pass without a shuffle; blocks and caches are bounded, so memory does not follow the input.
+Texts are cut into units (at white space, and where ASCII punctuation follows an ASCII letter or digit: words always end
+there). A worker numbers the units of a block in a hash table and only new ones reach the trie. It is a single pass
+without a shuffle; blocks and tables are bounded, so memory does not follow the input.
 
 Defined results: a null or empty text has no ids and decodes to ''; repeated rows each get a row; extra columns are
 ignored.
@@ -15,9 +17,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, texts
+from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers
+from ampliqua.llm.wordtable import SHORT, Arena, WordTable, gather, in_blocks
 
-#: Different pieces of text remembered by a worker, compatible pairs of tokens remembered, and characters of a block.
-MAX_PIECES, MAX_PAIRS, BLOCK_CHARS = 80_000, 300_000, 3_000_000
+#: Different units of text and compatible pairs of tokens remembered by a worker, and bytes of a block.
+MAX_UNITS, MAX_PAIRS, BLOCK_BYTES = 600_000, 600_000, 1 << 19
 
 #: Characters for which lower-casing, NFC and the classes L, N and white space are the same everywhere.
 _PLAIN = re.compile("[^\t\n\r -~\xa1-ɏ]")
+_SPACE, _PUNCTUATION, _ALNUM = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"\t\n\r ")] = _SPACE
+_KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = _PUNCTUATION
+_KIND[[c for c in range(33, 127) if chr(c).isalnum()]] = _ALNUM
 
 
 def byte_letters() -> dict[int, str]:
@@ -78,7 +86,15 @@ class TrieBpe:
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         split = next(x["pattern"]["Regex"] for x in data["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.word = regex.compile(split)
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.id_of = np.array(self.ids, np.uint32)
+        shown = [t.encode() + b" " for t in names]
+        self.shown, self.shown_size = np.frombuffer(b"".join(shown), np.uint8), np.array(list(map(len, shown)), np.int64)
+        self.shown_at = np.cumsum(self.shown_size) - self.shown_size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.table, self.numbers = WordTable(), Arena(np.int32)
+        self.at, self.size = Arena(np.int64), Arena(np.int64)
 
     @functools.cached_property
     def library(self):
@@ -147,43 +163,82 @@ class TrieBpe:
             out[word], before = found, word
         return out
 
-    def _words(self, piece: str) -> list[str]:
-        """Byte letters of the words of a piece of plain characters without white space."""
-        return [w.encode().decode("latin-1").translate(self.letters) for w in self.word.findall(piece.lower())]
+    def _words(self, unit: str) -> list[str]:
+        """Byte letters of the words of a unit."""
+        if _PLAIN.search(unit):
+            return self._library_words(unit)
+        low = unit.lower()
+        words = [low] if low.isalpha() else self.word.findall(low)
+        return words if unit.isascii() else [w.encode().decode("latin-1").translate(self.letters) for w in words]
 
     def _library_words(self, text: str) -> list[str]:
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
-    def _learn(self, pieces: dict[str, list[str]]) -> None:
-        known = self.encode_words({w for ws in pieces.values() for w in ws})
-        ids, names = self.ids, self.names
-        for piece, ws in pieces.items():
-            tokens = known[ws[0]] if len(ws) == 1 else [t for w in ws for t in known[w]]
-            self.pieces[piece] = (array("I", [ids[t] for t in tokens]).tobytes(), " ".join([names[t] for t in tokens]).encode())
-
-    def _parts(self, text: str) -> tuple[list[str], bool]:
-        """Pieces of a text, and whether they are plain: else they are special tokens and what stands between them."""
-        if _PLAIN.search(text) is None and not (self.special and "<|" in text and self.special.search(text)):
-            return text.split(), True
-        return [p for p in (self.special.split(text) if self.special else [text]) if p], False
-
-    def encode_block(self, block: list[str]) -> Iterator[tuple[bytes, bytes]]:
+    def _learn(self, units: list[bytes]) -> None:
+        """Token numbers of new units."""
+        words = [self._words(u.decode()) for u in units]
+        known = self.encode_words({w for ws in words for w in ws})
+        found = [known[ws[0]] if len(ws) == 1 else [t for w in ws for t in known[w]] for ws in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        at = self.numbers.extend(np.fromiter(itertools.chain.from_iterable(found), np.int32, int(size.sum())))
+        self.at.extend(at + np.cumsum(size) - size)
+        self.size.extend(size)
+
+    def _block(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers of texts or parts of them, put together, and where each part's end."""
+        raw = b"".join(parts)
+        if not raw:
+            return np.zeros(0, np.int32), np.zeros(len(parts), np.int64)
+        data, stops = np.frombuffer(raw + bytes(SHORT), np.uint8), np.cumsum(list(map(len, parts)))
+        kind = _KIND[data[: len(raw)]]
+        left, solid = kind[:-1], (kind & _SPACE) == 0
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1] | (((kind[1:] & _PUNCTUATION) != 0) & ((left & _ALNUM) != 0))
+        edges = stops[stops < len(raw)]
+        begins[edges] = solid[edges]
+        ends = solid.copy()
+        ends[:-1] &= ~solid[1:] | begins[1:]
+        start = np.flatnonzero(begins)
+        if self.table.n > MAX_UNITS:
+            self._forget()
+        unit = self.table.lookup(raw, data, start, np.flatnonzero(ends) + 1 - start, self._learn)
+        size = self.size.data[unit]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return gather(self.numbers.data, self.at.data[unit], size), total[np.searchsorted(start, stops)]
+
+    def _odd(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and decoded text of a text with special tokens or zero characters."""
+        ids, names = [], []
+        for part in self.special.split(text) if self.special else [text]:
+            if self.special and self.special.fullmatch(part):
+                ids.append(self.library.token_to_id(part))
+                names.append(part)
+                continue
+            words = self._library_words(part)
+            known = self.encode_words(set(words))
+            ids += [self.ids[t] for w in words for t in known[w]]
+            names += [self.names[t] for w in words for t in known[w]]
+        return np.array(ids, "<u4").tobytes(), " ".join(names).encode()
+
+    def encode_block(self, texts: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """For each text: its ids as little-endian unsigned 32-bit integers, and its decoded text."""
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        plain, odd = set(), set()
-        for text in block:
-            parts, is_plain = self._parts(text)
-            (plain if is_plain else odd).update(parts)
-        new = {p: self._words(p) for p in plain.difference(self.pieces)}
-        special = {p for p in odd if self.special and self.special.fullmatch(p)}
-        new |= {p: self._library_words(p) for p in odd - special if p not in new and p not in self.pieces}
-        self._learn(new)
-        for p in special:
-            self.pieces[p] = (array("I", [self.library.token_to_id(p)]).tobytes(), p.encode())
-        for text in block:
-            found = [self.pieces[p] for p in self._parts(text)[0]]
-            yield b"".join([x[0] for x in found]), b" ".join([x[1] for x in found if x[1]])
+        odd = {k for k, t in enumerate(texts) if b"\0" in t or (self.special and b"<|" in t and self.special.search(t.decode()))}
+        ids, names, now = [], [], 0
+        for block, owner in in_blocks((b"" if k in odd else t for k, t in enumerate(texts)), BLOCK_BYTES):
+            numbers, stops = self._block(block)
+            every_id = self.id_of[numbers].astype("<u4").tobytes()
+            size = self.shown_size[numbers]
+            every_name = gather(self.shown, self.shown_at[numbers], size).tobytes()
+            stops = np.concatenate([[0], stops])
+            reach = np.concatenate([[0], np.cumsum(size)])[stops].tolist()
+            for k, a, b, c, d in zip(owner, stops[:-1].tolist(), stops[1:].tolist(), reach[:-1], reach[1:], strict=True):
+                if k != now:
+                    yield self._odd(texts[now].decode()) if now in odd else (b"".join(ids), b"".join(names)[:-1])
+                    ids, names, now = [], [], k
+                ids.append(every_id[4 * a : 4 * b])
+                names.append(every_name[c:d])
+        if texts:
+            yield self._odd(texts[now].decode()) if now in odd else (b"".join(ids), b"".join(names)[:-1])
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens' names, parted by spaces; unknown ids are left out."""
@@ -202,17 +257,6 @@ def tokenizer(spec: str) -> TrieBpe:
     return _made[key]
 
 
-def _blocks(values: list[str]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for k, v in enumerate(values):
-        size += len(v)
-        if size >= BLOCK_CHARS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(values):
-        yield start, len(values)
-
-
 def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.StructField], make) -> DataFrame:
     spark = docs.sparkSession
     repo_on_workers(spark)
@@ -225,11 +269,8 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, fields: list[T.
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(spec.value)
         for batch in batches:
-            values = texts(batch.column(1))
-            for a, b in _blocks(values):
-                made = [make(i, d) for i, d in bpe.encode_block(values[a:b])]
-                yield record_batch(out, [batch.column(0).slice(a, b - a), *([m[k] for m in made] for k in range(len(fields)))])
-        _made.clear()  # workers outlive their tasks
+            made = [make(i, d) for i, d in bpe.encode_block(blobs(batch.column(1)))]
+            yield record_batch(out, [batch.column(0), *([m[k] for m in made] for k in range(len(fields)))])
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(rows, schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ampliqua.llm.common import arrow_type, blobs, freed, record_batch, repo_on_workers, scratch
-from ampliqua.llm.wordtable import SHORT, Arena, WordTable, gather
+from ampliqua.llm.wordtable import SHORT, Arena, WordTable, gather, in_blocks
 
 #: Ids of a chunk: at least, at most; a cut is made where this many low bits of the rolling hash are zero.
 LEAST, MOST, CUT_BITS = 64, 4096, 9
@@ -173,59 +173,23 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts with their end ids, put together, and where each text's ids end."""
-        counts, out, odd = np.zeros(len(texts), np.int64), [], {}
-        block: list[bytes] = []
-        owner: list[int] = []
-        filled = 0
-
-        def flush() -> None:
-            nonlocal filled
-            if not block:
-                return
+        counts, out = np.zeros(len(texts), np.int64), []
+        odd = {k: None for k, t in enumerate(texts) if not self.by_unit or b"\0" in t or any(s in t for s in self.special) or not (t.isascii() or _WIDE_SPACE.search(t) is None)}
+        odd = dict(zip(odd, self.whole([texts[k] for k in odd]), strict=True))
+        marked = (b"\0" if k in odd or not t else t + b"\0" if t[0] in _SPACES else b"\0" + t + b"\0" for k, t in enumerate(texts))
+        for block, owner in in_blocks(marked, BLOCK_BYTES):
             ids, ends = self._block(block)
             np.add.at(counts, owner, np.diff(ends, prepend=0))
             done = 0
             for k, end in zip(owner, ends.tolist(), strict=True):
                 if k in odd:  # its only unit here is the end
-                    own = odd.pop(k)
-                    out.extend([ids[done : end - 1], own])
-                    counts[k] += len(own)
+                    out += [ids[done : end - 1], odd[k]]
+                    counts[k] += len(odd[k])
                     done = end - 1
             out.append(ids[done:])
-            block.clear()
-            owner.clear()
-            filled = 0
-
-        for k, text in enumerate(texts):
-            if not self.by_unit or b"\0" in text or any(s in text for s in self.special) or not (text.isascii() or _WIDE_SPACE.search(text) is None):
-                odd[k] = self.whole([text])[0]
-                text = b""
-            parts = _parts(text if not text or text[0] in _SPACES else b"\0" + text)
-            parts[-1] += b"\0"
-            for part in parts:
-                block.append(part)
-                owner.append(k)
-                filled += len(part)
-                if filled >= BLOCK_BYTES:
-                    flush()
-        flush()
         return np.concatenate(out) if out else np.zeros(0, self.dtype), np.cumsum(counts)
 
 
-def _parts(text: bytes) -> list[bytes]:
-    """The text, or parts of a very long one: each but the first begins where white space begins."""
-    out, at = [], 0
-    while len(text) - at > BLOCK_BYTES:
-        cut = text.find(b" ", at + BLOCK_BYTES // 2)
-        while cut > at and text[cut - 1] in _SPACES:
-            cut -= 1
-        if cut <= at:
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
-
 _made: dict[tuple[str, int], Encoder] = {}
 
 

@@ -7,7 +7,7 @@ word: a million words take some 50 MB.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
@@ -31,6 +31,35 @@ def gather(arena: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return arena[np.repeat(at - (ends - size), size) + np.arange(ends[-1])]
 
 
+def parts(text: bytes, most: int) -> list[bytes]:
+    """The text, or parts of a very long one: each but the first begins with white space after something else."""
+    out, at = [], 0
+    while len(text) - at > most:
+        cut = text.find(b" ", at + most // 2)
+        while cut > at and text[cut - 1 : cut].isspace():
+            cut -= 1
+        if cut <= at:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def in_blocks(texts: Iterable[bytes], most: int) -> Iterator[tuple[list[bytes], list[int]]]:
+    """Blocks of about so many bytes: texts or parts of them, and the number of the text that each belongs to."""
+    block, owner, filled = [], [], 0
+    for k, text in enumerate(texts):
+        for part in parts(text, most):
+            block.append(part)
+            owner.append(k)
+            filled += len(part)
+            if filled >= most:
+                yield block, owner
+                block, owner, filled = [], [], 0
+    if block:
+        yield block, owner
+
+
 class Arena:
     """An array that grows at its end."""
 

@@ -51,13 +51,18 @@ def test_bpe_is_the_library(spark):
     assert all(back[k] == got[k]["decoded"] for k in back)
 
 
-def test_bpe_on_random_words():
+def test_bpe_on_random_texts():
     with open(public_tokenizers.path("word_bpe_49k.json")) as f:
         own = bpe.TrieBpe(f.read())
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abeinrst' é!9\n") for _ in range(rng.randint(0, 80))) for _ in range(300)]
-    for t, (ids, _) in zip(texts, own.encode_block(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == own.library.encode(t, add_special_tokens=False).ids
+    parts = [*"abeinrst' é!9\nAE.,-_", "H\u0331", "A\u030a", "=\u0338", " \u0308", "\xa0", "\u2019s", "“", "日本", "İ", "Σς", "ﬁ", "\x1c", "\x0b", "\0", "<|endoftext|>", "<|", "😀", "don't", "WE'LL", "averyveryverylongword"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    texts += [" ".join(f"w{k % 700} x" for k in range(200_000)), "", "x" * 600_000]
+    lib = own.library
+    for t, (ids, decoded) in zip(texts, own.encode_block([t.encode() for t in texts]), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want, t[:200]
+        assert decoded.decode() == lib.decode(want, skip_special_tokens=False)
 
 
 def test_token_store_round_trip(spark, tmp_path):
