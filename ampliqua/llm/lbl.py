@@ -4,10 +4,12 @@ Corpus counts cover every training token: each task counts its words, the counts
 hashes. For scoring, the commonest words (a bounded number) are sent to all tasks; the rest of a text's words are joined
 to their counts, so no shuffle carries a common word.
 
-The model predicts the next of the model's words (the commonest ones, 'end' and 'other') from the two before it: the sum
-of their vectors, weighted by position, times each word's vector, plus its bias. Every task trains it in numpy on all
-training tokens of its share by noise-contrastive estimation, on counted n-grams, and the results are averaged by tokens.
-Normalisers of all contexts come from batched matrix products. An 'other' word is then drawn by its smoothed count.
+Every word has a class, so every token of every text is predicted from its context: the commonest words are a class each,
+the others are dealt by their endings (the commonest last three bytes, else the commonest last two, else one class for the
+rest), and 'end' is a class. The model predicts the next class from the two before it: the sum of their vectors, weighted
+by position, times each class's vector, plus its bias. Tasks train it in numpy on all training tokens of their shares by
+noise-contrastive estimation, on counted n-grams, and in each round the results are averaged by tokens. Normalisers of all
+contexts come from batched matrix products. Within its class a word has its smoothed share of the class's count.
 
 Defined results: a null or empty text is just the end token; a null id is not held out; without training texts every token
 has the base probability 1; repeated rows each get a row; extra columns are ignored.
@@ -28,30 +30,51 @@ from ampliqua.llm.common import arrow_type, blobs, crc_mod, freed, record_batch,
 
 #: Folds by crc32 of the id as text, and the one that is not learned from.
 FOLDS, HELD_OUT = 5, 1
-#: Words sent to all tasks at most; the model's words with 'end' and 'other'; size of vectors.
-HOT_WORDS, VOCABULARY, SIZE = 300_000, 512, 24
-#: Training: rounds of averaging, passes over a task's n-grams, n-grams of a step, noise words, rate, largest weight of an n-gram.
-ROUNDS, PASSES, STEP, NOISE, RATE, HEAVIEST = 1, 2, 4096, 64, 0.1, 16
+#: Words sent to all tasks at most; classes of a word each, of three last bytes and of two; size of vectors.
+HOT_WORDS, OWN, LAST_THREE, LAST_TWO, SIZE = 300_000, 254, 512, 256, 24
+#: Training: rounds of averaging, n-grams of a step, noise classes, rate, largest weight of an n-gram.
+ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 1024, 64, 0.3, 16
+#: Steps that a task's model makes at least in a round: it passes over few n-grams several times.
+LEAST_STEPS = 200
+#: Different n-grams, and tokens, that a task counts before it trains on them and forgets them.
+MAX_GRAMS, MAX_TOKENS = 2_000_000, 16_000_000
 _END, _OTHER = 0, 1
 
 
+def words_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several texts: hashes of their words, the last three bytes of each as a number, and the words of each text."""
+    each = [word_hashes(t) for t in texts]
+    data = np.frombuffer(bytes(8) + b"\n".join(texts).lower() + b"\n", np.uint8)
+    solid = np.concatenate([[False] * 8, (data[8:] != 32) & ((data[8:] < 9) | (data[8:] > 13))])
+    ends = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1
+    starts = np.flatnonzero(solid[1:] & ~solid[:-1]) + 1
+    last = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))[ends - 8] >> np.uint64(40)
+    short = np.array([24, 16, 8, 0], np.uint64)[np.minimum(ends - starts, 3)]
+    return np.concatenate(each) if each else np.zeros(0, np.uint64), (last >> short).astype(np.int32), np.array(list(map(len, each)), np.int64)
+
+
+def last_two(ending: np.ndarray) -> np.ndarray:
+    """The last two bytes, of three."""
+    return np.where(ending >= 1 << 16, ending >> 8, ending)
+
+
 def _held(column: str) -> Column:
     return F.coalesce(crc_mod(F.col(column), FOLDS) == HELD_OUT, F.lit(False))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, c: how often each word stands in the rows of (held_out, _text) that aren't held out."""
+    """word, ending, c: how often each word stands in the rows of (held_out, _text) that aren't held out."""
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("word", pa.int64()), ("c", pa.int64())])
+        out = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("c", pa.int64())])
         for batch in batches:
-            found = [word_hashes(d) for d in blobs(batch.column(0))]
-            words, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield record_batch(out, [words.view(np.int64), counts])
+            hashes, endings, _ = words_and_endings(blobs(batch.column(0)))
+            words, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+            yield record_batch(out, [words.view(np.int64), endings[at], counts])
 
-    rows = docs.filter(~F.col("held_out")).select("_text").mapInArrow(run, "word long, c long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"))
+    rows = docs.filter(~F.col("held_out")).select("_text").mapInArrow(run, "word long, ending int, c long")
+    return rows.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("c").alias("c"))
 
 
 def hot_words(vocabulary: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +95,51 @@ def hot_words(vocabulary: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray,
     return word[order], c[order]
 
 
+class Classes:
+    """The classes of words: 'end', 'other', one for each of some words, of some triples and some pairs of last bytes."""
+
+    def __init__(self, words: list[tuple[int, int]], three: list[tuple[int, int, int]], two: list[tuple[int, int, int]], n_ends: int, other: tuple[int, int]) -> None:
+        """words: (word, count); three, two: (ending, count, different words); other: count and different words."""
+        self.words, self.n_own = np.array([w for w, _ in words], np.int64), len(words)
+        self.three, self.three_number = self._sorted([e for e, _, _ in three], 2 + len(words))
+        self.two = np.full(1 << 16, _OTHER, np.uint16)
+        self.two[[e for e, _, _ in two]] = 2 + len(words) + len(three) + np.arange(len(two))
+        self.counts = np.array([n_ends, other[0], *(c for _, c in words), *(c for _, c, _ in three), *(c for _, c, _ in two)], np.float64)
+        different = np.array([0, other[1], *(1 for _ in words), *(n for _, _, n in three), *(n for _, _, n in two)], np.float64)
+        #: What the logarithm of a word's count is reduced by within its class: nothing where the class is the word.
+        self.within = np.log10(self.counts + 0.5 * (different + 1))
+        self.within[[_END, *range(2, 2 + len(words))]] = 0.0
+
+    @staticmethod
+    def _sorted(keys: list[int], first: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        return np.array(keys, np.int64)[order], (first + order).astype(np.uint16)
+
+    def by_ending(self, ending: np.ndarray) -> np.ndarray:
+        """Classes of words that aren't classes of their own."""
+        out = self.two[last_two(ending)]
+        if len(self.three):
+            at = np.minimum(np.searchsorted(self.three, ending), len(self.three) - 1)
+            out = np.where(self.three[at] == ending, self.three_number[at], out)
+        return out
+
+
+def choose_classes(vocabulary: DataFrame, hot: tuple[np.ndarray, np.ndarray], n_words: int, distinct: int, n_ends: int) -> Classes:
+    """Classes by the counts of all training words; only a bounded number of rows comes to the driver."""
+    top = np.lexsort((hot[0], -hot[1]))[:OWN]
+    words = [(int(hot[0][k]), int(hot[1][k])) for k in top]
+    rest = vocabulary.filter(~F.col("word").isin([w for w, _ in words])) if words else vocabulary
+    sums = [F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")]
+    best = lambda df, key, most: [tuple(r) for r in df.groupBy(key).agg(*sums).orderBy(F.desc("c"), key).limit(most).collect()]
+    three = best(rest, "ending", LAST_THREE)
+    pair = F.when(F.col("ending") >= 1 << 16, F.shiftright("ending", 8)).otherwise(F.col("ending"))
+    two = best((rest.filter(~F.col("ending").isin([e for e, _, _ in three])) if three else rest).withColumn("pair", pair), "pair", LAST_TWO)
+    other = (n_words - sum(c for _, c in words) - sum(c for _, c, _ in three + two), distinct - len(words) - sum(n for _, _, n in three + two))
+    return Classes(words, three, two, n_ends, other)
+
+
 class Model:
-    """Vectors of context words, weights of the two positions, vectors and biases of the words to predict."""
+    """Vectors of context classes, weights of the two positions, vectors and biases of the classes to predict."""
 
     def __init__(self, counts: np.ndarray, seed: int = 1) -> None:
         rng, n = np.random.default_rng(seed), len(counts)
@@ -96,37 +162,50 @@ class Model:
             at += p.size
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
-        """Vectors predicted from pairs of words (the nearer one first)."""
+        """Vectors predicted from pairs of classes (the nearer one first)."""
         return self.context[before[:, 0]] * self.place[0] + self.context[before[:, 1]] * self.place[1]
 
-    def train(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, passes: int = PASSES, seed: int = 2) -> None:
-        """Noise-contrastive estimation with Adagrad; each step's examples share the noise words."""
-        rng, sums = np.random.default_rng(seed), [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
-        log_noise = np.log(NOISE * self.noise).astype(np.float32)
+    def _margins(self, before: np.ndarray, word: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted vectors; by how much each example, and each noise class after its context, is likelier than as noise."""
+        q, log_noise = self.predicted(before), np.log(len(drawn) * self.noise).astype(self.bias.dtype)
+        own = (q * self.target[word]).sum(1) + self.bias[word] - log_noise[word]
+        return q, np.clip(own, -30, 30), np.clip(q @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn], -30, 30)
+
+    def contrast(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> float:
+        """The objective: the weighted logarithm of telling the examples from the noise, and the noise from them."""
+        _, own, others = self._margins(before, word, drawn)
+        return float(-(weight * (np.log1p(np.exp(-own)) + np.log1p(np.exp(others)).sum(1))).sum())
+
+    def gradients(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
+        """Of the objective, by each of the parts."""
+        n = len(self.noise)
+        q, own, others = self._margins(before, word, drawn)
+        own, others = weight / (1 + np.exp(own)), -weight[:, None] / (1 + np.exp(-others))
+        dq = own[:, None] * self.target[word] + others @ self.target[drawn]
+        target = _rows(word, own[:, None] * q, n)
+        np.add.at(target, drawn, others.T @ q)
+        bias = np.bincount(word, own, n).astype(self.bias.dtype)
+        np.add.at(bias, drawn, others.sum(0))
+        context = _rows(before[:, 0], dq * self.place[0], n) + _rows(before[:, 1], dq * self.place[1], n)
+        return [context, np.stack([(dq * self.context[before[:, j]]).sum(0) for j in (0, 1)]), target, bias]
+
+    def train(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, passes: int = 1, seed: int = 2, sums: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """Noise-contrastive estimation with Adagrad, whose sums of squares it gives back; each step's examples share the noise."""
+        rng, sums = np.random.default_rng(seed), sums or [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
         for _ in range(passes):
             order = rng.permutation(len(word))
             for at in range(0, len(order), STEP):
                 k = order[at : at + STEP]
-                b, w, g = before[k], word[k], weight[k].astype(np.float32)
+                g = weight[k].astype(np.float32)
                 drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
-                q, r = self.predicted(b), self.target[w]
-                own = (1 / (1 + np.exp(np.clip((q * r).sum(1) + self.bias[w] - log_noise[w], -30, 30)))) * g
-                others = -(1 / (1 + np.exp(-np.clip(q @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn], -30, 30)))) * g[:, None]
-                dq = own[:, None] * r + others @ self.target[drawn]
-                scale = np.float32(1 / g.sum())
-                target = _rows(w, own[:, None] * q, len(self.noise))
-                np.add.at(target, drawn, others.T @ q)
-                bias = np.bincount(w, own, len(self.noise)).astype(np.float32)
-                np.add.at(bias, drawn, others.sum(0))
-                context = _rows(b[:, 0], dq * self.place[0], len(self.noise)) + _rows(b[:, 1], dq * self.place[1], len(self.noise))
-                place = np.stack([(dq * self.context[b[:, j]]).sum(0) for j in (0, 1)])
-                for p, s, d in zip(self.parts(), sums, (context, place, target, bias), strict=True):
-                    d = d * scale
+                for p, s, d in zip(self.parts(), sums, self.gradients(before[k], word[k], g, drawn), strict=True):
+                    d = d / g.sum()
                     s += d * d
                     p += RATE * d / np.sqrt(s)
+        return sums
 
     def normalisers(self) -> np.ndarray:
-        """Logarithms of the sums over all words, for every pair of context words."""
+        """Logarithms of the sums over all classes, for every pair of context classes."""
         n = len(self.noise)
         out = np.empty((n, n), np.float32)
         for a in range(n):
@@ -137,7 +216,7 @@ class Model:
         return out
 
     def log_probabilities(self, before: np.ndarray, word: np.ndarray, normalisers: np.ndarray) -> np.ndarray:
-        """Natural logarithms, of each word after its pair."""
+        """Natural logarithms, of each class after its pair."""
         out = np.empty(len(word), np.float64)
         for at in range(0, len(word), 1 << 16):
             b, w = before[at : at + (1 << 16)], word[at : at + (1 << 16)]
@@ -147,7 +226,7 @@ class Model:
 
 def _rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values by row number."""
-    out = np.zeros((n, values.shape[1]), np.float32)
+    out = np.zeros((n, values.shape[1]), values.dtype)
     if len(index):
         order = np.argsort(index, kind="stable")
         starts = np.concatenate([[0], np.flatnonzero(np.diff(index[order])) + 1])
@@ -165,31 +244,31 @@ def contexts(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return before
 
 
-def _tokens(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], chosen: np.ndarray) -> DataFrame:
-    """Per row: its number, tokens of the model (with the end), sums over hot words, other words with their counts."""
+def _tokens(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], classes: Classes) -> DataFrame:
+    """Per row: its number, classes of its tokens (with the end), sums over hot words, other words with their counts."""
     id_type = docs.schema["doc_id"].dataType
-    names = [("row", T.LongType()), ("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_sum", T.DoubleType()), ("model_sum", T.DoubleType()), ("n_other", T.LongType()), ("ids", T.BinaryType()), ("words", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))]
+    names = [("row", T.LongType()), ("doc_id", id_type), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("hot_known", T.LongType()), ("hot_sum", T.DoubleType()), ("own_sum", T.DoubleType()), ("within", T.DoubleType()), ("ids", T.BinaryType()), ("words", T.ArrayType(T.LongType())), ("times", T.ArrayType(T.IntegerType()))]
     schema = T.StructType([T.StructField(*x) for x in names])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
     spark = docs.sparkSession
-    number = np.full(len(hot[0]), _OTHER, np.uint16)
-    number[np.searchsorted(hot[0], chosen)] = np.arange(2, 2 + len(chosen))
-    sent = spark.sparkContext.broadcast((hot[0], hot[1], number))
+    own = np.zeros(len(hot[0]), np.uint16)  # the class of a word that is one
+    own[np.searchsorted(hot[0], classes.words)] = np.arange(2, 2 + classes.n_own)
+    sent = spark.sparkContext.broadcast((hot[0], hot[1], own, classes))
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId() << 33, 0
-        keys, counts, numbers = sent.value
+        keys, counts, own_class, by = sent.value
         logs = np.log10(counts + 0.5)
         for batch in batches:
-            each = [word_hashes(d).view(np.int64) for d in blobs(batch.column(2))]
-            n, m = np.array([len(x) for x in each], np.int64), len(each)
-            words = np.concatenate(each) if each else np.zeros(0, np.int64)
+            hashes, endings, n = words_and_endings(blobs(batch.column(2)))
+            words, m = hashes.view(np.int64), len(n)
             doc = np.repeat(np.arange(m), n)
             at = np.minimum(np.searchsorted(keys, words), max(len(keys) - 1, 0))
             is_hot = keys[at] == words if len(keys) else np.zeros(len(words), bool)
-            ids = np.where(is_hot, numbers[at], _OTHER).astype(np.uint16) if len(keys) else np.full(len(words), _OTHER, np.uint16)
             value = np.where(is_hot, logs[at], 0.0) if len(keys) else np.zeros(len(words))
+            alone = np.where(is_hot, own_class[at], 0) if len(keys) else np.zeros(len(words), np.uint16)
+            ids = np.where(alone > 0, alone, by.by_ending(endings)).astype(np.uint16)
             ends = np.cumsum(n)
             cold = np.flatnonzero(~is_hot)
             order = cold[np.lexsort((words[cold], doc[cold]))]
@@ -197,7 +276,6 @@ def _tokens(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], chosen: np.ndar
             starts = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
             times = np.diff(np.concatenate([starts, [len(w)]])).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(d[starts], minlength=m))]).astype(np.int32)
-            in_model = ids != _OTHER
             yield record_batch(
                 out,
                 [
@@ -207,8 +285,8 @@ def _tokens(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], chosen: np.ndar
                     n + 1,
                     np.bincount(doc, is_hot, m).astype(np.int64),
                     np.bincount(doc, value, m),
-                    np.bincount(doc, value * in_model, m),
-                    np.bincount(doc, ~in_model, m).astype(np.int64),
+                    np.bincount(doc, value * (alone > 0), m),
+                    np.bincount(doc, by.within[ids], m),
                     [np.append(ids[e - k : e], np.uint16(_END)).tobytes() for e, k in zip(ends, n, strict=True)],
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(w[starts])).cast(out.field(9).type),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(times)).cast(out.field(10).type),
@@ -232,19 +310,29 @@ def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
 
     @freed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = sent.value, np.zeros(0, np.int64)
-        keys = np.zeros(0, np.int64)
+        own, sums, total, passed = sent.value, None, 0, 0
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def trained() -> None:
+            nonlocal keys, counts, sums, passed
+            times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
+            every, weight = np.repeat(keys, times), np.repeat(counts / times, times)
+            sums = own.train(np.stack([every // (n * n), every // n % n], axis=1), every % n, weight, max(1, LEAST_STEPS * STEP // len(every)), 2 + passed, sums)
+            keys, counts, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), passed + 1
+
         for batch in batches:
             ids, lengths = _batch_tokens(batch.column(0))
             before = contexts(ids, lengths)
             new, c = np.unique((before[:, 0] * n + before[:, 1]) * n + ids, return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)  # at most n ** 3
+            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
             counts = np.bincount(where, np.concatenate([counts, c]), len(keys)).astype(np.int64)
+            total += len(ids)
+            if len(keys) > MAX_GRAMS or counts.sum() > MAX_TOKENS:
+                trained()
         if len(keys):
-            times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
-            every, weight = np.repeat(keys, times), np.repeat(counts / times, times)
-            own.train(np.stack([every // (n * n), every // n % n], axis=1), every % n, weight)
-            yield record_batch(out, [[own.pack()], [float(counts.sum())]])
+            trained()
+        if total:
+            yield record_batch(out, [[own.pack()], [float(total)]])
 
     @freed
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +365,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     n_ends = docs.filter(~F.col("held_out")).count()
     n_all, v_all = n_words + n_ends, distinct + (n_ends > 0)
     hot = hot_words(vocabulary)
-    top = np.lexsort((hot[0], -hot[1]))[: VOCABULARY - 2]
-    chosen, chosen_count = hot[0][np.sort(top)], hot[1][np.sort(top)]
-    tokens = stored(spark, _tokens(docs, hot, chosen), "tokens")
-    n_other = n_words - int(chosen_count.sum())
-    model = train_model(tokens, Model(np.concatenate([[n_ends, n_other], chosen_count]).astype(np.float64)))
+    classes = choose_classes(vocabulary, hot, n_words, distinct, n_ends)
+    tokens = stored(spark, _tokens(docs, hot, classes), "tokens")
+    model = train_model(tokens, Model(classes.counts))
     sent = spark.sparkContext.broadcast((model, model.normalisers()))
     rest = tokens.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = rest.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))
@@ -296,9 +382,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield record_batch(out, [batch.column(0), np.bincount(np.repeat(np.arange(len(lengths)), lengths), p, len(lengths)) / np.log(10)])
 
     modelled = tokens.select("row", "ids").mapInArrow(run, "row long, model_score double")
-    whole = tokens.select("row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "model_sum", "n_other").join(modelled, "row").join(rest, "row", "left")
+    whole = tokens.select("row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "own_sum", "within").join(modelled, "row").join(rest, "row", "left")
     end = float(np.log10(n_ends + 0.5))
-    total, other = float(np.log10(n_all + 0.5 * (v_all + 1))), float(np.log10(n_other + 0.5 * (distinct - len(chosen) + 1)))
+    total = float(np.log10(n_all + 0.5 * (v_all + 1)))
     counts = F.col("hot_sum") + F.coalesce("rest_sum", F.lit(0.0))
     return whole.select(
         "doc_id",
@@ -307,6 +393,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.col("hot_known") + F.coalesce("rest_known", F.lit(0)) + int(n_ends > 0)).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (counts + end - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("model_score") + counts - F.col("model_sum") - F.col("n_other") * other).alias("score"),
+        (F.col("model_score") + counts - F.col("own_sum") - F.col("within")).alias("score"),
     )
 

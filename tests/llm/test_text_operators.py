@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, wordtable
+from tests.conftest import SF
 
 TEXTS = [
     None,
@@ -311,6 +312,45 @@ def test_language_model_base_and_normalisation(spark):
     assert model.log_probabilities(before[:3], word[:3], z).mean() > np.log(0.5)
 
 
+def test_language_model_gradients():
+    rng = np.random.default_rng(3)
+    model = lbl.Model(rng.integers(1, 50, 12).astype(float))
+    model.context, model.place, model.target, model.bias = (p.astype(float) for p in model.parts())
+    before, word, weight, drawn = rng.integers(0, 12, (40, 2)), rng.integers(0, 12, 40), rng.random(40), rng.integers(0, 12, 9)
+    for part, slope in zip(model.parts(), model.gradients(before, word, weight, drawn), strict=True):
+        for k in rng.choice(part.size, min(part.size, 12), replace=False):
+            old = part.flat[k]
+            values = []
+            for step in (1e-5, -1e-5):
+                part.flat[k] = old + step
+                values.append(model.contrast(before, word, weight, drawn))
+            part.flat[k] = old
+            assert slope.flat[k] == pytest.approx((values[0] - values[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_language_model_classes():
+    texts = [b"The rising tide  \x0b ab x \xc3\xa9", b"", b"\nrising\x00 z"]
+    hashes, endings, n = lbl.words_and_endings(texts)
+    assert n.tolist() == [6, 0, 2] and len(hashes) == len(endings) == 8
+    number = lambda w: int.from_bytes(w[-3:], "little")
+    assert endings.tolist() == [number(w) for t in texts for w in t.lower().split()]
+    words = {b"the": 50, b"rising": 7, b"falling": 5, b"ab": 3, b"cab": 2, b"zzz": 1}
+    three, two = [(number(b"ing"), 12, 2)], [(number(b"ab"), 5, 2)]
+    classes = lbl.Classes([(1, 50)], three, two, 9, (1, 1))
+    at = classes.by_ending(np.array([number(w) for w in words]))
+    assert at.tolist() == [lbl._OTHER, 3, 3, 4, 4, lbl._OTHER]  # 'the' is a class of its own, found by its hash
+    assert classes.counts.tolist() == [9, 1, 50, 12, 5]
+    for k, members in ((3, [7, 5]), (4, [3, 2]), (lbl._OTHER, [1])):  # with one share for unseen words
+        assert sum(c + 0.5 for c in members) + 0.5 == pytest.approx(10 ** classes.within[k])
+
+
+def test_language_model_gains_on_held_out_texts(spark):
+    rows = lbl.score(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert (rows[0] - rows[1]) / rows[2] > 0.1
+    assert all(abs(r["base_score"]) < 1e-9 and r["train_tokens"] == 0 for r in lbl.score(spark.createDataFrame([(5, "a b")], "doc_id long, text string").filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")).collect())
+    assert lbl.score(empty(spark)).count() == 0
+
+
 def test_licence_rules(spark):
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [*TEXTS, wrapped, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."])).collect()}
