@@ -7,9 +7,10 @@ to their counts, so no shuffle carries a common word.
 Every word has a class, so every token of every text is predicted from its context: the commonest words are a class each,
 the others are dealt by their endings (the commonest last three bytes, else the commonest last two, else one class for the
 rest), and 'end' is a class. The model predicts the next class from the two before it: the sum of their vectors, weighted
-by position, times each class's vector, plus its bias. Tasks train it in numpy on all training tokens of their shares by
-noise-contrastive estimation, on counted n-grams, and in each round the results are averaged by tokens. Normalisers of all
-contexts come from batched matrix products. Within its class a word has its smoothed share of the class's count.
+by position, times each class's vector, plus its bias. Tasks train it in numpy on all training texts of their shares (half
+of them in each of two rounds) by noise-contrastive estimation, on the counted n-grams of each batch; after a round the
+results are averaged by tokens. Normalisers of all contexts come from batched matrix products. Within its class a word
+has its smoothed share of the class's count.
 
 Defined results: a null or empty text is just the end token; a null id is not held out; without training texts every token
 has the base probability 1; repeated rows each get a row; extra columns are ignored.
@@ -34,10 +35,8 @@ FOLDS, HELD_OUT = 5, 1
 HOT_WORDS, OWN, LAST_THREE, LAST_TWO, SIZE = 300_000, 254, 512, 256, 24
 #: Training: rounds of averaging, n-grams of a step, noise classes, rate, largest weight of an n-gram.
 ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 1024, 64, 0.3, 16
-#: Steps that a task's model makes at least in a round: it passes over few n-grams several times.
+#: Steps that a task's model makes at least in a round: it passes over few texts several times.
 LEAST_STEPS = 200
-#: Different n-grams, and tokens, that a task counts before it trains on them and forgets them.
-MAX_GRAMS, MAX_TOKENS = 2_000_000, 16_000_000
 _END, _OTHER = 0, 1
 
 
@@ -165,43 +164,54 @@ class Model:
         """Vectors predicted from pairs of classes (the nearer one first)."""
         return self.context[before[:, 0]] * self.place[0] + self.context[before[:, 1]] * self.place[1]
 
-    def _margins(self, before: np.ndarray, word: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _margins(self, near: np.ndarray, far: np.ndarray, target: np.ndarray, word: np.ndarray, drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predicted vectors; by how much each example, and each noise class after its context, is likelier than as noise."""
-        q, log_noise = self.predicted(before), np.log(len(drawn) * self.noise).astype(self.bias.dtype)
-        own = (q * self.target[word]).sum(1) + self.bias[word] - log_noise[word]
-        return q, np.clip(own, -30, 30), np.clip(q @ self.target[drawn].T + self.bias[drawn] - log_noise[drawn], -30, 30)
+        q, level = near * self.place[0] + far * self.place[1], self.bias - np.log(len(drawn) * self.noise).astype(self.bias.dtype)
+        own = np.einsum("ij,ij->i", q, target) + level[word]
+        return q, np.clip(own, -30, 30), np.clip(q @ self.target[drawn].T + level[drawn], -30, 30)
 
     def contrast(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> float:
         """The objective: the weighted logarithm of telling the examples from the noise, and the noise from them."""
-        _, own, others = self._margins(before, word, drawn)
+        _, own, others = self._margins(self.context[before[:, 0]], self.context[before[:, 1]], self.target[word], word, drawn)
         return float(-(weight * (np.log1p(np.exp(-own)) + np.log1p(np.exp(others)).sum(1))).sum())
 
     def gradients(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, drawn: np.ndarray) -> list[np.ndarray]:
         """Of the objective, by each of the parts."""
-        n = len(self.noise)
-        q, own, others = self._margins(before, word, drawn)
-        own, others = weight / (1 + np.exp(own)), -weight[:, None] / (1 + np.exp(-others))
-        dq = own[:, None] * self.target[word] + others @ self.target[drawn]
-        target = _rows(word, own[:, None] * q, n)
-        np.add.at(target, drawn, others.T @ q)
-        bias = np.bincount(word, own, n).astype(self.bias.dtype)
-        np.add.at(bias, drawn, others.sum(0))
-        context = _rows(before[:, 0], dq * self.place[0], n) + _rows(before[:, 1], dq * self.place[1], n)
-        return [context, np.stack([(dq * self.context[before[:, j]]).sum(0) for j in (0, 1)]), target, bias]
+        n, m = len(self.noise), len(word)
+        near, far, target, noise = self.context[before[:, 0]], self.context[before[:, 1]], self.target[word], self.target[drawn]
+        q, own, others = self._margins(near, far, target, word, drawn)
+        own = weight / (1 + np.exp(own))
+        np.exp(-others, out=others)
+        others += 1
+        np.divide(-weight[:, None], others, out=others)
+        dq = own[:, None] * target + others @ noise
+        moved = np.concatenate([own[:, None] * q, others.T @ q])
+        d_target = _rows(np.concatenate([word, drawn]), moved, n)
+        d_bias = np.bincount(word, own, n).astype(self.bias.dtype)
+        np.add.at(d_bias, drawn, others.sum(0))
+        both = np.empty((2 * m, dq.shape[1]), dq.dtype)
+        np.multiply(dq, self.place[0], out=both[:m])
+        np.multiply(dq, self.place[1], out=both[m:])
+        d_context = _rows(np.concatenate([before[:, 0], before[:, 1]]), both, n)
+        return [d_context, np.stack([np.einsum("ij,ij->j", dq, near), np.einsum("ij,ij->j", dq, far)]), d_target, d_bias]
 
     def train(self, before: np.ndarray, word: np.ndarray, weight: np.ndarray, passes: int = 1, seed: int = 2, sums: list[np.ndarray] | None = None) -> list[np.ndarray]:
         """Noise-contrastive estimation with Adagrad, whose sums of squares it gives back; each step's examples share the noise."""
         rng, sums = np.random.default_rng(seed), sums or [np.full(p.shape, 1e-2, np.float32) for p in self.parts()]
+        share = np.cumsum(self.noise)
         for _ in range(passes):
             order = rng.permutation(len(word))
             for at in range(0, len(order), STEP):
                 k = order[at : at + STEP]
                 g = weight[k].astype(np.float32)
-                drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
-                for p, s, d in zip(self.parts(), sums, self.gradients(before[k], word[k], g, drawn), strict=True):
-                    d = d / g.sum()
-                    s += d * d
-                    p += RATE * d / np.sqrt(s)
+                drawn = np.searchsorted(share, rng.random(NOISE) * share[-1], "right")
+                for p, s, d in zip(self.parts(), sums, self.gradients(before[k], word[k], g / g.sum(), drawn), strict=True):
+                    step = d * d
+                    s += step
+                    np.sqrt(s, out=step)
+                    np.divide(d, step, out=step)
+                    step *= np.float32(RATE)
+                    p += step
         return sums
 
     def normalisers(self) -> np.ndarray:
@@ -228,9 +238,10 @@ def _rows(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the values by row number."""
     out = np.zeros((n, values.shape[1]), values.dtype)
     if len(index):
-        order = np.argsort(index, kind="stable")
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(index[order])) + 1])
-        out[index[order[starts]]] = np.add.reduceat(values[order], starts, axis=0)
+        order = np.argsort(index.astype(np.uint16), kind="stable")  # a radix sort; there are at most 1,024 classes
+        index = index[order]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
+        out[index[starts]] = np.add.reduceat(values[order], starts, axis=0)
     return out
 
 
@@ -303,34 +314,29 @@ def _batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Each task trains on its share of the rows (ids); the tasks' models are averaged by their tokens, in two steps."""
+    """Each task trains on its share of the rows (ids), in each round on other ones; the models are averaged by their tokens."""
     spark, n = tokens.sparkSession, len(model.noise)
     kind = "parts binary, n double"
     out = pa.schema([("parts", pa.binary()), ("n", pa.float64())])
 
     @freed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums, total, passed = sent.value, None, 0, 0
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def trained() -> None:
-            nonlocal keys, counts, sums, passed
-            times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
-            every, weight = np.repeat(keys, times), np.repeat(counts / times, times)
-            sums = own.train(np.stack([every // (n * n), every // n % n], axis=1), every % n, weight, max(1, LEAST_STEPS * STEP // len(every)), 2 + passed, sums)
-            keys, counts, passed = np.zeros(0, np.int64), np.zeros(0, np.int64), passed + 1
-
+        own, sums, total, steps = sent.value, None, 0, 0
+        kept = []  # while there are few
         for batch in batches:
-            ids, lengths = _batch_tokens(batch.column(0))
+            ids, lengths = _batch_tokens(batch.column(0).take(pa.array(range(turn, len(batch), rounds), pa.int64())))
             before = contexts(ids, lengths)
-            new, c = np.unique((before[:, 0] * n + before[:, 1]) * n + ids, return_counts=True)
-            keys, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            counts = np.bincount(where, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-            total += len(ids)
-            if len(keys) > MAX_GRAMS or counts.sum() > MAX_TOKENS:
-                trained()
-        if len(keys):
-            trained()
+            grams, counts = np.unique((before[:, 0] * n + before[:, 1]) * n + ids, return_counts=True)
+            times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
+            every, weight = np.repeat(grams, times), np.repeat(counts / times, times)
+            examples = (np.stack([every // (n * n), every // n % n], axis=1), every % n, weight)
+            sums = own.train(*examples, seed=2 + steps, sums=sums)  # nothing to do where the turn has no row
+            total, steps = total + len(ids), steps - (-len(every) // STEP)
+            kept = [*kept, examples] if len(every) and steps < LEAST_STEPS else []
+        while kept and steps < LEAST_STEPS:
+            for examples in kept:
+                sums = own.train(*examples, seed=2 + steps, sums=sums)
+                steps -= -len(examples[1]) // STEP
         if total:
             yield record_batch(out, [[own.pack()], [float(total)]])
 
@@ -344,7 +350,7 @@ def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
         if total is not None:
             yield record_batch(out, [[(total / weight).astype(np.float32).tobytes()], [weight]])
 
-    for _ in range(rounds):
+    for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         rows = tokens.filter(~F.col("held_out")).select("ids")
         groups = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
