@@ -1,11 +1,16 @@
 """Personal data in whole texts: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
-The patterns give the base spans; they are evidence for the field. Its variables are the tokens that hold a digit, an
-'@' or the local part of one of the text's addresses; all other tokens are fixed to 'none'. Neighbouring tokens are linked
-in a chain, and occurrences of the same or a similar token (equal digits, or the same local part) by skip links to the
-previous and to the first occurrence, however distant. Loopy sum-product message passing runs over all texts of a batch
-at once, so that one sure occurrence carries its label to the others of its document. The weights are fitted by
-pseudo-likelihood to the base spans of a bounded sample, from features that don't see the patterns.
+The patterns give the base spans; they are evidence for the field. Its other variables are the tokens equal or similar to
+a base span (the local part of an address, a number that ends in the same eight digits), and the tokens with a digit or
+an '@' beside all these. Neighbours are linked in a chain, and occurrences of the same or a similar token by skip links to
+the previous and to the first occurrence, however distant. Loopy sum-product message passing runs over the fields of many
+texts at once, so that one sure occurrence carries its label to the others of its document. Texts without a base span have
+nothing to carry.
+
+The weights are fitted by pseudo-likelihood on all documents: features are shapes that don't see the patterns, so the
+texts count only by how often each configuration of features and neighbouring labels occurs. Labels are the base spans';
+tokens similar to one are left out, and instead each base span is taken a second and third time with its evidence hidden,
+as written and in a short form, linked to itself. From these the field learns how far to trust a skip link.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are one; repeated rows each get a row; extra
 columns are ignored.
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +32,10 @@ from pyspark.sql import types as T
 from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the field is fitted on at most (about), and tokens of such a text; rounds of messages; least probability.
-MAX_FIT_DOCS, MAX_FIT_TOKENS, ROUNDS, SURE = 3_000, 400, 12, 0.9
+#: Rounds of messages; least probability of an added span; nodes whose messages are passed together (about).
+ROUNDS, SURE, MAX_NODES = 12, 0.9, 50_000
+#: Digits in which numbers must end alike to be similar; letters of a local part that may stand for its address.
+ENDING, NAME, PLAIN_NAME = 8, 4, 7
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -37,6 +45,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _TRIM = ".,;:!?()[]{}<>\"'"
+_DIGITS = re.compile(r"[0-9](?:[ ().-]{0,3}[0-9])*")
+_NAME = re.compile(r"[A-Za-z0-9._%+-]+")
 
 Span = tuple[str, int, int]
 
@@ -78,9 +88,44 @@ def listed(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
 
 
-def tokens(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Spans of the field's free tokens, in order, without punctuation around them."""
-    out: list[tuple[int, int]] = []
+def similar_key(token: str) -> str:
+    """Equal for similar tokens: addresses and their local parts, numbers that end alike."""
+    name = token.partition("@")[0].lower()
+    digits = "".join(c for c in name if c.isdigit())
+    return digits[-ENDING:] if len(digits) >= ENDING and not any(c.isalpha() for c in name) else name
+
+
+def _apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that overlap none of those taken (in order, themselves perhaps overlapping) and none before them."""
+    out, at, end, reach = [], 0, 0, 0
+    for a, b in sorted(set(spans), key=lambda s: (s[0], -s[1])):
+        while at < len(taken) and taken[at][0] < b:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if a >= end and a >= reach:
+            out.append((a, b))
+            end = b
+    return out
+
+
+def tokens(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
+    """Spans and keys, in order, of what is similar to a base span, and of other tokens with a digit or '@'.
+
+    What overlaps a base span is left out. One pass over the text for each: local parts, numbers, tokens.
+    """
+    spans = sorted((a, b) for _, a, b in base)
+    names = {n for k, a, b in base if k == "email" and len(n := text[a:b].partition("@")[0].lower()) >= NAME and (not n.isalpha() or len(n) >= PLAIN_NAME)}
+    numbers = {similar_key(text[a:b]) for k, a, b in base if k != "email"}
+    similar: list[tuple[int, int]] = []
+    if names:
+        for m in _NAME.finditer(text):
+            for b in {m.end(), m.start() + len(m.group().rstrip("._%+-"))}:
+                if text[m.start() : b].lower() in names and text[b : b + 1] != "@":
+                    similar.append((m.start(), b))
+    if numbers:
+        similar += [m.span() for m in _DIGITS.finditer(text) if similar_key(m.group()) in numbers]
+    similar = _apart(similar, spans)
+    others: list[tuple[int, int]] = []
     seen = 0
     for m in _MARK.finditer(text):
         if m.start() < seen:
@@ -96,16 +141,8 @@ def tokens(text: str, base: list[Span]) -> list[tuple[int, int]]:
         while b > a and text[b - 1] in _TRIM:
             b -= 1
         if a < b:
-            out.append((a, b))
-    for name in {text[a:b].partition("@")[0] for k, a, b in base if k == "email"}:
-        if len(name) >= 4 and not _MARK.search(name):  # such a name is no token yet
-            at = text.find(name)
-            while at >= 0:
-                end = at + len(name)
-                if (at == 0 or not text[at - 1].isalnum()) and (end == len(text) or not (text[end].isalnum() or text[end] == "@")):
-                    out.append((at, end))
-                at = text.find(name, end)
-    return sorted(set(out))
+            others.append((a, b))
+    return [(a, b, similar_key(text[a:b])) for a, b in sorted(similar + _apart(others, sorted(spans + similar)))]
 
 
 #: Features of a token: shapes only, nothing that repeats the patterns' tests.
@@ -113,48 +150,49 @@ _SHAPES = [re.compile(p) for p in (r"@", r"^\+", r"^[0-9]+$", r"^[0-9]{1,3}(\.[0
 N_FEATURES = len(_SHAPES) + 9
 
 
-def token_features(token: str) -> list[float]:
+def token_features(token: str) -> bytes:
     digits = sum(c.isdigit() for c in token)
     size = [digits == 0, 1 <= digits <= 3, 4 <= digits <= 7, 8 <= digits <= 12, 13 <= digits <= 15, 16 <= digits <= 19, digits > 19]
-    return [1.0, *(float(bool(p.search(token))) for p in _SHAPES), *map(float, size), len(token) > 30]
+    return bytes([1, *(bool(p.search(token)) for p in _SHAPES), *size, len(token) > 30])
 
 
-def similar_key(token: str) -> str:
-    """Equal for similar tokens: addresses and their local parts, numbers written differently."""
-    name = token.partition("@")[0].lower()
-    digits = "".join(c for c in name if c.isdigit())
-    return digits if len(digits) >= 7 and not any(c.isalpha() for c in name) else name
+def short_form(kind: str, span: str) -> str:
+    """How a second mention may leave something of a base span out."""
+    digits = "".join(c for c in span if c.isdigit())
+    return {"email": span.partition("@")[0], "ip": span, "card": digits, "phone": f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}" if len(digits) >= 10 else digits}[kind]
 
 
 class Graph:
     """The fields of several texts as one: features and evidence of nodes, links between them."""
 
     def __init__(self) -> None:
-        self.features: list[list[float]] = []
+        self.features = bytearray()
         self.evidence: list[int] = []
+        self.similar: list[bool] = []
         self.spans: list[tuple[int, int, int]] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
 
     def add(self, number: int, text: str, base: list[Span]) -> None:
-        found = tokens(text, base)
-        cover = sorted((a, b, KINDS.index(k) + 1) for k, a, b in base)
+        rows = [(a, b, similar_key(text[a:b]), KINDS.index(k) + 1) for k, a, b in base] + [(a, b, key, 0) for a, b, key in tokens(text, base)]
+        rows.sort()
+        sure = {key for _, _, key, label in rows if label}
+        core = [key in sure for _, _, key, _ in rows]
         first: dict[str, int] = {}
         last: dict[str, int] = {}
-        k, before = 0, -10
-        for a, b in found:
-            node = len(self.features)
-            while k < len(cover) and cover[k][1] <= a:
-                k += 1
-            label = next((c[2] for c in cover[k : k + 4] if c[0] < b and a < c[1]), 0)
-            word = text[a:b]
-            self.features.append(token_features(word))
+        before = None
+        for k, (a, b, key, label) in enumerate(rows):
+            beside = (k and core[k - 1] and a - rows[k - 1][1] <= 3) or (k + 1 < len(rows) and core[k + 1] and rows[k + 1][0] - b <= 3)
+            if not core[k] and not beside:
+                continue
+            node = len(self.evidence)
+            self.features += token_features(text[a:b])
             self.evidence.append(label)
+            self.similar.append(core[k])
             self.spans.append((number, a, b))
-            if a - before <= 3 and before >= 0:
+            if before is not None and a - before <= 3:
                 self.chain.append((node - 1, node))
             before = b
-            key = similar_key(word)
             if key in last:
                 self.skip.append((last[key], node))
                 if first[key] != last[key]:
@@ -162,6 +200,9 @@ class Graph:
             first.setdefault(key, node)
             last[key] = node
 
+    def matrix(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.features), np.uint8).reshape(-1, N_FEATURES)
+
 
 class Field:
     """Weights: of features (by label), of the chain (label by label), and of each label's agreement over a skip link."""
@@ -177,8 +218,8 @@ class Field:
     def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
         """Probabilities of the labels of each node, by damped loopy sum-product; nodes with evidence keep it."""
         n = len(self.skip)
-        x, seen = np.array(graph.features), np.array(graph.evidence)
-        unary = x @ self.unary
+        seen = np.array(graph.evidence)
+        unary = graph.matrix().astype(np.float64) @ self.unary
         unary[seen > 0] = -50
         unary[np.flatnonzero(seen), seen[seen > 0]] = 50
         c, s = np.array(graph.chain, int).reshape(-1, 2), np.array(graph.skip, int).reshape(-1, 2)
@@ -199,84 +240,107 @@ class Field:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> Field:
-    """Pseudo-likelihood: each node's label given its features and its neighbours' labels; Adam on all nodes at once."""
+def configurations(values: list[str]) -> Counter:
+    """How often each configuration occurs in these texts: features, the labels before and after, those over skip links, own label.
+
+    Tokens similar to a base span don't count; a base span counts with its evidence hidden as well, linked to itself.
+    """
+    out: Counter = Counter()
+    none = 255
+    for text in values:
+        base = base_spans(text)
+        if not base:
+            continue
+        g = Graph()
+        g.add(0, text, base)
+        n = len(g.evidence)
+        left, right, around = [none] * n, [none] * n, np.zeros((n, len(KINDS) + 1), np.int64)
+        for a, b in g.chain:
+            left[b], right[a] = g.evidence[a], g.evidence[b]
+        for a, b in g.skip:
+            around[a, g.evidence[b]] += 1
+            around[b, g.evidence[a]] += 1
+        rows, near = g.matrix(), np.minimum(around, 7).astype(np.uint8)
+        for k in range(n):
+            if g.evidence[k] or not g.similar[k]:
+                out[rows[k].tobytes() + bytes([left[k], right[k]]) + near[k].tobytes() + bytes([g.evidence[k]])] += 1
+        for kind, a, b in base:
+            mark = KINDS.index(kind) + 1
+            linked = bytes(int(j == mark) for j in range(len(KINDS) + 1))
+            for again in (text[a:b], short_form(kind, text[a:b])):
+                out[token_features(again) + bytes([none, none]) + linked + bytes([mark])] += 1
+    return out
+
+
+def fit(found: dict[bytes, int], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Field:
+    """Pseudo-likelihood: each node's label given its features and its neighbours' labels; Adam on all configurations at once."""
     field, n = Field.empty(), len(KINDS) + 1
-    if not len(y) or not y.any():
+    if not found:
         return field
-    one = np.eye(n)[y]
-    left, right, around = np.zeros((len(y), n)), np.zeros((len(y), n)), np.zeros((len(y), n))
-    if len(chain):
-        np.add.at(left, chain[:, 1], one[chain[:, 0]])
-        np.add.at(right, chain[:, 0], one[chain[:, 1]])
-    if len(skip):
-        np.add.at(around, skip[:, 1], one[skip[:, 0]])
-        np.add.at(around, skip[:, 0], one[skip[:, 1]])
+    keys = sorted(found)
+    rows = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+    weight = np.array([found[k] for k in keys], np.float64)
+    weight /= weight.sum()
+    x, around = rows[:, :N_FEATURES].astype(np.float64), rows[:, N_FEATURES + 2 : -1].astype(np.float64)
+    one = np.eye(n)[rows[:, -1]]
+    left, right = (np.vstack([np.eye(n), np.zeros((256 - n, n))])[rows[:, N_FEATURES + k]] for k in (0, 1))
     weights = [field.unary, field.chain, field.skip]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, steps + 1):
         z = x @ field.unary + left @ field.chain + right @ field.chain.T + around * field.skip
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = (p / p.sum(axis=1, keepdims=True) - one) / len(y)
+        g = (p / p.sum(axis=1, keepdims=True) - one) * weight[:, None]
         for k, d in enumerate((x.T @ g, left.T @ g + (right.T @ g).T, (around * g).sum(axis=0))):
-            d = d + decay * weights[k] / 10
+            d = d + decay * weights[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.99 * v[k] + 0.01 * d * d
             weights[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
     return field
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_FIT_DOCS) -> Field:
-    """Fitted on a sample by a hash of the id, of texts with at most MAX_FIT_TOKENS tokens."""
+def train(docs: DataFrame, text_col: str = "text") -> Field:
+    """Fitted on all documents. The driver gets a row for each different configuration: shapes, not texts."""
     repo_on_workers(docs.sparkSession)
-    n = docs.count()
     text = F.col(text_col).cast("string")
-    few = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) <= min(1.0, max_docs / max(n, 1)) * (1 << 30)).filter(text.rlike("[0-9@]"))
-    out = pa.schema([("x", pa.binary()), ("y", pa.binary()), ("chain", pa.binary()), ("skip", pa.binary())])
+    out = pa.schema([("configuration", pa.binary()), ("n", pa.int64())])
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
         for batch in batches:
-            rows = []
-            for value in texts(batch.column(0)):
-                g = Graph()
-                g.add(0, value, base_spans(value))
-                if 0 < len(g.features) <= MAX_FIT_TOKENS:
-                    rows.append((np.array(g.features, np.float32).tobytes(), np.array(g.evidence, np.int32).tobytes(), np.array(g.chain, np.int32).tobytes(), np.array(g.skip, np.int32).tobytes()))
-            yield record_batch(out, [[r[k] for r in rows] for k in range(4)])
-
-    rows = few.select(text.alias("_text")).mapInArrow(run, "x binary, y binary, chain binary, skip binary").toArrow().to_pylist()
-    x, y, chain, skip, at = [], [], [], [], 0
-    for r in rows:
-        labels = np.frombuffer(r["y"], np.int32)
-        x.append(np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES))
-        y.append(labels)
-        chain.append(np.frombuffer(r["chain"], np.int32).reshape(-1, 2) + at)
-        skip.append(np.frombuffer(r["skip"], np.int32).reshape(-1, 2) + at)
-        at += len(labels)
-    if not rows:
-        return Field.empty()
-    return fit(np.concatenate(x).astype(np.float64), np.concatenate(y), np.concatenate(chain), np.concatenate(skip))
+            total.update(configurations(texts(batch.column(0))))
+        yield record_batch(out, [list(total), list(total.values())])
+
+    each = docs.filter(text.rlike("[0-9@]")).select(text.alias("_text")).mapInArrow(run, "configuration binary, n long")
+    rows = each.groupBy("configuration").agg(F.sum("n").alias("n")).toArrow()
+    return fit(dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)))
 
 
 def label(values: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """Of each text: its base spans, and the spans that the field adds."""
     graph, found = Graph(), []
+
+    def add_spans() -> None:
+        if graph.skip or graph.chain:
+            p = field.marginals(graph)
+            best = p.argmax(axis=1)
+            for node in np.flatnonzero((best > 0) & (p.max(axis=1) >= SURE) & (np.array(graph.evidence) == 0)):
+                k, a, b = graph.spans[node]
+                found[k][1].append((KINDS[best[node] - 1], a, b))
+
     for k, text in enumerate(values):
         base = base_spans(text)
         found.append((base, []))
-        if _MARK.search(text):
+        if base and field.unary.any():
             graph.add(k, text, base)
-    if graph.features and field.unary.any():
-        p = field.marginals(graph)
-        best = p.argmax(axis=1)
-        for node in np.flatnonzero((best > 0) & (p.max(axis=1) >= SURE) & (np.array(graph.evidence) == 0)):
-            k, a, b = graph.spans[node]
-            found[k][1].append((KINDS[best[node] - 1], a, b))
+            if len(graph.evidence) >= MAX_NODES:
+                add_spans()
+                graph = Graph()
+    add_spans()
     return found
 
 
 def _map(docs: DataFrame, field: Field | None, id_col: str, text_col: str, fields: list[T.StructField], make) -> DataFrame:
-    field = field or train(docs, id_col, text_col)
+    field = field or train(docs, text_col)
     repo_on_workers(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])

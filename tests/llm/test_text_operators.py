@@ -1,9 +1,11 @@
 """Operators on documents against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 import shutil
+import time
 import zlib
 
 import numpy as np
@@ -255,15 +257,35 @@ def test_pii_base_spans_are_the_patterns():
         assert sorted(pii.base_spans(t)) == sorted(want), t
 
 
-def test_pii_field_spreads_over_skip_links(spark):
+def test_pii_field_finds_planted_second_mentions(spark):
     rng = random.Random(6)
-    rows = []
-    for k in range(200):
-        name, card = f"u{k}.{rng.randint(10, 99)}@mail{k % 9}.example.com", "4111111111111111"
-        rows.append(f"In {rng.randint(1900, 2030)} we wrote to {name} and there is more about {name} here, with {card} or {card} as numbers, room {k} of {k}.")
-    field = pii.train(docs(spark, rows))
-    base, more = pii.label(["Write to jane.roe7@mail.example.com. The user jane.roe7 agreed in 2023."], field)[0]
-    assert [s[0] for s in base] == ["email"] and more == [("email", 46, 55)]
+
+    def number(n):
+        return "".join(rng.choice("123456789") for _ in range(n))
+
+    def one(k, again):
+        name, start = f"u{k}.{number(2)}", f"4{number(14)}"
+        card = next(c for c in (f"{start}{d}" for d in range(10)) if pii.luhn(c))
+        p = number(10)
+        first = f"We wrote to {name}@mail{k % 9}.example.com on day {k}, called +1 ({p[:3]}) {p[3:6]}-{p[6:]} and charged {card} in {rng.randint(1900, 2030)}."
+        filler = " ".join(f"item {rng.randint(1, 999)} of lot {number(5)}" for _ in range(rng.randint(1, 40)))
+        seconds = [f"user:{name}", f"{p[:3]}-{p[3:6]}-{p[6:]}", f"({card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]})"]
+        text, marks = f"{first} {filler}", []
+        for s in seconds if again else []:
+            text += " then "
+            at = len(text) + (5 if s.startswith("user") else s.startswith("("))
+            text += s
+            marks.append((("email", "phone", "card")[seconds.index(s)], at, at + len(s) - (5 if s.startswith("user") else 2 * s.startswith("("))))
+        return text, marks
+
+    field = pii.train(docs(spark, [one(k, False)[0] for k in range(150)]))
+    wanted = found = hit = 0
+    for k in range(150, 350):
+        text, marks = one(k, k % 2)
+        base, more = pii.label([text], field)[0]
+        assert sorted(s[0] for s in base) == ["card", "email", "phone"]
+        wanted, found, hit = wanted + len(marks), found + len(more), hit + len(set(marks) & set(more))
+    assert wanted == 300 and hit / wanted >= 0.9 and hit / found >= 0.9, (wanted, found, hit)
     assert pii.masked("a b@c.d e", [("email", 2, 7)]) == "a [EMAIL] e"
     got = {r["doc_id"]: r for r in pii.digest(docs(spark), field).collect()}
     assert (got[9]["n_email"], got[9]["n_ip"], got[9]["n_card"], got[9]["n_phone"]) == (1, 1, 1, 1)
@@ -272,6 +294,37 @@ def test_pii_field_spreads_over_skip_links(spark):
     assert pii.digest(empty(spark)).count() == 0
 
 
+def test_pii_marginals_are_exact_on_trees():
+    rng = np.random.default_rng(4)
+    n = len(pii.KINDS) + 1
+    for _ in range(20):
+        g, size = pii.Graph(), 6
+        for k in range(size):  # each node but the first hangs on one before it
+            g.features += bytes(rng.integers(0, 2, pii.N_FEATURES).tolist())
+            g.evidence.append(int(rng.integers(1, n)) if k == 2 else 0)
+            if k:
+                (g.chain if rng.random() < 0.5 else g.skip).append((int(rng.integers(0, k)), k))
+        field = pii.Field(rng.normal(0, 0.5, (pii.N_FEATURES, n)), rng.normal(0, 1, (n, n)), rng.normal(0, 1, n))
+        unary, total = g.matrix() @ field.unary, np.zeros((size, n))
+        for labels in itertools.product(range(n), repeat=size):
+            if labels[2] == g.evidence[2]:
+                w = sum(unary[k, v] for k, v in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in g.chain) + sum(field.skip[labels[a]] for a, b in g.skip if labels[a] == labels[b])
+                total[range(size), labels] += np.exp(w)
+        assert np.allclose(field.marginals(g, rounds=80), total / total.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def test_pii_in_linear_time():
+    field = pii.Field.empty()
+    field.unary += 0.1
+    times = []
+    for n in (4_000, 32_000):
+        text = " ".join(f"w{k} 12{k} name.{k % 900}@mail.example.com name.{k % 900} 555-{k:07d} +1 555 {k:07d}" for k in range(n // 60))
+        start = time.perf_counter()
+        pii.label([text], field)
+        times.append(time.perf_counter() - start)
+    assert times[1] < 24 * times[0]
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(7)
     good = lambda: " ".join(rng.choice(["the", "river", "runs", "slowly", "past", "old", "mills"]) for _ in range(60)) + "."
