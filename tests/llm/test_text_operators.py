@@ -404,9 +404,110 @@ def test_language_model_gains_on_held_out_texts(spark):
     assert lbl.score(empty(spark)).count() == 0
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE_TEXT = """   Copyright 2020 Someone
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+     http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+GPL_TEXT = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU {}General Public License as published by
+    the Free Software Foundation, either version {} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {}General Public License for more details.
+"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.
+"""
+
+
 def test_licence_rules(spark):
-    wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
-    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [*TEXTS, wrapped, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0."])).collect()}
+    cases = {
+        MIT_TEXT: ("MIT", "permissive", 5),
+        MIT_TEXT.split("\n\n", 2)[2]: ("MIT", "permissive", 4),
+        APACHE_TEXT: ("Apache-2.0", "permissive", 4),
+        GPL_TEXT.format("", 3, ""): ("GPL-3.0", "copyleft", 3),
+        GPL_TEXT.format("", 2, ""): ("GPL-2.0", "copyleft", 3),
+        GPL_TEXT.format("Affero ", 3, "Affero "): ("AGPL-3.0", "copyleft", 3),
+        BSD_TEXT: ("BSD-2-Clause", "permissive", 3),
+        BSD_TEXT + BSD_NAME: ("BSD-3-Clause,BSD-2-Clause", "permissive", 4),
+        MPL_TEXT: ("MPL-2.0", "copyleft", 2),
+        ISC_TEXT: ("ISC", "permissive", 2),
+        "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.": ("GPL-3.0,CC-BY-NC-4.0", "copyleft", 2),
+        "# SPDX-License-Identifier: LGPL-2.1\nimport os": ("LGPL-2.1", "copyleft", 1),
+        "/* SPDX-License-Identifier: CC0-1.0 */": ("CC0-1.0", "public-domain", 1),
+        "MIT License (see LICENSE)": ("MIT", "permissive", 1),
+        "This project is licensed under the EUPL.": ("", "none", 0),
+        "Released under the Boost Software License, Version 1.0.\r\n": ("BSL-1.0", "permissive", 1),
+        "I read about the mit license yesterday.": ("", "none", 0),
+    }
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, [*TEXTS, *cases])).collect()}
     assert got[9]["licences"] == "MIT" and got[0]["n_known"] == 0 and got[0]["license_class"] == "none"
-    assert got[11]["licences"] == "GPL-3.0,CC-BY-NC-4.0" and got[11]["license_class"] == "copyleft"
+    for k, (text, (names, kind, n)) in enumerate(cases.items(), len(TEXTS)):
+        assert (got[k]["licences"], got[k]["license_class"], got[k]["n_known"]) == (names, kind, n), text
+    assert len(licenses.LICENCES) >= 30
+    for licence, kind, names in licenses.LICENCES:
+        assert all(licenses.normal(x) == x for x in names)
+    every = [(f"SPDX-License-Identifier: {licence}", licence, kind) for licence, kind, _ in licenses.LICENCES] + [(f"Licensed under the {n}.", licence, kind) for licence, kind, ns in licenses.LICENCES for n in ns]
+    found = {r["doc_id"]: r for r in licenses.scan(docs(spark, [t for t, _, _ in every])).collect()}
+    assert [(found[k]["licences"], found[k]["license_class"]) for k in range(len(every))] == [(a, b) for _, a, b in every]
+    assert all(any(a in s for a in licenses.ANCHORS) and licenses.normal(s) == s for s in licenses.KNOWN)
     assert licenses.scan(empty(spark)).count() == 0
