@@ -341,6 +341,37 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_risk_and_prior_against_brute_force():
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.7
+    x = rng.normal(0, 1, (4000, 3)) + np.where(truth[:, None], [1.5, 0.5, 0], [-1.5, 0, 0.3])
+    z = puquality.extended(x, x.mean(axis=0), x.std(axis=0))
+    good = z[truth & (rng.random(4000) < 0.3)]
+    moments = [puquality.Moments(len(v), v.T @ v) for v in (good, z)]
+    own, rest = (lambda v, w, label: ((1 - label * (v @ w)) ** 2).mean() / 4), puquality.risk
+
+    def whole(w, prior):  # the risk that is minimised, from the rows themselves
+        return prior * own(good, w, 1) + max(0, own(z, w, -1) - prior * own(good, w, -1)) + puquality.RIDGE * (w @ w) / 2
+
+    for prior in (0.3, 0.7, 0.95):
+        w = puquality.fit(*moments, prior)
+        assert np.allclose(rest(w, *moments, prior), (prior * own(good, w, 1), own(z, w, -1) - prior * own(good, w, -1)))
+        assert all(whole(w + rng.normal(0, size, len(w)), prior) > whole(w, prior) - 1e-9 for size in (1e-3, 1e-2, 0.1, 1) for _ in range(50))
+    w = puquality.against(*moments)
+    edges = np.linspace(-3, 3, 301)
+    prior = puquality.estimate_prior(*(np.histogram(v @ w, edges)[0].astype(float) for v in (good, z)))
+    ratios = [(z @ w >= t).mean() / (good @ w >= t).mean() for t in edges if 0.3 <= (good @ w >= t).mean() <= 0.98]
+    assert min(ratios) <= prior < min(ratios) + 0.12 and abs(prior - 0.7) < 0.12
+
+
+def test_quality_of_odd_tables(spark):
+    labels = spark.createDataFrame([(0, 1, 0), (0, 0, 0), (2, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = spark.createDataFrame([(None, "no id"), (None, None), (0, "good text"), (0, "good text"), (3, "")], "doc_id long, text string")
+    got = puquality.classify(rows, labels).collect()
+    assert len(got) == 5 and all(0 <= r["score"] <= 1 and not (r["doc_id"] is None and r["held_out"]) for r in got)
+    assert puquality.classify(empty(spark), labels).count() == 0
+
+
 def test_language_model_base_and_normalisation(spark):
     got = {r["doc_id"]: r for r in lbl.score(docs(spark)).collect()}
     from collections import Counter
