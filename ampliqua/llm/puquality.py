@@ -150,18 +150,19 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(((u + margin) / p).min(), 0.01, 0.99))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x (float32 statistics as bytes) of every row."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, x (float32 statistics as bytes) of every row, and row (the value of row_col) if there is one."""
     repo_on_workers(docs.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("x", T.BinaryType())])
+    names = [("doc_id", id_col)] + ([("row", row_col)] if row_col else [])
+    schema = T.StructType([T.StructField("x", T.BinaryType()), *(T.StructField(n, docs.schema[c].dataType) for n, c in names)])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield record_batch(out, [batch.column(0), [features(d).tobytes() for d in blobs(batch.column(1))]])
+            yield record_batch(out, [[features(d).tobytes() for d in blobs(batch.column(0))], *batch.columns[1:]])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(n) for n, c in names)).mapInArrow(run, schema)
 
 
 def _summed(stats: DataFrame, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
@@ -219,18 +220,18 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> Mo
     return Model(mean, scale, fit(*moments, prior), prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Per document row: doc_id, held_out, score (probability-like, of being good), predicted (1 from 0.5 on)."""
-    stats = stored(docs.sparkSession, statistics(docs, id_col, text_col), "statistics")
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", row_col: str | None = None) -> DataFrame:
+    """Per document row: doc_id, held_out, score (probability-like, of being good), predicted (1 from 0.5 on); row if row_col is given."""
+    stats = stored(docs.sparkSession, statistics(docs, id_col, text_col, row_col), "statistics")
     model = train(stats, labels, label_col)
-    schema = T.StructType([stats.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("score", T.DoubleType()), *(f for f in stats.schema if f.name != "x")])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
     @freed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, N_FEATURES)
-            yield record_batch(out, [batch.column(0), model.score(x.astype(np.float64)) if model else np.full(len(x), 0.5)])
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, N_FEATURES)
+            yield record_batch(out, [model.score(x.astype(np.float64)) if model else np.full(len(x), 0.5), *batch.columns[1:]])
 
-    scored = stats.mapInArrow(run, schema)
-    return scored.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held = F.coalesce(crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
+    return stats.select("x", *stats.columns[1:]).mapInArrow(run, schema).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *stats.columns[2:])

@@ -13,7 +13,7 @@ from ampliqua.llm.common import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +66,16 @@ d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^
 spots AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM windows), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k) WHERE len(w) >= n),
 m AS (SELECT r, item, n, k FROM spots JOIN windows USING (n, s)),
 hit AS (SELECT r, count(DISTINCT k + o) AS n_hit FROM m, LATERAL (SELECT unnest(range(0, n)) AS o) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item FROM m) GROUP BY r),
+places AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS p FROM d),
+rarity AS (SELECT term, count(*) AS c FROM places GROUP BY term),
+different AS (SELECT row_number() OVER () AS id, n, string_split(s, ' ') AS t FROM (SELECT DISTINCT n, s FROM windows)),
+rarest AS (SELECT id, term, o FROM (SELECT id, term, o, row_number() OVER (PARTITION BY id ORDER BY coalesce(c, 0), o) AS k FROM (SELECT id, unnest(t) AS term, unnest(range(n)) AS o FROM different) LEFT JOIN rarity USING (term)) WHERE k = 1),
+starts AS (SELECT id, r, p - o AS b FROM rarest JOIN places USING (term)),
+near AS (SELECT r, count(*) AS n_near FROM starts JOIN different USING (id) JOIN d USING (r)
+  WHERE len(list_filter(range(n), lambda k: list_contains(w[greatest(1, b + k - 1):greatest(0, b + k + 3)], t[k + 1]))) = n GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
 """
 
 _SQL_NEAR_DUPLICATES = rf"""
