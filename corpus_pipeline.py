@@ -3,6 +3,11 @@
 run(spark, sf_dir) applies the stages to the table; every stage but the last returns the table's columns. A stage's
 decisions take effect: texts that the quality classifier rejects go, one document of each near-duplicate group stays,
 contaminated documents go, personal data is masked in the text (n_chars follows), and the rest is encoded.
+
+Defined results: stages decide about rows, not ids, so rows without an id and rows that share one are judged each by its
+own text; of a near-duplicate group the row with the least doc_id stays (one without an id only if no other has one, and
+one of repeated rows); null and empty texts are copies of nothing, hold no benchmark passage, and stay unless the classifier
+rejects them; extra columns go through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,36 +15,58 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ampliqua.llm import bpe, decontam, pii, puquality, setsketch
 from ampliqua.llm.common import stored, table
 
 #: Ids that are broadcast at most to drop rows; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Column of a row's number within a stage.
+ROW = "_row"
 #: Least similarity, in percent, of the texts that near_dedup links.
 NEAR_PERCENT = 80
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """docs without the rows of these ids; rows with a null id stay."""
-    ids = stored(docs.sparkSession, ids.filter("doc_id is not null").select("doc_id").distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """docs with a number of its own for every row: the id where ids are different numbers (True), else one that is stored."""
+    if isinstance(docs.schema["doc_id"].dataType, (T.IntegerType, T.LongType)):
+        n, different = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+        if n == different:
+            return docs.withColumn(ROW, F.col("doc_id").cast("long")), True
+    return stored(docs.sparkSession, docs.withColumn(ROW, F.monotonically_increasing_id()), name), False
+
+
+def _without(keyed: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """The rows whose number isn't among those in gone, without the number."""
+    gone = stored(keyed.sparkSession, gone, name)
+    return keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ROW, "left_anti").select(*(c for c in keyed.columns if c != ROW))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the positive-unlabelled classifier, trained on their labels, rejects."""
-    judged = puquality.classify(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.filter("predicted = 0"), "rejected")
+    keyed, _ = _keyed(docs, "quality-rows")
+    judged = puquality.classify(keyed, table(spark, sf_dir, "labels"), row_col=ROW)
+    return _without(keyed, judged.filter("predicted = 0").select(F.col("row").alias(ROW)), "rejected")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each near-duplicate group."""
-    return _without(docs, setsketch.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept"), "copies")
+    keyed, by_id = _keyed(docs, "dedup-rows")
+    judged = setsketch.near_duplicates(keyed, id_col=ROW, percent=NEAR_PERCENT).withColumnRenamed("doc_id", ROW)
+    if by_id:
+        return _without(keyed, judged.filter("not kept").select(ROW), "copies")
+    judged = stored(spark, judged.select(ROW, "component_id"), "groups")
+    least = judged.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("least"), F.count(F.lit(1)).alias("n"))
+    least = least.filter("n > 1").select("component_id", F.col(f"least.{ROW}").alias("_stays"))
+    return _without(keyed, judged.join(least, "component_id").filter(F.col(ROW) != F.col("_stays")).select(ROW), "copies")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    return _without(docs, decontam.judge(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"), "contaminated")
+    keyed, _ = _keyed(docs, "decontaminate-rows")
+    judged = decontam.judge(keyed, table(spark, sf_dir, "benchmark"), id_col=ROW)
+    return _without(keyed, judged.filter("contaminated").select(F.col("doc_id").alias(ROW)), "contaminated")
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
