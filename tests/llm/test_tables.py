@@ -1,12 +1,14 @@
 """Vector search, URL decisions, components, the pipeline and the registered SQL."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ampliqua.llm import components, queries, urlblock, vafile
+from ampliqua.llm import components, pii, puquality, queries, urlblock, vafile
 from tests.conftest import SF
 
 
@@ -95,22 +97,83 @@ def test_registered_sql(spark):
         assert rows(got) == rows(want), name
 
 
-def test_pipeline(spark):
+def kept_by_brute_force(texts, ids, percent=80):
+    """Rows that stay: of each group of texts linked by five-word shingles the one with the least id, ids before none."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    component = list(range(len(sets)))
+
+    def root(x):
+        while component[x] != x:
+            x = component[x]
+        return x
+
+    for k, s in enumerate(sets):
+        for j in {j for x in s for j in holders[x] if j < k}:
+            if 100 * len(s & sets[j]) >= percent * len(s | sets[j]):
+                x, y = sorted((root(j), root(k)))
+                component[y] = x
+    best = {}
+    for k in range(len(sets)):
+        best[root(k)] = min(best.get(root(k), (True, 0, k)), (ids[k] is None, ids[k] or 0, k)) if root(k) in best else (ids[k] is None, ids[k] or 0, k)
+    return {v[2] for v in best.values()}
+
+
+def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as c
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    n, columns = docs.count(), docs.columns
-    for name, stage in c.STAGES[:-1]:
-        new = stage(spark, docs, SF)
-        assert new.columns == columns
-        rows = {r["doc_id"] for r in new.select("doc_id").collect()}
-        assert rows <= {r["doc_id"] for r in docs.select("doc_id").collect()} and len(rows) > 0.7 * n, name
-        from ampliqua.llm.common import stored
-
-        docs = stored(spark, new, name)
-    assert docs.filter("text rlike '[0-9]@' and text rlike '@[a-z0-9]+[.]'").count() == 0
-    last = c.STAGES[-1][1](spark, docs, SF)
-    assert last.count() == docs.count() and last.filter("n_tokens <> size(ids)").count() == 0
+    got = {r["doc_id"]: (r["n_tokens"], list(r["ids"]), r["decoded"]) for r in c.run(spark, SF).collect()}
+    judged = {r["doc_id"]: r["predicted"] for r in puquality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect() if judged[r["doc_id"]]]
+    stay = kept_by_brute_force([t for _, t in rows], [i for i, _ in rows])
+    rows = [rows[k] for k in sorted(stay)]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r["text"])
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(x) for x in windows}
+    rows = [(i, t) for i, t in rows if not any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))]
+    field = pii.fit(pii.configurations([t or "" for _, t in rows]))
+    texts = [pii.masked(t or "", base + more) for (_, t), (base, more) in zip(rows, pii.label([t or "" for _, t in rows], field), strict=True)]
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for (i, _), t in zip(rows, texts, strict=True):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), ids, lib.decode(ids, skip_special_tokens=False))
+    assert got == want and 0 < len(got) < docs.count()
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    long = " ".join(f"word{k}" for k in range(60))
+    near = " ".join(["other", *(f"word{k}" for k in range(1, 60))])
+    hit = spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 12").first()["text"]
+    rows = [(None, long), (None, long), (9, long), (5, near), (5, "a text of its own"), (5, "a text of its own"), (None, "alone"), (None, hit), (3, hit), (7, None), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "extra", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, score string, kept int")
+    left = c.near_dedup(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(r["kept"] for r in left.collect() if r["kept"] not in (4, 5)) == [3, 6, 8, 9, 10, 11] and left.filter("kept in (4, 5)").count() == 1
+    left = c.decontaminate(spark, docs, SF)
+    assert sorted(r["kept"] for r in left.collect()) == [k for k in range(12) if k not in (7, 8)] and left.columns == docs.columns
+    left = c.quality(spark, docs, SF)
+    judged = {r["row"]: r["predicted"] for r in puquality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet"), row_col="kept").collect()}
+    assert sorted(r["kept"] for r in left.collect()) == sorted(k for k, v in judged.items() if v)
+    masked = {r["kept"]: r for r in c.mask_pii(spark, docs, SF).collect()}
+    assert masked[7]["text"] == hit and masked[9]["text"] is None and masked[9]["n_chars"] is None and len(masked) == 12
+    empty = f"{tmp_path}/empty"
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{empty}/{t}.parquet")
+    assert c.run(spark, empty).count() == 0
 
 
 def test_near_dedup_stage_against_brute_force(spark):
