@@ -8,15 +8,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ampliqua.functions import strings
+from ampliqua.operators import alignments
 from ampliqua.pipeline import Result, genotype
 from ampliqua.report import html, summary, vcf
 from ampliqua.schemas import RunConfig
-from ampliqua.session import session
+from ampliqua.session import materialize, session
 from ampliqua.sources import files
 
 
-def export(result: Result, out: str, sample: str) -> None:
-    """Result rows, FASTA, VCF and pages under out/sample."""
+def export(result: Result, out: str, sample: str, config: RunConfig | None = None) -> None:
+    """Result rows, FASTA, VCF, pages, and alignments (all, and some reads of each allele) under out/sample."""
     at = f"{out}/{sample}"
     rows = summary.result_rows(result.reads, sample)
     rows.write.mode("overwrite").json(f"{at}/reads")
@@ -24,6 +26,25 @@ def export(result: Result, out: str, sample: str) -> None:
     files.write_fasta(result.consensus.select("name", "sequence"), f"{at}/fasta")
     vcf.write(result.variants, f"{at}/vcf")
     html.write(result.consensus.select("name", "tokens", F.lit(None).cast("array<string>").alias("variant")), f"{at}/html")
+    if result.alignments is not None and config is not None:
+        spark, where = result.reads.sparkSession, config.coordinates
+        fields = result.alignments.withColumns({"rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0)})
+        header = alignments.genome_header(spark.createDataFrame([(f"@SQ\tSN:control\tLN:{len(config.alleles['control'])}",)], "value string"), where)
+        found = materialize(alignments.to_genome(fields, where), "genome")
+        files.write_sam(header, found, f"{at}/sam/all")
+        named = alignments.by_allele(alignments.sample_reads(found.join(result.reads.select("qname", "label").distinct(), "qname"), keys=["label"]), result.reads)
+        for r in result.consensus.select("name").collect():  # a row an allele
+            files.write_sam(header, named.filter(F.col("name") == r["name"]), f"{at}/sam/{strings.safe_name(r['name'])}")
+
+
+def summarise(spark: SparkSession, out: str, samples: Sequence[str]) -> DataFrame:
+    """A row for each allele of each sample, written under out/summary with a chart."""
+    rows = spark.read.json([f"{out}/{s}/reads" for s in samples])
+    found = materialize(summary.distinct(summary.with_allele_type(rows)), "summary")
+    found.write.mode("overwrite").option("header", True).csv(f"{out}/summary/table")
+    page = html.bar_chart([r.asDict() for r in found.collect()])  # a row an allele
+    spark.createDataFrame([(page,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/summary/chart")
+    return found
 
 
 def run_one(spark: SparkSession, sample: Sequence[str], control: Sequence[str], allele: str, name: str, out: str, bed: str | None = None, no_filter: bool = False) -> Result:
@@ -31,24 +52,26 @@ def run_one(spark: SparkSession, sample: Sequence[str], control: Sequence[str],
     sequences = {r["allele"]: r["sequence"] for r in table.orderBy("allele_ord").collect()}
     where = files.bed_coordinates(spark, bed) if bed else None
     config = RunConfig(name, name, "control", sequences, where, no_filter)
-    reads = [files.downsample(files.read_reads(spark, paths), most) for paths, most in ((sample, config.cap_sample), (control, config.cap_control))]
+    reads = [files.read_reads(spark, paths) for paths in (sample, control)]
     for r in reads:
         files.validate_reads(r)
     result = genotype(*reads, config)
-    export(result, out, name)
+    export(result, out, name, config)
     return result
 
 
 def run_batch(spark: SparkSession, manifest: str, out: str, no_filter: bool = False) -> DataFrame:
-    """All samples of a manifest; sample, status and error of each, and the summary of those that ended well."""
+    """All samples of a manifest; sample, status and error of each. The summary of those that ended well is written."""
     status = []
     for r in files.manifest_tasks(files.read_manifest(spark, manifest))[1].orderBy("name", "sample").collect():
-        name = f"{r['name']}/{files.strings.safe_name(r['sample'].rstrip('/').split('/')[-1])}"
+        name = f"{r['name']}/{strings.safe_name(r['sample'].rstrip('/').split('/')[-1])}"
         try:
             run_one(spark, [r["sample"]], [r["control"]], r["allele"], name, out, r.asDict().get("bed"), no_filter)
             status.append((name, "done", ""))
         except ValueError as error:
             status.append((name, "failed", str(error)))
+    if done := [name for name, state, _ in status if state == "done"]:
+        summarise(spark, out, done)
     return spark.createDataFrame(status, "sample string, status string, error string")
 
 

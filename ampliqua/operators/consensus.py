@@ -47,9 +47,9 @@ def rescale(rows: DataFrame, label: str = "label", digits: int = 3) -> DataFrame
     return rows.join(F.broadcast(new), label).withColumn("percent", F.col("_new")).drop("_new")
 
 
-def per_label(rows: DataFrame, most: int = 1000, seed: int = 1, label: str = "label", read: str = "qname") -> DataFrame:
-    """At most so many rows a label: those with the least hash of the read and seed."""
-    order = [F.xxhash64(F.col(read).cast("string"), F.lit(seed)), F.col(read)]
+def per_label(rows: DataFrame, most: int = 1000, seed: int = 1, label: str = "label", read: str = "qname", order: Sequence[Column] = ()) -> DataFrame:
+    """At most so many rows a label: the first in the given order, else those with the least hash of the read and seed."""
+    order = list(order) or [F.xxhash64(F.col(read).cast("string"), F.lit(seed)), F.col(read)]
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy(*order))).filter(F.col("_k") <= most).drop("_k")
 
 

@@ -25,6 +25,9 @@ def control_errors(control: DataFrame, seed: int = 1) -> DataFrame:
     from pyspark.ml.clustering import KMeans
 
     x = _vector(features(control))
+    kinds = x.select("n_ratio", "n_run").distinct().limit(2).count()
+    if kinds < 2:  # nothing tells reads apart
+        return x.drop("_x").withColumn("error", F.lit(False))
     made = KMeans(k=2, seed=seed, featuresCol="_x", predictionCol="_c").fit(x).transform(x)
     medians = {r["_c"]: r["m"] for r in made.groupBy("_c").agg(F.median("n_match").alias("m")).collect()}  # two rows
     bad = min(medians, key=medians.get) if len(medians) > 1 else -1
@@ -50,12 +53,24 @@ def kept(rows: DataFrame, judged: DataFrame, read: str = "qname") -> tuple[DataF
     return rows.join(bad, read, "left_anti"), rows.join(bad, read, "left_semi")
 
 
+def normal_reads(sample: DataFrame, control: DataFrame, read: str = "qname") -> DataFrame:
+    """Control reads whose mutations, weighted by how rare they are in the sample, look like the sample's (read, tokens)."""
+    from ampliqua.operators import profile, stats
+
+    each = [df.select(read, F.posexplode("tokens").alias("pos", "tok")) for df in (sample, control)]
+    weights = profile.mask_weights(profile.onehot_percent(each[0], []))
+    sums = [zeros.join(profile.masked_sums(e, weights, read), [read, "mut"], "left").select(read, "mut", F.coalesce("value", F.lit(0.0)).alias("value")) for e, df in zip(each, (sample, control), strict=True) for zeros in [df.select(read, F.explode(F.array(*map(F.lit, profile.MUTATIONS))).alias("mut"))]]
+    return control.join(stats.normal_controls(*sums, read), read, "left_semi")
+
+
 def n_filtered(control: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Control reads with no more unknown tokens than the mean of two clusters' centres."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     n = control.withColumn("_n", F.size(F.filter(tokens, K.is_n_tag)).cast("double"))
+    if n.select("_n").distinct().limit(2).count() < 2:
+        return control
     model = KMeans(k=2, seed=1, featuresCol="_x").fit(VectorAssembler(inputCols=["_n"], outputCol="_x").transform(n))
     limit = sum(float(c[0]) for c in model.clusterCenters()) / len(model.clusterCenters())
     return n.filter(F.col("_n") <= limit).drop("_n")

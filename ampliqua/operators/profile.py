@@ -67,11 +67,15 @@ def dissimilar(pairs: DataFrame, keys: Sequence[str], pos: str = "pos", consensu
     return rest.withColumn("dissimilar", F.when(F.col("sample") - F.col("control") > 20, jump).otherwise(near)).drop("_x", "_y", "_d", "_t")
 
 
-def anomalies(pairs: DataFrame, keys: Sequence[str], thresholds: dict[str, float] | float = 0.1, pos: str = "pos", consensus: bool = False) -> DataFrame:
+def anomalies(pairs: DataFrame, keys: Sequence[str], thresholds: DataFrame | dict[str, float] | float = 0.1, pos: str = "pos", consensus: bool = False) -> DataFrame:
     """keys, pos, mut of the loci where the sample exceeds the control by more than the threshold, and is dissimilar.
 
-    The boundary is the one that a classifier would learn from noise below and above the threshold; stats.detector() trains one.
+    thresholds: for all, by kind, or a table of keys, mut and threshold. The boundary is the one that a classifier would learn
+    from noise below and above the threshold; stats.detector() trains one.
     """
+    if isinstance(thresholds, DataFrame):
+        near = dissimilar(pairs, keys, pos, consensus).filter("dissimilar").join(thresholds, [*keys, "mut"])
+        return near.filter(F.col("sample") - F.col("control") > F.col("threshold")).select(*keys, pos, "mut")
     limit = F.lit(thresholds) if isinstance(thresholds, (int, float)) else F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))[F.col("mut")]
     return dissimilar(pairs, keys, pos, consensus).filter("dissimilar").filter(F.col("sample") - F.col("control") > limit).select(*keys, pos, "mut")
 
@@ -166,15 +170,27 @@ def masked_sums(positions: DataFrame, weights: DataFrame, read: str, pos: str =
     return shown.join(F.broadcast(weights), [pos, "mut"]).groupBy(read, "mut").agg(F.sum("weight").alias("value"))
 
 
-def locus_pipeline(sample: DataFrame, control: DataFrame, sequence: DataFrame, keys: Sequence[str], knockin: DataFrame | None = None, thresholds: dict[str, float] | float = 0.1, consensus: bool = False) -> DataFrame:
-    """keys, pos, muts: mutation loci of a sample's token table against its control's. sequence: keys, pos, base of the alleles."""
-    from ampliqua.operators.stats import strand_biased_loci
+def _spread(df: DataFrame, keys: Sequence[str], every: DataFrame) -> DataFrame:
+    """df, which may lack some of the keys, for each of their values: of a few labels an allele."""
+    have = [k for k in keys if k in df.columns]
+    return df if len(have) == len(keys) else df.join(F.broadcast(every), have)
 
-    pairs = against_control(profile(sample, keys), profile(control, keys), keys)
-    loci = anomalies(pairs, keys, thresholds, consensus=consensus)
+
+def locus_pipeline(sample: DataFrame, control: DataFrame, sequence: DataFrame, keys: Sequence[str], knockin: DataFrame | None = None, thresholds: dict[str, float] | float | None = 0.1, consensus: bool = False) -> DataFrame:
+    """keys, pos, muts: mutation loci of a sample's token table against its control's. sequence: keys, pos, base of the alleles.
+
+    Control, sequence and knockin may lack keys that only the sample has (labels). thresholds: None takes them from the data.
+    """
+    from ampliqua.operators.stats import data_thresholds, strand_biased_loci
+
+    every = sample.select(*keys).distinct()
+    known = [k for k in keys if k in control.columns]
+    pairs = against_control(profile(sample, keys), _spread(profile(control, known), keys, every), keys)
+    loci = anomalies(pairs, keys, data_thresholds(pairs, keys) if thresholds is None else thresholds, consensus=consensus)
     if knockin is not None:
-        loci = add_everywhere(loci, knockin, keys)
-    errors = homopolymer_errors(pairs, repeat_spans(sequence, keys), loci, keys)
+        loci = add_everywhere(loci, _spread(knockin, keys, every), keys)
+    spans = repeat_spans(sequence, [k for k in keys if k in sequence.columns])
+    errors = homopolymer_errors(pairs, _spread(spans, keys, every), loci, keys)
     loci = without(without(loci, errors, keys), strand_biased_loci(sample, loci, keys), keys)
     return transpose(fill_indel_gaps(loci, keys), keys)
 

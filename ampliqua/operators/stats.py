@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,15 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_LOGS = [np.zeros(1)]
+
+
+def log_factorials(n: int) -> np.ndarray:
+    """Logarithms of the factorials from 0 to n at least; the table grows with the largest n asked for."""
+    if len(_LOGS[0]) <= n:
+        _LOGS[0] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1, dtype=float)))])
+    return _LOGS[0]
+
+
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
     """Two-sided p-value of a 2x2 table: all tables with the same margins that are no likelier."""
     n, row, col = a + b + c + d, a + b, a + c
     if not n:
         return 1.0
-    lg = math.lgamma
-    fixed = lg(row + 1) + lg(n - row + 1) + lg(col + 1) + lg(n - col + 1) - lg(n + 1)
+    log = log_factorials(n)
     x = np.arange(max(0, row + col - n), min(row, col) + 1)
-    logs = fixed - np.array([lg(k + 1) + lg(row - k + 1) + lg(col - k + 1) + lg(n - row - col + k + 1) for k in x.tolist()])
+    logs = log[row] + log[n - row] + log[col] + log[n - col] - log[n] - (log[x] + log[row - x] + log[col - x] + log[n - row - col + x])
     own = logs[a - x[0]]
     return float(min(1.0, np.exp(logs[logs <= own + 1e-7]).sum()))
 
@@ -82,19 +90,32 @@ def two_means(values: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndar
     return centres[order], np.argsort(order)[labels]
 
 
-def threshold(differences: np.ndarray, least: float = 10.0) -> float:
+def two_centres(values: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+    """Centres of the best two clusters of different values that occur so many times each."""
+    order = np.argsort(values)
+    v, n = np.asarray(values, float)[order], np.asarray(times, float)[order]
+    if len(v) < 2:
+        return (v[0], v[0]) if len(v) else (0.0, 0.0)
+    count, total, square = np.cumsum(n), np.cumsum(n * v), np.cumsum(n * v * v)
+    left, rest = (count[:-1], total[:-1], square[:-1]), (count[-1] - count[:-1], total[-1] - total[:-1], square[-1] - square[:-1])
+    at = int(sum(q - s * s / c for c, s, q in (left, rest)).argmin())
+    return left[1][at] / left[0][at], rest[1][at] / rest[0][at]
+
+
+def threshold(differences: np.ndarray, least: float = 10.0, times: np.ndarray | None = None) -> float:
     """Between two clusters of sample-control differences: the mean of the centres, at least `least`."""
-    return float(max(two_means(differences)[0].mean(), least))
+    return float(max(np.mean(two_centres(differences, np.ones(len(differences)) if times is None else times)), least))
 
 
 def data_thresholds(pairs: DataFrame, keys: Sequence[str], least: float = 10.0) -> DataFrame:
-    """keys, mut, threshold, from pairs (sample, control)."""
+    """keys, mut, threshold, from pairs (sample, control); equal differences are counted before they meet in a task."""
     fields = ", ".join(f"`{k}` {dict(pairs.dtypes)[k]}" for k in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["mut"].iloc[0], threshold((pdf["sample"] - pdf["control"]).to_numpy(), least)]], columns=[*keys, "mut", "threshold"])
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), pdf["mut"].iloc[0], threshold(pdf["_d"].to_numpy(), least, pdf["_n"].to_numpy())]], columns=[*keys, "mut", "threshold"])
 
-    return pairs.select(*keys, "mut", "sample", "control").groupBy(*keys, "mut").applyInPandas(run, f"{fields + ', ' if fields else ''}mut string, threshold double")
+    counted = pairs.groupBy(*keys, "mut", (F.col("sample") - F.col("control")).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*keys, "mut").applyInPandas(run, f"{fields + ', ' if fields else ''}mut string, threshold double")
 
 
 def local_outlier(train: np.ndarray, test: np.ndarray, neighbours: int = 20, limit: float = 1.5) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliqua.functions import tokens as K
@@ -33,10 +33,12 @@ def runs(positions: DataFrame, kind: str, loci: DataFrame, read: Sequence[str],
 
 def converted(found: DataFrame, coverage: int, read: Sequence[str], gap: int = 5) -> DataFrame:
     """found with starts replaced by the commonest of their session; sessions without enough reads go."""
-    keyed = found.withColumn("_a", F.lit(0))
-    s = windows.sessions(keyed, ["_a"], "start", gap, max(5, coverage * 0.05), "session")
-    mode = windows.modal(s, ["session"], "start", "_new")
-    return s.join(F.broadcast(mode), "session").select(*read, F.col("_new").alias("start"), "size")
+    places = found.groupBy("start").agg(F.count(F.lit(1)).alias("_n"))  # a row a position: starts, not reads, are put in order
+    w = Window.partitionBy(F.lit(0)).orderBy("start")
+    numbered = places.withColumn("_new", F.when(F.col("start") - F.lag("start").over(w) <= gap, 0).otherwise(1)).withColumn("session", F.sum("_new").over(w))
+    enough = numbered.groupBy("session").agg(F.sum("_n").alias("_all"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("start").alias("s")))["s"].alias("_mode")).filter(F.col("_all") > max(5, coverage * 0.05))
+    mapping = numbered.join(enough, "session").select("start", "_mode")
+    return found.join(F.broadcast(mapping), "start").select(*read, F.col("_mode").alias("start"), "size")
 
 
 def features(found: DataFrame, read: str, starts: list[int]) -> DataFrame:
@@ -72,7 +74,7 @@ def consensus(labelled: DataFrame, positions: DataFrame, kind: str, control: str
     none = sized.groupBy("label", "start").agg(F.sum("n").alias("_with")).join(n, "label").select("label", "start", F.lit(0).alias("size"), (F.col("_reads") - F.col("_with")).alias("n"))
     modal = sized.select("label", "start", "size", "n").union(none).groupBy("label", "start").agg(F.max(F.struct("n", "size"))["size"].alias("size")).filter("size > 0")
     if kind == "insertion":
-        texts = positions.withColumnRenamed("pos", "start").join(F.broadcast(labelled.select(read, "label", "start").distinct()), [read, "start"]).join(F.broadcast(modal), ["label", "start"])
+        texts = positions.withColumnRenamed("pos", "start").join(labelled.select(read, "label", "start").distinct(), [read, "start"]).join(F.broadcast(modal), ["label", "start"])
         same = texts.filter(K.insertion_size(F.col("tok")) == F.col("size"))
         modal = windows.modal(same, ["label", "start"], "tok", "tok").select("label", "start", F.lit(1).alias("size"), "tok")
     else:

@@ -6,22 +6,27 @@ Every stage is a table written to the shared folder, as the later ones use it se
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliqua.align.banded import align
-from ampliqua.operators import alignments, classify, cluster, consensus, kmers, profile, sv
+from ampliqua.operators import alignments, classify, cluster, consensus, errors, kmers, profile, sv
 from ampliqua.report import vcf
 from ampliqua.schemas import RunConfig
 from ampliqua.session import materialize
+from ampliqua.sources import files
 
 
 @dataclass
 class Result:
+    """Read results, consensus alleles, variant records, and the sample's alignments to the control (if it came as reads)."""
+
     reads: DataFrame
     consensus: DataFrame
     variants: DataFrame
+    alignments: DataFrame | None = None
 
 
 def allele_table(spark, alleles: dict[str, str]) -> DataFrame:
@@ -43,26 +48,60 @@ def bases(alleles: DataFrame) -> DataFrame:
     return alleles.select("allele", F.posexplode(F.split("sequence", "")).alias("pos", "base")).filter("base <> ''")
 
 
+def knockin_positions(alleles: DataFrame) -> DataFrame:
+    """allele, pos: what alleles have more than the control, found by aligning the control's sequence to each."""
+    one = alleles.filter("allele = 'control'").select(F.lit("control").alias("qname"), "sequence", F.lit(None).cast("string").alias("quality"))
+    others = alleles.filter("allele <> 'control'")
+    return materialize(profile.knockin_loci(alignments.to_tokens(align(one, others), others), ["allele"]), "knockin")
+
+
+def without_error_reads(sample: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both token tables without reads whose unknown stretches are sequencing errors, as they lie on the control allele."""
+    judged = errors.control_errors(control.filter("allele = 'control'").select("qname", "tokens"))
+    judged = materialize(judged, "control-errors")
+    wrong = errors.sample_errors(sample.filter("allele = 'control'").select("qname", "tokens"), judged)
+    return errors.kept(sample, wrong)[0], errors.kept(control, judged)[0]
+
+
 def genotype(sample: DataFrame, control: DataFrame, config: RunConfig) -> Result:
-    """From READS tables; see genotype_tokens."""
+    """From READS tables; see genotype_tokens. More reads than the configuration's caps are sampled by name."""
     spark = sample.sparkSession
+    sample, control = files.downsample(sample, config.cap_sample), files.downsample(control, config.cap_control)
     table = allele_table(spark, config.alleles)
-    one, two = tokens_of(sample, table, "sample"), tokens_of(control, table, "control")
-    loci = profile.locus_pipeline(one, two, bases(table), ["allele"])
-    found = []
+    found = materialize(align(sample, table), "alignments")
+    one, two = without_error_reads(tokens_of_alignments(found, table, "sample"), tokens_of(control, table, "control"))
+    one, two = materialize(one, "sample-kept"), materialize(two, "control-kept")
+    loci = profile.locus_pipeline(one, two, bases(table), ["allele"], knockin_positions(table))
+    new = []
     own = loci.filter("allele = 'control'").select("pos", "muts")
     for kind in sv.KINDS:
-        found += sv.detect(one.filter("allele = 'control'"), two.filter("allele = 'control'"), own, config.alleles | {n: s for n, _, s in found}, kind)
-    if found:
-        table = allele_table(spark, config.alleles | {n: s for n, _, s in found})
-        one, two = tokens_of(sample, table, "sample-sv"), tokens_of(control, table, "control-sv")
-    return genotype_tokens(one, two, table, config, {n: t for n, t, _ in found})
+        new += sv.detect(one.filter("allele = 'control'"), two.filter("allele = 'control'"), own, config.alleles | {n: s for n, _, s in new}, kind)
+    if new:
+        names = [df.select("qname").distinct() for df in (one, two)]
+        table = allele_table(spark, config.alleles | {n: s for n, _, s in new})
+        one, two = tokens_of(sample.join(names[0], "qname", "left_semi"), table, "sample-sv"), tokens_of(control.join(names[1], "qname", "left_semi"), table, "control-sv")
+    result = genotype_tokens(one, two, table, config, {n: t for n, t, _ in new})
+    result.alignments = found.filter("rname = 'control'")
+    return result
+
+
+def consensus_loci(rows: DataFrame, control: DataFrame, alleles: DataFrame, knockin: DataFrame, no_filter: bool = False) -> DataFrame:
+    """allele, label, pos, muts: loci of each cluster against the control reads that are like its allele's, thresholds from the data."""
+    chosen = []
+    for r in rows.select("allele").distinct().collect():  # an amplicon has a few alleles
+        own, other = rows.filter(F.col("allele") == r["allele"]), control.filter(F.col("allele") == r["allele"])
+        if not no_filter and other.limit(1).count():
+            other = errors.normal_reads(own, errors.n_filtered(other))
+        chosen.append(other)
+    like = reduce(DataFrame.unionByName, chosen)
+    return profile.locus_pipeline(rows, like, bases(alleles), ["allele", "label"], knockin, None, consensus=True)
 
 
 def genotype_tokens(sample: DataFrame, control: DataFrame, alleles: DataFrame, config: RunConfig, variants: dict[str, list[str]] | None = None) -> Result:
     """Reads classified, clustered within their allele, called, merged and named."""
     spark = sample.sparkSession
-    loci = materialize(profile.locus_pipeline(sample, control, bases(alleles), ["allele"]), "loci")
+    knockin = knockin_positions(alleles)
+    loci = materialize(profile.locus_pipeline(sample, control, bases(alleles), ["allele"], knockin), "loci")
     chosen = materialize(classify.classify(sample, config.no_filter, config.min_reads), "classified")
     labelled = []
     lengths = {r["allele"]: r["n"] for r in alleles.select("allele", F.length("sequence").alias("n")).collect()}
@@ -77,7 +116,7 @@ def genotype_tokens(sample: DataFrame, control: DataFrame, alleles: DataFrame, c
             labelled.append(own.select("allele", "qname", F.lit(0).alias("label")))
             continue
         each = [kmers.kmers(df.select("allele", "qname", "strand", F.posexplode("tokens").alias("pos", "tok")), ["allele", "qname"], here, length).join(F.broadcast(here.select("pos")), "pos", "left_semi") for df in (own, other)]
-        score = materialize(kmers.scores(each[0], each[1], n, max(m, 1), here), "scores")
+        score = materialize(kmers.scores(each[0], each[1], n, max(m, 1), here, knockin.filter(F.col("allele") == allele).select("pos")), "scores")
         vectors = [kmers.vectors(kmers.annotate(e, score, lim), ["allele", "qname", "strand"]) for e, lim in zip(each, (None, here), strict=True)]
         labelled.append(cluster.label_reads(vectors[0], vectors[1], (strand[0] or 0, strand[1] or 0), read="qname").select("allele", "qname", "label"))
     labels = labelled[0]
@@ -88,7 +127,8 @@ def genotype_tokens(sample: DataFrame, control: DataFrame, alleles: DataFrame, c
     rows = materialize(consensus.rescale(consensus.drop_minor_labels(rows, config.no_filter, config.min_reads)), "clustered")
     top = consensus.per_label(rows, config.cap_label)
     each = top.select("allele", "label", F.posexplode("tokens").alias("pos", "tok"))
-    matrix = consensus.weight_matrix(each, ["allele", "label"], loci, bases(alleles))
+    called_loci = materialize(consensus_loci(top, control, alleles, knockin, config.no_filter), "consensus-loci")
+    matrix = consensus.weight_matrix(each, ["allele", "label"], called_loci, bases(alleles))
     called = consensus.call(matrix, ["allele", "label"])
     if variants:
         extra = spark.createDataFrame([(n, t) for n, t in variants.items()], "allele string, tokens array<string>")

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ampliqua.functions import sequential, strings
 from ampliqua.functions import tokens as K
-from ampliqua.operators import classify, consensus, kmers, profile, stats, windows
+from ampliqua.operators import classify, consensus, errors, kmers, profile, stats, sv, windows
 from ampliqua.report import summary, vcf
-from ampliqua.session import importable
+from ampliqua.session import importable, materialize, scratch
+from ampliqua.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,7 +180,6 @@ def q_relabel(spark: SparkSession, d: str) -> DataFrame:
 
 _SQL_EVENT = "CASE event_type WHEN 'view' THEN '=A' WHEN 'click' THEN '*AG' WHEN 'signup' THEN '-T' WHEN 'error' THEN '+C|+T|=G' ELSE '=C' END"
 _SQL_POSITIONS = f"p AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, {_SQL_EVENT} AS tok FROM events)"
-_LENGTH = 40
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
@@ -189,14 +189,18 @@ def _positions(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("user_id", "event_id", pos.alias("pos"), tok.alias("tok"))
 
 
-def _loci(spark: SparkSession) -> DataFrame:
-    """Fixed loci: insertions and substitutions at positions not divisible by 3, deletions at even ones."""
+def _length(rows: DataFrame) -> int:
+    return (rows.agg(F.max("pos")).first()[0] or 0) + 1
+
+
+def _loci(spark: SparkSession, length: int) -> DataFrame:
+    """Loci by rule: insertions and substitutions at positions not divisible by 3, deletions at even ones."""
     kinds = F.flatten(F.array(F.when(F.col("id") % 3 != 0, F.array(F.lit("*"), F.lit("+"))).otherwise(F.array().cast("array<string>")), F.when(F.col("id") % 2 == 0, F.array(F.lit("-"))).otherwise(F.array().cast("array<string>"))))
-    return spark.range(_LENGTH).select(F.col("id").cast("int").alias("pos"), F.array_sort(kinds).alias("muts")).filter(F.size("muts") > 0)
+    return spark.range(length).select(F.col("id").cast("int").alias("pos"), F.array_sort(kinds).alias("muts")).filter(F.size("muts") > 0)
 
 
 _SQL_HAS = "({op} IN ('*', '+') AND {pos} % 3 <> 0 OR {op} = '-' AND {pos} % 2 = 0)"
-_SQL_KMERS = f"""{_SQL_POSITIONS}, q AS (SELECT * FROM p WHERE pos < {_LENGTH}), w AS (SELECT *, pos > 0 AND pos < {_LENGTH - 1} AND (pos % 3 <> 0 OR pos % 2 = 0) AS live FROM q),
+_SQL_KMERS = f"""{_SQL_POSITIONS}, z AS (SELECT max(pos) + 1 AS size FROM p), w AS (SELECT p.*, pos > 0 AND pos < size - 1 AND (pos % 3 <> 0 OR pos % 2 = 0) AS live FROM p, z),
 o AS (SELECT *, CASE WHEN live AND tok LIKE '+%' THEN '+I=G' ELSE tok END AS own FROM w),
 a AS (SELECT *, lag(own) OVER u AS pt, lead(tok) OVER u AS nt FROM o WINDOW u AS (PARTITION BY user_id ORDER BY pos)),
 k AS (SELECT user_id, pos, CASE WHEN live AND {_SQL_HAS.format(op="tok[1]", pos="pos")} THEN
@@ -205,8 +209,9 @@ k AS (SELECT user_id, pos, CASE WHEN live AND {_SQL_HAS.format(op="tok[1]", pos=
 
 
 def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    rows = _positions(spark, d).filter(F.col("pos") < _LENGTH)
-    return kmers.kmers(rows, ["user_id"], _loci(spark), _LENGTH)
+    rows = _positions(spark, d)
+    length = _length(rows)
+    return kmers.kmers(rows, ["user_id"], _loci(spark, length), length)
 
 
 @query(f"WITH {_SQL_KMERS} SELECT user_id, pos, kmer FROM k")
@@ -234,12 +239,12 @@ def q_kmer_subtract(spark: SparkSession, d: str) -> DataFrame:
     return _difference(spark, d).select("pos", "kmer", F.round("pct", 3).alias("pct"))
 
 
-_SQL_LEVEL = f"""{_SQL_DIFF}, ins AS (SELECT range AS pos FROM range({_LENGTH}) WHERE range % 3 <> 0), isl AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM ins),
+_SQL_LEVEL = f"""{_SQL_DIFF}, ins AS (SELECT i AS pos FROM (SELECT unnest(range(size)) AS i FROM z) WHERE i % 3 <> 0), isl AS (SELECT pos, pos - row_number() OVER (ORDER BY pos) AS g FROM ins),
 lev AS (SELECT y.pos, kmer, CASE WHEN split_part(kmer, ',', 2) LIKE '+%' AND g IS NOT NULL THEN max(CASE WHEN split_part(kmer, ',', 2) LIKE '+%' THEN pct END) OVER (PARTITION BY g) ELSE pct END AS pct FROM y LEFT JOIN isl ON isl.pos = y.pos)"""
 
 
 def _level(spark: SparkSession, d: str) -> DataFrame:
-    ins = _loci(spark).filter(F.array_contains("muts", "+")).select("pos")
+    ins = _loci(spark, _length(_positions(spark, d))).filter(F.array_contains("muts", "+")).select("pos")
     return kmers.level_insertions(_difference(spark, d), ins)
 
 
@@ -271,7 +276,7 @@ def q_runs(spark: SparkSession, d: str) -> DataFrame:
     return windows.value_runs(_positions(spark, d).select("user_id", "pos", "tok"), ["user_id"], ["pos"], "tok", 3)
 
 
-@query("""WITH l AS (SELECT DISTINCT o_orderpriority AS mut, CAST(epoch(o_orderdate) / 86400 AS INT) AS pos FROM orders WHERE o_totalprice > 440000),
+@query("""WITH l AS (SELECT DISTINCT o_orderpriority || c_nationkey AS mut, CAST(epoch(o_orderdate) / 86400 AS INT) AS pos FROM orders JOIN customer ON c_custkey = o_custkey),
 a AS (SELECT *, lead(pos) OVER (PARTITION BY mut ORDER BY pos) AS nx FROM l),
 b AS (SELECT mut, pos FROM l UNION SELECT mut, CAST(unnest(generate_series(pos + 1, nx - 1)) AS INT) FROM a WHERE pos + 10 > nx AND nx - pos > 1),
 c AS (SELECT *, lead(pos) OVER w AS nx, count(*) OVER (PARTITION BY mut ORDER BY pos RANGE BETWEEN 11 PRECEDING AND 1 PRECEDING) AS lf, count(*) OVER (PARTITION BY mut ORDER BY pos RANGE BETWEEN 1 FOLLOWING AND 11 FOLLOWING) AS rt FROM b WINDOW w AS (PARTITION BY mut ORDER BY pos)),
@@ -279,7 +284,8 @@ e AS (SELECT *, lead(rt) OVER (PARTITION BY mut ORDER BY pos) AS nr FROM c),
 f AS (SELECT mut, pos FROM b UNION SELECT mut, CAST(unnest(generate_series(pos + 1, nx - 1)) AS INT) FROM e WHERE pos + 20 >= nx AND nx - pos > 1 AND lf >= 8 AND nr >= 8)
 SELECT mut, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total FROM f GROUP BY mut""")
 def q_gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "orders").filter("o_totalprice > 440000").select(F.col("o_orderpriority").alias("mut"), F.datediff("o_orderdate", F.lit("1970-01-01")).alias("pos"))
+    both = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    rows = both.select(F.concat("o_orderpriority", F.col("c_nationkey").cast("string")).alias("mut"), F.datediff("o_orderdate", F.lit("1970-01-01")).alias("pos"))
     return windows.fill_gaps(rows, ["mut"]).groupBy("mut").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("total"))
 
 
@@ -291,13 +297,12 @@ def q_longest_run(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", _long(K.longest_n_run(F.col("nm"))).alias("longest"), F.round(K.n_ratio(F.col("nm")), 6).alias("ratio"))
 
 
-@query("""WITH c AS (SELECT p_partkey, CAST(unnest(generate_series(1, length(p_name))) AS INT) AS pos, p_name FROM part), b AS (SELECT p_partkey, pos, p_name[pos] AS base FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - row_number() OVER (PARTITION BY p_partkey, base ORDER BY pos) AS g FROM b)
-SELECT p_partkey, min(pos) AS start, max(pos) + 1 AS stop FROM r WHERE base <> ' ' GROUP BY p_partkey, base, g HAVING count(*) >= 2""")
+@query("""WITH c AS (SELECT doc_id, string_split(text, '') AS l FROM documents WHERE text IS NOT NULL), b AS (SELECT doc_id, unnest(l) AS base, CAST(unnest(range(len(l))) AS INT) AS pos FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) AS g FROM b)
+SELECT doc_id, min(pos) AS start, max(pos) + 1 AS stop FROM r WHERE base >= 'a' AND base <= 'z' AND length(base) = 1 GROUP BY doc_id, base, g HAVING count(*) >= 3""")
 def q_homopolymer(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "part").select("p_partkey", F.posexplode(F.split("p_name", "")).alias("i", "base"))
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    return profile.repeat_spans(rows.withColumn("pos", F.col("i") + 1), ["p_partkey"], least=2, letters=letters)
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "base"))
+    return profile.repeat_spans(rows, ["doc_id"], least=3, letters="abcdefghijklmnopqrstuvwxyz")
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) AS g(i) GROUP BY label, i),
@@ -323,17 +328,21 @@ def q_strand_bias(spark: SparkSession, d: str) -> DataFrame:
     return _strands(spark, d).withColumn("biased", profile.ratio_biased(F.col("plus"), F.col("minus"), 0.2, 0.7))
 
 
-@query(f"""WITH {_SQL_STRAND}, t AS (SELECT l_linenumber, l_returnflag, plus // 4 AS a, minus // 4 AS b, (sum(plus) OVER ()) // 64 AS c, (sum(minus) OVER ()) // 64 AS d FROM s),
-x AS (SELECT *, unnest(generate_series(CAST(greatest(0, a + b + a + c - (a + b + c + d)) AS BIGINT), CAST(least(a + b, a + c) AS BIGINT))) AS k FROM t),
-p AS (SELECT *, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(greatest(k, 0.5) + CASE WHEN k = 0 THEN 0.5 ELSE 1 END)
-  - lgamma(CASE WHEN a + b - k = 0 THEN 1 ELSE a + b - k + 1 END) - lgamma(CASE WHEN a + c - k = 0 THEN 1 ELSE a + c - k + 1 END) - lgamma(CASE WHEN d - a + k = 0 THEN 1 ELSE d - a + k + 1 END) AS l FROM x),
-o AS (SELECT l_linenumber, l_returnflag, max(l) FILTER (k = a) AS own FROM p GROUP BY ALL)
-SELECT l_linenumber, l_returnflag, round(least(1, sum(exp(l)) FILTER (l <= own + 1e-7)), 6) AS p_value FROM p JOIN o USING (l_linenumber, l_returnflag) GROUP BY ALL""")
+def fisher_sql(source: str, keys: str) -> str:
+    """CTEs that end in pv (keys, p_value), from t (keys, a, b, c, d)."""
+    log = lambda x: f"lgamma({x} + 1.0)"
+    return f"""t AS ({source}), x AS (SELECT *, unnest(generate_series(CAST(greatest(0, a - d) AS BIGINT), CAST(least(a + b, a + c) AS BIGINT))) AS k FROM t),
+p AS (SELECT *, {log("(a + b)")} + {log("(c + d)")} + {log("(a + c)")} + {log("(b + d)")} - {log("(a + b + c + d)")} - {log("k")} - {log("(a + b - k)")} - {log("(a + c - k)")} - {log("(d - a + k)")} AS l FROM x),
+o AS (SELECT {keys}, max(l) FILTER (k = a) AS own FROM p GROUP BY ALL),
+pv AS (SELECT {keys}, least(1, sum(exp(l)) FILTER (l <= own + 1e-7)) AS p_value FROM p JOIN o USING ({keys}) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SQL_STRAND}, {fisher_sql("SELECT l_linenumber, l_returnflag, plus AS a, minus AS b, sum(plus) OVER () AS c, sum(minus) OVER () AS d FROM s", "l_linenumber, l_returnflag")}
+SELECT l_linenumber, l_returnflag, round(p_value, 6) AS p_value FROM pv""")
 def q_fisher(spark: SparkSession, d: str) -> DataFrame:
     s = _strands(spark, d)
-    whole = s.agg(F.floor(F.sum("plus") / 64).alias("c"), F.floor(F.sum("minus") / 64).alias("d"))
-    t = s.crossJoin(whole)  # one row
-    return t.select("l_linenumber", "l_returnflag", F.round(stats.fisher_udf(F.floor(F.col("plus") / 4), F.floor(F.col("minus") / 4), "c", "d"), 6).alias("p_value"))
+    t = s.crossJoin(s.agg(F.sum("plus").alias("c"), F.sum("minus").alias("d")))  # one row
+    return t.select("l_linenumber", "l_returnflag", F.round(stats.fisher_udf("plus", "minus", "c", "d"), 6).alias("p_value"))
 
 
 _SQL_PWM = f"""tok AS (SELECT l_linestatus AS label, l_linenumber AS pos, {_SQL_TOKEN} AS tok FROM lineitem),
@@ -361,11 +370,11 @@ def q_consensus(spark: SparkSession, d: str) -> DataFrame:
     return consensus.call(_pwm(spark, d), ["label"]).select("label", F.array_join("tokens", ",").alias("midsv"), "sequence")
 
 
-@query("""WITH c AS (SELECT p_type AS allele, CAST(p_partkey AS INT) AS label, p_name AS sequence, CAST(p_size AS DOUBLE) AS percent FROM part WHERE p_partkey < 1000),
+@query("""WITH c AS (SELECT p_type AS allele, CAST(p_partkey AS INT) AS label, p_name AS sequence, CAST(p_size AS DOUBLE) AS percent FROM part),
 g AS (SELECT allele, sequence, min(label) AS first, sum(percent) AS percent, count(*) AS n FROM c GROUP BY ALL)
 SELECT allele, sequence, percent, CAST(row_number() OVER (ORDER BY percent DESC, first) AS INT) AS label FROM g""")
 def q_merge_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "part").filter("p_partkey < 1000").select(F.col("p_type").alias("allele"), F.col("p_partkey").cast("int").alias("label"), F.col("p_name").alias("sequence"), F.col("p_size").cast("double").alias("percent"))
+    rows = _t(spark, d, "part").select(F.col("p_type").alias("allele"), F.col("p_partkey").cast("int").alias("label"), F.col("p_name").alias("sequence"), F.col("p_size").cast("double").alias("percent"))
     return consensus.merge_equal(rows)[0].select("allele", "sequence", "percent", "label")
 
 
@@ -381,25 +390,22 @@ def q_set_ops(spark: SparkSession, d: str) -> DataFrame:
     return profile.transpose(out, []).select("pos", F.array_join("muts", "").alias("muts"))
 
 
-@query("""SELECT a.n_name AS one, b.n_name AS two, CAST(damerau_levenshtein(a.n_name, b.n_name) AS INT) AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey WHERE damerau_levenshtein(a.n_name, b.n_name) < 10""")
+@query("""SELECT p_partkey, CAST(damerau_levenshtein(p_name, p_type) AS INT) AS distance FROM part""")
 def q_edit_distance(spark: SparkSession, d: str) -> DataFrame:
-    n = _t(spark, d, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("one")), n.select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("two"))
-    pairs = a.join(b, F.col("i") < F.col("j"))  # nations are 25
-    return pairs.select("one", "two", stats.edit_distance_udf("one", "two").alias("distance")).filter("distance < 10")
+    return _t(spark, d, "part").select("p_partkey", stats.edit_distance_udf("p_name", "p_type").alias("distance"))
 
 
 @query("""SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(CAST(o_orderkey AS VARCHAR))) AS k FROM orders) WHERE k <= 50""")
 def q_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority").orderBy(F.md5(F.col("o_orderkey").cast("string")))
-    return _t(spark, d, "orders").withColumn("k", F.row_number().over(w)).filter("k <= 50").select("o_orderpriority", "o_orderkey")
+    rows = _t(spark, d, "orders").withColumnRenamed("o_orderpriority", "label")
+    found = consensus.per_label(rows, 50, order=[F.md5(F.col("o_orderkey").cast("string"))])
+    return found.select(F.col("label").alias("o_orderpriority"), "o_orderkey")
 
 
-@query("""SELECT user_id, """ + ", ".join(f"round(coalesce(sum(value) FILTER (event_type = '{e}'), 0), 2) AS \"{e}\"" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id")
+@query("SELECT user_id, " + ", ".join(f'CAST(count(*) FILTER (hour(ts) = {h}) AS INT) AS "{h}"' for h in range(24)) + " FROM events GROUP BY user_id")
 def q_pivot_features(spark: SparkSession, d: str) -> DataFrame:
-    kinds = ["click", "error", "purchase", "signup", "view"]
-    wide = _t(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.sum("value")).na.fill(0.0)
-    return wide.select("user_id", *(F.round(k, 2).alias(k) for k in kinds))
+    rows = _t(spark, d, "events").groupBy("user_id", F.hour(F.col("ts").cast("timestamp")).alias("start")).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return sv.features(rows, "user_id", list(range(24)))
 
 
 @query("""WITH a AS (SELECT o_custkey, o_orderkey, CAST(epoch(o_orderdate) / 86400 AS INT) AS pos, CAST(o_totalprice / 20000 AS INT) AS length FROM orders),
@@ -410,7 +416,7 @@ def q_overlap(spark: SparkSession, d: str) -> DataFrame:
     return windows.overlapping_dropped(rows, "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH t AS (SELECT l_orderkey, {_SQL_TOKEN} AS tok, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SQL_LINE_ORDER}, {_SQL_TOKEN}) AS pos FROM lineitem WHERE l_orderkey % 7 = 0),
+@query(f"""WITH t AS (SELECT l_orderkey, {_SQL_TOKEN} AS tok, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SQL_LINE_ORDER}, {_SQL_TOKEN}) AS pos FROM lineitem),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY l_orderkey, tok = '-T', tok = '=N' ORDER BY pos) AS g FROM t), p AS (SELECT *, lag(tok) OVER (PARTITION BY l_orderkey ORDER BY pos) AS pt FROM t),
 base AS (SELECT *, CASE WHEN pt IS NULL THEN NULL WHEN pt LIKE '+%' THEN 'G' WHEN pt LIKE '*%' THEN 'A' ELSE right(pt, 1) END AS anchor FROM p)
 SELECT l_orderkey, CAST(min(pos) AS INT) AS pos, 'T' AS ref, '<DEL>' AS alt, 'DEL' AS kind, -CAST(count(*) AS INT) AS svlen FROM g WHERE tok = '-T' GROUP BY l_orderkey, g
@@ -418,7 +424,7 @@ UNION ALL SELECT l_orderkey, CAST(min(pos) AS INT), 'N', '<DEL>', 'DEL', -CAST(c
 UNION ALL SELECT l_orderkey, CAST(pos AS INT), 'A', 'G', 'SUB', 0 FROM t WHERE tok LIKE '*%'
 UNION ALL SELECT l_orderkey, CAST(CASE WHEN anchor IS NULL THEN pos ELSE pos - 1 END AS INT), coalesce(anchor, 'G'), coalesce(anchor, 'G') || 'AC', 'INS', 2 FROM base WHERE tok LIKE '+%'""")
 def q_vcf_records(spark: SparkSession, d: str) -> DataFrame:
-    reads = _reads(spark, d).filter("l_orderkey % 7 = 0").select(F.col("l_orderkey").cast("string").alias("name"), "tokens")
+    reads = _reads(spark, d).select(F.col("l_orderkey").cast("string").alias("name"), "tokens")
     v = vcf.variants(reads)
     return v.select(F.col("id").cast("long").alias("l_orderkey"), "pos", "ref", "alt", F.col("info")["TYPE"].alias("kind"), F.coalesce(F.col("info")["SVLEN"].cast("int"), F.lit(0)).alias("svlen"))
 
@@ -436,18 +442,28 @@ def q_summary_distinct(spark: SparkSession, d: str) -> DataFrame:
     return summary.distinct(named)
 
 
-@query("""WITH k AS (SELECT lower(p_brand) AS a, lower(p_type) AS b, min(p_name) AS path FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2), f AS (SELECT lower(p_type) AS b, min(p_name) AS path FROM part WHERE p_partkey % 3 = 0 GROUP BY 1)
+@query("""WITH k AS (SELECT lower(p_brand) AS a, lower(p_type) AS b, min(p_name) AS path FROM part WHERE p_size > 30 GROUP BY 1, 2), f AS (SELECT lower(p_type) AS b, min(p_name) AS path FROM part WHERE p_size > 30 GROUP BY 1)
 SELECT p_partkey, coalesce(k.path, f.path, '') AS path FROM part LEFT JOIN k ON lower(p_brand) = k.a AND lower(p_type) = k.b LEFT JOIN f ON lower(p_type) = f.b""")
 def q_html_lookup(spark: SparkSession, d: str) -> DataFrame:
     part = _t(spark, d, "part")
-    files = part.filter("p_partkey % 3 = 0").select(F.col("p_brand").alias("allele"), F.col("p_type").alias("type"), F.col("p_name").alias("path"))
+    files = part.filter("p_size > 30").select(F.col("p_brand").alias("allele"), F.col("p_type").alias("type"), F.col("p_name").alias("path"))
     rows = part.select("p_partkey", F.col("p_brand").alias("allele"), F.col("p_type").alias("type"))
     return summary.attach_paths(rows, files, ["allele", "type"], ["type"]).select("p_partkey", "path")
 
 
-@query("""SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 5""")
+@query("""SELECT DISTINCT c_name AS sample, 'control' AS control, c_mktsegment AS allele, c_mktsegment AS name, CASE WHEN c_nationkey < 12 THEN 'mm39' END AS genome FROM customer WHERE c_acctbal >= 0""")
 def q_manifest_check(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds")).filter("kinds = 5")
+    rows = _t(spark, d, "customer").select(
+        F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("sample"),
+        F.when(F.col("c_acctbal") >= 0, " control").otherwise(" ").alias("control"),
+        F.col("c_mktsegment").alias("allele"),
+        F.col("c_mktsegment").alias("name"),
+        F.when(F.col("c_nationkey") < 12, "mm39").otherwise("").alias("genome"),
+        F.lit("other").alias("remark"),
+    )
+    path = scratch(spark, "manifest")
+    rows.write.option("header", True).csv(path)
+    return files.read_manifest(spark, path)
 
 
 @query(f"""WITH {_SQL_READS} SELECT l_orderkey, array_to_string(list_transform(tokens, lambda t: CASE WHEN t LIKE '+%' THEN 'ACG' WHEN t LIKE '-%' THEN '' ELSE right(t, 1) END), '') AS sequence FROM r""")
@@ -468,10 +484,11 @@ def q_cs_tag(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).select("l_orderkey", K.cs_tag(F.col("tokens")).alias("cs"))
 
 
-@query(f"""WITH {_SQL_READS} SELECT l_orderkey, array_to_string(list_transform(list_reverse(tokens), lambda t: translate(t, 'ACGT', 'TGCA')), ',') AS turned FROM r WHERE len(list_filter(tokens, lambda t: t LIKE '+%')) = 0""")
+@query(f"""WITH t AS (SELECT l_orderkey, {_SQL_TOKEN} AS tok, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_SQL_LINE_ORDER}, {_SQL_TOKEN}) AS i FROM lineitem),
+n AS (SELECT *, lead(tok) OVER (PARTITION BY l_orderkey ORDER BY i) AS nx FROM t)
+SELECT l_orderkey, string_agg(CASE WHEN i = 1 AND tok LIKE '+%' THEN '+G|+T|' ELSE '' END || CASE WHEN nx LIKE '+%' THEN '+G|+T|' ELSE '' END || CASE WHEN tok LIKE '+%' THEN '=C' ELSE translate(tok, 'ACGT', 'TGCA') END, ',' ORDER BY i DESC) AS turned FROM n GROUP BY l_orderkey""")
 def q_revcomp_tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = _reads(spark, d).filter(F.size(F.filter("tokens", lambda t: t.startswith("+"))) == 0)
-    return rows.select("l_orderkey", F.array_join(sequential.reverse_complement_udf("tokens"), ",").alias("turned"))
+    return _reads(spark, d).select("l_orderkey", F.array_join(sequential.reverse_complement_udf("tokens"), ",").alias("turned"))
 
 
 @query("""SELECT l_linenumber AS pos, count(*) AS n, CAST(count(*) FILTER (l_partkey & 16 <> 0) AS BIGINT) AS minus, CAST(sum(xor(l_suppkey, 16)) AS BIGINT) AS toggled FROM lineitem GROUP BY 1""")
@@ -480,44 +497,45 @@ def q_strand_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("l_linenumber").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("strand") == "-").alias("minus"), F.sum(strings.reverse_flag(F.col("l_suppkey"))).alias("toggled"))
 
 
-@query(f"""WITH {_SQL_PROFILE}, m AS (SELECT s.pos, s.mut, s.pct AS x, least(s.pct, coalesce(c.pct, 0)) AS y FROM prof s LEFT JOIN prof c ON c.l_linestatus = 'F' AND c.pos = s.pos AND c.mut = s.mut WHERE s.l_linestatus = 'O'),
+def _sql_cosine(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) = 0 THEN 0 WHEN list_sum(list_transform({x}, lambda v: v * v)) = 0 OR list_sum(list_transform({y}, lambda v: v * v)) = 0 THEN 1 ELSE 1 - greatest(-1, least(1, list_inner_product({x}, {y}) / (sqrt(list_inner_product({x}, {x})) * sqrt(list_inner_product({y}, {y})) + 2.220446049250313e-16))) END"
+
+
+SQL_DISSIMILAR = f"""{_SQL_PROFILE}, m AS (SELECT s.pos, s.mut, s.pct AS x, least(s.pct, coalesce(c.pct, 0)) AS y FROM prof s LEFT JOIN prof c ON c.l_linestatus = 'F' AND c.pos = s.pos AND c.mut = s.mut WHERE s.l_linestatus = 'O'),
 a AS (SELECT *, list(x) OVER w AS xs, list(y) OVER w AS ys FROM m WINDOW w AS (PARTITION BY mut ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
-d AS (SELECT *, CASE WHEN len(xs) = 0 THEN 0 WHEN list_sum(list_transform(xs, lambda v: v * v)) = 0 OR list_sum(list_transform(ys, lambda v: v * v)) = 0 THEN 1 ELSE 1 - list_inner_product(xs, ys) / (sqrt(list_inner_product(xs, xs)) * sqrt(list_inner_product(ys, ys)) + 2.220446049250313e-16) END AS d FROM a)
-SELECT pos, mut, x - y > 20 OR d > 0.05 AS wide, round(d, 6) AS d FROM d""")
-def q_look_ahead(spark: SparkSession, d: str) -> DataFrame:
-    both = windows.look_ahead(windows.look_ahead(_pairs(spark, d), ["mut"], "pos", "sample", 10, "xs"), ["mut"], "pos", "control", 10, "ys")
-    dist = profile.cosine_distance(F.col("xs"), F.col("ys"))
-    return both.select("pos", "mut", ((F.col("sample") - F.col("control") > 20) | (dist > 0.05)).alias("wide"), F.round(dist, 6).alias("d"))
+d AS (SELECT *, {_sql_cosine("xs", "ys")} AS d, {_sql_cosine("xs[2:]", "ys[2:]")} AS t FROM a),
+dis AS (SELECT pos, mut, x, y, CASE WHEN x - y > 20 THEN {{jump}} WHEN d <= 0.05 THEN false ELSE d / (d + t) > 0.9 END AS dissimilar FROM d)"""
 
 
-@query()
-def q_two_means(spark: SparkSession, d: str) -> DataFrame:
-    """A data-driven threshold for each return flag."""
-    rows = _t(spark, d, "lineitem").select(F.lit("all").alias("allele"), F.col("l_returnflag").alias("mut"), F.col("l_quantity").alias("sample"), (F.col("l_discount") * 100).alias("control"))
-    small = rows.groupBy("allele", "mut", "sample", "control").count().drop("count")
-    return stats.data_thresholds(small, ["allele"])
+@query(f"WITH {SQL_DISSIMILAR.format(jump='true')} SELECT pos, mut, dissimilar FROM dis")
+def q_look_ahead(spark: SparkSession, d: str) -> DataFrame:
+    return profile.dissimilar(_pairs(spark, d), []).select("pos", "mut", "dissimilar")
 
 
-@query()
-def q_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of bisecting k-means clusters of the embeddings."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.functions import array_to_vector
+@query(f"""WITH {SQL_DISSIMILAR.format(jump='x > 50')} SELECT pos, mut FROM dis WHERE dissimilar AND x - y > CASE mut WHEN '+' THEN 0.5 WHEN '-' THEN 0.1 ELSE 0.2 END""")
+def q_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    return profile.anomalies(_pairs(spark, d), [], {"+": 0.5, "-": 0.1, "*": 0.2}, consensus=True)
+
 
-    v = _t(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    made = BisectingKMeans(k=4, seed=1).fit(v).transform(v)
-    return made.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+@query("""WITH v AS (SELECT l_returnflag AS mut, l_quantity - l_discount * 100 AS x, count(*) AS n FROM lineitem GROUP BY ALL),
+w AS (SELECT mut, x, sum(n) OVER a AS c, sum(n * x) OVER a AS s, sum(n * x * x) OVER a AS q, sum(n) OVER b AS ca, sum(n * x) OVER b AS sa, sum(n * x * x) OVER b AS qa FROM v WINDOW a AS (PARTITION BY mut ORDER BY x), b AS (PARTITION BY mut)),
+k AS (SELECT *, row_number() OVER (PARTITION BY mut ORDER BY q - s * s / c + (qa - q) - (sa - s) * (sa - s) / (ca - c), x) AS k FROM w WHERE c < ca)
+SELECT 'all' AS allele, mut, round(greatest((s / c + (sa - s) / (ca - c)) / 2, 10), 4) AS threshold FROM k WHERE k = 1""")
+def q_two_means(spark: SparkSession, d: str) -> DataFrame:
+    """A data-driven threshold for each return flag, from all lines."""
+    rows = _t(spark, d, "lineitem").select(F.lit("all").alias("allele"), F.col("l_returnflag").alias("mut"), F.col("l_quantity").alias("sample"), (F.col("l_discount") * 100).alias("control"))
+    return stats.data_thresholds(rows, ["allele"]).withColumn("threshold", F.round("threshold", 4))
 
 
 @query()
-def q_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """Held-in accuracy of a logistic regression of the embedding's label."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    v = _t(spark, d, "embeddings").select(F.col("label").cast("double").alias("label"), array_to_vector("embedding").alias("features"))
-    made = LogisticRegression(regParam=0.01).fit(v).transform(v)
-    return made.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+def q_error_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of 1-month halves as control and sample: reads with errors by two clusters, then by the classifier they train."""
+    reads = _reads(spark, d).join(_t(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    reads = reads.withColumn("late", F.dayofmonth("o_orderdate") > 15)
+    judged = materialize(errors.control_errors(reads.filter("not late")), "judged")
+    found = errors.sample_errors(reads.filter("late"), judged)
+    good, bad = errors.kept(reads.filter("late"), found, "l_orderkey")
+    return good.select("l_orderkey", F.lit(False).alias("error")).union(bad.select("l_orderkey", F.lit(True)))
 
 
 @query()

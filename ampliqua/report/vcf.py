@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliqua.functions.strings import revcomp_text
@@ -144,10 +144,14 @@ def variants(consensus: DataFrame, where: GenomeCoordinates | None = None, chrom
 
 def text_lines(found: DataFrame) -> DataFrame:
     """id, k, value: the lines of each allele's VCF, header first, by chromosome, position and order."""
-    made = F.udf(lambda c, p, i, r, a, info: line({"chrom": c, "pos": p, "id": i, "ref": r, "alt": a, "info": info}), "string")
-    from pyspark.sql import Window
 
-    body = found.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("chrom", "pos", "ord")) + 1).alias("k"), made("chrom", "pos", "id", "ref", "alt", "info").alias("value"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["value"] = [line(r) for r in pdf.to_dict("records")]
+            yield pdf[["id", "k", "value"]]
+
+    ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("chrom", "pos", "ord")) + 1)
+    body = ranked.mapInPandas(run, "id string, k int, value string")
     head = found.select("id").distinct().select("id", F.posexplode(F.array(*map(F.lit, HEADER))).alias("k", "value"))
     return head.union(body)
 

@@ -23,9 +23,8 @@ def session(app: str = "ampliqua", master: str | None = None, **conf: str) -> Sp
     return builder.config(map=defaults | conf).getOrCreate()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read again; a local session may do without that setting."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, removed at the end; a local session may do without that setting."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -35,8 +34,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/ampliqua-{name}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(at)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def importable(spark: SparkSession) -> None:

@@ -23,8 +23,8 @@ class BedError(ValueError):
 
 def read_fasta(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """ord, name (sanitised), sequence (upper-case), of wrapped or single lines; ord follows the file."""
-    one = spark.read.option("lineSep", ">").text(paths if isinstance(paths, str) else list(paths))
-    rows = one.filter(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
+    one = spark.read.option("lineSep", "\n>").text(paths if isinstance(paths, str) else list(paths))
+    rows = one.withColumn("value", F.regexp_replace("value", "^>", "")).filter(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     return rows.select("ord", strings.sanitize(F.split(F.trim(head), r"\s+")[0]).alias("name"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")).alias("sequence"))
 
@@ -113,10 +113,11 @@ def validate_reads(reads: DataFrame, first: int = 100) -> None:
 
 
 def downsample(reads: DataFrame, most: int, factor: int = 1, seed: int = 1) -> DataFrame:
-    """At most so many reads, those with the least hash; nothing goes while there are no more than factor times as many."""
+    """Reads of so many names, those with the least hash; nothing goes while there are no more than factor times as many reads."""
     if reads.limit(most * factor + 1).count() <= most * factor:
         return reads
-    return reads.orderBy(F.xxhash64("qname", F.lit(seed)), "qname").limit(most)
+    few = reads.select("qname").distinct().orderBy(F.xxhash64("qname", F.lit(seed)), "qname").limit(most)  # names alone are ranked
+    return reads.join(few, "qname", "left_semi").select(*reads.columns)
 
 
 def read_sam(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -204,8 +205,8 @@ def write_fasta(rows: DataFrame, path: str, name: str = "name") -> None:
 
 
 def write_sam(header: DataFrame, alignments: DataFrame, path: str) -> None:
-    """Sorted SAM text, header first in each part."""
+    """SAM text sorted over all parts, the header in the first: the parts in the order of their names are the file."""
     fields = [f.name for f in ALIGNMENTS][:11]
     body = alignments.select(F.lit(1).alias("k"), "rname", "pos", F.concat_ws("\t", *(F.col(c).cast("string") for c in fields)).alias("value"))
     head = header.select(F.lit(0).alias("k"), F.lit("").alias("rname"), F.lit(0).alias("pos"), "value").distinct()
-    head.union(body).repartitionByRange(1, "k").sortWithinPartitions("k", "rname", "pos").select("value").write.text(path)
+    head.union(body).orderBy("k", "rname", "pos").select("value").write.text(path)
