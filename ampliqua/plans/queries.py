@@ -104,8 +104,14 @@ cnt AS (SELECT l_linestatus, pos, count(*) FILTER (tok LIKE '=%') AS m, count(*)
 prof AS (SELECT l_linestatus, pos, u.mut, u.n, CASE WHEN u.n + m > 0 THEN 100.0::DOUBLE * u.n / (u.n + m) ELSE 0 END AS pct FROM cnt, LATERAL (VALUES ('+', i), ('-', d), ('*', s)) AS u(mut, n))"""
 
 
-def _profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = _token(_t(spark, d, "lineitem")).select("l_linestatus", F.col("l_linenumber").alias("pos"), "tok")
+#: The same of large and of small quantities, which differ.
+_SQL_SIDES = _SQL_PROFILE.replace("SELECT l_linestatus, l_linenumber AS pos", "SELECT CASE WHEN l_quantity > 25 THEN 'O' ELSE 'F' END AS l_linestatus, l_linenumber AS pos", 1)
+
+
+def _profile(spark: SparkSession, d: str, sides: bool = False) -> DataFrame:
+    rows = _token(_t(spark, d, "lineitem"))
+    rows = rows.withColumn("l_linestatus", F.when(F.col("l_quantity") > 25, "O").otherwise("F")) if sides else rows
+    rows = rows.select("l_linestatus", F.col("l_linenumber").alias("pos"), "tok")
     return profile.normalize(profile.count_indels(rows, ["l_linestatus"]), ["l_linestatus"])
 
 
@@ -114,8 +120,8 @@ def q_indel_profile(spark: SparkSession, d: str) -> DataFrame:
     return _profile(spark, d).withColumn("pct", F.round("pct", 6))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _profile(spark, d)
+def _pairs(spark: SparkSession, d: str, sides: bool = False) -> DataFrame:
+    p = _profile(spark, d, sides)
     return profile.against_control(p.filter("l_linestatus = 'O'").drop("l_linestatus"), p.filter("l_linestatus = 'F'").drop("l_linestatus"), [])
 
 
@@ -501,7 +507,7 @@ def _sql_cosine(x: str, y: str) -> str:
     return f"CASE WHEN len({x}) = 0 THEN 0 WHEN list_sum(list_transform({x}, lambda v: v * v)) = 0 OR list_sum(list_transform({y}, lambda v: v * v)) = 0 THEN 1 ELSE 1 - greatest(-1, least(1, list_inner_product({x}, {y}) / (sqrt(list_inner_product({x}, {x})) * sqrt(list_inner_product({y}, {y})) + 2.220446049250313e-16))) END"
 
 
-SQL_DISSIMILAR = f"""{_SQL_PROFILE}, m AS (SELECT s.pos, s.mut, s.pct AS x, least(s.pct, coalesce(c.pct, 0)) AS y FROM prof s LEFT JOIN prof c ON c.l_linestatus = 'F' AND c.pos = s.pos AND c.mut = s.mut WHERE s.l_linestatus = 'O'),
+SQL_DISSIMILAR = f"""{_SQL_SIDES}, m AS (SELECT s.pos, s.mut, s.pct AS x, least(s.pct, coalesce(c.pct, 0)) AS y FROM prof s LEFT JOIN prof c ON c.l_linestatus = 'F' AND c.pos = s.pos AND c.mut = s.mut WHERE s.l_linestatus = 'O'),
 a AS (SELECT *, list(x) OVER w AS xs, list(y) OVER w AS ys FROM m WINDOW w AS (PARTITION BY mut ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 d AS (SELECT *, {_sql_cosine("xs", "ys")} AS d, {_sql_cosine("xs[2:]", "ys[2:]")} AS t FROM a),
 dis AS (SELECT pos, mut, x, y, CASE WHEN x - y > 20 THEN {{jump}} WHEN d <= 0.05 THEN false ELSE d / (d + t) > 0.9 END AS dissimilar FROM d)"""
@@ -509,12 +515,12 @@ dis AS (SELECT pos, mut, x, y, CASE WHEN x - y > 20 THEN {{jump}} WHEN d <= 0.05
 
 @query(f"WITH {SQL_DISSIMILAR.format(jump='true')} SELECT pos, mut, dissimilar FROM dis")
 def q_look_ahead(spark: SparkSession, d: str) -> DataFrame:
-    return profile.dissimilar(_pairs(spark, d), []).select("pos", "mut", "dissimilar")
+    return profile.dissimilar(_pairs(spark, d, True), []).select("pos", "mut", "dissimilar")
 
 
-@query(f"""WITH {SQL_DISSIMILAR.format(jump='x > 50')} SELECT pos, mut FROM dis WHERE dissimilar AND x - y > CASE mut WHEN '+' THEN 0.5 WHEN '-' THEN 0.1 ELSE 0.2 END""")
+@query(f"""WITH {SQL_DISSIMILAR.format(jump='true')} SELECT pos, mut FROM dis WHERE dissimilar AND x - y > CASE mut WHEN '+' THEN 0.5 WHEN '-' THEN 0.1 ELSE 0.2 END""")
 def q_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return profile.anomalies(_pairs(spark, d), [], {"+": 0.5, "-": 0.1, "*": 0.2}, consensus=True)
+    return profile.anomalies(_pairs(spark, d, True), [], {"+": 0.5, "-": 0.1, "*": 0.2})
 
 
 @query("""WITH v AS (SELECT l_returnflag AS mut, l_quantity - l_discount * 100 AS x, count(*) AS n FROM lineitem GROUP BY ALL),

@@ -65,7 +65,8 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if open_:
                     out.append(("tail", block[0], block[1] + block[2], *open_, ""))
                 block, open_, first = here, None, True
-            lines = [x.rstrip("\r") for x in value.removeprefix("@").rstrip("\n").split("\n")]
+            value = value.removeprefix("@") if first and not here[1] else value  # the others' '@' went with the separator
+            lines = [x.rstrip("\r") for x in value.rstrip("\n").split("\n")]
             if open_:
                 out.append(("whole", here[0], 0, *open_, "@" + lines[0]))
                 open_ = None

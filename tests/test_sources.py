@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliqua.align import banded
-from ampliqua.pipeline import genotype
+from ampliqua.cli import export, summarise
+from ampliqua.functions.strings import safe_name
+from ampliqua.pipeline import allele_table, genotype, knockin_positions
 from ampliqua.report import summary, vcf
 from ampliqua.schemas import RunConfig
 from ampliqua.sources import files, synthetic
@@ -94,3 +96,26 @@ def test_streaming_counts(spark, tmp_path):
     q.stop()
     got = {(r["pos"], r["match"], r["del"]) for r in spark.read.parquet(f"{tmp_path}/out").filter(F.col("version") == 0).collect()}
     assert got == {(0, 2, 0), (1, 1, 1)}
+
+
+def test_genotyping_of_a_knockin_with_error_reads(spark, tmp_path):
+    c = synthetic.control_sequence(240, 5)
+    flox = synthetic.inserted(c, 120, "ACGTTGCATGCCTAGGATTACAGCATGCAA")
+    sample = synthetic.reads(spark, [(c, 0.5), (flox, 0.5)], 60, 2, 0.002)
+    control = synthetic.reads(spark, [(c, 1.0)], 50, 3, 0.002)
+    short = [F.concat(F.lit("short"), n).alias(n) if n == "qname" else F.substring(n, 1, 90).alias(n) if n in ("sequence", "quality") else F.col(n) for n in sample.columns]
+    sample, control = (df.unionByName(df.filter("read_ord < 16").select(*short)) for df in (sample, control))
+    config = RunConfig("s", "s", "control", {"control": c, "flox": flox})
+    result = genotype(sample, control, config)
+    found = {(r["allele"], r["sequence"]): r["percent"] for r in result.consensus.collect()}
+    assert set(found) == {("control", c), ("flox", flox)} and all(25 < p < 75 for p in found.values())
+    assert result.reads.filter("qname like 'short%'").count() == 0  # unknown stretches: reads with errors
+    assert {r["pos"] for r in knockin_positions(allele_table(spark, config.alleles)).collect()} & set(range(120, 150))
+    export(result, f"{tmp_path}/out", "s", config)
+    header, rows = files.read_sam(spark, f"{tmp_path}/out/s/sam/all")
+    assert header.count() == 1 and rows.select("qname").distinct().count() >= 60
+    named = files.read_sam(spark, f"{tmp_path}/out/s/sam/{safe_name(result.consensus.filter(F.col('allele') == 'flox').first()['name'])}")[1]
+    assert 0 < named.select("qname").distinct().count() <= 100
+    table = summarise(spark, f"{tmp_path}/out", ["s"])
+    assert {r["Allele type"] for r in table.collect()} == {"control", "flox"}
+    assert "<svg" in spark.read.text(f"{tmp_path}/out/summary/chart", wholetext=True).first()[0]
