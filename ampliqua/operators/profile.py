@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ampliqua.functions import tokens as K
 from ampliqua.operators import windows
 from ampliqua.schemas import MUTATIONS
+from ampliqua.session import materialize
 
 
 def explode_tokens(reads: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
@@ -185,10 +186,12 @@ def locus_pipeline(sample: DataFrame, control: DataFrame, sequence: DataFrame, k
 
     every = sample.select(*keys).distinct()
     known = [k for k in keys if k in control.columns]
-    pairs = against_control(profile(sample, keys), _spread(profile(control, known), keys, every), keys)
+    # both are used several times below, and have a row a position and kind
+    pairs = materialize(against_control(profile(sample, keys), _spread(profile(control, known), keys, every), keys), "pairs")
     loci = anomalies(pairs, keys, data_thresholds(pairs, keys) if thresholds is None else thresholds, consensus=consensus)
     if knockin is not None:
         loci = add_everywhere(loci, _spread(knockin, keys, every), keys)
+    loci = materialize(loci, "candidates")
     spans = repeat_spans(sequence, [k for k in keys if k in sequence.columns])
     errors = homopolymer_errors(pairs, _spread(spans, keys, every), loci, keys)
     loci = without(without(loci, errors, keys), strand_biased_loci(sample, loci, keys), keys)

@@ -14,6 +14,7 @@ from ampliqua.operators import windows
 from ampliqua.operators.cluster import optimise
 from ampliqua.operators.consensus import PREDICTED
 from ampliqua.operators.stats import damerau_levenshtein
+from ampliqua.session import materialize
 
 KINDS = ("deletion", "inversion", "insertion")
 
@@ -117,10 +118,10 @@ def detect(sample: DataFrame, control: DataFrame, loci: DataFrame, alleles: dict
     """(name, tokens, sequence) of the alleles that a kind of variant predicts. sample, control: read, tokens on the control allele."""
     n_sample, n_control = sample.count(), control.count()
     each = [df.select(read, F.posexplode("tokens").alias("pos", "tok")) for df in (sample, control)]
-    found = [converted(runs(p, kind, loci, [read]), n, [read]) for p, n in zip(each, (n_sample, n_control), strict=True)]
+    found = [materialize(converted(materialize(runs(p, kind, loci, [read]), "runs"), n, [read]), "starts") for p, n in zip(each, (n_sample, n_control), strict=True)]
     if not found[0].limit(1).count():
         return []
-    labels = cluster(*found, n_sample, n_control, read)
+    labels = materialize(cluster(*found, n_sample, n_control, read), "variant-labels")
     labelled = found[0].join(labels, read).filter("label >= 0")
     rows = consensus(labelled, each[0], kind, alleles["control"], read).orderBy("label").collect()  # one row an allele
     keep = set(unique([(r["label"], r["sequence"]) for r in rows], alleles))

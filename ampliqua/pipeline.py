@@ -71,7 +71,7 @@ def genotype(sample: DataFrame, control: DataFrame, config: RunConfig) -> Result
     found = materialize(align(sample, table), "alignments")
     one, two = without_error_reads(tokens_of_alignments(found, table, "sample"), tokens_of(control, table, "control"))
     one, two = materialize(one, "sample-kept"), materialize(two, "control-kept")
-    loci = profile.locus_pipeline(one, two, bases(table), ["allele"], knockin_positions(table))
+    loci = materialize(profile.locus_pipeline(one, two, bases(table), ["allele"], knockin_positions(table)), "variant-loci")
     new = []
     own = loci.filter("allele = 'control'").select("pos", "muts")
     for kind in sv.KINDS:
@@ -91,8 +91,8 @@ def consensus_loci(rows: DataFrame, control: DataFrame, alleles: DataFrame, knoc
     for r in rows.select("allele").distinct().collect():  # an amplicon has a few alleles
         own, other = rows.filter(F.col("allele") == r["allele"]), control.filter(F.col("allele") == r["allele"])
         if not no_filter and other.limit(1).count():
-            other = errors.normal_reads(own, errors.n_filtered(other))
-        chosen.append(other)
+            other = errors.normal_reads(own, materialize(errors.n_filtered(other), "few-unknown"))
+        chosen.append(materialize(other, "like"))
     like = reduce(DataFrame.unionByName, chosen)
     return profile.locus_pipeline(rows, like, bases(alleles), ["allele", "label"], knockin, None, consensus=True)
 
