@@ -38,6 +38,37 @@ def test_exact_search_with_repeated_query_rows(spark):
         assert got == sorted((0, k, k, 10 * (10 - k)) for k in range(1, 6) for _ in range(times))
 
 
+def test_exact_search_with_common_vectors_and_small_waves(spark):
+    rng = np.random.default_rng(12)
+    v = [rng.integers(-3, 4, 4).astype(float).tolist() for _ in range(900)]
+    v = [[2.0, 1.0, 0.0, 1.0] if k % 3 == 0 else x for k, x in enumerate(v)]  # a third of all rows are equal
+    ids = [None if k % 97 == 5 else k if k % 11 else 300 for k in range(900)]  # no id, and an id of many rows
+    df = spark.createDataFrame(list(zip(ids, v, strict=True)), "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(tuple(r) for r in vafile.top_k(df, F.col("vec_id") % 50 == 0, scale=1.0, wave=16).collect())
+    rows = [(i, np.array(x).astype(int)) for i, x in zip(ids, v, strict=True) if i is not None]
+    want = []
+    for i, x in rows:
+        if i % 50 == 0:
+            best = sorted((-int(x @ y), j) for j, y in rows if j != i)[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert got == sorted(want)
+
+
+def test_exact_vectors_are_read_in_the_order_of_their_bounds():
+    rng = np.random.default_rng(13)
+    exact = rng.integers(-500, 500, (3000, 8))
+    block = {"block": 7, "n": 3, "dim": 8, "ids": [0, 1, 2], "exact": exact[:3].astype(np.int64).tobytes()}
+    wave = vafile.Wave([block])
+    rows = np.tile(np.arange(3000), 3)
+    queries = np.repeat(np.arange(3), 3000)
+    upper = (exact[:3] @ exact.T).ravel() + rng.random(9000) * 1000
+    found, read = vafile.best_of_block(wave, queries, rows, upper, list(range(3000)), exact, 5)
+    for q in range(3):
+        best = sorted((-int(exact[q] @ exact[r]), r) for r in range(3000))[:5]
+        assert [(-s, i) for n, s, i in found if n == q] == best
+    assert read < 1000  # of 9000
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
