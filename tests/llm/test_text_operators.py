@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, wordtable
+from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, urlblock, wordtable
 from tests.conftest import SF
 
 TEXTS = [
@@ -542,3 +542,49 @@ def test_licence_rules(spark):
     assert [(found[k]["licences"], found[k]["license_class"]) for k in range(len(every))] == [(a, b) for _, a, b in every]
     assert all(any(a in s for a in licenses.ANCHORS) and licenses.normal(s) == s for s in licenses.KNOWN)
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def test_near_duplicate_recall_at_the_least_similarity(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(1500):  # 61 of 71 shingles are shared: 0.859
+        words = [f"v{rng.randrange(10**7)}" for _ in range(70)]
+        texts.append(" ".join(words))
+        words[rng.randrange(5, 65)] = "changed"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs(spark, texts).repartition(4)).collect()}
+    assert sum(got[k] == got[k + 1] == k for k in range(0, 3000, 2)) / 1500 > 0.999
+
+
+ODD = [(None, "no id here, mail a.b1@c.example.org"), (None, "no id here, mail a.b1@c.example.org"), (5, "Licensed under the MIT License."), (5, "Licensed under the MIT License."), (5, "another text of row five"), (None, None), (7, ""), (6, " \n\t"), (8, None), (9, "the quick brown fox " * 60_000)]
+
+
+def test_null_and_repeated_ids(spark):
+    table = spark.createDataFrame([(i, t, "clash", k) for k, (i, t) in enumerate(ODD)], "doc_id long, text string, score string, n_words int")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    rows = lambda df, *cols: sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+    want = lambda f: sorted(((i, *f(t)) for i, t in ODD), key=repr)
+    bench = spark.createDataFrame([(None, "row five"), (1, "row five"), (1, "row five"), (2, None)], "item_id long, text string")
+    hit = lambda t: 2 if t and "row five" in t else 0
+    assert rows(decontam.judge(table, bench), "doc_id", "n_words", "n_hit", "n_items") == want(lambda t: (len(words(t)), hit(t), hit(t)))
+    assert rows(pii.digest(table), "doc_id", "n_email") == want(lambda t: ((t or "").count("@"),))
+    assert rows(licenses.scan(table), "doc_id", "licences") == want(lambda t: ("MIT" if t and "MIT" in t else "",))
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert rows(bpe.digest(table, public_tokenizers.path("word_bpe_49k.json")), "doc_id", "n_tokens") == want(lambda t: (len(lib.encode(t or "", add_special_tokens=False).ids),))
+    scored = lbl.score(table)
+    assert rows(scored, "doc_id", "n_tokens") == want(lambda t: (len((t or "").split()) + 1,))
+    assert scored.filter("doc_id is null and held_out").count() == 0 and scored.filter("score is null or isnan(score)").count() == 0
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    sizes = {t: len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD}
+    stored = tokenstore.store_digests(table, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in stored), key=repr) == want(lambda t: (sizes[t],))
+    at = 0
+    for r in sorted(stored, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    assert [r["doc_id"] for r in sorted(stored, key=lambda r: r["start"])] == [None] * 3 + [5, 5, 5, 6, 7, 8, 9]
+    groups = setsketch.near_duplicates(table).collect()
+    assert len(groups) == len(ODD) and {r["component_id"] for r in groups if r["doc_id"] == 5} == {5}
+    pages = spark.createDataFrame([(None, "http://a.net/x"), (None, "http://a.net/x"), (4, "http://a.net/x"), (4, "http://b.org/fr/"), (4, None), (None, None)], "page_id long, url string").withColumn("html", F.lit(None).cast("string")).withColumn("host", F.lit("clash"))
+    judged = urlblock.judge_urls(pages).collect()
+    assert sorted((repr(r["page_id"]), r["host"], r["verdict"]) for r in judged) == sorted([("None", "a.net", "block")] * 2 + [("4", "a.net", "block"), ("4", "b.org", "allow"), ("4", "", "allow"), ("None", "", "allow")])
