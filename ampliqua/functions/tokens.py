@@ -49,7 +49,7 @@ def n_ratio(nm: Column) -> Column:
 
 
 def longest_n_run(nm: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(F.split(nm, "M"), lambda x: F.length(x))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(nm, F.lit("N+"), F.lit(0)), lambda x: F.length(x))), F.lit(0))
 
 
 def n_percent(tokens: Column) -> Column:

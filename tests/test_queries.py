@@ -35,6 +35,46 @@ def test_query(spark, con, name):
         assert len(got)
 
 
+def test_merge_minor_against_brute_force(spark, con):
+    rows = con.execute("SELECT o_custkey, o_orderpriority, max(o_totalprice) FROM orders GROUP BY 1, 2").fetchall()
+    score = {}
+    for read, allele, value in rows:
+        score.setdefault(read, {})[allele] = value
+
+    def counts(reads):
+        out = {}
+        for r in reads:
+            left = [(-v, a) for a, v in score[r].items() if v is not None]
+            if left:
+                out[min(left)[1]] = out.get(min(left)[1], 0) + 1
+        return out
+
+    best = {r: min((-v, a) for a, v in s.items())[1] for r, s in score.items()}
+    n = counts(score)
+    limit = int(sum(n.values()) / len(n))
+    few = sorted((a for a in n if n[a] < limit), key=lambda a: (n[a], a))
+    top = min(n, key=lambda a: (-n[a], a))
+    rest, raised = [r for r in score if best[r] in few], set()
+    for allele in few:
+        if allele in raised:
+            continue
+        for r in rest:
+            left = [(-v, a) for a, v in score[r].items() if v is not None]
+            if left and min(left)[1] == allele:
+                score[r][allele] = None
+        lost = sum(all(v is None for v in score[r].values()) for r in rest)
+        now = counts(rest)
+        # a read without any allele left still counts for its first one until the end
+        for r in rest:
+            if all(v is None for v in score[r].values()):
+                now[min(score[r])] = now.get(min(score[r]), 0) + 1
+        raised |= {a for a, k in now.items() if k >= limit}
+        assert lost <= len(rest)
+    want = counts(score)
+    want[top] = want.get(top, 0) + sum(all(v is None for v in s.values()) for s in score.values())
+    assert few and {r["allele"]: r["n"] for r in QUERIES["q_merge_minor"](spark, SF).collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
