@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliqua.operators.stats import bisecting_means, fisher_exact, silhouette
+from ampliqua.operators.stats import Tree, bisecting_means, fisher_exact, silhouette
 
 
 def optimise(x: np.ndarray, n_sample: int, most: int = 50) -> np.ndarray:
@@ -43,7 +43,7 @@ def biased(plus: int, minus: int, all_plus: int, all_minus: int) -> bool:
 
 
 def repair(x: np.ndarray, labels: np.ndarray, plus: np.ndarray, all_plus: int, all_minus: int, rounds: int = 1000) -> np.ndarray:
-    """Reads of strand-biased clusters moved to the nearest unbiased cluster's centre, until none is left or all are biased."""
+    """Reads of strand-biased clusters labelled by a tree trained on the unbiased ones, until none is left or all are biased."""
     labels = labels.copy()
     for _ in range(rounds):
         kinds = np.unique(labels)
@@ -51,10 +51,8 @@ def repair(x: np.ndarray, labels: np.ndarray, plus: np.ndarray, all_plus: int, a
         good = [k for k in kinds if not off[k]]
         if not good or len(good) == len(kinds):
             break
-        centres = np.stack([x[labels == k].mean(0) for k in good])
         move = np.array([off[k] for k in labels])
-        d = ((x[move][:, None, :] - centres[None]) ** 2).sum(2)
-        labels[move] = np.array(good)[d.argmin(1)]
+        labels[move] = Tree(x[~move], labels[~move]).predict(x[move])
     return labels
 
 

@@ -5,8 +5,10 @@ Tables are long: (keys, pos, mut, n, pct). Tokens are exploded once; everything
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,41 @@ def homopolymer_errors(pairs: DataFrame, spans: DataFrame, loci: DataFrame, keys
     return alike.select(*keys, "mut", F.explode(F.sequence("start", "stop")).alias(pos)).distinct()
 
 
+def _by_kind(rows: DataFrame, keys: Sequence[str], pos: str, wanted: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """keys, pos, mut of the positions that a function of a key's rows of one kind (a row a position) picks."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, pos, "mut"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(pos, kind="stable")
+        return own[wanted(own)][[*keys, pos, "mut"]]
+
+    return rows.groupBy(*keys, "mut").applyInPandas(run, schema)
+
+
+def insample_errors(percents: DataFrame, keys: Sequence[str], sigma: float = 2.0, n_train: int = 150, pos: str = "pos") -> DataFrame:
+    """keys, pos, mut where a sample's own percents leave the band that a Gaussian process finds at both ends of the sequence."""
+    from ampliqua.operators.stats import gaussian_process_outliers
+
+    def wanted(own: pd.DataFrame) -> np.ndarray:
+        values = np.zeros(int(own[pos].max()) + 1)
+        values[own[pos]] = own["pct"]
+        return np.isin(own[pos].to_numpy(), gaussian_process_outliers(values, n_train, sigma=sigma))
+
+    return _by_kind(percents.select(*keys, pos, "mut", "pct"), keys, pos, wanted)
+
+
+def network_anomalies(pairs: DataFrame, keys: Sequence[str], limit: float = 0.1, pos: str = "pos", consensus: bool = False) -> DataFrame:
+    """As anomalies(), by a small network trained on each kind's control values with noise below and above the threshold."""
+    from ampliqua.operators.stats import detect, detector
+
+    def wanted(own: pd.DataFrame) -> np.ndarray:
+        sample, control = own["sample"].to_numpy(float), own["control"].to_numpy(float)
+        return detect(detector(control, limit), sample, control) & own["dissimilar"].to_numpy(bool)
+
+    return _by_kind(dissimilar(pairs, keys, pos, consensus).select(*keys, pos, "mut", "sample", "control", "dissimilar"), keys, pos, wanted)
+
+
 def strand_counts(reads: DataFrame, loci: DataFrame, keys: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """keys, pos, mut, plus, minus: reads of each strand that show the mutation; only loci are exploded."""
     at = loci.groupBy(*keys).agg(F.collect_set(F.struct("pos", "mut")).alias("_loci"))

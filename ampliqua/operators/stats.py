@@ -204,6 +204,39 @@ def bisecting_means(x: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     return labels
 
 
+class Tree:
+    """A decision tree grown until its leaves are pure or can't be split: the split with the least Gini impurity, of equal ones the first."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 40) -> None:
+        kinds, counts = np.unique(y, return_counts=True)
+        self.label, self.feature = kinds[counts.argmax()], -1
+        if len(kinds) < 2 or not depth:
+            return
+        one = (y[:, None] == kinds).astype(float)
+        best = np.inf
+        for k in range(x.shape[1]):
+            order = np.argsort(x[:, k], kind="stable")
+            v, left = x[order, k], np.cumsum(one[order], axis=0)[:-1]
+            cut = np.flatnonzero(v[1:] > v[:-1])
+            if not len(cut):
+                continue
+            left, right = left[cut], one.sum(axis=0) - left[cut]
+            impure = (left.sum(1) - (left**2).sum(1) / left.sum(1)) + (right.sum(1) - (right**2).sum(1) / right.sum(1))
+            if impure.min() < best - 1e-12:
+                best, at = impure.min(), cut[impure.argmin()]
+                self.feature, self.limit = k, (v[at] + v[at + 1]) / 2
+        if self.feature >= 0:
+            low = x[:, self.feature] <= self.limit
+            self.low, self.high = Tree(x[low], y[low], depth - 1), Tree(x[~low], y[~low], depth - 1)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.label)
+        if self.feature >= 0:
+            low = x[:, self.feature] <= self.limit
+            out[low], out[~low] = self.low.predict(x[low]), self.high.predict(x[~low])
+        return out
+
+
 def damerau_levenshtein(a: str, b: str, limit: int | None = None) -> int:
     """Edit distance with insertions, deletions, substitutions and transpositions of letters that are moved apart later."""
     if limit is not None and abs(len(a) - len(b)) >= limit:

@@ -193,6 +193,58 @@ def test_clusters_and_strand_repair(spark):
     assert len(set(cluster.repair(x[:100], labels[:100], plus, 50, 50))) == 1
 
 
+def test_decision_tree():
+    rng = np.random.default_rng(2)
+    x = rng.random((300, 4))
+    y = np.where(x[:, 1] > 0.5, np.where(x[:, 3] > 0.3, 2, 1), 0)
+    tree = stats.Tree(x[:200], y[:200])
+    assert (tree.predict(x[:200]) == y[:200]).all() and (tree.predict(x[200:]) == y[200:]).mean() > 0.95
+    assert (stats.Tree(np.zeros((5, 2)), np.array([1, 1, 1, 0, 0])).predict(np.ones((3, 2))) == 1).all()
+
+
+def test_fisher_at_real_depth():
+    from math import comb
+
+    for a, b, c, d in [(0, 0, 0, 0), (3, 1, 1, 3), (0, 9, 12, 4), (40, 60, 300, 280)]:
+        n, row, col = a + b + c + d, a + b, a + c
+        ways = [comb(row, k) * comb(n - row, col - k) for k in range(max(0, row + col - n), min(row, col) + 1)]
+        own = comb(row, a) * comb(n - row, col - a)
+        assert abs(stats.fisher_exact(a, b, c, d) - sum(w for w in ways if w <= own) / comb(n, col)) < 1e-9
+    assert 0.9 < stats.fisher_exact(50_000, 50_000, 500_000, 500_100) <= 1
+
+
+def test_thresholds_count_repeated_values(spark):
+    values = [1.0] * 50 + [2.0] * 3 + [40.0] * 4 + [44.0]
+    centres = stats.two_means(np.array(values))[0]
+    assert np.allclose(stats.two_centres(*map(np.array, np.unique(values, return_counts=True))), centres)
+    pairs = spark.createDataFrame([("a", "+", v, 0.0) for v in values], "allele string, mut string, sample double, control double")
+    assert abs(stats.data_thresholds(pairs, ["allele"]).first()["threshold"] - centres.mean()) < 1e-9
+
+
+def test_anomalies_by_process_and_network(spark):
+    rng = np.random.default_rng(3)
+    flat = [("a", k, "+", float(1 + rng.random() * 0.2 + 30 * (k == 200))) for k in range(400)]
+    found = profile.insample_errors(spark.createDataFrame(flat, "allele string, pos int, mut string, pct double"), ["allele"])
+    assert (200,) in rows(found, "pos") and found.count() < 30
+    pairs = spark.createDataFrame([("a", k, m, 60.0 if k == 7 and m == "-" else 1.0, 1.0) for k in range(20) for m in "+-*"], "allele string, pos int, mut string, sample double, control double")
+    assert rows(profile.network_anomalies(pairs, ["allele"]), "pos", "mut") == rows(profile.anomalies(pairs, ["allele"]), "pos", "mut") == [(7, "-")]
+
+
+def test_sampled_reads_and_sorted_alignments(spark, tmp_path):
+    from ampliqua.sources import files
+
+    reads = spark.createDataFrame([(k, f"q{k}", f"read{k}", "ACGT", "IIII") for k in range(300)], "read_ord long, identifier string, qname string, sequence string, quality string").repartition(5)
+    few = files.downsample(reads, 40)
+    assert few.count() == 40 and few.columns == reads.columns and files.downsample(reads, 300).count() == 300
+    assert rows(files.downsample(reads, 40), "qname") == rows(few, "qname")
+    made = spark.createDataFrame([(f"r{k}", 0, "bca"[k % 3], 1 + k * 7 % 50, 60, "4M", "*", 0, 0, "ACGT", "IIII") for k in range(200)], "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string").repartition(4)
+    files.write_sam(spark.createDataFrame([("@SQ\tSN:a\tLN:9",), ("@PG\tID:x",)], "value string"), made, f"{tmp_path}/sam")
+    lines = [x for part in sorted((tmp_path / "sam").glob("part-*")) for x in part.read_text().splitlines()]
+    body = [x.split("\t") for x in lines[2:]]
+    assert all(x.startswith("@") for x in lines[:2]) and len(body) == 200
+    assert [(f[2], int(f[3])) for f in body] == sorted((f[2], int(f[3])) for f in body)
+
+
 def test_error_reads(spark):
     good, bad = ["=A"] * 50, ["=N"] * 40 + ["=A"] * 10
     c = spark.createDataFrame([(f"g{k}", good) for k in range(30)] + [(f"b{k}", bad) for k in range(10)], "qname string, tokens array<string>")
