@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +69,8 @@ def run_batch(spark: SparkSession, manifest: str, out: str, no_filter: bool = Fa
         try:
             run_one(spark, [r["sample"]], [r["control"]], r["allele"], name, out, r.asDict().get("bed"), no_filter)
             status.append((name, "done", ""))
-        except ValueError as error:
-            status.append((name, "failed", str(error)))
+        except (ValueError, PySparkException) as error:  # a file that isn't there, say, fails its sample alone
+            status.append((name, "failed", str(error).partition("\n")[0]))
     if done := [name for name, state, _ in status if state == "done"]:
         summarise(spark, out, done)
     return spark.createDataFrame(status, "sample string, status string, error string")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliqua.align import banded
-from ampliqua.cli import export, summarise
+from ampliqua.cli import export, run_batch, summarise
 from ampliqua.functions.strings import safe_name
 from ampliqua.pipeline import allele_table, genotype, knockin_positions
 from ampliqua.report import summary, vcf
@@ -119,3 +119,10 @@ def test_genotyping_of_a_knockin_with_error_reads(spark, tmp_path):
     table = summarise(spark, f"{tmp_path}/out", ["s"])
     assert {r["Allele type"] for r in table.collect()} == {"control", "flox"}
     assert "<svg" in spark.read.text(f"{tmp_path}/out/summary/chart", wholetext=True).first()[0]
+
+
+def test_a_missing_file_fails_its_sample_alone(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">control\n" + synthetic.control_sequence(120) + "\n")
+    (tmp_path / "m.csv").write_text(f"sample,control,allele,name\n{tmp_path}/none,{tmp_path}/nothing,{tmp_path}/a.fa,one\n")
+    status = run_batch(spark, f"{tmp_path}/m.csv", f"{tmp_path}/out").collect()
+    assert [(r["sample"], r["status"]) for r in status] == [("one/none", "failed")] and "none" in status[0]["error"]
