@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampliqua.llm import bpe, decontam, lbl, licenses, pii, puquality, setsketch, tokenstore, urlblock, vafile
+from ampliqua.llm import bpe, chat, decontam, errata, lbl, licenses, pii, puquality, ranked, setsketch, tokenstore, urlblock, vafile
 from ampliqua.llm.common import table
 
 
@@ -44,6 +44,18 @@ def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents"))
 
 
+def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errata.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.query(table(spark, sf_dir, "conversations"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_store": op2_token_store,
@@ -55,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_log_bilinear": op8_log_bilinear,
     "op9_license_scan": licenses.query,
     "op10_url_filter": urlblock.query,
+    "op11_errata_trie": op11_errata_trie,
+    "op12_chat_format": op12_chat_format,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -96,4 +111,6 @@ SQL: dict[str, str] = {
     "op4_va_file": vafile.SQL,
     "op9_license_scan": licenses.SQL,
     "op10_url_filter": urlblock.SQL,
+    "op12_chat_format": chat.SQL,
+    "op13_ranked_search": ranked.SQL,
 }
