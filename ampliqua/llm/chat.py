@@ -36,7 +36,7 @@ from ampliqua.llm.wordtable import gather
 
 OPEN, CLOSE, USER, USER_END, ROLE, ROLE_END = range(6)
 #: Turns of a part of the output, about.
-PART_ROWS = 200_000
+PART_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -222,9 +222,9 @@ class Reader:
             at = stop + 1
         return out
 
-    def text(self, ids: np.ndarray) -> str:
+    def text(self, parts: list[int | str]) -> str:
         """The formatted text, with marks and escapes."""
-        return "".join(self.template.marks[p] if isinstance(p, int) else p for p in self.parts(ids))
+        return "".join(self.template.marks[p] if isinstance(p, int) else p for p in parts)
 
 
 def read_turns(spark: SparkSession, path: str, tokenizer_path: str, template: Template = Template()) -> DataFrame:
@@ -245,7 +245,8 @@ def read_turns(spark: SparkSession, path: str, tokenizer_path: str, template: Te
                 ids = np.frombuffer(data, "<u4")
                 under = ids[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(ids)).astype(bool)]
                 loss = reader.template.unescape(reader.library.decode(under.tolist(), skip_special_tokens=False)) if len(under) else ""
-                made.append((*reader.template.parse(reader.parts(ids)), loss, reader.text(ids)))
+                read = reader.parts(ids)
+                made.append((*reader.template.parse(read), loss, reader.text(read)))
             yield record_batch(out, [*batch.columns[:5], *([m[c] for m in made] for c in range(4))])
 
     return rows.select(*keep, "ids", "mask").mapInArrow(run, schema)
