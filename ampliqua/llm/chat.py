@@ -120,17 +120,19 @@ def assembled(segments: list[list[int | tuple[int, int]]], pool: np.ndarray, at:
     return gather(pool, at[flat], size), np.cumsum(marks, dtype=np.int8)[:-1] > 0, stops
 
 
-def assemble(turns: DataFrame, tokenizer_path: str, template: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row a turn: conv_id, turn, ids (little-endian unsigned 32-bit integers), n_ids, mask (a bit for each id), role, text.
+def turn_rows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """conv_id, turn, role, text; null roles and texts are empty."""
+    blank = F.lit("")
+    return turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), blank).alias("role"), F.coalesce(F.col(text_col).cast("string"), blank).alias("text"))
 
-    role and text are carried for the order of equal turns alone.
-    """
-    spark = turns.sparkSession
+
+def assemble(rows: DataFrame, tokenizer_path: str, template: Template = Template()) -> DataFrame:
+    """From turn_rows, in their order: conv_id, turn, ids (little-endian unsigned 32-bit integers), n_ids, mask (a bit for each id)."""
+    spark = rows.sparkSession
     repo_on_workers(spark)
     spec = spark.sparkContext.broadcast(_read(tokenizer_path))
     own, first = template_of(spec.value, template)
-    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("mask", T.BinaryType())])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("ids", T.BinaryType()), T.StructField("n_ids", T.LongType()), T.StructField("mask", T.BinaryType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
     @freed
@@ -158,7 +160,7 @@ def assemble(turns: DataFrame, tokenizer_path: str, template: Template = Templat
             all_ids, mask, ends = assembled(segments, pool, at, masked)
             begin = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
             spans = list(zip(begin.tolist(), ends.tolist(), strict=True))
-            yield record_batch(out, [*batch.columns[:4], [all_ids[a:b].tobytes() for a, b in spans], [b - a for a, b in spans], [np.packbits(mask[a:b]).tobytes() for a, b in spans]])
+            yield record_batch(out, [*batch.columns[:2], [all_ids[a:b].tobytes() for a, b in spans], [b - a for a, b in spans], [np.packbits(mask[a:b]).tobytes() for a, b in spans]])
 
     return rows.mapInArrow(run, schema)
 
@@ -170,9 +172,9 @@ def write(turns: DataFrame, tokenizer_path: str, path: str, template: Template =
     this part); carries has, for each conversation that began in an earlier part, the ids that it has there.
     """
     spark = turns.sparkSession
-    made = assemble(turns, tokenizer_path, template, **columns)
     parts = max(1, -(-turns.count() // PART_ROWS))
-    ordered = made.repartitionByRange(parts, "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text").drop("role", "text")
+    order = ["conv_id", "turn", "role", "text"]
+    ordered = assemble(turn_rows(turns, **columns).repartitionByRange(parts, *order).sortWithinPartitions(*order), tokenizer_path, template)
     schema = T.StructType([*ordered.schema.fields, T.StructField("part", T.LongType()), T.StructField("k", T.LongType()), T.StructField("first", T.LongType())])
     out = pa.schema([(f.name, arrow_type(f.dataType)) for f in schema])
 
