@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ampliqua.align.banded import align
+from ampliqua.align.mapper import align
 from ampliqua.operators import alignments, classify, cluster, consensus, errors, kmers, profile, sv
 from ampliqua.report import vcf
 from ampliqua.schemas import RunConfig

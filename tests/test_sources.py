@@ -5,7 +5,6 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from ampliqua.align import banded
 from ampliqua.cli import export, run_batch, summarise
 from ampliqua.functions.strings import safe_name
 from ampliqua.pipeline import allele_table, genotype, knockin_positions
@@ -59,18 +58,6 @@ def test_sam_bed_and_manifest(spark, tmp_path):
     assert m.count() == 2 and first.count() == 1 and [r["sample"] for r in then.collect()] == ["s1"]
 
 
-def test_aligner():
-    c = synthetic.control_sequence(300)
-    tool = banded.Aligner("control", c)
-    flag, pos, ops = tool.align(synthetic.substituted(c, 100))
-    assert (flag, pos) == (0, 1) and banded.cigar_of(ops) == "300M" and ("*", c[100] + synthetic.substituted(c, 100)[100]) in ops
-    flag, _, ops = tool.align(synthetic.deleted(c, 100, 40)[::-1].translate(str.maketrans("ACGT", "TGCA")))
-    assert flag == 16 and sum(len(b) for op, b in ops if op == "-") == 40
-    _, _, ops = tool.align(synthetic.inserted(c, 150, "ACGTACGTACGT"))
-    assert sum(len(b) for op, b in ops if op == "+") == 12
-    assert tool.align("ACGT" * 20) is None
-
-
 def test_genotyping_recovers_the_mixture(spark, tmp_path):
     c = synthetic.control_sequence(240)
     sub = synthetic.substituted(c, 120)
