@@ -120,6 +120,18 @@ def repeat_spans(bases: DataFrame, keys: Sequence[str], pos: str = "pos", base:
     return found.filter(F.col("stop") - F.col("start") >= least).select(*keys, "start", "stop")
 
 
+def repeat_spans_of(rows: DataFrame, keys: Sequence[str], text: str, least: int = 4, letters: str = "ACGTN") -> DataFrame:
+    """keys, start, stop (exclusive) of the runs in whole texts; letters: as in a regular expression's brackets. keys are unique.
+
+    Runs are marked within the text, and only what lies between marks is counted: a row a run, not a row a letter.
+    """
+    mark = "\0"
+    marked = F.regexp_replace(F.translate(text, mark, "\1"), rf"([{letters}])\1{{{least - 1},}}", f"{mark}$0{mark}")
+    pieces = rows.select(*keys, F.posexplode(F.transform(F.split(marked, mark), F.length)).alias("_k", "_n"))
+    stop = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_k"))
+    return pieces.withColumn("stop", stop).filter("_k % 2 = 1").select(*keys, (F.col("stop") - F.col("_n")).cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))
+
+
 def homopolymer_errors(pairs: DataFrame, spans: DataFrame, loci: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """keys, pos, mut in runs whose sample and control look alike (cosine over 0.8): sequencing errors, with the place after the run.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,26 +12,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_LOGS = [np.zeros(1)]
-
-
-def log_factorials(n: int) -> np.ndarray:
-    """Logarithms of the factorials from 0 to n at least; the table grows with the largest n asked for."""
-    if len(_LOGS[0]) <= n:
-        _LOGS[0] = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * n + 1, dtype=float)))])
-    return _LOGS[0]
+def _tail(x: int, step: int, row: int, col: int, n: int, last: int) -> float:
+    """Likelihoods of x, x + step, ... up to last as multiples of x's own, while they matter: they fall, ever faster."""
+    total, now, k = 1.0, 1.0, 0
+    while x + step * k != last and now > 1e-18 * total:
+        at = x + step * np.arange(k, min(k + 4096, abs(last - x)), dtype=float)
+        rest = n - row - col
+        ratio = (row - at) * (col - at) / ((at + 1) * (rest + at + 1)) if step > 0 else at * (rest + at) / ((row - at + 1) * (col - at + 1))
+        terms = now * np.cumprod(ratio)
+        total, now, k = total + float(terms.sum()), float(terms[-1]), k + len(at)
+    return total
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided p-value of a 2x2 table: all tables with the same margins that are no likelier."""
+    """Two-sided p-value of a 2x2 table: all tables with the same margins that are no likelier.
+
+    Both tails are summed from where they begin, by the ratio of neighbours: time and space follow the spread of the
+    distribution (the root of the counts), not the counts.
+    """
     n, row, col = a + b + c + d, a + b, a + c
-    if not n:
+    low, high = max(0, row + col - n), min(row, col)
+    if low == high:
+        return 1.0
+    lg = math.lgamma
+    log = lambda x: -(lg(x + 1) + lg(row - x + 1) + lg(col - x + 1) + lg(n - row - col + x + 1))
+    mode, most = (row + 1) * (col + 1) // (n + 2), log(a) + 1e-7
+    margins = lg(row + 1) + lg(n - row + 1) + lg(col + 1) + lg(n - col + 1) - lg(n + 1)
+    if log(mode) <= most:
         return 1.0
-    log = log_factorials(n)
-    x = np.arange(max(0, row + col - n), min(row, col) + 1)
-    logs = log[row] + log[n - row] + log[col] + log[n - col] - log[n] - (log[x] + log[row - x] + log[col - x] + log[n - row - col + x])
-    own = logs[a - x[0]]
-    return float(min(1.0, np.exp(logs[logs <= own + 1e-7]).sum()))
+    total = 0.0
+    for step, end in ((-1, low), (1, high)):
+        if log(end) > most:
+            continue
+        near, far = 0, abs(end - mode)  # the first place beyond the mode that is no likelier
+        while far - near > 1:
+            mid = (near + far) // 2
+            near, far = (near, mid) if log(mode + step * mid) <= most else (mid, far)
+        at = mode + step * far
+        total += math.exp(log(at) + margins) * _tail(at, step, row, col, n, end)
+    return float(min(1.0, total))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ampliqua.align.mapper import align
-from ampliqua.operators import alignments, classify, cluster, consensus, errors, kmers, profile, sv
+from ampliqua.operators import alignments, classify, cluster, consensus, errors, kmers, lift, profile, sv
 from ampliqua.report import vcf
 from ampliqua.schemas import RunConfig
 from ampliqua.session import materialize
@@ -137,4 +137,4 @@ def genotype_tokens(sample: DataFrame, control: DataFrame, alleles: DataFrame, c
     merged, mapping = consensus.merge_equal(materialize(called, "called"))
     named = materialize(consensus.names(merged, alleles), "consensus")
     reads = consensus.apply_labels(rows, mapping, named)
-    return Result(reads, named, vcf.variants(named, config.coordinates))
+    return Result(reads, named, vcf.variants(lift.on_control(named, alleles), config.coordinates))

@@ -307,8 +307,7 @@ def q_longest_run(spark: SparkSession, d: str) -> DataFrame:
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, base ORDER BY pos) AS g FROM b)
 SELECT doc_id, min(pos) AS start, max(pos) + 1 AS stop FROM r WHERE base >= 'a' AND base <= 'z' AND length(base) = 1 GROUP BY doc_id, base, g HAVING count(*) >= 3""")
 def q_homopolymer(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("pos", "base"))
-    return profile.repeat_spans(rows, ["doc_id"], least=3, letters="abcdefghijklmnopqrstuvwxyz")
+    return profile.repeat_spans_of(_t(spark, d, "documents"), ["doc_id"], "text", least=3, letters="a-z")
 
 
 @query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT label, i, avg(e[i]) AS m FROM v, range(1, 65) AS g(i) GROUP BY label, i),
@@ -321,12 +320,12 @@ def q_cosine(spark: SparkSession, d: str) -> DataFrame:
     return v.join(centre, "label").select("vec_id", F.round(profile.cosine_distance(F.col("e"), F.col("m")), 6).alias("distance"))
 
 
-_SQL_STRAND = "s AS (SELECT l_linenumber, l_returnflag, count(*) FILTER (l_linestatus = 'O' AND l_quantity < 12) AS plus, count(*) FILTER (l_linestatus = 'F' AND l_quantity > 45) AS minus FROM lineitem GROUP BY ALL)"
+_SQL_STRAND = "s AS (SELECT l_linenumber, l_returnflag, count(*) FILTER (l_linestatus = 'O') AS plus, count(*) FILTER (l_linestatus = 'F') AS minus FROM lineitem GROUP BY ALL)"
 
 
 def _strands(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem")
-    return rows.groupBy("l_linenumber", "l_returnflag").agg(F.count_if((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 12)).alias("plus"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45)).alias("minus"))
+    return rows.groupBy("l_linenumber", "l_returnflag").agg(F.count_if(F.col("l_linestatus") == "O").alias("plus"), F.count_if(F.col("l_linestatus") == "F").alias("minus"))
 
 
 @query(f"WITH {_SQL_STRAND} SELECT l_linenumber, l_returnflag, plus, minus, NOT (plus / (plus + minus) > 0.2 AND plus / (plus + minus) < 0.7) AS biased FROM s")

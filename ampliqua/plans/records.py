@@ -205,13 +205,22 @@ def q_best_preset(spark: SparkSession, d: str) -> DataFrame:
     return alignments.of_best_preset(rows).groupBy("qname", "preset").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber AS pos, CASE l_returnflag WHEN 'R' THEN 16 ELSE 0 END AS flag FROM lineitem), m AS (SELECT l_orderkey, arg_min(flag, pos * 100 + flag) AS main FROM a GROUP BY 1),
-p AS (SELECT l_orderkey, main, unnest(range(1, 13)) AS p FROM m), c AS (SELECT p.l_orderkey, p, main, arg_min(flag, pos * 100 + flag) AS flag FROM p LEFT JOIN a ON a.l_orderkey = p.l_orderkey AND p BETWEEN pos AND pos + 2 GROUP BY ALL)
-SELECT CAST(l_orderkey AS VARCHAR) AS qname, CASE main WHEN 16 THEN '-' ELSE '+' END AS strand, string_agg(CASE WHEN flag IS NULL THEN '=N' WHEN flag = main THEN '=' || substr('ACGTACGTACGT', p, 1) ELSE '=' || substr('acgtacgtacgt', p, 1) END, ',' ORDER BY p) AS midsv FROM c GROUP BY l_orderkey, main""")
+_SQL_BASE = "substr('ACGTACGTACGT', l_linenumber + {}, 1)"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_linenumber AS pos, CASE l_returnflag WHEN 'R' THEN 16 ELSE 0 END AS flag, CAST(l_quantity AS INT) % 4 AS q, {_SQL_BASE.format(0)} AS x, {_SQL_BASE.format(1)} AS y, {_SQL_BASE.format(2)} AS z FROM lineitem),
+c AS (SELECT *, '=' || x || CASE q WHEN 0 THEN y || z WHEN 1 THEN '*' || lower(y || translate(y, 'ACGT', 'CGTA')) || '=' || z WHEN 2 THEN '-' || lower(y) || '=' || z ELSE '+ga=' || y || z END AS cs,
+  CASE q WHEN 0 THEN '=' || y WHEN 1 THEN '*' || y || translate(y, 'ACGT', 'CGTA') WHEN 2 THEN '-' || y ELSE '+G|+A|=' || y END AS mid FROM a),
+m AS (SELECT l_orderkey, arg_min(flag, pos * 100 + flag) AS main FROM a GROUP BY 1),
+k AS (SELECT l_orderkey, pos + o AS p, flag, CASE o WHEN 0 THEN '=' || x WHEN 1 THEN mid ELSE '=' || z END AS tok, row_number() OVER (PARTITION BY l_orderkey, pos + o ORDER BY pos, flag, cs) AS n FROM c, (SELECT unnest(range(3)) AS o)),
+w AS (SELECT l_orderkey, main, unnest(range(1, 13)) AS p FROM m)
+SELECT CAST(w.l_orderkey AS VARCHAR) AS qname, CASE main WHEN 16 THEN '-' ELSE '+' END AS strand, string_agg(CASE WHEN tok IS NULL THEN '=N' WHEN flag = main THEN tok ELSE lower(tok) END, ',' ORDER BY w.p) AS midsv FROM w LEFT JOIN k ON k.l_orderkey = w.l_orderkey AND k.p = w.p AND n = 1 GROUP BY w.l_orderkey, main""")
 def q_alignment_tokens(spark: SparkSession, d: str) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "R", 16).otherwise(0)
-    cs = F.concat(F.lit("="), F.substring(F.lit("ACGTACGTACGT"), F.col("l_linenumber"), F.lit(3)))
-    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("qname"), flag.alias("flag"), F.lit("control").alias("rname"), F.col("l_linenumber").alias("pos"), cs.alias("cs"))
+    x, y, z = (F.substring(F.lit("ACGTACGTACGT"), F.col("l_linenumber") + k, F.lit(1)) for k in range(3))
+    q = _int("l_quantity") % 4
+    change = F.when(q == 0, F.concat(y, z)).when(q == 1, F.concat(F.lit("*"), F.lower(F.concat(y, F.translate(y, "ACGT", "CGTA"))), F.lit("="), z)).when(q == 2, F.concat(F.lit("-"), F.lower(y), F.lit("="), z)).otherwise(F.concat(F.lit("+ga="), y, z))
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("qname"), flag.alias("flag"), F.lit("control").alias("rname"), F.col("l_linenumber").alias("pos"), F.concat(F.lit("="), x, change).alias("cs"))
     alleles = spark.createDataFrame([("control", "ACGTACGTACGT")], "allele string, sequence string")
     return alignments.to_tokens(rows, alleles).select("qname", "strand", F.array_join("tokens", ",").alias("midsv"))
 

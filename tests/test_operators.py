@@ -1,8 +1,11 @@
 """Table operators: profiles, loci, classification, k-mers, consensus, variants, statistics."""
 
+import math
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ampliqua.operators import alignments, classify, cluster, consensus, errors, kmers, profile, stats, sv, windows
@@ -274,3 +277,23 @@ def test_alignments(spark):
     assert alignments.sample_reads(a, 1).select("qname").distinct().count() == 1
     kept = windows.overlapping_dropped(spark.createDataFrame([("a", 1, 5), ("a", 4, 5), ("b", 1, 2), ("b", 9, 2)], "qname string, pos int, length int"))
     assert rows(kept, "qname") == [("b",), ("b",)]
+
+
+def test_fisher_against_all_tables():
+    rng = random.Random(3)
+    for _ in range(600):
+        a, b, c, d = (rng.randint(0, rng.choice((2, 9, 80))) for _ in range(4))
+        n, row, col = a + b + c + d, a + b, a + c
+        each = {x: math.comb(row, x) * math.comb(n - row, col - x) for x in range(max(0, row + col - n), min(row, col) + 1)}
+        want = sum(v for v in each.values() if v <= each[a]) / math.comb(n, col)
+        assert stats.fisher_exact(a, b, c, d) == pytest.approx(want, rel=1e-9)
+    assert stats.fisher_exact(50_000_000, 50_010_000, 49_990_000, 50_000_000) == 1.0
+    assert 0 < stats.fisher_exact(50_000_000, 50_060_000, 49_990_000, 50_000_000) < 1
+
+
+def test_runs_in_whole_texts(spark):
+    texts = ["AAAACC", "CAAAAA", "ANNNNNTTTTT", "ACGT", "", None, "AAAA\0AAAA", "GGGG" * 5000, "aaaa\nAAAAA"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {tuple(r) for r in profile.repeat_spans_of(rows, ["id"], "text").collect()}
+    want = {(k, m.start(), m.end()) for k, t in enumerate(texts) for m in re.finditer(r"([ACGTN])\1{3,}", t or "")}
+    assert got == want
