@@ -50,3 +50,12 @@ def importable(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in [*env.get("PYTHONPATH", "").split(os.pathsep), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def bounded_batches(spark: SparkSession, most: int = 32 << 20) -> None:
+    """Arrow batches of so many bytes at most, unless the session asks for smaller ones."""
+    importable(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(name, str(most))

@@ -1,6 +1,7 @@
 """The aligner: costs against a brute-force programme, split reads, inversions, and a run that calls one."""
 
 import random
+import re
 from functools import cache
 
 import numpy as np
@@ -74,8 +75,6 @@ def test_wide_gaps_become_one_deletion_and_one_insertion(monkeypatch):
 
 def rebuilt(record, read, ref):
     """The read's and the allele's bases that a cs tag tells."""
-    import re
-
     own, other = "", ""
     for op, body in re.findall(r"([=*+-])([A-Za-z]+)", record.cs(ref, read)):
         body = body.upper()
@@ -95,7 +94,7 @@ def test_records_tell_read_and_allele():
         record, read = records[0]
         own, other = rebuilt(record, read, array(ref))
         assert own == read.tobytes().decode()[record.read_at : record.read_end()] and other == ref[record.ref_at : record.ref_at + len(other)]
-        assert len(own) > 0.95 * len(raw) and sum(n for n, _ in [(int(x[:-1]), x[-1]) for x in __import__("re").findall(r"\d+[MIDS]", record.cigar(len(raw))) if x[-1] != "D"]) == len(raw)
+        assert len(own) > 0.95 * len(raw) and sum(n for n, _ in [(int(x[:-1]), x[-1]) for x in re.findall(r"\d+[MIDS]", record.cigar(len(raw))) if x[-1] != "D"]) == len(raw)
 
 
 def test_split_reads():
@@ -129,7 +128,7 @@ def test_tokens_of_an_inversion(spark):
     table = allele_table(spark, {"control": ref})
     found = mapper.align(reads, table)
     assert {r["flag"] for r in found.filter("qname = 'inv'").collect()} == {0, 2048, 2064}
-    assert all(len(r["seq"]) == 1200 and sum(int(n) for n, op in __import__("re").findall(r"(\d+)([MIS])", r["cigar"])) == 1200 for r in found.collect())
+    assert all(len(r["seq"]) == 1200 and sum(int(n) for n, op in re.findall(r"(\d+)([MIS])", r["cigar"])) == 1200 for r in found.collect())
     tokens = {r["qname"]: list(r["tokens"]) for r in tokens_of(reads, table, "t").collect()}
     for name in ("inv", "turned"):
         lower = [k for k, t in enumerate(tokens[name]) if t.islower()]
