@@ -21,12 +21,13 @@ from ampliqua.sources import files
 
 @dataclass
 class Result:
-    """Read results, consensus alleles, variant records, and the sample's alignments to the control (if it came as reads)."""
+    """Read results, consensus alleles, variant records; if the sample came as reads: its alignments to the control, and the names of reads with errors."""
 
     reads: DataFrame
     consensus: DataFrame
     variants: DataFrame
     alignments: DataFrame | None = None
+    errors: DataFrame | None = None
 
 
 def allele_table(spark, alleles: dict[str, str]) -> DataFrame:
@@ -55,21 +56,29 @@ def knockin_positions(alleles: DataFrame) -> DataFrame:
     return materialize(profile.knockin_loci(alignments.to_tokens(align(one, others), others), ["allele"]), "knockin")
 
 
-def without_error_reads(sample: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both token tables without reads whose unknown stretches are sequencing errors, as they lie on the control allele."""
+def without_error_reads(sample: DataFrame, control: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both token tables without reads whose unknown stretches are sequencing errors, as they lie on the control allele, and those of the sample's (qname)."""
     judged = errors.control_errors(control.filter("allele = 'control'").select("qname", "tokens"))
     judged = materialize(judged, "control-errors")
-    wrong = errors.sample_errors(sample.filter("allele = 'control'").select("qname", "tokens"), judged)
-    return errors.kept(sample, wrong)[0], errors.kept(control, judged)[0]
+    wrong = materialize(errors.sample_errors(sample.filter("allele = 'control'").select("qname", "tokens"), judged).filter("error").select("qname", "error"), "sample-errors")
+    return errors.kept(sample, wrong)[0], errors.kept(control, judged)[0], wrong.select("qname").distinct()
 
 
-def genotype(sample: DataFrame, control: DataFrame, config: RunConfig) -> Result:
-    """From READS tables; see genotype_tokens. More reads than the configuration's caps are sampled by name."""
+def control_tokens(control: DataFrame, config: RunConfig) -> DataFrame:
+    """Tokens of the control's reads on the configuration's alleles: the same for all its samples."""
+    return tokens_of(files.downsample(control, config.cap_control), allele_table(control.sparkSession, config.alleles), "control")
+
+
+def genotype(sample: DataFrame, control: DataFrame, config: RunConfig, made: DataFrame | None = None) -> Result:
+    """From READS tables; see genotype_tokens. More reads than the configuration's caps are sampled by name.
+
+    made: the control's tokens, if they are there already (control_tokens).
+    """
     spark = sample.sparkSession
     sample, control = files.downsample(sample, config.cap_sample), files.downsample(control, config.cap_control)
     table = allele_table(spark, config.alleles)
     found = materialize(align(sample, table), "alignments")
-    one, two = without_error_reads(tokens_of_alignments(found, table, "sample"), tokens_of(control, table, "control"))
+    one, two, wrong = without_error_reads(tokens_of_alignments(found, table, "sample"), tokens_of(control, table, "control") if made is None else made)
     one, two = materialize(one, "sample-kept"), materialize(two, "control-kept")
     loci = materialize(profile.locus_pipeline(one, two, bases(table), ["allele"], knockin_positions(table)), "variant-loci")
     new = []
@@ -81,7 +90,7 @@ def genotype(sample: DataFrame, control: DataFrame, config: RunConfig) -> Result
         table = allele_table(spark, config.alleles | {n: s for n, _, s in new})
         one, two = tokens_of(sample.join(names[0], "qname", "left_semi"), table, "sample-sv"), tokens_of(control.join(names[1], "qname", "left_semi"), table, "control-sv")
     result = genotype_tokens(one, two, table, config, {n: t for n, t, _ in new})
-    result.alignments = found.filter("rname = 'control'")
+    result.alignments, result.errors = found.filter("rname = 'control'"), wrong
     return result
 
 

@@ -443,8 +443,11 @@ def write_index(spark: SparkSession, path: str) -> str:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[tuple[int, int], list[list[int]]] = {}
         linear: dict[tuple[int, int], int] = {}
+        first = None  # where the split's first record begins
+        kinds = [pa.string(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
         for split, last in _splits(batches, n_refs):
             end, at = records_end(split.data, 0) if split.known else 0, 0
+            begun = split.offset(0)
             while at < end:
                 size, ref, pos, stop = extent(split.data, at)
                 a, b = split.offset(at), split.offset(at + 4 + size)
@@ -459,20 +462,24 @@ def write_index(spark: SparkSession, path: str) -> str:
                 for w in range(pos >> 14, (stop - 1 >> 14) + 1):
                     linear[ref, w] = min(linear.get((ref, w), a), a)
             split.cut(end)
+            if first is None and split.known:
+                first = begun
             if last:
-                if not split.known or split.head or split.data:
-                    raise BamError("records of this file lie over borders of its splits: write it anew to index it")
-                rows = [("chunk", r, k, a, b) for (r, k), own in chunks.items() for a, b in own]
-                rows += [("linear", r, w, a, 0) for (r, w), a in linear.items()] + [("size", 0, 0, split.compressed, 0)]
-                chunks, linear = {}, {}
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([split.start] * len(rows), pa.int64()), *(pa.array(c) for c in columns)], names=["start", "kind", "ref", "k", "a", "b"])
-
-    found = _blocks(spark, path).mapInArrow(run, "start long, kind string, ref long, k long, a long, b long").collect()  # by bins and windows, not records
+                rows = [("chunk", r, k, a, b, None, None) for (r, k), own in chunks.items() for a, b in own]
+                rows += [("linear", r, w, a, 0, None, None) for (r, w), a in linear.items()]
+                head, tail = (split.head, bytes(split.data)) if split.known else (bytes(split.data), None)
+                rows.append(("split", split.compressed, 0, first if split.known else 0, split.offset(0) if split.known else 0, head, tail))
+                chunks, linear, first = {}, {}, None
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([split.start] * len(rows), pa.int64()), *columns], names=["start", "kind", "ref", "k", "a", "b", "head", "tail"])
+
+    # rows by bins and windows, not records; and what lies over the borders of splits
+    found = _blocks(spark, path).mapInArrow(run, "start long, kind string, ref long, k long, a long, b long, head binary, tail binary").collect()
     base, at = {}, 0
-    for r in sorted((r for r in found if r["kind"] == "size"), key=lambda r: r["start"]):
+    splits = sorted((r for r in found if r["kind"] == "split"), key=lambda r: r["start"])
+    for r in splits:
         base[r["start"]] = at << 16
-        at += r["a"]
+        at += r["ref"]
     bins: dict[int, dict[int, list[list[int]]]] = {}
     windows: dict[int, dict[int, int]] = {}
     for r in found:
@@ -482,6 +489,19 @@ def write_index(spark: SparkSession, path: str) -> str:
         elif r["kind"] == "linear":
             own = windows.setdefault(r["ref"], {})
             own[r["k"]] = min(own.get(r["k"], a), a)
+    rest, begun = b"", 0
+    for r in splits:
+        rest += bytes(r["head"])
+        if r["tail"] is None:  # a split without a record's beginning
+            continue
+        if rest:
+            _, ref, pos, stop = extent(rest, 0)
+            if ref >= 0:
+                bins.setdefault(ref, {}).setdefault(bin_of(pos, stop), []).append([begun, base[r["start"]] + r["a"]])
+                own = windows.setdefault(ref, {})
+                for w in range(pos >> 14, (stop - 1 >> 14) + 1):
+                    own[w] = min(own.get(w, begun), begun)
+        rest, begun = bytes(r["tail"]), base[r["start"]] + r["b"]
     out = [b"BAI\1", struct.pack("<i", n_refs)]
     for ref in range(n_refs):
         out.append(struct.pack("<i", len(bins.get(ref, {}))))

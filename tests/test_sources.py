@@ -10,7 +10,7 @@ from ampliqua.functions.strings import safe_name
 from ampliqua.pipeline import allele_table, genotype, knockin_positions
 from ampliqua.report import summary, vcf
 from ampliqua.schemas import RunConfig
-from ampliqua.sources import files, synthetic
+from ampliqua.sources import bam, files, synthetic
 from ampliqua.streaming import ingest
 
 
@@ -99,9 +99,10 @@ def test_genotyping_of_a_knockin_with_error_reads(spark, tmp_path):
     assert result.reads.filter("qname like 'short%'").count() == 0  # unknown stretches: reads with errors
     assert {r["pos"] for r in knockin_positions(allele_table(spark, config.alleles)).collect()} & set(range(120, 150))
     export(result, f"{tmp_path}/out", "s", config)
-    header, rows = files.read_sam(spark, f"{tmp_path}/out/s/sam/all")
-    assert header.count() == 1 and rows.select("qname").distinct().count() >= 60
-    named = files.read_sam(spark, f"{tmp_path}/out/s/sam/{safe_name(result.consensus.filter(F.col('allele') == 'flox').first()['name'])}")[1]
+    header, rows = bam.read_bam(spark, f"{tmp_path}/out/s/bam/all.bam")
+    assert header.count() == 2 and rows.select("qname").distinct().count() >= 60
+    assert {r["qname"][:5] for r in bam.read_bam(spark, f"{tmp_path}/out/s/bam/sequence_error.bam")[1].collect()} == {"short"}
+    named = bam.read_bam(spark, f"{tmp_path}/out/s/bam/{safe_name(result.consensus.filter(F.col('allele') == 'flox').first()['name'])}.bam")[1]
     assert 0 < named.select("qname").distinct().count() <= 100
     table = summarise(spark, f"{tmp_path}/out", ["s"])
     assert {r["Allele type"] for r in table.collect()} == {"control", "flox"}
