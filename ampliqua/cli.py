@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampliqua import jobs, store
+from ampliqua import jobs, runlog, store
 from ampliqua.functions import strings
 from ampliqua.operators import alignments
 from ampliqua.pipeline import Result, control_tokens, genotype
@@ -16,6 +16,7 @@ from ampliqua.report import html, summary, vcf
 from ampliqua.schemas import RunConfig
 from ampliqua.session import materialize, session
 from ampliqua.sources import bam, files, inputs
+from ampliqua.sources import genome as genomes
 
 
 def export(result: Result, out: str, sample: str, config: RunConfig | None = None) -> None:
@@ -53,11 +54,15 @@ def summarise(spark: SparkSession, out: str, samples: Sequence[str]) -> DataFram
     return found
 
 
-def run_one(spark: SparkSession, sample: Sequence[str], control: Sequence[str], allele: str, name: str, out: str, bed: str | None = None, no_filter: bool = False, cache: str | None = None) -> Result:
-    """A sample against its control: files or folders of FASTA, FASTQ, SAM or BAM. cache: where the control's tokens are kept."""
+def run_one(spark: SparkSession, sample: Sequence[str], control: Sequence[str], allele: str, name: str, out: str, bed: str | None = None, no_filter: bool = False, cache: str | None = None, genome: str | None = None) -> Result:
+    """A sample against its control: files or folders of FASTA, FASTQ, SAM or BAM.
+
+    cache: where the control's tokens are kept; genome: an index (sources.genome) in which the control is looked up, if
+    there is no BED file. Rows and seconds of every stage are written under log.
+    """
     table = files.alleles(spark, allele)
     sequences = {r["allele"]: r["sequence"] for r in table.orderBy("allele_ord").collect()}
-    where = files.bed_coordinates(spark, bed) if bed else None
+    where = files.bed_coordinates(spark, bed) if bed else genomes.coordinates(spark, genome, sequences["control"]) if genome else None
     config = RunConfig(name, name, "control", sequences, where, no_filter)
     reads = [inputs.read(spark, inputs.inputs(spark, paths)) for paths in (sample, control)]
     for r in reads:
@@ -66,8 +71,10 @@ def run_one(spark: SparkSession, sample: Sequence[str], control: Sequence[str],
     if cache:
         key = store.key_of(store.files_of(spark, control), sequences, config.cap_control)
         made = store.kept(spark, cache, "control", key, lambda: control_tokens(reads[1], config))
-    result = genotype(*reads, config, made)
-    export(result, out, name, config)
+    with runlog.recording() as log:
+        result = genotype(*reads, config, made)
+        export(result, out, name, config)
+    log.table(spark).coalesce(1).write.mode("overwrite").json(f"{out}/{name}/log")
     return result
 
 
@@ -99,7 +106,7 @@ def run_batch(spark: SparkSession, manifest: str, out: str, no_filter: bool = Fa
     lost = {(t["control"], t["allele"]): e for (_, t), e in zip(controls.items(), jobs.side_by_side(spark, [(f"control {t['control']}", lambda t=t: first(t)) for t in controls.values()], workers), strict=True) if e}
     errors |= {n: lost[t["control"], t["allele"]] for n, t in here if (t["control"], t["allele"]) in lost}
     ready = [(n, t) for n, t in here if n not in errors]
-    failed = jobs.side_by_side(spark, [(n, lambda n=n, t=t: run_one(spark, [t["sample"]], [t["control"]], t["allele"], n, out, t.get("bed"), no_filter, cache)) for n, t in ready], workers)
+    failed = jobs.side_by_side(spark, [(n, lambda n=n, t=t: run_one(spark, [t["sample"]], [t["control"]], t["allele"], n, out, t.get("bed"), no_filter, cache, t.get("genome"))) for n, t in ready], workers)
     errors |= {n: e for (n, _), e in zip(ready, failed, strict=True) if e}
     status = [(n, "failed" if n in errors else "done", errors.get(n, "")) for n, _ in tasks]
     if done := [name for name, state, _ in status if state == "done"]:
@@ -114,6 +121,11 @@ def main(argv: Sequence[str] | None = None) -> int:
     for flag in ("sample", "control", "allele", "name"):
         one.add_argument(f"--{flag}", required=True)
     one.add_argument("--bed")
+    one.add_argument("--genome")
+    indexed = sub.add_parser("index-genome")
+    indexed.add_argument("--fasta", required=True)
+    indexed.add_argument("--index", required=True)
+    indexed.add_argument("--master")
     batch = sub.add_parser("batch")
     batch.add_argument("--file", required=True)
     batch.add_argument("--workers", type=int, default=4)
@@ -124,8 +136,11 @@ def main(argv: Sequence[str] | None = None) -> int:
         p.add_argument("--no-filter", action="store_true")
     args = parser.parse_args(argv)
     spark = session(master=args.master, **{"spark.scheduler.mode": "FAIR"})
+    if args.mode == "index-genome":
+        genomes.write_index(spark, args.fasta, args.index)
+        return 0
     if args.mode == "run":
-        run_one(spark, args.sample.split(","), args.control.split(","), args.allele, args.name, args.out, args.bed, args.no_filter, args.cache)
+        run_one(spark, args.sample.split(","), args.control.split(","), args.allele, args.name, args.out, args.bed, args.no_filter, args.cache, args.genome)
         return 0
     status = run_batch(spark, args.file, args.out, args.no_filter, args.workers, args.cache)
     status.show(truncate=False)

@@ -1,4 +1,4 @@
-"""The driver's queries over alignment: affine costs, mapped reads, and tokens lifted through a coordinate map."""
+"""The driver's queries over alignment: affine costs, mapped reads, tokens lifted through a coordinate map, BAM files."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from ampliqua.functions import strings
 from ampliqua.operators import lift
 from ampliqua.plans import queries as base
 from ampliqua.plans.queries import query
+from ampliqua.session import scratch
+from ampliqua.sources import bam, inputs
 
 _t, _reads = base._t, base._reads
 
@@ -69,3 +71,47 @@ def q_lift_tokens(spark: SparkSession, d: str) -> DataFrame:
     maps = _t(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("allele")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", tok.alias("t")))), lambda v: v["t"]).alias("tokens"))
     reads = _reads(spark, d).withColumn("allele", (F.col("l_orderkey") % 5).cast("string"))
     return lift.lift(reads, maps, ["l_orderkey"]).select("l_orderkey", F.array_join("tokens", ",").alias("midsv"))
+
+
+# -- files of alignments -----------------------------------------------------------------------------------------------
+
+
+def _order_alignments(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as alignments to two references, and their header."""
+    key = F.col("o_orderkey")
+    first = key % 3 == 0
+    bases = F.translate(F.md5(key.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTNCGT")
+    rows = _t(spark, d, "orders").select(
+        key.cast("string").alias("qname"), F.when(key % 2 == 0, 16).otherwise(0).alias("flag"), F.when(first, "control").otherwise("chr2").alias("rname"), F.when(first, 1 + F.col("o_custkey") % 400).otherwise(1 + key * 37 % 90_000).cast("int").alias("pos"),
+        F.lit(60).alias("mapq"), F.lit("4S20M2D8M").alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), bases.alias("seq"), F.lit("*").alias("qual"), F.concat(F.lit("="), F.substring(bases, 5, 20)).alias("cs"),
+    )
+    return spark.createDataFrame([("@SQ\tSN:control\tLN:500",), ("@SQ\tSN:chr2\tLN:100000",)], "value string"), rows
+
+
+_SQL_ALIGNED = """a AS (SELECT CAST(o_orderkey AS VARCHAR) AS qname, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 16 ELSE 0 END AS INT) AS flag, CASE WHEN o_orderkey % 3 = 0 THEN 'control' ELSE 'chr2' END AS rname,
+CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1 + o_custkey % 400 ELSE 1 + o_orderkey * 37 % 90000 END AS INT) AS pos, translate(md5(CAST(o_orderkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTNCGT') AS seq FROM orders)"""
+
+
+@query(f"WITH {_SQL_ALIGNED} SELECT qname, flag, rname, pos, 60 AS mapq, '4S20M2D8M' AS cigar, seq, '=' || substr(seq, 5, 20) AS cs FROM a")
+def q_bam_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written as one file and read again in splits."""
+    path = f"{scratch(spark, 'orders')}/orders.bam"
+    bam.write_bam(*_order_alignments(spark, d), path)
+    return bam.read_bam(spark, path)[1].select("qname", "flag", "rname", "pos", "mapq", "cigar", "seq", "cs")
+
+
+@query(f"WITH {_SQL_ALIGNED} SELECT qname, flag, pos FROM a WHERE rname = 'chr2' AND pos <= 45000 AND pos + 30 > 30001")
+def q_bam_interval(spark: SparkSession, d: str) -> DataFrame:
+    """An interval by the index: records of 30 bases that overlap it."""
+    path = f"{scratch(spark, 'orders')}/orders.bam"
+    bam.write_bam(*_order_alignments(spark, d), path)
+    bam.write_index(spark, path)
+    return bam.read_interval(spark, path, "chr2", 30_001, 45_000)[0].select("qname", "flag", "pos")
+
+
+@query(f"WITH {_SQL_ALIGNED}, r AS (SELECT qname, CASE WHEN flag = 16 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS sequence FROM a) SELECT qname, sequence, repeat('I', 32) AS quality FROM r")
+def q_bam_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads of a folder with such a file, found by its content."""
+    path = scratch(spark, "reads")
+    bam.write_bam(*_order_alignments(spark, d), f"{path}/orders.data")
+    return inputs.read(spark, inputs.inputs(spark, [path])).select("qname", "sequence", "quality")

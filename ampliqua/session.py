@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ampliqua import runlog
+
 
 def session(app: str = "ampliqua", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution and Arrow; a cluster manager's own master wins over `master`."""
@@ -38,9 +40,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again."""
+    """df written to the shared folder and read again; a recording of the run gets its rows."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    runlog.write(df, path, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

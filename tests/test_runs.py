@@ -5,8 +5,9 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from ampliqua import cli, jobs, pipeline, store
-from ampliqua.sources import bam, files, inputs, synthetic
+from ampliqua import cli, jobs, pipeline, runlog, store
+from ampliqua.session import materialize
+from ampliqua.sources import bam, files, genome, inputs, synthetic
 
 
 def fastq(reads):
@@ -106,3 +107,67 @@ def test_a_batch_aligns_its_control_once(spark, tmp_path, monkeypatch):
     again = cli.run_batch(spark, f"{tmp_path}/one.csv", f"{tmp_path}/again", cache=f"{tmp_path}/out/cache").collect()
     assert [r["status"] for r in again] == ["done"] and len(calls) == 1
     assert files.read_manifest(spark, f"{tmp_path}/m.csv").count() == 3
+    log = spark.read.json(f"{tmp_path}/out/{made[0]}/log").collect()
+    assert {r["stage"]: r["rows"] for r in log}["genome"] == 30 and all(r["seconds"] > 0 for r in log)
+
+
+def turn(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_places_in_a_genome(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(genome, "CHUNK", 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        repeat = synthetic.control_sequence(2500, 50)
+        one, two = synthetic.control_sequence(60_000, 51), synthetic.control_sequence(30_000, 52)
+        chroms = {"chr1": one[:20_000] + repeat + one[20_000:] + "N" * 500, "chr2": two[:9000] + turn(repeat) + two[9000:].lower(), "chrM": synthetic.control_sequence(300, 53)}
+        with open(tmp_path / "g.fa", "w") as f:
+            for name, seq in chroms.items():
+                f.write(f">{name} some words\n" + "\n".join(seq[k : k + 70] for k in range(0, len(seq), 70)) + "\n")
+        genome.write_index(spark, f"{tmp_path}/g.fa", f"{tmp_path}/index")
+        assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/index/sizes").collect()} == {(n, len(s)) for n, s in chroms.items()}
+        upper = {n: s.upper() for n, s in chroms.items()}
+        seeds = spark.read.parquet(f"{tmp_path}/index/seeds")
+        assert seeds.groupBy("chrom").count().count() == 3 and seeds.select("chrom", "pos").distinct().count() == seeds.count()
+        rows = [("plus", upper["chr1"][5000:8000]), ("minus", turn(upper["chr2"][15_000:17_500])), ("edited", upper["chr1"][40_000:41_000] + upper["chr1"][41_040:42_500]), ("over", upper["chr1"][19_000:23_500]), ("repeat", repeat), ("none", synthetic.control_sequence(800, 99)), ("short", "ACGT"), ("null", None)]
+        got = {}
+        for r in genome.locate(spark, f"{tmp_path}/index", spark.createDataFrame(rows, "name string, sequence string"), 0.6).collect():
+            got.setdefault(r["name"], set()).add((r["chrom"], r["start"], r["end"], r["strand"]))
+
+        def brute(seq):
+            return {(n, s.find(x), s.find(x) + len(x), strand) for n, s in upper.items() for strand, x in (("+", seq), ("-", turn(seq))) if x in s}
+
+        assert all(got[n] == brute(s) for n, s in rows if n in ("plus", "minus", "over", "repeat")) and len(got["repeat"]) == 2
+        assert got["edited"] == {("chr1", 40_000, 42_500, "+")} and not {"none", "short", "null"} & set(got)
+        where = genome.coordinates(spark, f"{tmp_path}/index", rows[1][1], "mm")
+        assert (where.chrom, where.start, where.end, where.strand, where.chrom_size) == ("chr2", 15_000, 17_500, "-", 32_500)
+        for bad in (repeat, rows[5][1]):
+            with pytest.raises(ValueError):
+                genome.coordinates(spark, f"{tmp_path}/index", bad)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_log_of_a_run_costs_no_job(spark):
+    def jobs_of(group, log):
+        spark.sparkContext.setJobGroup(group, group)
+        df = spark.range(7).filter("id <> 3")
+        if log:
+            with runlog.recording() as inner:
+                materialize(df, "stage one")
+                materialize(df.limit(0), "none")
+            rows = inner.rows
+        else:
+            materialize(df, "stage one")
+            materialize(df.limit(0), "none")
+            rows = []
+        n = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return n, rows
+
+    plain, _ = jobs_of("plain", False)
+    logged, rows = jobs_of("logged", True)
+    assert plain == logged and [r[:2] for r in rows] == [("stage one", 6), ("none", 0)]
