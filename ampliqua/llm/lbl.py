@@ -7,9 +7,9 @@ to their counts, so no shuffle carries a common word.
 Every word has a class, so every token of every text is predicted from its context: the commonest words are a class each,
 the others are dealt by their endings (the commonest last three bytes, else the commonest last two, else one class for the
 rest), and 'end' is a class. The model predicts the next class from the two before it: the sum of their vectors, weighted
-by position, times each class's vector, plus its bias. Tasks train it in numpy on all training texts of their shares (half
-of them in each of two rounds) by noise-contrastive estimation, on the counted n-grams of each batch; after a round the
-results are averaged by tokens. Normalisers of all contexts come from batched matrix products. Within its class a word
+by position, times each class's vector, plus its bias. It is trained in numpy on all training texts, in shards by a hash of
+their content (half of them in each of two rounds), by noise-contrastive estimation on the counted n-grams of each block;
+after a round the shards' results are averaged by tokens. So a table gives the same scores however it is split. Normalisers of all contexts come from batched matrix products. Within its class a word
 has its smoothed share of the class's count.
 
 Defined results: a null or empty text is just the end token; a null id is not held out; without training texts every token
@@ -18,6 +18,7 @@ has the base probability 1; repeated rows each get a row; extra columns are igno
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,11 @@ FOLDS, HELD_OUT = 5, 1
 #: Words sent to all tasks at most; classes of a word each, of three last bytes and of two; size of vectors.
 HOT_WORDS, OWN, LAST_THREE, LAST_TWO, SIZE = 300_000, 254, 512, 256, 24
 #: Training: rounds of averaging, n-grams of a step, noise classes, rate, largest weight of an n-gram.
-ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 1024, 64, 0.3, 16
-#: Steps that a task's model makes at least in a round: it passes over few texts several times.
-LEAST_STEPS = 200
+ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 128, 64, 0.3, 16
+#: Passes over the n-grams of a block.
+PASSES = 1
+#: Training tokens of a shard, about, and of a block whose n-grams are counted together.
+SHARD_TOKENS, BLOCK_TOKENS = 2_000_000, 1 << 20
 _END, _OTHER = 0, 1
 
 
@@ -313,51 +316,78 @@ def _batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint16).astype(np.int64), np.array([len(x) // 2 for x in data], np.int64)
 
 
-def train_model(tokens: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Each task trains on its share of the rows (ids), in each round on other ones; the models are averaged by their tokens."""
-    spark, n = tokens.sparkSession, len(model.noise)
-    kind = "parts binary, n double"
-    out = pa.schema([("parts", pa.binary()), ("n", pa.float64())])
+def _learned(own: Model, texts: list[np.ndarray], seed: int, sums: list[np.ndarray] | None) -> tuple[list[np.ndarray] | None, int]:
+    """Trains on the counted n-grams of these texts; Adagrad's sums, and the steps made."""
+    n, ids, lengths = len(own.noise), np.concatenate(texts).astype(np.int64), np.array(list(map(len, texts)), np.int64)
+    before = contexts(ids, lengths)
+    grams, counts = np.unique((before[:, 0] * n + before[:, 1]) * n + ids, return_counts=True)
+    times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
+    every, weight = np.repeat(grams, times), np.repeat(counts / times, times)
+    sums = own.train(np.stack([every // (n * n), every // n % n], axis=1), every % n, weight, PASSES, seed, sums)
+    return sums, PASSES * -(-len(every) // STEP)
+
+
+def train_model(tokens: DataFrame, model: Model, n_tokens: int, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, block_tokens: int = BLOCK_TOKENS) -> Model:
+    """A model is trained on each shard of the texts (ids), in each round on other ones; shards are averaged by their tokens.
+
+    Shards, rounds and the order of texts follow from a hash of the texts' ids, the number of shards from n_tokens (of
+    training), and averages are summed in the order of shards: so the same rows give the same model, however they are split.
+    """
+    spark, shards = tokens.sparkSession, max(1, round(n_tokens / shard_tokens))
+    groups = max(1, round(shards**0.5))
+    kind = "shard long, parts binary, n double"
+    out = pa.schema([("shard", pa.int64()), ("parts", pa.binary()), ("n", pa.float64())])
 
     @freed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums, total, steps = sent.value, None, 0, 0
-        kept = []  # while there are few
+        shard, own, sums, steps, total, texts, filled = None, None, None, 0, 0, [], 0
+
+        def done() -> pa.RecordBatch:
+            nonlocal sums
+            if texts:
+                sums, _ = _learned(own, texts, 2 + steps + (shard << 20), sums)
+            return record_batch(out, [[shard], [own.pack()], [float(total)]])
+
         for batch in batches:
-            ids, lengths = _batch_tokens(batch.column(0).take(pa.array(range(turn, len(batch), rounds), pa.int64())))
-            before = contexts(ids, lengths)
-            grams, counts = np.unique((before[:, 0] * n + before[:, 1]) * n + ids, return_counts=True)
-            times = -(-counts // HEAVIEST)  # a common n-gram is several examples, lest one step be all its
-            every, weight = np.repeat(grams, times), np.repeat(counts / times, times)
-            examples = (np.stack([every // (n * n), every // n % n], axis=1), every % n, weight)
-            sums = own.train(*examples, seed=2 + steps, sums=sums)  # nothing to do where the turn has no row
-            total, steps = total + len(ids), steps - (-len(every) // STEP)
-            kept = [*kept, examples] if len(every) and steps < LEAST_STEPS else []
-        while kept and steps < LEAST_STEPS:
-            for examples in kept:
-                sums = own.train(*examples, seed=2 + steps, sums=sums)
-                steps -= -len(examples[1]) // STEP
-        if total:
-            yield record_batch(out, [[own.pack()], [float(total)]])
+            for now, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if now != shard:
+                    if shard is not None:
+                        yield done()
+                    shard, own, sums, steps, total, texts, filled = now, pickle.loads(pickle.dumps(sent.value)), None, 0, 0, [], 0
+                texts.append(np.frombuffer(data, np.uint16))
+                total, filled = total + len(texts[-1]), filled + len(texts[-1])
+                if filled >= block_tokens:
+                    sums, made = _learned(own, texts, 2 + steps + (shard << 20), sums)
+                    steps, texts, filled = steps + made, [], 0
+        if shard is not None:
+            yield done()
 
     @freed
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, weight = None, 0.0
+        group, total, weight = None, None, 0.0
         for batch in batches:
-            for data, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for shard, data, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard % groups != group and group is not None:
+                    yield record_batch(out, [[group], [(total / weight).astype(np.float32).tobytes()], [weight]])
+                    total, weight = None, 0.0
+                group = shard % groups
                 part = np.frombuffer(data, np.float32).astype(np.float64) * w
                 total, weight = part if total is None else total + part, weight + w
         if total is not None:
-            yield record_batch(out, [[(total / weight).astype(np.float32).tobytes()], [weight]])
+            yield record_batch(out, [[group], [(total / weight).astype(np.float32).tobytes()], [weight]])
 
+    h = F.xxhash64("ids")
+    rows = tokens.filter(~F.col("held_out")).select("ids", h.alias("h"), F.pmod(h, F.lit(rounds)).alias("turn"), F.pmod(F.shiftright(h, 8), F.lit(shards)).alias("shard"))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(model)
-        rows = tokens.filter(~F.col("held_out")).select("ids")
-        groups = max(1, round(rows.rdd.getNumPartitions() ** 0.5))
-        found = rows.mapInArrow(learn, kind).repartition(groups).mapInArrow(average, kind).repartition(1).mapInArrow(average, kind).collect()
+        dealt = rows.filter(F.col("turn") == turn).select("shard", "ids", "h").repartition(2 * shards, "shard").sortWithinPartitions("shard", "h", "ids")
+        found = dealt.select("shard", "ids").mapInArrow(learn, kind)
+        found = found.withColumn("_g", F.col("shard") % groups).repartition(groups, "_g").sortWithinPartitions("_g", "shard").select("shard", "parts", "n").mapInArrow(average, kind).collect()
         if not found:
-            break
-        model.unpack(bytes(found[0]["parts"]))
+            continue
+        found = sorted(found, key=lambda r: r["shard"])  # a model a group: the root of the number of shards
+        total = sum(np.frombuffer(r["parts"], np.float32).astype(np.float64) * r["n"] for r in found)
+        model.unpack((total / sum(r["n"] for r in found)).astype(np.float32).tobytes())
     return model
 
 
@@ -373,7 +403,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hot = hot_words(vocabulary)
     classes = choose_classes(vocabulary, hot, n_words, distinct, n_ends)
     tokens = stored(spark, _tokens(docs, hot, classes), "tokens")
-    model = train_model(tokens, Model(classes.counts))
+    model = train_model(tokens, Model(classes.counts), n_all)
     sent = spark.sparkContext.broadcast((model, model.normalisers()))
     rest = tokens.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rest = rest.join(vocabulary, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rest_known"))

@@ -12,7 +12,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ampliqua.llm import chat, errata, ranked
+from ampliqua.llm import chat, errata, lbl, ranked
+from tests.conftest import SF
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -247,3 +248,23 @@ def test_search_is_deterministic_in_the_layout(spark):
     left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = [sorted((tuple(r) for r in ranked.search(left.repartition(n), right).collect()), key=repr) for n in (1, 7)]
     assert got[0] == got[1] and left.filter(F.col("doc_id").isNull()).count() == 2
+
+
+def test_language_model_scores_do_not_depend_on_the_layout(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    table = table.unionAll(table.filter("doc_id < 20")).unionAll(spark.createDataFrame([(None, "no id"), (9, None), (9, "")], table.schema))
+    key = lambda r: repr((r["doc_id"], r["n_tokens"], r["base_score"]))
+    got = [sorted(((key(r), r["score"]) for r in lbl.score(table.repartition(n)).select("doc_id", "n_tokens", F.round("base_score", 6).alias("base_score"), "score").collect())) for n in (1, 4, 16)]
+    for other in got[1:]:
+        assert [k for k, _ in other] == [k for k, _ in got[0]]
+        assert max(abs(a - b) for (_, a), (_, b) in zip(got[0], other, strict=True)) < 1e-6
+
+
+def test_language_model_of_many_shards(spark):
+    rows = [(k, f"a{k % 7} b c{k % 3} d") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, _text string").withColumn("held_out", F.col("doc_id") % 5 == 1)
+    words = lbl.count_words(d)
+    hot = lbl.hot_words(words)
+    tokens = lbl._tokens(d, hot, lbl.choose_classes(words, hot, 960, 12, 240))
+    made = [lbl.train_model(tokens.repartition(n), lbl.Model(np.arange(1.0, 15.0)), 1200, shard_tokens=100, block_tokens=64).pack() for n in (1, 5)]
+    assert made[0] == made[1] != lbl.Model(np.arange(1.0, 15.0)).pack()
