@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ampliqua.functions import tokens as K
 from ampliqua.functions.sequential import overlay_udf
+from ampliqua.operators import windows
 
 PREDICTED = "_predicted"
 
@@ -95,26 +96,25 @@ def overlay_variants(consensus: DataFrame, variants: DataFrame) -> DataFrame:
 def merge_equal(consensus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Alleles with the same sequence as one, percents added, ranked 1..n by percent; and old label -> new label.
 
-    consensus: allele, label, percent, sequence and others; the first label's row stays. Labels are few, so one task ranks.
+    consensus: allele, label, percent, sequence and others; the first label's row stays.
     """
     first = F.min_by(F.struct(*[c for c in consensus.columns if c != "percent"]), F.col("label"))
     groups = consensus.groupBy("allele", "sequence").agg(first.alias("_row"), F.sum("percent").alias("percent"), F.collect_list("label").alias("_labels"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("percent"), "label")).cast("int")
-    ranked = groups.select("_row.*", "percent", "_labels").withColumn("_new", rank)
+    ranked = windows.ranked(groups.select("_row.*", "percent", "_labels"), [F.desc("percent"), F.col("label")], "_new")
     mapping = ranked.select(F.explode("_labels").alias("label"), F.col("_new").alias("new_label"))
     return ranked.drop("_labels", "label").withColumnRenamed("_new", "label"), mapping
 
 
 def apply_labels(rows: DataFrame, mapping: DataFrame, names: DataFrame) -> DataFrame:
     """Reads with their merged label, its name and percent, and the reads of all old labels that went into it."""
-    new = rows.join(F.broadcast(mapping), "label").drop("label", "percent", "readnum").withColumnRenamed("new_label", "label")
+    new = rows.join(mapping, "label").drop("label", "percent", "readnum").withColumnRenamed("new_label", "label")
     n = new.groupBy("label").agg(F.count(F.lit(1)).alias("readnum"))
-    return new.join(F.broadcast(n.join(names.select("label", "name", "percent"), "label")), "label")
+    return new.join(n.join(names.select("label", "name", "percent"), "label"), "label")
 
 
 def names(consensus: DataFrame, alleles: DataFrame, suffix: str = PREDICTED) -> DataFrame:
     """consensus with name: allele{label}|{allele or unassigned}|{intact, indels or kind of variant}|{percent}%."""
-    digits = F.greatest(F.lit(2), F.length(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).cast("string")))
+    digits = F.lit(max(2, len(str(consensus.count()))))
     predicted = F.col("allele").endswith(suffix)
     kind = F.when(predicted, F.regexp_extract("allele", "^(deletion|inversion|insertion)", 1)).when(F.col("sequence") == F.col("_ref"), "intact").otherwise("indels")
     both = consensus.join(F.broadcast(alleles.select("allele", F.col("sequence").alias("_ref"))), "allele", "left")

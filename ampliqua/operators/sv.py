@@ -39,7 +39,7 @@ def converted(found: DataFrame, coverage: int, read: Sequence[str], gap: int = 5
     numbered = places.withColumn("_new", F.when(F.col("start") - F.lag("start").over(w) <= gap, 0).otherwise(1)).withColumn("session", F.sum("_new").over(w))
     enough = numbered.groupBy("session").agg(F.sum("_n").alias("_all"), F.min(F.struct((-F.col("_n")).alias("n"), F.col("start").alias("s")))["s"].alias("_mode")).filter(F.col("_all") > max(5, coverage * 0.05))
     mapping = numbered.join(enough, "session").select("start", "_mode")
-    return found.join(F.broadcast(mapping), "start").select(*read, F.col("_mode").alias("start"), "size")
+    return found.join(mapping, "start").select(*read, F.col("_mode").alias("start"), "size")
 
 
 def features(found: DataFrame, read: str, starts: list[int]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ampliqua.session import materialize
+
 
 def islands(df: DataFrame, keys: Sequence[str], pos: str, name: str = "island") -> DataFrame:
     """df with the id of each run of consecutive positions (distinct by key)."""
@@ -77,19 +79,31 @@ def look_ahead(df: DataFrame, keys: Sequence[str], pos: str, value: str, length:
     return df.withColumn(name, F.collect_list(value).over(Window.partitionBy(*keys).orderBy(pos).rowsBetween(0, length - 1)))
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank", start: int = 1) -> DataFrame:
+    """df with numbers from `start` on in this order over all rows, without a task that gets them all.
+
+    Rows are dealt by ranges and numbered within their part; what a part's numbers begin with is a sum over the parts.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = materialize(sorted_.select("*", F.spark_partition_id().alias("_part"), within.alias("_k")), "ranked")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a part
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_k") + start).cast("int")).drop("_part", "_k", "_before")
+
+
 def dense_label(df: DataFrame, order: Sequence[Column], name: str = "label", keys: Sequence[str] = ()) -> DataFrame:
     """df with labels 1..n by the order of the groups; the groups' values, not their rows, are ranked."""
     tagged = df.withColumn("_o", F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)]))
     groups = tagged.select(*keys, "_o").distinct()
-    ranked = groups.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy("_o") if keys else Window.partitionBy(F.lit(0)).orderBy("_o")).cast("int"))
-    return tagged.drop(name).join(ranked, [*keys, "_o"]).drop("_o")
+    found = groups.withColumn(name, F.dense_rank().over(Window.partitionBy(*keys).orderBy("_o")).cast("int")) if keys else ranked(groups, [F.col("_o")], name)
+    return tagged.drop(name).join(found, [*keys, "_o"]).drop("_o")
 
 
 def relabel_by_appearance(df: DataFrame, label: str, order: str, start: int = 1) -> DataFrame:
     """Labels renumbered from `start` in the order in which they first appear."""
     first = df.groupBy(label).agg(F.min(order).alias("_first"))
-    ranked = first.withColumn("_new", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first")) + (start - 1)).cast("int")).drop("_first")
-    return df.join(ranked, label).drop(label).withColumnRenamed("_new", label)
+    return df.join(ranked(first, [F.col("_first")], "_new", start).drop("_first"), label).drop(label).withColumnRenamed("_new", label)
 
 
 def overlapping_dropped(alignments: DataFrame, key: str = "qname", pos: str = "pos", length: str = "length") -> DataFrame:
