@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from ampliqua.plans import maps, records  # noqa: F401  registers its queries
+from ampliqua.plans import maps, records, runs  # noqa: F401  registers its queries
 from ampliqua.plans.queries import ORACLE, QUERIES
 from tests.conftest import SF
 
