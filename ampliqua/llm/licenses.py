@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 LICENCES = [
     ("MIT", "permissive", ["mit license"]),
     ("MIT-0", "permissive", ["mit no attribution license"]),
-    ("Apache-2.0", "permissive", ["apache license version 2.0", "apache license 2.0", "apache 2.0 license"]),
-    ("BSD-2-Clause", "permissive", ["bsd 2 clause license", "simplified bsd license"]),
-    ("BSD-3-Clause", "permissive", ["bsd 3 clause license", "new bsd license"]),
+    ("Apache-2.0", "permissive", ["apache license version 2.0", "apache license 2.0", "apache 2.0 license", "apache license v2.0", "apache 2.0"]),
+    ("BSD-2-Clause", "permissive", ["bsd 2 clause license", "2 clause bsd license", "simplified bsd license"]),
+    ("BSD-3-Clause", "permissive", ["bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license"]),
     ("0BSD", "permissive", ["zero clause bsd license"]),
     ("ISC", "permissive", ["isc license"]),
     ("Zlib", "permissive", ["zlib license"]),
@@ -36,11 +36,11 @@ LICENCES = [
     ("MS-PL", "permissive", ["microsoft public license"]),
     ("Unlicense", "public-domain", ["unlicense"]),
     ("CC0-1.0", "public-domain", ["cc0 1.0", "cc0 1.0 universal license"]),
-    ("GPL-2.0", "copyleft", ["gnu general public license version 2", "gnu general public license v2.0"]),
-    ("GPL-3.0", "copyleft", ["gnu general public license version 3", "gnu general public license v3.0"]),
-    ("LGPL-2.1", "copyleft", ["gnu lesser general public license version 2.1", "gnu lesser general public license v2.1"]),
-    ("LGPL-3.0", "copyleft", ["gnu lesser general public license version 3", "gnu lesser general public license v3.0"]),
-    ("AGPL-3.0", "copyleft", ["gnu affero general public license version 3", "gnu affero general public license v3.0"]),
+    ("GPL-2.0", "copyleft", ["gnu general public license version 2", "gnu general public license v2.0", "gnu general public license v2", "gnu gpl v2", "gnu gplv2", "gplv2", "gpl v2", "gpl 2.0", "gplv2 license"]),
+    ("GPL-3.0", "copyleft", ["gnu general public license version 3", "gnu general public license v3.0", "gnu general public license v3", "gnu gpl v3", "gnu gplv3", "gplv3", "gpl v3", "gpl 3.0", "gplv3 license"]),
+    ("LGPL-2.1", "copyleft", ["gnu lesser general public license version 2.1", "gnu lesser general public license v2.1", "gnu lgpl v2.1", "lgplv2.1", "lgpl v2.1"]),
+    ("LGPL-3.0", "copyleft", ["gnu lesser general public license version 3", "gnu lesser general public license v3.0", "gnu lgpl v3", "lgplv3", "lgpl v3", "lgpl 3.0"]),
+    ("AGPL-3.0", "copyleft", ["gnu affero general public license version 3", "gnu affero general public license v3.0", "gnu agpl v3", "agplv3", "agpl v3", "agpl 3.0"]),
     ("MPL-2.0", "copyleft", ["mozilla public license version 2.0", "mozilla public license 2.0"]),
     ("EPL-2.0", "copyleft", ["eclipse public license version 2.0", "eclipse public license 2.0"]),
     ("EUPL-1.2", "copyleft", ["european union public licence version 1.2", "european union public license version 1.2"]),
@@ -56,6 +56,7 @@ LICENCES = [
     ("CC-BY-ND-4.0", "no-derivatives", ["cc by nd 4.0", "creative commons attribution noderivatives 4.0 international license"]),
     ("CC-BY-NC-ND-4.0", "noncommercial", ["cc by nc nd 4.0", "creative commons attribution noncommercial noderivatives 4.0 international license"]),
     ("BUSL-1.1", "source-available", ["business source license 1.1"]),
+    ("BSD", "permissive", ["bsd license"]),  # which of them isn't said
 ]
 
 #: Sentences that refer to a licence by name, after normalising. The bare name counts where it says 'licen'.
@@ -70,8 +71,16 @@ REFERENCES = [
     "this project is licensed under the {}",
     "this project is licensed under the {} see the license file for details",
     "{} see license",
+    "licensed under the {} the license",
+    "licensed under {} the license",
+    "this file is licensed under the {}",
+    "this software is licensed under the {}",
+    "this program is licensed under the {}",
+    "this code is licensed under the {}",
+    "available under the {} license",
+    "dual licensed under the {}",
 ]
-RELEASES = ["{}", "the {}", "released under the {}", "distributed under the {}"]
+RELEASES = ["{}", "the {}", "under the {}", "released under the {}", "distributed under the {}", "this software is released under the {}", "this project is released under the {}", "this code is released under the {}", "available under the {}"]
 
 #: Sentences of licence texts and notices after normalising, by identifier.
 SENTENCES = {
@@ -89,6 +98,22 @@ SENTENCES = {
     "gpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version",
+    "gpl2-only": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license",
+    "gpl2-only-short": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl3-program": "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl-see": "see the gnu lesser general public license for more details",
+    "apache2-title": "apache license version 2.0 january 2004 http www.apache.org licenses",
+    "gpl2-title": "gnu general public license version 2 june 1991",
+    "gpl3-title": "gnu general public license version 3 29 june 2007",
+    "agpl3-title": "gnu affero general public license version 3 19 november 2007",
+    "lgpl21-title": "gnu lesser general public license version 2.1 february 1999",
+    "lgpl3-title": "gnu lesser general public license version 3 29 june 2007",
+    "gpl-copying": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed",
+    "epl2-title": "eclipse public license v 2.0",
+    "cc0-title": "cc0 1.0 universal",
+    "cc0-code": "creative commons legal code cc0 1.0 universal",
+    "bsd-holders": "neither the name of the nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
     "agpl-see": "see the gnu affero general public license for more details",
@@ -122,6 +147,9 @@ RULES = [
     ("0BSD", ["0bsd-grant", "isc-asis"]),
     ("Zlib", ["zlib-asis", "zlib-grant"]),
     ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
+    ("LGPL-3.0", ["lgpl3-free", "gpl-hope", "lgpl-see"]),
+    ("LGPL-3.0", ["lgpl3-program", "gpl-hope", "lgpl-see"]),
+    ("BSD-3-Clause", ["bsd-redist", "bsd-source", "bsd-binary", "bsd-holders"]),
     ("MIT", ["mit-grant"]),
     ("MIT", ["mit-name"]),
     ("Apache-2.0", ["apache2-grant"]),
@@ -134,6 +162,19 @@ RULES = [
     ("MPL-2.0", ["mpl2-form"]),
     ("BSL-1.0", ["boost-name"]),
     ("Unlicense", ["unlicense-free"]),
+    ("GPL-2.0", ["gpl2-only"]),
+    ("GPL-2.0", ["gpl2-only-short"]),
+    ("LGPL-3.0", ["lgpl3-free"]),
+    ("LGPL-3.0", ["lgpl3-program"]),
+    ("Apache-2.0", ["apache2-title"]),
+    ("GPL-2.0", ["gpl2-title"]),
+    ("GPL-3.0", ["gpl3-title"]),
+    ("AGPL-3.0", ["agpl3-title"]),
+    ("LGPL-2.1", ["lgpl21-title"]),
+    ("LGPL-3.0", ["lgpl3-title"]),
+    ("EPL-2.0", ["epl2-title"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("CC0-1.0", ["cc0-code"]),
 ]
 
 
@@ -146,7 +187,7 @@ def known_sentences() -> dict[str, str]:
     """Identifiers by sentence: those of the texts, and of references to licences by name and by SPDX tag (licence/number)."""
     out = {s: k for k, s in SENTENCES.items()}
     for licence, _, names in LICENCES:
-        found = [f"spdx license identifier {normal(licence)}"]
+        found = [f"spdx license identifier {normal(licence)}{end}" for end in ("", " only", " orlater")]
         found += [t.format(n) for n in names for t in REFERENCES]
         found += [t.format(n) for n in names if "licen" in n for t in RELEASES]
         for k, s in enumerate(found):
@@ -161,21 +202,31 @@ _BY_RULE = [f"{k:03d}|{licence}|{_CLASS[licence]}" for k, (licence, _) in enumer
 _BY_NAME = {licence: f"{len(RULES) + k:03d}|{licence}|{kind}" for k, (licence, kind, _) in enumerate(LICENCES)}
 
 #: Every known sentence holds one of these, so a text without any of them has no known sentence.
-ANCHORS = ("licen", "software", "copyright", "redistribut", "program", "rights", "mpl")
+ANCHORS = ("licen", "software", "copyright", "redistribut", "program", "rights", "mpl", "gpl", "cc0")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPDX = "spdx license identifier "
+#: A colon before a list ends a sentence, and an item's number or letter is none of its words.
+_LISTS = (r":([ \t\r]*\n[ \t/#*;%-]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t])", ".$1")
+_NUMBERS = (r"(^|\n[ \t\r/#*;%-]*\n|[.;,:][ \t\r]*\n)[ \t/#*;%-]*\(?(?:[0-9]{1,2}|[a-z])[.)][ \t]+", "$1")
 _ENDS = r"[.!?]+( |\n|$)|\n"
 
 
 def _known(text: Column) -> Column:
     """Identifiers of the known sentences of normalised text, in order."""
-    sentences = F.filter(F.transform(F.split(text, _ENDS), lambda s: F.trim(s)), lambda s: s.isin(list(KNOWN)))
+    cut = F.transform(F.split(text, _ENDS), lambda s: F.trim(s))
+    # the licences of an SPDX expression are sentences of their own
+    each = lambda s: F.transform(F.split(F.substring(s, F.lit(len(SPDX) + 1), F.length(s)), " (or|and|with) "), lambda x: F.concat(F.lit(SPDX), F.trim(x)))
+    cut = F.flatten(F.transform(cut, lambda s: F.when(s.startswith(SPDX), each(s)).otherwise(F.array(s))))
+    sentences = F.filter(cut, lambda s: s.isin(list(KNOWN)))
     numbers = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
     return F.transform(sentences, lambda s: F.element_at(numbers, s))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: the id, n_known, sentence_ids (by line; by paragraph where those are more), licences, license_class."""
-    plain = F.regexp_replace(F.translate(F.col("_text"), _UPPER, _LOWER), r"[^a-z0-9.!?\n]+", " ")
+    lower = F.replace(F.translate(F.col("_text"), _UPPER, _LOWER), F.lit("-or-later"), F.lit(" orlater"))
+    lower = F.regexp_replace(F.regexp_replace(lower, *_LISTS), *_NUMBERS)
+    plain = F.regexp_replace(lower, r"[^a-z0-9.!?\n]+", " ")
     joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_plain"), r" *\n( *\n)+ *", ". "), r"\n", " "), " +", " ")
     has = F.col("_text").rlike("(?i)" + "|".join(ANCHORS))
     none = F.array().cast("array<string>")
@@ -198,21 +249,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     known = ", ".join(f"('{k}', '{s}')" for s, k in KNOWN.items())
-    cut = "list_transform(list_filter(list_transform(regexp_split_to_array({t}, '[.!?]+( |\\n|$)|\\n'), lambda s: trim(s, ' ')), lambda s: list_contains(k.keys, s)), lambda s: k.names[list_position(k.keys, s)])"
-    hits = ", ".join(f"CASE WHEN contains(a, ',{','.join(ids)},') OR contains(b, ',{','.join(ids)},') THEN '{mark}' END" for (_, ids), mark in zip(RULES, _BY_RULE, strict=True))
-    names, marks = (", ".join(f"'{x}'" for x in xs) for xs in (_BY_NAME, _BY_NAME.values()))
+    rules = ", ".join(f"({k}, '{licence}', ',{','.join(ids)},')" for k, (licence, ids) in enumerate(RULES))
+    licences = ", ".join(f"({len(RULES) + k}, '{licence}', '{kind}')" for k, (licence, kind, _) in enumerate(LICENCES))
+    lists, numbers = (x[0].replace("'", "''") for x in (_LISTS, _NUMBERS))
     return f"""
-WITH known(id, sentence) AS (VALUES {known}),
-k AS (SELECT list(sentence ORDER BY id) AS keys, list(id ORDER BY id) AS names FROM known),
-t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^a-z0-9.!?\\n]+', ' ', 'g') AS t FROM documents),
-s AS (SELECT doc_id, {cut.format(t="t.t")} AS lines, {cut.format(t="regexp_replace(regexp_replace(regexp_replace(t.t, ' *\\n( *\\n)+ *', '. ', 'g'), '\\n', ' ', 'g'), ' +', ' ', 'g')")} AS paras FROM t, k),
-j AS (SELECT doc_id, CASE WHEN len(paras) > len(lines) THEN paras ELSE lines END AS ids, lines || paras AS every, ',' || array_to_string(lines, ',') || ',' AS a, ',' || array_to_string(paras, ',') || ',' AS b FROM s),
-f AS (SELECT doc_id, ids, list_sort(list_filter([{hits}], lambda x: x IS NOT NULL) || list_transform(list_filter(every, lambda i: contains(i, '/')), lambda i: ([{marks}])[list_position([{names}], split_part(i, '/', 1))])) AS found FROM j),
-n AS (SELECT *, list_transform(found, lambda x: split_part(x, '|', 2)) AS names FROM f)
-SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-  coalesce(array_to_string(list_transform(list_filter(list_zip(names, range(len(names))), lambda x: list_position(names, x[1]) = x[2] + 1), lambda x: x[1]), ','), '') AS licences,
-  coalesce(split_part(found[1], '|', 3), 'none') AS license_class
-FROM n
+WITH known(id, sentence) AS (VALUES {known}), rules(rank, licence, ids) AS (VALUES {rules}), licences(rank, licence, class) AS (VALUES {licences}),
+d AS (SELECT row_number() OVER () AS r, doc_id, replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '-or-later', ' orlater') AS t FROM documents),
+t AS (SELECT r, regexp_replace(regexp_replace(regexp_replace(t, '{lists}', '.\\1', 'g'), '{numbers}', '\\1', 'g'), '[^a-z0-9.!?\n]+', ' ', 'g') AS t FROM d),
+b AS (SELECT r, 0 AS way, t FROM t UNION ALL SELECT r, 1, regexp_replace(regexp_replace(regexp_replace(t, ' *\n( *\n)+ *', '. ', 'g'), '\n', ' ', 'g'), ' +', ' ', 'g') FROM t),
+c AS (SELECT r, way, unnest(s) AS s, unnest(range(len(s))) AS i FROM (SELECT r, way, regexp_split_to_array(t, '[.!?]+( |\n|$)|\n') AS s FROM b)),
+e AS (SELECT r, way, i, unnest(p) AS s, unnest(range(len(p))) AS j FROM (SELECT r, way, i, CASE WHEN trim(s, ' ') LIKE '{SPDX}%' THEN list_transform(regexp_split_to_array(substr(trim(s, ' '), {len(SPDX) + 1}), ' (or|and|with) '), lambda x: '{SPDX}' || trim(x, ' ')) ELSE [trim(s, ' ')] END AS p FROM c)),
+f AS (SELECT r, way, id, i, j FROM e JOIN known ON sentence = s),
+w AS (SELECT r, way, count(*) AS n, string_agg(id, ',' ORDER BY i, j) AS ids FROM f GROUP BY r, way),
+m AS (SELECT r, coalesce(max(n), 0) AS n, arg_max(ids, n * 2 - way) AS ids FROM w GROUP BY r),
+hits AS (SELECT r, rules.rank, rules.licence FROM w JOIN rules ON contains(',' || w.ids || ',', rules.ids) UNION ALL SELECT r, rank, licence FROM f JOIN licences ON id LIKE '%/%' AND split_part(id, '/', 1) = licence),
+least AS (SELECT r, licence, min(rank) AS rank FROM hits GROUP BY r, licence),
+found AS (SELECT r, string_agg(licence, ',' ORDER BY rank) AS licences, arg_min(licence, rank) AS first FROM least GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_known, coalesce(ids, '') AS sentence_ids, coalesce(found.licences, '') AS licences, coalesce(class, 'none') AS license_class
+FROM d LEFT JOIN m USING (r) LEFT JOIN found USING (r) LEFT JOIN licences ON licences.licence = first
 """
 
 

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from ampliqua.llm import chat, errata, lbl, ranked
+from ampliqua.llm import chat, errata, lbl, licenses, ranked
 from tests.conftest import SF
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -268,3 +268,58 @@ def test_language_model_of_many_shards(spark):
     tokens = lbl._tokens(d, hot, lbl.choose_classes(words, hot, 960, 12, 240))
     made = [lbl.train_model(tokens.repartition(n), lbl.Model(np.arange(1.0, 15.0)), 1200, shard_tokens=100, block_tokens=64).pack() for n in (1, 5)]
     assert made[0] == made[1] != lbl.Model(np.arange(1.0, 15.0)).pack()
+
+
+BSD_LIST = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL_ONLY = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; version 2 of the License.
+"""
+LGPL3 = """This library is free software: you can redistribute it and/or modify it under the terms
+of the GNU Lesser General Public License as published by the Free Software Foundation,
+either version 3 of the License, or (at your option) any later version.
+"""
+LICENCE_CASES = {
+    BSD_LIST: "BSD-2-Clause",
+    BSD_LIST + "3. Neither the name of the copyright holder nor the names of its contributors may be\n   used to endorse or promote products derived from this software without specific prior written permission.\n": "BSD-3-Clause,BSD-2-Clause",
+    BSD_LIST.replace("1.", "a)").replace("2.", "b)"): "BSD-2-Clause",
+    GPL_ONLY: "GPL-2.0",
+    LGPL3: "LGPL-3.0",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n": "Apache-2.0",
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n": "GPL-3.0",
+    "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n": "LGPL-3.0",
+    "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n": "MPL-2.0",
+    "CC0 1.0 Universal\n\nStatement of Purpose\n": "CC0-1.0",
+    "This is free and unencumbered software released into the public domain.\n": "Unlicense",
+    '// Licensed under the Apache License, Version 2.0 (the "License").': "Apache-2.0",
+    "# SPDX-License-Identifier: MIT OR Apache-2.0\n": "MIT,Apache-2.0",
+    "// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause OR ISC": "BSD-3-Clause,ISC,GPL-2.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    "SPDX-License-Identifier: LGPL-3.0+": "LGPL-3.0",
+    "Licensed under GPLv3": "GPL-3.0",
+    "Released under the BSD license.": "BSD",
+    "under the BSD license": "BSD",
+    "This project is not licensed under the MIT License.": "",
+    "Version\n2. Something else follows the software here.": "",
+}
+
+
+def test_licences_as_they_are_written(spark, tmp_path):
+    import duckdb
+
+    rows = [*enumerate(LICENCE_CASES), (900, None), (900, ""), (901, "long " * 100_000 + "\nLicensed under GPLv3")]
+    d = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, licences string")
+    got = [tuple(r) for r in licenses.scan(d).select("doc_id", "n_known", "sentence_ids", "licences", "license_class").collect()]
+    named = {r[0]: r[3] for r in got}
+    assert {k: named[k] for k in range(len(LICENCE_CASES))} == dict(enumerate(LICENCE_CASES.values())) and named[901] == "GPL-3.0"
+    d.drop("licences").coalesce(1).write.parquet(f"{tmp_path}/d")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    assert sorted(con.execute(licenses.SQL).fetchall()) == sorted(got)
