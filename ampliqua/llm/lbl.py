@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Words sent to all tasks at most; classes of a word each, of three last bytes and of two; size of vectors.
 HOT_WORDS, OWN, LAST_THREE, LAST_TWO, SIZE = 300_000, 254, 512, 256, 24
 #: Training: rounds of averaging, n-grams of a step, noise classes, rate, largest weight of an n-gram.
-ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 128, 24, 0.4, 16
+ROUNDS, STEP, NOISE, RATE, HEAVIEST = 2, 192, 24, 0.5, 16
 #: Passes over the n-grams of a block.
 PASSES = 1
 #: Training tokens of a shard, about, and of a block whose n-grams are counted together.
