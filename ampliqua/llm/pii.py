@@ -1,16 +1,19 @@
 """Personal data in whole texts: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
-The patterns give the base spans; they are evidence for the field. Its other variables are the tokens equal or similar to
-a base span (the local part of an address, a number that ends in the same eight digits), and the tokens with a digit or
-an '@' beside all these. Neighbours are linked in a chain, and occurrences of the same or a similar token by skip links to
-the previous and to the first occurrence, however distant. Loopy sum-product message passing runs over the fields of many
-texts at once, so that one sure occurrence carries its label to the others of its document. Texts without a base span have
-nothing to carry.
-
-The weights are fitted by pseudo-likelihood on all documents: features are shapes that don't see the patterns, so the
-texts count only by how often each configuration of features and neighbouring labels occurs. Labels are the base spans';
-tokens similar to one are left out, and instead each base span is taken a second and third time with its evidence hidden,
-as written and in a short form, linked to itself. From these the field learns how far to trust a skip link.
+The patterns give the base spans, which stay: to the field they are observed labels. Its hidden variables are all other
+tokens with a digit or an '@', in every text, and what is similar to a base span: the local part of an address, a number
+that ends in the same eight digits. Base spans of several words are a node a word. All nodes of a text form one chain, with
+other weights where they stand side by side than where words lie between; occurrences of the same or a similar token are
+joined by skip links to the previous one and to the last one observed, however distant. Loopy sum-product message passing
+over the fields of many texts at once, until the messages settle, gives each node's probabilities. So a number that the
+patterns lose because another one touches it is found by its shape and its neighbours, and one sure occurrence carries its
+label to the others of its document.
+
+The weights are fitted by pseudo-likelihood on all documents, which needs only how often each configuration of features and
+neighbouring labels occurs. Base spans are learned with their evidence hidden, once where they stand and once in a short
+form, linked to themselves; those of one word also as if another token touched them, where the patterns lose numbers and no
+text can show it. Tokens similar to a base span have no known label and are left out; that an ordinary word may
+equal an address's local part is learned from words of the same texts, taken as if they did.
 
 Defined results: a null or empty text has no spans; equal spans of one kind are one; repeated rows each get a row; extra
 columns are ignored.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,10 +36,14 @@ from pyspark.sql import types as T
 from ampliqua.llm.common import arrow_type, freed, record_batch, repo_on_workers, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of messages; least probability of an added span; nodes whose messages are passed together (about).
-ROUNDS, SURE, MAX_NODES = 12, 0.9, 50_000
-#: Digits in which numbers must end alike to be similar; letters of a local part that may stand for its address.
-ENDING, NAME, PLAIN_NAME = 8, 4, 7
+#: Rounds of messages at most, and the largest change at which they have settled; least probability of an added span.
+ROUNDS, SETTLED, SURE = 200, 1e-7, 0.9
+#: Nodes whose messages are passed together (about), and links of a step.
+MAX_NODES, STEP = 50_000, 1 << 16
+#: Digits in which numbers must end alike to be similar; characters between nodes that stand side by side, at most.
+ENDING, NEAR = 8, 3
+#: One in so many different words stands for those that an address's local part may equal by chance, in the fit.
+CONTRAST = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -47,6 +55,11 @@ _SPACE = re.compile(r"\s")
 _TRIM = ".,;:!?()[]{}<>\"'"
 _DIGITS = re.compile(r"[0-9](?:[ ().-]{0,3}[0-9])*")
 _NAME = re.compile(r"[A-Za-z0-9._%+-]+")
+_WORD = re.compile(r"[A-Za-z]+")
+_PART = re.compile(r"\S+")
+_JOINT = re.compile(r"[ ().-]{1,3}")
+#: Digits that a number of a kind holds at most.
+_LENGTH = {"card": 19, "phone": 15}
 
 Span = tuple[str, int, int]
 
@@ -108,13 +121,27 @@ def _apart(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[t
     return out
 
 
-def tokens(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
-    """Spans and keys, in order, of what is similar to a base span, and of other tokens with a digit or '@'.
+Node = tuple[int, int, str | None, int, int]
 
-    What overlaps a base span is left out. One pass over the text for each: local parts, numbers, tokens.
+
+def nodes(text: str, base: list[Span]) -> list[Node]:
+    """Start, end, key, base label and number of mentions of the field's tokens, in order and apart.
+
+    A base span gives a node a word, the last one with the span's key. Mentions are counted for names alone, else 1.
+    One pass over the text for each: local parts, numbers, tokens.
     """
-    spans = sorted((a, b) for _, a, b in base)
-    names = {n for k, a, b in base if k == "email" and len(n := text[a:b].partition("@")[0].lower()) >= NAME and (not n.isalpha() or len(n) >= PLAIN_NAME)}
+    if _MARK.search(text) is None:
+        return []
+    rows: list[Node] = []
+    end = 0
+    for kind, a, b in sorted(base, key=lambda s: (s[1], -s[2])):
+        words = [(a + m.start(), a + m.end()) for m in _PART.finditer(text[a:b])]
+        for x, y in words:
+            if x >= end:
+                rows.append((x, y, similar_key(text[a:b]) if y == words[-1][1] else None, KINDS.index(kind) + 1, 1))
+                end = y
+    spans = [r[:2] for r in rows]
+    names = {text[a:b].partition("@")[0].lower() for k, a, b in base if k == "email"}
     numbers = {similar_key(text[a:b]) for k, a, b in base if k != "email"}
     similar: list[tuple[int, int]] = []
     if names:
@@ -125,6 +152,8 @@ def tokens(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
     if numbers:
         similar += [m.span() for m in _DIGITS.finditer(text) if similar_key(m.group()) in numbers]
     similar = _apart(similar, spans)
+    mentions = Counter(text[a:b].lower() for a, b in similar)
+    rows += [(a, b, similar_key(text[a:b]), 0, mentions[text[a:b].lower()]) for a, b in similar]
     others: list[tuple[int, int]] = []
     seen = 0
     for m in _MARK.finditer(text):
@@ -136,24 +165,30 @@ def tokens(text: str, base: list[Span]) -> list[tuple[int, int, str]]:
         stop = _SPACE.search(text, m.end())
         seen = stop.start() if stop else len(text)
         a, b = start, seen
-        while a < b and text[a] in _TRIM:
+        while a < b and text[a] in _TRIM and not (text[a] == "(" and ")" in text[a:b]):
             a += 1
-        while b > a and text[b - 1] in _TRIM:
+        while b > a and text[b - 1] in _TRIM and not (text[b - 1] == ")" and "(" in text[a:b]):
             b -= 1
         if a < b:
             others.append((a, b))
-    return [(a, b, similar_key(text[a:b])) for a, b in sorted(similar + _apart(others, sorted(spans + similar)))]
+    rows += [(a, b, similar_key(text[a:b]), 0, 1) for a, b in _apart(others, sorted(spans + similar))]
+    return sorted(rows)
 
 
 #: Features of a token: shapes only, nothing that repeats the patterns' tests.
 _SHAPES = [re.compile(p) for p in (r"@", r"^\+", r"^[0-9]+$", r"^[0-9]{1,3}(\.[0-9]{1,3})+$", r"\.", r"[A-Za-z]", r"^[A-Za-z]", r"[()]", r"-", r"^[0-9a-f]{24,}$", r"=|/|_|:", r"\.[a-z]{2,4}$", r"[^\x00-\x7f]")]
-N_FEATURES = len(_SHAPES) + 9
+N_FEATURES = len(_SHAPES) + 18
 
 
-def token_features(token: str) -> bytes:
-    digits = sum(c.isdigit() for c in token)
+def token_features(token: str, mentions: int = 1) -> bytes:
+    """Shapes; whether a number passes a kind's test as it stands; of plain words their length and how often they occur."""
+    number = "".join(c for c in token if c.isascii() and c.isdigit())
+    digits, plain = len(number), token.isalpha()
     size = [digits == 0, 1 <= digits <= 3, 4 <= digits <= 7, 8 <= digits <= 12, 13 <= digits <= 15, 16 <= digits <= 19, digits > 19]
-    return bytes([1, *(bool(p.search(token)) for p in _SHAPES), *size, len(token) > 30])
+    m = _IP.fullmatch(token)
+    tests = [16 <= digits <= 19 and luhn(number), bool(m) and all(len(g.lstrip("0")) <= 3 and int(g[-3:]) <= 255 for g in m.groups())]
+    word = [plain, plain and len(token) <= 2, plain and 3 <= len(token) <= 4, plain and 5 <= len(token) <= 7, plain and mentions == 1, plain and 2 <= mentions <= 3, plain and mentions > 3]
+    return bytes([1, *(bool(p.search(token)) for p in _SHAPES), *size, len(token) > 30, *tests, *word])
 
 
 def short_form(kind: str, span: str) -> str:
@@ -170,45 +205,46 @@ class Graph:
         self.evidence: list[int] = []
         self.similar: list[bool] = []
         self.spans: list[tuple[int, int, int]] = []
+        #: Links of the chain between nodes side by side, those over words between, and skip links.
         self.chain: list[tuple[int, int]] = []
+        self.far: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
 
     def add(self, number: int, text: str, base: list[Span]) -> None:
-        rows = [(a, b, similar_key(text[a:b]), KINDS.index(k) + 1) for k, a, b in base] + [(a, b, key, 0) for a, b, key in tokens(text, base)]
-        rows.sort()
-        sure = {key for _, _, key, label in rows if label}
-        core = [key in sure for _, _, key, _ in rows]
-        first: dict[str, int] = {}
+        rows = nodes(text, base)
+        sure = {key for _, _, key, label, _ in rows if label}
         last: dict[str, int] = {}
+        observed: dict[str, int] = {}
         before = None
-        for k, (a, b, key, label) in enumerate(rows):
-            beside = (k and core[k - 1] and a - rows[k - 1][1] <= 3) or (k + 1 < len(rows) and core[k + 1] and rows[k + 1][0] - b <= 3)
-            if not core[k] and not beside:
-                continue
+        for a, b, key, label, mentions in rows:
             node = len(self.evidence)
-            self.features += token_features(text[a:b])
+            self.features += token_features(text[a:b], mentions)
             self.evidence.append(label)
-            self.similar.append(core[k])
+            self.similar.append(not label and key in sure)
             self.spans.append((number, a, b))
-            if before is not None and a - before <= 3:
-                self.chain.append((node - 1, node))
+            if before is not None:
+                (self.chain if a - before <= NEAR else self.far).append((node - 1, node))
             before = b
+            if key is None:
+                continue
             if key in last:
                 self.skip.append((last[key], node))
-                if first[key] != last[key]:
-                    self.skip.append((first[key], node))
-            first.setdefault(key, node)
+                if observed.get(key, last[key]) != last[key]:
+                    self.skip.append((observed[key], node))
             last[key] = node
+            if label:
+                observed[key] = node
 
     def matrix(self) -> np.ndarray:
         return np.frombuffer(bytes(self.features), np.uint8).reshape(-1, N_FEATURES)
 
 
 class Field:
-    """Weights: of features (by label), of the chain (label by label), and of each label's agreement over a skip link."""
+    """Weights: of features (by label), of the chain near and far (label by label), and of each label's agreement over a skip link."""
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
+    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, far: np.ndarray | None = None) -> None:
         self.unary, self.chain, self.skip = unary, chain, skip
+        self.far = np.zeros_like(chain) if far is None else far
 
     @classmethod
     def empty(cls) -> Field:
@@ -216,59 +252,84 @@ class Field:
         return cls(np.zeros((N_FEATURES, n)), np.zeros((n, n)), np.zeros(n))
 
     def marginals(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Probabilities of the labels of each node, by damped loopy sum-product; nodes with evidence keep it."""
-        n = len(self.skip)
+        """Probabilities of the labels of each node, by damped loopy sum-product until it settles; nodes with evidence keep it."""
+        n, size = len(self.skip), len(graph.evidence)
         seen = np.array(graph.evidence)
         unary = graph.matrix().astype(np.float64) @ self.unary
         unary[seen > 0] = -50
         unary[np.flatnonzero(seen), seen[seen > 0]] = 50
-        c, s = np.array(graph.chain, int).reshape(-1, 2), np.array(graph.skip, int).reshape(-1, 2)
-        source, target = np.concatenate([c[:, 0], c[:, 1], s[:, 0], s[:, 1]]), np.concatenate([c[:, 1], c[:, 0], s[:, 1], s[:, 0]])
-        if len(source):
-            back = np.concatenate([len(c) + np.arange(len(c)), np.arange(len(c)), 2 * len(c) + len(s) + np.arange(len(s)), 2 * len(c) + np.arange(len(s))])
-            weight = np.concatenate([np.repeat(self.chain[None], len(c), 0), np.repeat(self.chain.T[None], len(c), 0), np.repeat(np.diag(self.skip)[None], 2 * len(s), 0)])
-            message = np.zeros((len(source), n))
-            for _ in range(rounds):
-                belief = unary.copy()
-                np.add.at(belief, target, message)
-                to = (belief[source] - message[back])[:, :, None] + weight
+        source, target, back, parts, at = [], [], [], [], 0
+        for links, weight in ((graph.chain, self.chain), (graph.far, self.far), (graph.skip, np.diag(self.skip))):
+            e = np.array(links, int).reshape(-1, 2)
+            k = np.arange(len(e))
+            source += [e[:, 0], e[:, 1]]
+            target += [e[:, 1], e[:, 0]]
+            back += [at + len(e) + k, at + k]
+            parts += [(x + y, min(x + y + STEP, x + len(e)), w) for x, w in ((at, weight), (at + len(e), weight.T)) for y in range(0, len(e), STEP)]
+            at += 2 * len(e)
+        source, target, back = map(np.concatenate, (source, target, back))
+        message, belief = np.zeros((at, n)), unary
+        for _ in range(rounds if at else 0):
+            new = np.empty_like(message)
+            for a, b, weight in parts:
+                to = (belief[source[a:b]] - message[back[a:b]])[:, :, None] + weight
                 top = to.max(axis=1, keepdims=True)
-                new = np.log(np.exp(to - top).sum(axis=1)) + top[:, 0]
-                message = 0.5 * message + 0.5 * (new - new.mean(axis=1, keepdims=True))
-            np.add.at(unary, target, message)
-        p = np.exp(unary - unary.max(axis=1, keepdims=True))
+                out = np.log(np.exp(to - top).sum(axis=1)) + top[:, 0]
+                new[a:b] = 0.5 * message[a:b] + 0.5 * (out - out.mean(axis=1, keepdims=True))
+            change, message = np.abs(new - message).max(), new
+            belief = unary + np.stack([np.bincount(target, message[:, j], size) for j in range(n)], axis=1)
+            if change <= SETTLED:
+                break
+        p = np.exp(belief - belief.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
 
 
+#: No neighbour on that side.
+_NONE = 255
+
+
+def _configuration(features: bytes, left: tuple[int, int], right: tuple[int, int], around: np.ndarray, label: int) -> bytes:
+    return features + bytes([*left, *right]) + around.astype("<u4").tobytes() + bytes([label])
+
+
 def configurations(values: list[str]) -> Counter:
-    """How often each configuration occurs in these texts: features, the labels before and after, those over skip links, own label.
+    """How often each configuration occurs in these texts: features, label and nearness before and after, labels over skip links, own label.
 
-    Tokens similar to a base span don't count; a base span counts with its evidence hidden as well, linked to itself.
+    Of tokens similar to a base span only the contrast counts: words that stand for local parts equal to ordinary ones.
     """
     out: Counter = Counter()
-    none = 255
+    # a second mention stands among other tokens, as most do; a number that the patterns lose is touched by one
+    n_labels, alone, among, touched = len(KINDS) + 1, (_NONE, 0), (0, 0), (0, 1)
+    linked = np.eye(n_labels, dtype=np.int64)
     for text in values:
         base = base_spans(text)
-        if not base:
-            continue
         g = Graph()
         g.add(0, text, base)
         n = len(g.evidence)
-        left, right, around = [none] * n, [none] * n, np.zeros((n, len(KINDS) + 1), np.int64)
-        for a, b in g.chain:
-            left[b], right[a] = g.evidence[a], g.evidence[b]
+        left, right, around = [alone] * n, [alone] * n, np.zeros((n, n_labels), np.int64)
+        for links, near in ((g.chain, 1), (g.far, 0)):
+            for a, b in links:
+                left[b], right[a] = (g.evidence[a], near), (g.evidence[b], near)
         for a, b in g.skip:
             around[a, g.evidence[b]] += 1
             around[b, g.evidence[a]] += 1
-        rows, near = g.matrix(), np.minimum(around, 7).astype(np.uint8)
+        rows = g.matrix()
         for k in range(n):
-            if g.evidence[k] or not g.similar[k]:
-                out[rows[k].tobytes() + bytes([left[k], right[k]]) + near[k].tobytes() + bytes([g.evidence[k]])] += 1
+            if not g.similar[k]:
+                out[_configuration(rows[k].tobytes(), left[k], right[k], around[k], g.evidence[k])] += 1
         for kind, a, b in base:
             mark = KINDS.index(kind) + 1
-            linked = bytes(int(j == mark) for j in range(len(KINDS) + 1))
             for again in (text[a:b], short_form(kind, text[a:b])):
-                out[token_features(again) + bytes([none, none]) + linked + bytes([mark])] += 1
+                out[_configuration(token_features(again), among, among, linked[mark], mark)] += 1
+            if _SPACE.search(text, a, b) is None:
+                for sides in ((touched, among), (among, touched)):
+                    out[_configuration(token_features(text[a:b]), *sides, np.zeros(n_labels, np.int64), mark)] += 1
+        if any(kind == "email" for kind, _, _ in base):
+            email = KINDS.index("email") + 1
+            names = {text[a:b].partition("@")[0].lower() for k, a, b in base if k == "email"}
+            for word, times in Counter(w.lower() for w in _WORD.findall(text)).items():
+                if word not in names and zlib.crc32(word.encode()) % CONTRAST == 0:
+                    out[_configuration(token_features(word, times), among, among, linked[email], 0)] += times
     return out
 
 
@@ -281,16 +342,22 @@ def fit(found: dict[bytes, int], steps: int = 300, rate: float = 0.1, decay: flo
     rows = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
     weight = np.array([found[k] for k in keys], np.float64)
     weight /= weight.sum()
-    x, around = rows[:, :N_FEATURES].astype(np.float64), rows[:, N_FEATURES + 2 : -1].astype(np.float64)
+    x = rows[:, :N_FEATURES].astype(np.float64)
+    around = np.ascontiguousarray(rows[:, N_FEATURES + 4 : -1]).view("<u4").astype(np.float64)
     one = np.eye(n)[rows[:, -1]]
-    left, right = (np.vstack([np.eye(n), np.zeros((256 - n, n))])[rows[:, N_FEATURES + k]] for k in (0, 1))
-    weights = [field.unary, field.chain, field.skip]
+    left, right = (np.vstack([np.eye(n), np.zeros((256 - n, n))])[rows[:, N_FEATURES + k]] for k in (0, 2))
+    near_l, near_r = (rows[:, N_FEATURES + k : N_FEATURES + k + 1].astype(np.float64) for k in (1, 3))
+    sides = [(left * near_l, right * near_r), (left * (1 - near_l), right * (1 - near_r))]
+    weights = [field.unary, field.chain, field.far, field.skip]
     m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, steps + 1):
-        z = x @ field.unary + left @ field.chain + right @ field.chain.T + around * field.skip
+        z = x @ field.unary + around * field.skip
+        for (l, r), w in zip(sides, (field.chain, field.far), strict=True):
+            z += l @ w + r @ w.T
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - one) * weight[:, None]
-        for k, d in enumerate((x.T @ g, left.T @ g + (right.T @ g).T, (around * g).sum(axis=0))):
+        slopes = [x.T @ g, *(l.T @ g + (r.T @ g).T for l, r in sides), (around * g).sum(axis=0)]
+        for k, d in enumerate(slopes):
             d = d + decay * weights[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.99 * v[k] + 0.01 * d * d
             weights[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-9)
@@ -316,21 +383,27 @@ def train(docs: DataFrame, text_col: str = "text") -> Field:
 
 
 def label(values: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """Of each text: its base spans, and the spans that the field adds."""
+    """Of each text: its base spans, and the spans that the field adds; parts of a number side by side are one span."""
     graph, found = Graph(), []
 
     def add_spans() -> None:
-        if graph.skip or graph.chain:
+        if graph.evidence:
             p = field.marginals(graph)
             best = p.argmax(axis=1)
+            before = -2
             for node in np.flatnonzero((best > 0) & (p.max(axis=1) >= SURE) & (np.array(graph.evidence) == 0)):
                 k, a, b = graph.spans[node]
-                found[k][1].append((KINDS[best[node] - 1], a, b))
+                kind, more = KINDS[best[node] - 1], found[k][1]
+                if before == node - 1 and graph.spans[before][0] == k and more[-1][0] == kind and _JOINT.fullmatch(values[k], more[-1][2], a) and sum(c.isdigit() for c in values[k][more[-1][1] : b]) <= _LENGTH.get(kind, 0):
+                    more[-1] = (kind, more[-1][1], b)
+                else:
+                    more.append((kind, a, b))
+                before = node
 
     for k, text in enumerate(values):
         base = base_spans(text)
         found.append((base, []))
-        if base and field.unary.any():
+        if field.unary.any():
             graph.add(k, text, base)
             if len(graph.evidence) >= MAX_NODES:
                 add_spans()
