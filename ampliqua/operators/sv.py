@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ampliqua.functions import tokens as K
 from ampliqua.operators import windows
-from ampliqua.operators.cluster import optimise
+from ampliqua.operators.cluster import counted, optimise, with_labels
 from ampliqua.operators.consensus import PREDICTED
 from ampliqua.operators.stats import damerau_levenshtein
 from ampliqua.session import materialize
@@ -51,21 +49,27 @@ def features(found: DataFrame, read: str, starts: list[int]) -> DataFrame:
 def cluster(sample: DataFrame, control: DataFrame, n_sample: int, n_control: int, read: str) -> DataFrame:
     """read, label of the sample's reads with a variant; labels with too few reads are -1. sample, control: read, start, size.
 
-    Reads of a sample are capped, so their (start, size) pairs are clustered in one task; reads without any are rows of zeros.
+    A read is a vector of sizes by start (of several at one start the largest), one without variants a vector of zeros.
+    Equal vectors are counted, and clustered by aggregates.
     """
-    both = sample.select(F.lit(0).alias("c"), F.col(read).cast("string").alias("r"), "start", "size").union(control.select(F.lit(1), F.col(read).cast("string"), "start", "size"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=["c", "r"], columns="start", values="size", aggfunc="first", fill_value=0)
-        own, other = (wide[wide.index.get_level_values(0) == c] for c in (0, 1))
-        zeros = lambda n, rows: np.zeros((max(n - len(rows), 0), wide.shape[1]))
-        x = np.concatenate([own.to_numpy(float), zeros(n_sample, own), other.to_numpy(float), zeros(n_control, other)])
-        labels = optimise(x, max(n_sample, len(own)))
-        size = np.bincount(labels[: max(n_sample, len(own))], minlength=labels.max() + 1)
-        labels = np.where(size[labels] > max(0.05 * n_sample, 5), labels, -1)
-        return pd.DataFrame({"r": own.index.get_level_values(1), "label": labels[: len(own)]})
-
-    return both.groupBy(F.lit(0).alias("_g")).applyInPandas(lambda key, pdf: run(pdf), "r string, label int").withColumnRenamed("r", read)
+    starts = sorted(r["start"] for df in (sample, control) for r in df.select("start").distinct().collect())  # places of the allele
+    starts = list(dict.fromkeys(starts))
+
+    def wide(df: DataFrame) -> DataFrame:
+        sizes = df.groupBy(F.col(read).cast("string").alias(read), "start").agg(F.max("size").cast("double").alias("size"))
+        sizes = sizes.groupBy(read).agg(F.map_from_entries(F.collect_list(F.struct("start", "size"))).alias("_sizes"))
+        return sizes.select(read, F.transform(F.lit(starts), lambda s: F.coalesce(F.element_at("_sizes", s), F.lit(0.0))).alias("scores"))
+
+    if not starts:
+        return sample.select(F.col(read).cast("string").alias(read), F.lit(-1).alias("label"))
+    own, other = materialize(wide(sample), "sizes"), wide(control)
+    rest = [max(n - df.count(), 0) for n, df in ((n_sample, own), (n_control, other))]
+    zeros = sample.sparkSession.range(2).select(F.array_repeat(F.lit(0.0), len(starts)).alias("scores"), F.when(F.col("id") == 0, float(rest[0])).otherwise(float(rest[1])).alias("w"), (F.col("id") == 1).alias("control")).filter("w > 0")
+    parts = [counted(df).withColumn("control", F.lit(c)) for df, c in ((own, False), (other, True))]
+    vectors = optimise(materialize(parts[0].unionByName(parts[1]).unionByName(zeros), "size-vectors"))
+    vectors = materialize(vectors.filter("not control").select("scores", "w", "label"), "labelled-sizes")
+    large = [r["label"] for r in vectors.groupBy("label").agg(F.sum("w").alias("n")).filter(F.col("n") > max(0.05 * n_sample, 5)).collect()]  # a row a cluster
+    return with_labels(own, vectors.groupBy("scores").agg(F.min("label").alias("label"))).select(read, F.when(F.col("label").isin(large), F.col("label")).otherwise(-1).cast("int").alias("label"))
 
 
 def consensus(labelled: DataFrame, positions: DataFrame, kind: str, control: str, read: str) -> DataFrame:

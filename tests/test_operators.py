@@ -187,13 +187,89 @@ def test_statistics():
     assert got.all()
 
 
+def vectors(spark, x, w=None, n_sample=None, plus=None):
+    n = len(x) if n_sample is None else n_sample
+    rows = [(v.tolist(), float(1 if w is None else w[k]), int(plus[k]) if plus is not None else 0, k >= n) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "scores array<double>, w double, plus long, control boolean")
+
+
+def labels_of(made, x):
+    found = {tuple(r["scores"]): r["label"] for r in made.collect()}
+    return np.array([found[tuple(v)] for v in x])
+
+
 def test_clusters_and_strand_repair(spark):
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (60, 3)), rng.normal(5, 0.1, (40, 3)), rng.normal(0, 0.1, (50, 3))])
-    labels = cluster.optimise(x, 100)
+    made = cluster.optimise(vectors(spark, x, n_sample=100))
+    labels = labels_of(made, x)
     assert len(set(labels[:60])) == 1 and len(set(labels[60:100])) == 1 and labels[0] != labels[70]
-    plus = np.array([k % 2 == 0 for k in range(60)] + [True] * 40)
-    assert len(set(cluster.repair(x[:100], labels[:100], plus, 50, 50))) == 1
+    plus = np.array([k % 2 == 0 for k in range(60)] + [True] * 40 + [False] * 50)
+    own = vectors(spark, x, n_sample=100, plus=plus).filter("not control").join(made.select("scores", "label"), "scores")
+    assert len(set(labels_of(cluster.repair(own, 50, 50), x[:100]))) == 1
+    # a control of two kinds keeps the sample together
+    assert set(labels_of(cluster.optimise(vectors(spark, np.concatenate([x, x[60:100]]), n_sample=100)), x)) == {0}
+
+
+def test_repair_by_a_tree_of_the_unbiased_clusters(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal((0, 0), 0.1, (40, 2)), rng.normal((5, 0), 0.1, (40, 2)), rng.normal((5, 1), 0.1, (30, 2))])
+    plus = np.array([k % 2 == 0 for k in range(80)] + [True] * 30)
+    rows = vectors(spark, x, plus=plus).withColumn("label", F.when(F.col("scores")[0] < 2.5, 0).otherwise(F.when(F.col("scores")[1] < 0.5, 1).otherwise(2)))
+    labels = labels_of(cluster.repair(rows, 50, 50), x)
+    assert set(labels[:40]) == {0} and set(labels[40:]) == {1}
+    biased_all = rows.withColumn("plus", F.lit(1).cast("long"))
+    assert set(labels_of(cluster.repair(biased_all, 50, 50), x)) == {0, 1, 2}
+
+
+def test_silhouette_from_moments_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(0, 1, (30, 4)), rng.integers(1, 9, 30)
+    label = rng.integers(0, 3, 30)
+    label[0] = 3  # weight alone in its cluster
+    for first in (1, 5):
+        w[0] = first
+        rows = vectors(spark, x, w).join(spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, label, strict=True)], "scores array<double>, label int"), "scores")
+        at = np.repeat(np.arange(30), w)
+        d, kinds = ((x[at][:, None] - x[at][None]) ** 2).sum(2), label[at]
+        each = []
+        for k in range(len(at)):
+            same = kinds == kinds[k]
+            a = d[k, same].sum() / max(same.sum() - 1, 1)
+            b = min(d[k, kinds == j].mean() for j in set(kinds) - {kinds[k]})
+            each.append(0 if same.sum() == 1 else (b - a) / max(a, b))
+        assert abs(cluster.silhouette(rows, cluster.moments(rows)) - np.mean(each)) < 1e-9
+
+
+def test_labels_of_reads_by_counted_vectors(spark):
+    kinds = {"control": [([0.0, 0.0], 50), ([40.0, 0.0], 30), ([0.0, 40.0], 20)], "other": [([0.0], 12)]}
+    rows, k = [], 0
+    for allele, parts in kinds.items():
+        for scores, n in parts:
+            for _ in range(n):
+                rows.append((allele, f"r{k}", "+-"[k % 2], scores))
+                k += 1
+    sample = spark.createDataFrame(rows, "allele string, qname string, strand string, scores array<double>")
+    control = spark.createDataFrame([("control", [0.0, 0.0])] * 2500, "allele string, scores array<double>")
+    for parts in (1, 5):  # the same however the tables are split
+        got = {r["qname"]: (r["allele"], r["label"]) for r in cluster.label_reads(sample.repartition(parts), control.repartition(parts), (56, 56), read="qname").collect()}
+        assert len(got) == 112 and {got[f"r{k}"] for k in range(100, 112)} == {("other", 0)}
+        groups = [{got[f"r{k}"][1] for k in r} for r in (range(50), range(50, 80), range(80, 100))]
+        assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+        assert parts == 1 or got == before
+        before = got
+    assert cluster.label_reads(sample.limit(0), control, (0, 0), read="qname").count() == 0
+    assert cluster.label_reads(sample, control.limit(0), (56, 56), read="qname").count() == 112
+
+
+def test_variant_clusters_by_sizes(spark):
+    sample = spark.createDataFrame([(f"d{k}", 100, 500 + k % 3) for k in range(30)] + [(f"i{k}", 300, 60) for k in range(20)] + [(f"n{k}", 200, 11) for k in range(2)] + [("d0", 100, 20)], "qname string, start int, size int")
+    control = spark.createDataFrame([("c0", 200, 10)], "qname string, start int, size int")
+    got = {r["qname"]: r["label"] for r in sv.cluster(sample, control, 100, 100, "qname").collect()}
+    assert len(got) == 52
+    one, two = {got[f"d{k}"] for k in range(30)}, {got[f"i{k}"] for k in range(20)}
+    assert len(one) == len(two) == 1 and one != two and min(one | two) >= 0
+    assert sv.cluster(sample.limit(0), control.limit(0), 5, 5, "qname").count() == 0
 
 
 def test_decision_tree():
