@@ -89,11 +89,11 @@ def halves(rows: DataFrame, mean: np.ndarray, rounds: int = 20) -> tuple[np.ndar
     return centres[0], centres[1]
 
 
-def silhouette(rows: DataFrame, found: dict[int, Moments]) -> float:
-    """Mean silhouette of all rows with squared distances, from the clusters' moments; rows alone in their cluster count 0."""
+def silhouettes(rows: DataFrame, found: dict[int, Moments]) -> DataFrame:
+    """rows (scores, w, label) with silhouette: of squared distances, from the clusters' moments; 0 for a row alone in its cluster and where there is but one."""
+    v = F.col("scores")
     if len(found) < 2:
-        return -1.0
-    v, w = F.col("scores"), F.col("w")
+        return rows.withColumn("silhouette", F.lit(0.0))
     own, other = F.lit(0.0), []
     for k, m in sorted(found.items()):
         mean = F.greatest(_dot(v, v) - 2 * _dot(v, _literal(m.mean)) + F.lit(m.squares / m.weight), F.lit(0.0))
@@ -101,9 +101,16 @@ def silhouette(rows: DataFrame, found: dict[int, Moments]) -> float:
         own = F.when(F.col("label") == k, mean * (m.weight / max(m.weight - 1, 1e-9))).otherwise(own)
         other.append(F.when(F.col("label") != k, mean))
     alone = F.col("label").isin([k for k, m in found.items() if m.weight <= 1])
-    each = rows.select(w, alone.alias("alone"), own.alias("a"), (F.least(*other) if len(other) > 1 else other[0]).alias("b"))
-    value = F.when(F.col("alone") | (F.greatest("a", "b") <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    total = each.agg(F.sum(w * value), F.sum(w)).first()
+    each = rows.withColumn("_a", own).withColumn("_b", F.least(*other))
+    value = F.when(alone | (F.greatest("_a", "_b") <= 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
+    return each.withColumn("silhouette", value).drop("_a", "_b")
+
+
+def silhouette(rows: DataFrame, found: dict[int, Moments]) -> float:
+    """Mean of all rows' silhouettes; -1 for a single cluster."""
+    if len(found) < 2:
+        return -1.0
+    total = silhouettes(rows, found).agg(F.sum(F.col("w") * F.col("silhouette")), F.sum("w")).first()
     return float(total[0] / total[1]) if total[1] else -1.0
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ampliqua.functions import strings
-from ampliqua.operators import alignments, consensus, sv
+from ampliqua.operators import alignments, cluster, consensus, sv
 from ampliqua.plans import queries as base
 from ampliqua.plans.queries import query
 from ampliqua.report import vcf
 from ampliqua.schemas import GenomeCoordinates
-from ampliqua.session import scratch
+from ampliqua.session import materialize, scratch
 from ampliqua.sources import files, genome
 
 _t = base._t
@@ -128,3 +128,30 @@ def q_genome_places(spark: SparkSession, d: str) -> DataFrame:
     amplicon = F.substring("s", (F.col("s_suppkey") * 7 % (F.length("s") - 300) + 1).cast("int"), F.lit(300))
     asked = _t(spark, d, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).join(chroms, "n_regionkey").select(F.col("s_suppkey").cast("string").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, strings.revcomp(amplicon)).otherwise(amplicon).alias("sequence"))
     return genome.locate(spark, f"{path}/index", asked, 0.5).select("name", "chrom", "start", F.col("end").alias("stop"), "strand")
+
+
+def _line_vectors(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Lines as vectors of quantity and number, counted; all are a sample's."""
+    rows = _t(spark, d, "lineitem").select(F.array(F.col("l_quantity"), 10.0 * F.col("l_linenumber")).alias("scores"), *more)
+    counts = rows.groupBy("scores", *more).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return materialize(counts.withColumn("control", F.lit(False)), "line-vectors")
+
+
+@query("""WITH r AS (SELECT l_quantity AS x, 10.0::DOUBLE * l_linenumber AS y, l_returnflag AS f, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT f, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * (x * x + y * y)) / sum(w) AS q FROM r GROUP BY f),
+d AS (SELECT r.*, m.f = r.f AS own, m.n, greatest(x * x + y * y - 2 * (x * mx + y * my) + q, 0) AS d FROM r CROSS JOIN m),
+s AS (SELECT x, y, f, w, max(CASE WHEN own THEN d * n / greatest(n - 1, 1e-9) END) AS a, min(CASE WHEN NOT own THEN d END) AS b, max(CASE WHEN own THEN n END) AS n FROM d GROUP BY 1, 2, 3, 4)
+SELECT f AS flag, CAST(sum(w) AS BIGINT) AS n, round(sum(w * CASE WHEN n <= 1 OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END) / sum(w), 6) + 0 AS mean_silhouette FROM s GROUP BY f""")
+def q_silhouette(spark: SparkSession, d: str) -> DataFrame:
+    """How well return flags part the lines: silhouettes of all lines from three clusters' moments."""
+    rows = _line_vectors(spark, d, "l_returnflag").withColumn("label", F.ascii("l_returnflag"))
+    each = cluster.silhouettes(rows, cluster.moments(rows))
+    mean = F.round(F.sum(F.col("w") * F.col("silhouette")) / F.sum("w"), 6) + 0
+    return each.groupBy(F.col("l_returnflag").alias("flag")).agg(F.sum("w").cast("long").alias("n"), mean.alias("mean_silhouette"))
+
+
+@query()
+def q_line_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Lines clustered by bisecting means while the silhouette rises; a row a different vector."""
+    made = cluster.optimise(_line_vectors(spark, d))
+    return made.select(F.col("scores")[0].alias("quantity"), F.col("scores")[1].alias("number"), F.col("w").cast("long").alias("n"), "label")

@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -75,6 +76,42 @@ def test_merge_minor_against_brute_force(spark, con):
     assert few and {r["allele"]: r["n"] for r in QUERIES["q_merge_minor"](spark, SF).collect()} == want
 
 
+def test_line_clusters_against_brute_force(spark, con):
+    x = np.array(con.execute("SELECT l_quantity, 10.0 * l_linenumber FROM lineitem").fetchall(), float)
+
+    def split(rows):
+        centres = [max((((v - rows.mean(0)) ** 2).sum(), *v) for v in rows)[1:]]
+        centres = np.array([centres[0], max((((v - np.array(centres[0])) ** 2).sum(), *v) for v in rows)[1:]])
+        for _ in range(20):
+            side = ((rows - centres[1]) ** 2).sum(1) < ((rows - centres[0]) ** 2).sum(1)
+            centres = np.array([rows[~side].mean(0), rows[side].mean(0)])
+        return ((rows - centres[1]) ** 2).sum(1) < ((rows - centres[0]) ** 2).sum(1)
+
+    def score(labels):
+        total = 0.0
+        for v, own in zip(x, labels, strict=True):
+            d = ((x - v) ** 2).sum(1)
+            a = d[labels == own].sum() / ((labels == own).sum() - 1)
+            b = min(d[labels == k].mean() for k in set(labels) - {own})
+            total += (b - a) / max(a, b)
+        return total / len(x)
+
+    labels, best = np.zeros(len(x), int), -np.inf
+    for k in range(1, 50):
+        j = max(range(k), key=lambda c: ((x[labels == c] - x[labels == c].mean(0)) ** 2).sum())
+        rows, new = np.flatnonzero(labels == j), labels.copy()
+        new[rows[split(x[rows])]] = k
+        now = score(new)
+        if now <= best:
+            break
+        labels, best = new, now
+    want = {}
+    for v, k in zip(x, labels, strict=True):
+        want.setdefault((*v, k), []).append(1)
+    got = {(r["quantity"], r["number"], r["label"]): r["n"] for r in QUERIES["q_line_clusters"](spark, SF).collect()}
+    assert got == {v: len(n) for v, n in want.items()} and labels.max() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
