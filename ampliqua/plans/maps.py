@@ -39,7 +39,8 @@ def q_mapped_reads(spark: SparkSession, d: str) -> DataFrame:
     bases = F.translate(F.md5(F.col("n_name").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
     control = _t(spark, d, "nation").select(F.struct("n_nationkey", bases.alias("b")).alias("x")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "").alias("sequence")).withColumn("allele", F.lit("control"))
     start = 1 + F.col("p_partkey") % 300
-    rows = _t(spark, d, "part").crossJoin(F.broadcast(control))  # one row
+    parts = _t(spark, d, "part").select("p_partkey", "p_size").repartition(mapper.TASKS * spark.sparkContext.defaultParallelism, "p_partkey")  # the file is a few splits
+    rows = parts.crossJoin(F.broadcast(control))  # one row
     seq = F.concat(F.substring("sequence", start, F.lit(150)), F.substring("sequence", start + 150 + F.col("p_size"), F.lit(150)))
     reads = rows.select(F.col("p_partkey").cast("string").alias("qname"), F.when(F.col("p_size") % 2 == 1, strings.revcomp(seq)).otherwise(seq).alias("sequence"), F.lit(None).cast("string").alias("quality"))
     found = mapper.align(reads, control)

@@ -121,6 +121,38 @@ def test_a_read_that_fits_twice_is_left_out():
     assert mapper.map_reads(index, [unit.encode()]) == [[]]
 
 
+def test_chains_of_many_groups_against_one_by_one():
+    rng = np.random.default_rng(5)
+    groups = []
+    for n in (0, 1, 2, 90, 200, 33):
+        ref = rng.integers(0, 900, n)
+        groups.append((ref, np.where(rng.random(n) < 0.7, ref + 5 * rng.integers(0, 3, n), rng.integers(0, 900, n)), bool(n % 2)))
+    for (ref, read, turned), found in zip(groups, mapper.chains(groups), strict=True):
+        order = np.lexsort((read, ref))
+        ref, read = ref[order], read[order]
+        score, back = [float(mapper.K)] * len(ref), [-1] * len(ref)
+        for i in range(len(ref)):
+            for j in range(max(0, i - mapper.BACK), i):
+                x, y = int(ref[i] - ref[j]), int(read[i] - read[j])
+                gain = score[j] + min(x, y, mapper.K) - (0.5 * np.log2(abs(x - y) + 1.0) + 0.01 * mapper.K * min(abs(x - y), mapper.LONGEST_DELETION) if x != y else 0)
+                if x > 0 and y > 0 and x - y <= mapper.LONGEST_DELETION and gain > score[i] + 1e-9:
+                    score[i], back[i] = gain, j
+        assert all(c.turned == turned and (np.diff(c.ref) > 0).all() and (np.diff(c.read) > 0).all() for c in found)
+        if len(ref) > 1 and max(score) >= mapper.LEAST_SCORE:
+            assert found and abs(found[0].score - max(score)) < 1e-6
+
+
+def test_reads_of_one_split_are_dealt_to_many_tasks_and_repeats_are_rows_each(spark):
+    ref = synthetic.control_sequence(500, 17)
+    rows = [(f"r{k}", [ref[:300], turn(ref[100:400]), ref[200:]][k % 3], "I" * 299 + "#") for k in range(30)]
+    reads = spark.createDataFrame(rows, "qname string, sequence string, quality string").coalesce(1)
+    found = mapper.align(reads, allele_table(spark, {"control": ref}))
+    assert reads.rdd.getNumPartitions() == 1 and found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    want = {(f"r{k}", (0, 16, 0)[k % 3], (1, 101, 201)[k % 3], ("I" * 299 + "#")[:: -1 if k % 3 == 1 else 1]) for k in range(30)}
+    got = [(r["qname"], r["flag"], r["pos"], r["qual"]) for r in found.collect()]
+    assert len(got) == 30 and set(got) == want
+
+
 def test_tokens_of_an_inversion(spark):
     ref = synthetic.control_sequence(1200, 21)
     rows = [("inv", ref[:500] + turn(ref[500:700]) + ref[700:]), ("turned", turn(ref[:500] + turn(ref[500:700]) + ref[700:])), ("plain", ref), (None, None), ("empty", "")]
