@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +56,20 @@ def finish_tokens(tokens: DataFrame, alleles: DataFrame, most_unknown: float = 9
 
 
 _OPS = re.compile(r"(\d+)([MIDNSHPX=])")
+#: Bases by which long shared stretches are found.
+SEED = 12
 
 
 def microhomology(before: str, after: str) -> int:
     """The longest proper end of the one that is the beginning of the other."""
-    return next((n for n in range(min(len(before), len(after)) - 1, 0, -1) if before.endswith(after[:n])), 0)
+    most = min(len(before), len(after)) - 1
+    if most >= SEED:  # longer ones begin where the first bases of the other are found
+        at = before.find(after[:SEED], len(before) - most)
+        while at >= 0:
+            if after.startswith(before[at:]):
+                return len(before) - at
+            at = before.find(after[:SEED], at + 1)
+    return next((n for n in range(min(most, SEED - 1), 0, -1) if before.endswith(after[:n])), 0)
 
 
 def clipped(cigar: str, sequence: str) -> str:
@@ -117,19 +127,55 @@ def trim_pair(one: dict, two: dict) -> None:
         one |= {"cigar": _text(rest[::-1]), "seq": seqs[0][:-n], "qual": quals[0] if quals[0] == "*" else quals[0][:-n]}
 
 
-def trim_microhomology(alignments: DataFrame) -> DataFrame:
-    """Mapped alignments; of a read's several, neighbours by position no longer share bases. Groups are single reads."""
-    rows = alignments.filter(F.col("seq") != "*")
-    many = rows.groupBy("qname").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("qname")
+_TRIMMED = ["pos", "cigar", "seq", "qual"]
+
+
+def _trim_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of qname and pos, with neighbours of a read trimmed; a read's rows may lie in several batches."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = pdf.sort_values("pos", kind="stable").to_dict("records")
-        for one, two in zip(parts, parts[1:], strict=False):
+    def made(parts: list[pa.RecordBatch], end: int | None) -> tuple[pa.RecordBatch, list[str | None]]:
+        parts = [*parts[:-1], parts[-1].slice(0, end)] if end is not None else parts
+        whole = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        return whole, whole.column("qname").to_pylist()
+
+    def trimmed(whole: pa.RecordBatch, names: list[str | None]) -> pa.RecordBatch:
+        pairs = [k for k in range(1, len(names)) if names[k] == names[k - 1] and names[k] is not None]
+        if not pairs:
+            return whole
+        columns = {c: whole.column(c).to_pylist() for c in _TRIMMED}
+        for k in pairs:
+            one, two = ({c: v[j] for c, v in columns.items()} for j in (k - 1, k))
             trim_pair(one, two)
-        return pd.DataFrame(parts, columns=list(pdf.columns))
+            for c, v in columns.items():
+                v[k - 1], v[k] = one[c], two[c]
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else whole.column(f.name) for f in whole.schema], schema=whole.schema)
+
+    kept: list[pa.RecordBatch] = []  # the rows of the last read, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = batch.column("qname").to_pylist()
+        start = len(names) - 1
+        while start and names[start] is not None and names[start - 1] == names[start]:
+            start -= 1
+        if start or kept and (names[0] is None or kept[-1].column("qname")[-1].as_py() != names[0]):
+            if start:
+                yield trimmed(*made([*kept, batch], start))
+            else:
+                yield trimmed(*made(kept, None))
+            kept = []
+        kept.append(batch.slice(start))
+    if kept:
+        yield trimmed(*made(kept, None))
+
 
-    trimmed = rows.join(many, "qname", "left_semi").groupBy("qname").applyInPandas(run, rows.schema)
-    return rows.join(many, "qname", "left_anti").unionByName(trimmed)
+def trim_microhomology(alignments: DataFrame) -> DataFrame:
+    """Mapped alignments; of a read's several, neighbours by position no longer share bases. Rows without a name are reads of their own."""
+    rows = alignments.filter(F.col("seq") != "*")
+    alone = F.when(F.col("qname").isNull(), F.rand(1))  # such rows are dealt to all tasks
+    others = [c for c in ("flag", "cigar", "seq") if c in rows.columns]
+    ordered = rows.withColumn("_alone", alone).repartition("qname", "_alone").drop("_alone").sortWithinPartitions("qname", "pos", *others)
+    return ordered.mapInArrow(_trim_batches, rows.schema)
 
 
 def revcomp_alignments(alignments: DataFrame, end: int) -> DataFrame:

@@ -373,3 +373,39 @@ def test_runs_in_whole_texts(spark):
     got = {tuple(r) for r in profile.repeat_spans_of(rows, ["id"], "text").collect()}
     want = {(k, m.start(), m.end()) for k, t in enumerate(texts) for m in re.finditer(r"([ACGTN])\1{3,}", t or "")}
     assert got == want
+
+
+def test_trimming_reads_its_input_once_and_works_across_batches(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = []
+    for k in range(40):
+        shared = letters((0, 3, 11, 12, 13, 30)[k % 6])
+        one, two = letters(40 - len(shared)) + shared, shared + letters(40 - len(shared))
+        name = None if k >= 36 else f"r{k}"
+        rows += [(name, 2048, 100, "40M", two, "I" * 40), (name, 0, 10, "40M", one, "*")][:: 1 if k % 2 else -1]
+        rows += [("alone", 0, 5, "4M", "ACGT", "IIII"), (f"r{k}", 4, 0, "*", "*", "*")][: 1 if k else 2]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    kinds = "qname string, flag int, pos int, cigar string, seq string, qual string"
+    source = spark.createDataFrame(rows, kinds).repartition(3).mapInPandas(counted, kinds)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [tuple(r) for r in alignments.trim_microhomology(source).filter("qname is null or qname != 'alone'").collect()]
+        assert alignments.trim_microhomology(source).filter("qname = 'alone'").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen.value == 2 * len(rows)
+    want = []
+    for name in {r[0] for r in rows if r[0] not in (None, "alone")}:
+        one, two = sorted((dict(zip(kinds.replace(" string", "").replace(" int", "").split(", "), r, strict=True)) for r in rows if r[0] == name and r[4] != "*"), key=lambda r: r["pos"])
+        n = next((n for n in range(39, 0, -1) if one["seq"].endswith(two["seq"][:n])), 0)
+        assert n == alignments.microhomology(one["seq"], two["seq"])
+        want += [tuple(one.values()), (name, 2048, 100 + n, f"{40 - n}M", two["seq"][n:], "I" * (40 - n))]
+    want += [r for r in rows if r[0] is None]
+    assert sorted(got, key=str) == sorted(want, key=str)
