@@ -14,12 +14,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ampliqua.align.mapper import _TURN, K, W, minimisers
+from ampliqua.align.mapper import _TURN, K, W, minimisers, minimisers_of
 from ampliqua.schemas import GenomeCoordinates
 from ampliqua.session import bounded_batches, materialize
 
@@ -39,17 +38,20 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(file: str, start: int, seg: int, name: str | None, at: np.ndarray, h: np.ndarray | None) -> pa.RecordBatch:
         n = len(at)
-        columns = [[file] * n, [start] * n, [seg] * n, [name] * n, at, [None] * n if h is None else h.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        same = [pa.repeat(pa.scalar(v, t), n) for v, t in zip((file, start, seg, name), kinds, strict=False)]
+        return pa.RecordBatch.from_arrays([*same, pa.array(at, pa.int64()), pa.nulls(n, pa.int64()) if h is None else pa.array(h.view(np.int64))], names=names)
 
     here, seg, name = None, 0, None
-    text, done = bytearray(), 0  # bases that are not all looked at yet, and those before them
+    text, done, last = bytearray(), 0, -1  # bases that are not all looked at yet, those before them, and the last place told
 
     def look(final: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal done
+        nonlocal done, last
         if len(text) >= K:
             h, at = minimisers(np.frombuffer(bytes(text).upper(), np.uint8))
-            yield rows(*here, seg, None, at + done, h)
+            new = at + done > last  # places rise; what is looked at twice may tell the last one again
+            if new.any():
+                yield rows(*here, seg, None, at[new] + done, h[new])
+                last = int(at[-1]) + done
         keep = 0 if final else min(len(text), K + W - 2)
         done += len(text) - keep
         del text[: len(text) - keep]
@@ -61,10 +63,10 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (file, start) != here:
                 if here is not None:
                     yield from look(True)
-                here, seg, name, done = (file, start), 0, None, 0
+                here, seg, name, done, last = (file, start), 0, None, 0, -1
             if line.startswith(">"):
                 yield from look(True)
-                seg, name, done = seg + 1, (line[1:].split() or [""])[0], 0
+                seg, name, done, last = seg + 1, (line[1:].split() or [""])[0], 0, -1
                 continue
             text += line.strip().encode("latin-1", "replace")
             if len(text) >= CHUNK:
@@ -91,18 +93,27 @@ def write_index(spark: SparkSession, fasta: str, path: str) -> None:
         size[last] += r["at"]
     where = spark.createDataFrame(places, "file string, start long, seg int, chrom string, base long")
     seeds = made.filter("hash is not null").join(F.broadcast(where), ["file", "start", "seg"])
-    rows = seeds.select(F.pmod("hash", F.lit(BUCKETS)).cast("int").alias("bucket"), "hash", "chrom", (F.col("base") + F.col("at")).alias("pos")).distinct()
+    rows = seeds.select(F.pmod("hash", F.lit(BUCKETS)).cast("int").alias("bucket"), "hash", "chrom", (F.col("base") + F.col("at")).alias("pos"))
     rows.repartition("bucket").sortWithinPartitions("bucket", "hash").write.partitionBy("bucket").parquet(f"{path}/seeds")
     spark.createDataFrame([(n, s) for (_, n), s in size.items()], "chrom string, size long").coalesce(1).write.parquet(f"{path}/sizes")
 
 
-def _wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for name, sequence in zip(pdf["name"], pdf["sequence"], strict=True):
-            raw = (sequence or "").upper().encode()
-            for strand, bases in (("+", raw), ("-", raw[::-1].translate(_TURN))):
-                h, at = minimisers(np.frombuffer(bases, np.uint8))
-                yield pd.DataFrame({"name": name, "strand": strand, "length": len(raw), "q": at, "hash": h.view(np.int64)})
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Minimisers of sequences and of their other strands, those of many sequences together."""
+    for batch in batches:
+        names, raws = batch.column(0), [(s or "").upper().encode() for s in batch.column(1).to_pylist()]
+        low = 0
+        while low < len(raws):
+            high, bases = low, 0
+            while high < len(raws) and (high == low or bases + len(raws[high]) <= CHUNK):
+                bases += len(raws[high])
+                high += 1
+            for strand in "+-":
+                part = [np.frombuffer(r if strand == "+" else r[::-1].translate(_TURN), np.uint8) for r in raws[low:high]]
+                h, at, number = minimisers_of(part)
+                length = np.array([len(p) for p in part], np.int64)[number] if len(number) else number
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(number + low)), pa.repeat(pa.scalar(strand), len(at)), pa.array(length), pa.array(at), pa.array(h.view(np.int64))], names=["name", "strand", "length", "q", "hash"])
+            low = high
 
 
 def locate(spark: SparkSession, index: str, sequences: DataFrame, least: float = 0.1) -> DataFrame:
@@ -111,7 +122,7 @@ def locate(spark: SparkSession, index: str, sequences: DataFrame, least: float =
     sequences: name, sequence. Diagonals that differ by up to SLACK are one place, so indels of a sequence don't split it.
     """
     bounded_batches(spark)
-    want = sequences.select("name", "sequence").mapInPandas(_wanted, "name string, strand string, length long, q long, hash long").withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
+    want = sequences.select(F.col("name").cast("string").alias("name"), F.col("sequence").cast("string").alias("sequence")).mapInArrow(_wanted, "name string, strand string, length long, q long, hash long").withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)).cast("int"))
     want = materialize(want, "wanted-seeds")
     few = want.count() <= BROADCAST
     hits = spark.read.parquet(f"{index}/seeds").join(F.broadcast(want) if few else want, ["bucket", "hash"]).withColumn("d", F.col("pos") - F.col("q"))

@@ -171,3 +171,32 @@ def test_log_of_a_run_costs_no_job(spark):
     plain, _ = jobs_of("plain", False)
     logged, rows = jobs_of("logged", True)
     assert plain == logged and [r[:2] for r in rows] == [("stage one", 6), ("none", 0)]
+
+
+def test_minimisers_of_many_sequences_come_together():
+    import numpy as np
+    import pyarrow as pa
+
+    from ampliqua.align.mapper import minimisers
+
+    sequences = [synthetic.control_sequence(n, n) if n else None for n in (300, 0, 14, 15, 17, 18, 19, 40, 301)] + ["ACGT" * 5 + "N" * 9 + "ACGTTGCA" * 4] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([f"s{k}" for k in range(len(sequences))]), pa.array(sequences, pa.string())], names=["name", "sequence"])
+    found = list(genome._wanted([batch]))
+    assert len(found) == 2  # a strand each
+    for part, strand in zip(found, "+-", strict=True):
+        got = {}
+        for name, n, q, h in zip(*(part.column(c).to_pylist() for c in ("name", "length", "q", "hash")), strict=True):
+            got.setdefault(name, []).append((n, q, h))
+        for k, s in enumerate(sequences):
+            s = s or ""
+            h, at = minimisers(np.frombuffer((s if strand == "+" else turn(s)).encode(), np.uint8))
+            assert got.get(f"s{k}", []) == [(len(s), int(a), int(x)) for a, x in zip(at, h.view(np.int64), strict=True)]
+
+
+def test_customers_are_numbered_by_ranges(spark):
+    from ampliqua.plans import runs
+
+    keys = [(k % 3, (k * 7919) % 1009) for k in range(600)]
+    numbered, sizes = runs._numbered(spark.createDataFrame(keys, "n_regionkey int, c_custkey long"))
+    want = {(r, c, k) for g in range(3) for k, (r, c) in enumerate(sorted(x for x in keys if x[0] == g))}
+    assert {tuple(r) for r in numbered.collect()} == want and {tuple(r) for r in sizes.collect()} == {(g, 200) for g in range(3)}
