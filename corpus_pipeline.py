@@ -22,14 +22,25 @@ from ampliqua.llm.common import stored, table
 
 #: Ids that are broadcast at most to drop rows; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch at most: executors keep what each stage's workers and buffers took, so five stages add up.
+BATCH_ROWS = 500
 #: Column of a row's number within a stage.
 ROW = "_row"
 #: Least similarity, in percent, of the texts that near_dedup links.
 NEAR_PERCENT = 80
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of so many rows at most, unless the session asks for smaller ones; the operators keep that."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, bool]:
     """docs with a number of its own for every row: the id where ids are different numbers (True), else one that is stored."""
+    _small_batches(docs.sparkSession)
     if isinstance(docs.schema["doc_id"].dataType, (T.IntegerType, T.LongType)):
         n, different = docs.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
         if n == different:
@@ -71,6 +82,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts; n_chars is the length of the new text, which is null where the old one was."""
+    _small_batches(spark)
     work = docs.withColumn("_rest", F.struct(*(F.col(c) for c in docs.columns if c not in ("text", "n_chars"))))
     masked = pii.redact(work, pii.train(docs), "_rest", "text")
     made = masked.select("_rest.*", "text", F.length("text").cast("long").alias("n_chars"))
@@ -79,6 +91,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the decoded text of each document."""
+    _small_batches(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
